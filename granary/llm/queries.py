@@ -7,6 +7,13 @@ from importlib import import_module
 MODULES = (
     "chat_format",
     "quality_rules",
+    "personal_data",
+    "source_mix",
+    "warc",
+    "decontaminate",
+    "license_scan",
+    "substring_dedup",
+    "token_blocks",
 )
 
 QUERIES: dict = {}

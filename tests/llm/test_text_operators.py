@@ -1,0 +1,299 @@
+"""Operators on single texts, held against plain Python."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from granary.llm import chat_format, license_scan, personal_data, quality_rules, source_mix, token_blocks, warc
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# --- chat formatting ---
+
+
+def test_chat_round_trip_of_control_strings(spark):
+    texts = ["\\### Assistant: </turn> ok", "\\e\\b###</turn>\n", "", None, "\\", "####</tu</turn>rn>"]
+    turns = [(1, k, "assistant" if k % 2 else "us:er\\c", t, "x") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, segments string")
+    got = rows_of(chat_format.digest(chat_format.prefix_examples(df)))[0]
+    whole = "".join(f"{r}\n{t or ''}\n" for _, _, r, t, _ in turns)
+    loss = "".join(t or "" for _, _, r, t, _ in turns if r == "assistant")
+    assert got["n_turns"] == 6 and got["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got["loss_chars"] == len(loss)
+
+
+def test_chat_nulls_ties_and_empty(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame([(None, None, None, None), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a")], schema)
+    got = {r["conv_id"]: r for r in rows_of(chat_format.digest(chat_format.prefix_examples(df)))}
+    assert got[None]["n_turns"] == 1 and got[None]["loss_chars"] == 0
+    assert got[2]["n_turns"] == 3 and got[2]["loss_sha256"] == hashlib.sha256(b"abb").hexdigest() and got[2]["n_examples"] == 3
+    assert not chat_format.digest(chat_format.prefix_examples(df.limit(0))).collect()
+
+
+def test_chat_only_the_reply_is_trainable(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "and"), (1, 3, "assistant", "end")], "conv_id long, turn long, role string, text string")
+    got = sorted(rows_of(chat_format.prefix_examples(df)), key=lambda r: r["example"])
+    assert [r["formatted"][r["loss_start"] : r["loss_end"]] for r in got] == ["yo", "end"]
+    assert got[1]["formatted"].startswith(got[0]["formatted"])
+
+
+# --- quality rules ---
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i : i + 5])].append(i)
+    covered = {p + k for places in windows.values() if len(places) > 1 for p in places for k in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(spark):
+    rng = random.Random(5)
+    texts = [None, "", " \t\n", "a", "a b c d e a b c d e", "x " * 50, "é ü #*$ \n\nq\nq\n", "a b c d e\x0bf\x1cg\n" * 4]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    for r in quality_rules.ledger(df).collect():
+        want = brute_quality(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, texts[r["doc_id"]]
+    assert not quality_rules.ledger(df.limit(0)).collect()
+
+
+def test_ablation_counts(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 3), (3, 2), (4, 2), (5, 4)], "doc_id long, fail_bits long")
+    got = {(r["policy"], r["version"], r["rule"]): r for r in quality_rules.ablation(df).collect()}
+    base = got["base", 1, "repeats"]
+    assert (base["n_docs"], base["n_fail"], base["n_fail_alone"], base["n_rejected"]) == (6, 3, 2, 4)
+    assert got["web", 1, "symbols"]["n_fail_alone"] == 1
+
+
+# --- personal data ---
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def brute_personal(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+def test_personal_data_against_brute_force(spark, sf_dir):
+    rng = random.Random(3)
+    parts = ["a.b@c.de_f@g.hi", "@", "x@y@z.org", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.02.3.255", "4111 1111-1111 1111", "4111111111111111", "+49 (30) 123-4567", "+1", "-", ".", " ", "é", "\U0001f600", "12", "\n", "+1 2", "5500005555555559", "a@b", "GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789"]
+    texts = [None, "", *parts, "1." * 3000, "a" * 5000, "a." * 3000 + "@" + "b." * 3000 + "c", "1 " * 4000]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in personal_data.find(df).collect():
+        got = [(s["kind"], s["start"], s["end"]) for k in ("email", "ip", "card", "phone") for s in r[k]]
+        assert got == brute_personal(texts[r["doc_id"]] or ""), texts[r["doc_id"]]
+        assert all(0 < s["score"] <= 1 for k in ("email", "iban", "ssn") for s in r[k])
+
+
+def test_personal_data_adds_checked_spans(spark):
+    texts = ["pay to iban GB82 WEST 1234 5698 7654 32 now", "iban GB83 WEST 1234 5698 7654 32", "her SSN is 123-45-6789", "part 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in personal_data.find(df).collect()}
+    assert [len(got[k]["iban"]) for k in range(4)] == [1, 0, 0, 0] and [len(got[k]["ssn"]) for k in range(4)] == [0, 0, 1, 0]
+    assert texts[0][got[0]["iban"][0]["start"] : got[0]["iban"][0]["end"]] == "GB82 WEST 1234 5698 7654 32"
+    shown = {r["doc_id"]: r["text"] for r in personal_data.redact(df).collect()}
+    assert shown[0] == "pay to iban █iban█ now" and shown[3] == texts[3]
+
+
+# --- mixing ---
+
+
+def test_mix_targets_and_cuts(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["b", "a", None, "é", "z"]) if i % 3 else "big", " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(40)))) for i in range(900)]
+    rows += [(5000, "empty", None), (5001, "empty", " "), (5002, "tiny", "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = rows_of(source_mix.mix(df))
+    size = collections.Counter()
+    for _, s, t in rows:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    target, left, open_ = {}, float(sum(size.values())), set(names)
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        open_ -= over
+    taken = collections.Counter()
+    for r in got:
+        assert r["taken"] <= 3 * r["size"] and r["source_size"] == size[r["source"]]
+        assert r["target"] == pytest.approx(target[r["source"]])
+        taken[r["source"]] += r["taken"]
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 1
+    again = {r["doc_id"]: r["taken"] for r in source_mix.mix(df.repartition(3)).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in got}
+
+
+def test_mix_materializes_whole_and_cut_rows(spark):
+    rows = [(i, "abc"[i % 3], " ".join(f"w{k}" for k in range(i % 7)), "en") for i in range(200)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
+    mixed = source_mix.mix(df)
+    out = source_mix.materialize(df, mixed)
+    assert out.columns == df.columns
+    words = collections.Counter()
+    for r in out.collect():
+        words[r["doc_id"]] += len((r["text"] or "").split())
+    assert {r["doc_id"]: r["taken"] for r in mixed.collect() if r["taken"]} == {k: v for k, v in words.items() if v}
+    assert not source_mix.mix(df.limit(0)).collect()
+
+
+# --- WARC ---
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rng = random.Random(2)
+    big = "".join(rng.choice("abé\r\n") for _ in range(90_000))
+    pages = [(1, "http://a/ü\nx", "<p>"), (2, None, None), (3, "", ""), (4, "u", "<p>"), (5, "v", big), (6, "w", big), (7, "x", "0\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>"), (9, "y", "é" * 40_000), (9, "y", "é" * 40_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    warc.write(df, str(tmp_path / "w"))
+    got = sorted(rows_of(warc.read(spark, str(tmp_path / "w"))), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
+    assert [r["page_id"] for r in got] == [1, 2, 3, 4, 5, 6, 7, 9, 9, None]
+    html = {p: (h or "") for p, _, h in pages}
+    for r in got:
+        raw = html[r["page_id"]].encode()
+        assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert r["record_type"] == "revisit" or bytes(r["payload"]) == raw
+    assert {r["page_id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {3: 2, 4: 1, 6: 5, None: 1}
+
+
+def test_warc_missing_segment_is_told(spark, tmp_path):
+    df = spark.createDataFrame([(5, "v", "x" * 90_000)], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "w")).select("content")
+    raw = files.mapInArrow(warc._parsed, warc.RAW)
+    with pytest.raises(Exception, match="segments missing"):
+        warc.reassemble(raw.where("segment != 2")).collect()
+
+
+# --- licences ---
+
+
+def brute_phrases(text):
+    words = ALNUM.findall((text or "").translate(FOLD))
+    found = []
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        found += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+    return len(words), sorted(found)
+
+
+def test_license_base_and_edits(spark, sf_dir):
+    texts = [None, "", "Under THE\nMIT-license!", "under the mitt license", "cc by nc cc by-nc", "x" * 10000]
+    texts += ["Permision is hereby granted, free of charge, to any persom obtaining a copy", "the mit license", "All rights reserved."]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for i, text in enumerate(texts):
+        n, found = brute_phrases(text)
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (n, len(found))
+        assert (r["first_word"], r["last_word"]) == ((found[0][0], found[-1][0]) if found else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in found})) and 0 <= r["score"] <= 1
+    assert got[6]["labels"] == "mit" and got[6]["base_labels"] == "" and got[6]["score"] < 1
+    assert got[7]["labels"] == "" and got[8]["labels"] == "all-rights-reserved"
+
+
+def test_fuzzy_search_finds_what_a_full_search_finds():
+    rng = random.Random(8)
+    notice = license_scan.compile_notice("under the terms of the gnu general public license", "gpl")
+    for _ in range(150):
+        s = list("so under the terms of the gnu general public license yes")
+        for _ in range(rng.randrange(7)):
+            p = rng.randrange(len(s))
+            s[p : p + rng.randrange(2)] = rng.choice(["", "x", "q"])
+        text = "".join(s).encode()
+        assert bool(license_scan.fuzzy_spans(text, notice)) == bool(notice.pattern.search(text))
+
+
+# --- token blocks ---
+
+
+def reference_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_blocks.default_tokenizer())
+    t.encode_special_tokens = True
+    return [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+
+
+def test_token_blocks_round_trip(spark, sf_dir, tmp_path):
+    texts = [None, "", " ", "a  b", "a\n\nb", "\n\na \n b", " x", "x ", " b 　c", "<|endoftext|> #", "don't  \t\tstop", "a   \n   b", "é x \x85y", "퟿\U0001f600 z"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame([(7 * k % 1009, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+    token_blocks.write(df, str(tmp_path / "t"), block_tokens=5000)
+    got = {r["doc_id"]: r for r in token_blocks.read(spark, str(tmp_path / "t")).collect()}
+    order = sorted(range(len(texts)), key=lambda k: 7 * k % 1009)
+    start = 0
+    for k, ids in zip(order, reference_ids([texts[k] for k in order])):
+        r = got[7 * k % 1009]
+        assert (r["start"], r["n_tokens"]) == (start, len(ids)), texts[k]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+def test_token_blocks_empty_and_repeated(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
+    token_blocks.write(df.limit(0), str(tmp_path / "e"))
+    assert not token_blocks.read(spark, str(tmp_path / "e")).collect()
+    token_blocks.write(df, str(tmp_path / "r"))
+    got = sorted(token_blocks.read(spark, str(tmp_path / "r")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, 1, 1] and [r["start"] for r in got] == [0, 2, 5]
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 5000, 70_001])
+def test_rans_block(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), 50_000).astype(np.uint16)
+    tokens, counts = np.unique(ids, return_counts=True) if n else (np.array([3]), np.array([1]))
+    table = token_blocks.Table(token_blocks.scale_counts(tokens.astype(np.int64), counts))
+    data = token_blocks.encode_block(ids, table)
+    assert (token_blocks.decode_block(data, table) == ids).all()
+    marks = token_blocks.HEAD.unpack_from(data)[2]
+    parts = [token_blocks.decode_from(data, table, k, k + 1 if k + 1 < marks else None) for k in range(marks)]
+    assert n == 0 or (np.concatenate(parts) == ids).all()
+    if n >= 64:
+        with pytest.raises(ValueError):
+            token_blocks.decode_block(data[:-5] + bytes([data[-5] ^ 1]) + data[-4:], table)
