@@ -211,7 +211,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without an overlap, with their own columns; those without doc_id stay."""
     bad = overlaps(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["bad_id"], "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -127,6 +127,12 @@ def fails(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
 
+def keep(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
+    """The rows of ``docs`` that a policy does not reject, with their own columns."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), "text")
+    return ledger(rows).where(~fails(policy)).select("doc_id.*")
+
+
 def ablation(entries: DataFrame, policies=POLICIES) -> DataFrame:
     """Per policy and rule: documents the rule fails, and those it alone rejects.
 

@@ -12,6 +12,7 @@ MODULES = (
     "warc",
     "decontaminate",
     "license_scan",
+    "ngram_join",
     "substring_dedup",
     "token_blocks",
 )

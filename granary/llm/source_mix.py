@@ -123,8 +123,9 @@ def first_words(text: Column, n: Column) -> Column:
 def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of a mix with their own columns: a row per epoch, and a cut row where only a part is taken."""
     plan = mixed.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "epochs", "part").dropDuplicates(["mix_id", "mix_source"])
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")))
+    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")))
     times = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    # Whole rows are repeated and at most one is cut; documents not taken go.
     rows = joined.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<bigint>"))))
     cut = F.col("mix_epoch") > F.col("epochs")
     text = F.when(cut, first_words(F.col("text"), F.col("part").cast("int"))).otherwise(F.col("text"))
