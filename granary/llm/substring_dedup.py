@@ -3,10 +3,10 @@
 A suffix starts at every word. Of the tree of all suffixes only the nodes at
 depth DEPTH (words) with two leaves or more matter: they are the repeats. The
 suffixes are split by prefix into groups that fit a task's memory. A prefix is
-PREFIX words long, and DEPTH words for prefixes with more than ``group_rows``
-suffixes; a group's suffixes are sorted by the rest of their path, so that
-equal neighbours form the group's deep nodes. Labels of paths are 64-bit
-hashes of their words.
+PREFIX words long, and DEPTH words for those in a slot with more than
+``group_rows`` suffixes; a group's suffixes are sorted by path, so that equal
+neighbours form its deep nodes. Labels of paths are 64-bit hashes of their
+words.
 
 Most suffixes are unique, and must not travel. A window of DEPTH words is told
 by its anchor: the ANCHOR-word run in it with the smallest hash. Equal windows
@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import U64, bucket_count, hash_words, mix, pack, packed_schema, shuffle_parts, slices, stage, unpack, window_hashes
@@ -38,6 +38,9 @@ from granary.llm.common import U64, bucket_count, hash_words, mix, pack, packed_
 DEPTH = 20
 PREFIX = 8
 ANCHOR = 8
+#: Prefixes are dealt to so many slots (a power of two); a slot is a group, with short paths up to so many suffixes.
+SLOT_BITS = 18
+GROUP_ROWS = 1 << 22
 
 
 def _key(words: np.ndarray) -> tuple[int, int]:
@@ -145,52 +148,104 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return shared.repartition(shuffle_parts(spark), "bucket").mapInArrow(by_text, "key_a long, places array<int>")
 
 
-def suffixes(chosen: DataFrame) -> DataFrame:
-    """prefix, rest, oid, key_a, word: the suffixes whose window has a repeated anchor."""
+def _tie(key: np.ndarray) -> np.ndarray:
+    """Tells apart texts with equal doc_ids: the low 16 bits of their key."""
+    return (key & 0xFFFF).astype(np.uint16).view(np.int16)
+
+
+def _suffixes(batch: pa.RecordBatch):
+    """The suffixes whose window has a repeated anchor: slot of the prefix, path, oid, tie, word."""
+    for at, to, texts in slices(batch, "text", 2 << 20):
+        ids = batch.column("oid").slice(at, to - at).to_numpy()
+        ties = _tie(batch.column("key_a").slice(at, to - at).to_numpy())
+        places = batch.column("places").slice(at, to - at)
+        words, first = hash_words(texts)
+        best, _ = _anchors(words)
+        marked = np.zeros(len(words) + 1, bool)
+        for d in range(len(texts)):
+            marked[first[d] + np.asarray(places[d].values, np.int64)] = True
+        starts = _windows_within(first)
+        starts = starts[marked[best[starts]]] if len(starts) else starts
+        if len(starts):
+            slot = window_hashes(words, PREFIX)[starts] >> U64(64 - SLOT_BITS)
+            path = window_hashes(words, DEPTH)[starts]
+            doc = np.searchsorted(first, starts, side="right") - 1
+            yield slot.astype(np.int64), {"path": path, "oid": ids[doc], "tie": ties[doc], "word": (starts - first[doc]).astype(np.int32)}
+
+
+LEAF = {"path": np.uint64, "oid": np.int64, "tie": np.int16, "word": np.int32}
+
+
+def long_slots(chosen: DataFrame, group_rows: int) -> np.ndarray:
+    """Which prefix slots hold too many suffixes for a group; the driver sees a number per slot, of a fixed number of slots."""
 
     def run(batches):
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            for at, to, texts in slices(batch, "text", 2 << 20):
-                ids = batch.column("oid").slice(at, to - at)
-                own = batch.column("key_a").slice(at, to - at)
-                places = batch.column("places").slice(at, to - at)
-                words, first = hash_words(texts)
-                best, _ = _anchors(words)
-                marked = np.zeros(len(words) + 1, bool)
-                for d in range(len(texts)):
-                    marked[first[d] + np.asarray(places[d].values, np.int64)] = True
-                starts = _windows_within(first)
-                starts = starts[marked[best[starts]]] if len(starts) else starts
-                if not len(starts):
-                    continue
-                prefix = window_hashes(words, PREFIX)[starts]
-                rest = window_hashes(words[PREFIX:], DEPTH - PREFIX)[starts]
-                doc = np.searchsorted(first, starts, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(prefix.view(np.int64)), pa.array(rest.view(np.int64)), ids.take(pa.array(doc)), own.take(pa.array(doc)), pa.array((starts - first[doc]).astype(np.int32))],
-                    ["prefix", "rest", "oid", "key_a", "word"],
-                )
+            for slot, _ in _suffixes(batch):
+                total += np.bincount(slot, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    return chosen.mapInArrow(run, "prefix long, rest long, oid long, key_a long, word int")
+    sizes = chosen.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << SLOT_BITS, bool)
+    out[[r["slot"] for r in sizes.where(F.col("n") > group_rows).select("slot").collect()]] = True
+    return out
 
 
-def later_leaves(found: DataFrame, group_rows: int) -> DataFrame:
-    """oid, key_a, word: the suffixes that are not their node's first leaf."""
-    sizes = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    long = sizes.where(F.col("n") > group_rows).select("prefix", F.lit(True).alias("long"))
-    marked = found.join(long, "prefix", "left")
+def later_leaves(chosen: DataFrame, group_rows: int) -> DataFrame:
+    """oid, tie, starts: per text the suffixes that are not their node's first leaf."""
+    spark = chosen.sparkSession
+    buckets, parts = bucket_count(spark), shuffle_parts(spark)
+    long = long_slots(chosen, group_rows)
+
+    def send(batches):
+        for batch in batches:
+            for slot, rows in _suffixes(batch):
+                here = ~long[slot]
+                if here.any():
+                    yield pack(slot[here] % buckets, {n: v[here] for n, v in rows.items()})
+
+    def subtrees(batches):
+        got = unpack(batches, LEAF)
+        order = np.lexsort((got["word"], got["tie"], got["oid"], got["path"]))
+        path = got["path"][order]
+        later = order[1:][path[1:] == path[:-1]] if len(path) else order
+        if len(later):
+            oid = got["oid"][later]
+            yield pack((mix(oid.view(U64)) % U64(buckets)).astype(np.int64), {"oid": oid, "tie": got["tie"][later], "word": got["word"][later]})
 
-    # Short prefixes: a group's suffixes in order; a leaf after one with the same path is a later one.
-    inside = Window.partitionBy("prefix").orderBy("rest", "oid", "key_a", "word")
-    near = marked.where(F.col("long").isNull()).withColumn("after", F.lag("rest").over(inside) == F.col("rest"))
-    short = near.where("after").select("oid", "key_a", "word")
+    def by_text(batches):
+        got = unpack(batches, {n: LEAF[n] for n in ("oid", "tie", "word")})
+        order = np.lexsort((got["word"], got["tie"], got["oid"]))
+        oid, tie, word = (got[n][order] for n in ("oid", "tie", "word"))
+        cuts = np.flatnonzero(np.concatenate([[True], (oid[1:] != oid[:-1]) | (tie[1:] != tie[:-1])])) if len(oid) else np.empty(0, int)
+        for k in range(0, len(cuts), 4096):
+            part = cuts[k : k + 4096]
+            ends = [*cuts[k + 1 : k + 4097], len(oid)][: len(part)]
+            starts = pa.array([word[a:b] for a, b in zip(part, ends)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(oid[part]), pa.array(tie[part]), starts], ["oid", "tie", "starts"])
+
+    near = chosen.mapInArrow(send, packed_schema(*LEAF)).repartition(parts, "bucket").mapInArrow(subtrees, packed_schema("oid", "tie", "word"))
+    near = near.repartition(parts, "bucket").mapInArrow(by_text, "oid long, tie short, starts array<int>")
+    if not long.any():
+        return near
+
+    # Prefixes of the whole path: nodes may have leaves in many tasks, so their first leaf is
+    # found by partial aggregation and the others by a join that Spark can split.
+    def rows(batches):
+        for batch in batches:
+            for slot, cols in _suffixes(batch):
+                here = long[slot]
+                if here.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(v[here].view(np.int64) if n == "path" else v[here]) for n, v in cols.items()], list(cols))
 
-    # Others: the prefix is as long as the path, and a node's leaves may fill many tasks.
-    deep = marked.where(F.col("long").isNotNull())
-    leaf = F.struct("oid", "key_a", "word")
-    nodes = deep.groupBy("prefix", "rest").agg(F.min(leaf).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    far = deep.join(nodes, ["prefix", "rest"]).where(leaf != F.col("first")).select("oid", "key_a", "word")
-    return short.unionByName(far)
+    deep = stage(chosen.mapInArrow(rows, "path long, oid long, tie short, word int"), "suffixes")
+    leaf = F.struct("oid", "tie", "word")
+    nodes = deep.groupBy("path").agg(F.min(leaf).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("path", "first")
+    far = deep.join(nodes, "path").where(leaf != F.col("first")).groupBy("oid", "tie").agg(F.collect_list("word").alias("starts"))
+    both = near.unionByName(far)
+    return both.groupBy("oid", "tie").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _remove(batches):
@@ -213,7 +268,7 @@ def _remove(batches):
         )
 
 
-def dedup(docs: DataFrame, group_rows: int = 1 << 14) -> DataFrame:
+def dedup(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept: ``kept`` is the text that stays, null where all of it does."""
     last = F.lit((1 << 63) - 1)
     docs = docs.select("doc_id", "text")
@@ -225,9 +280,9 @@ def dedup(docs: DataFrame, group_rows: int = 1 << 14) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", last).alias("oid"), "text")
     chosen = _matching(texts.join(wanted.hint("shuffle_hash"), "oid"))
     chosen = stage(chosen, "chosen")
-    found = stage(suffixes(chosen), "suffixes")
-    starts = later_leaves(found, group_rows).groupBy("oid", "key_a").agg(F.collect_set("word").alias("starts"))
-    cut = chosen.select("oid", "key_a", "text").join(starts.hint("shuffle_hash"), ["oid", "key_a"])
+    tie = F.col("key_a").bitwiseAND(F.lit(0xFFFF).cast("long"))
+    tie = F.when(tie > 32767, tie - 65536).otherwise(tie).cast("short")
+    cut = chosen.select("oid", "key_a", "text", tie.alias("tie")).join(later_leaves(chosen, group_rows).hint("shuffle_hash"), ["oid", "tie"])
     done = cut.mapInArrow(_remove, "oid long, key_a long, n_removed long, kept string")
     done = done.dropDuplicates(["oid", "key_a"]).withColumnRenamed("n_removed", "cut_words")
 
