@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.numeric import half_even, ratio
 
@@ -379,23 +380,23 @@ def line_iou(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, step: float =
     return 2 * x * y / (x + y) if x + y else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shape_iou(kind_a: pd.Series, a: pd.Series, kind_b: pd.Series, b: pd.Series) -> pd.Series:
     """Raster IoU per row, in Arrow batches; 0 where an array is missing."""
     rows = zip(kind_a, a, kind_b, b)
     return pd.Series([0.0 if x is None or y is None else raster_iou(k, np.asarray(x, float), m, np.asarray(y, float)) for k, x, m, y in rows])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def clipped(points: pd.Series, box: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else clip_to_box(np.asarray(p, float).reshape(-1, 2), tuple(b)).ravel().tolist() for p, b in zip(points, box)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def rectangle_around(points: pd.Series) -> pd.Series:
     return points.map(lambda p: None if p is None or not len(p) else min_area_rectangle(np.asarray(p, float).reshape(-1, 2)).ravel().tolist())
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hull(points: pd.Series) -> pd.Series:
     return points.map(lambda p: None if p is None else hull_points(np.asarray(p, float).reshape(-1, 2)).ravel().tolist())

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The keys of a summary document.
 STATS, NOTES, GROUPS, CATEGORY = "统计", "备注", "分组统计", "类别"
@@ -32,7 +33,7 @@ def object_in(text: Column) -> Column:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_duplicate_keys(text: pd.Series) -> pd.Series:
     """A key twice in one object at any depth; null if the text is no JSON. Spark's parser keeps the last silently."""
 
@@ -52,7 +53,7 @@ def has_duplicate_keys(text: pd.Series) -> pd.Series:
     return text.map(check)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stable_json(text: pd.Series) -> pd.Series:
     """The summary on one line, its own keys first, separators ', ' and ': '."""
     first = {k: i for i, k in enumerate((STATS, NOTES, GROUPS))}
@@ -69,7 +70,7 @@ def stable_json(text: pd.Series) -> pd.Series:
     return text.map(show)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Objects' keys and lists' items sorted at every depth, for equality regardless of order."""
 
@@ -118,7 +119,12 @@ def category_names(doc: Column) -> Column:
 
 def attribute_paths(doc: Column) -> Column:
     """Distinct 'category/attribute' of a document."""
-    return F.array_distinct(F.transform(facts(doc), lambda f: F.concat_ws("/", f["f1"], f["f2"])))
+    return paths_of(facts(doc))
+
+
+def paths_of(found: Column) -> Column:
+    """Distinct 'category/attribute' of facts."""
+    return F.array_distinct(F.transform(found, lambda f: F.concat_ws("/", f["f1"], f["f2"])))
 
 
 def entry_of(doc: Column, category: str) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Blank characters as Unicode counts them, for regular expressions.
 BLANKS = r"(?U)[\s\x{3000}]+"
@@ -121,7 +122,7 @@ def full_width_escapes(text: Column) -> Column:
     return F.translate(text, ",|=", "，｜＝")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -59,7 +59,7 @@ def nested_counts(rows: DataFrame, category: str, key: str, value: str) -> DataF
 def value_counts(rows: DataFrame, column: str, separator: str | None = None) -> DataFrame:
     """How often each value occurs, or each part of it between separators; blanks are left out."""
     values = F.explode(F.split(column, separator)) if separator else F.col(column)
-    parts = rows.select(F.trim(values).alias("value")).where("value <> ''")
+    parts = rows.select(values.alias("raw")).select(F.trim("raw").alias("value")).where("value <> ''")
     return parts.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 

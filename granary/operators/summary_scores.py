@@ -1,18 +1,39 @@
 """Scores of a generated summary against its reference, one double per row.
 
-Each score is a function from Columns to a Column; SCORES lists them by name.
-``pred`` and ``ref`` are texts, ``domain`` the expected domain token.
+Each score is a function from two parsed texts and the expected domain to a
+Column; SCORES lists them by name. ``prepare`` parses both texts once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import jsonx, text
 from granary.functions.numeric import f_beta, ratio, tversky
 
 
+class Parsed:
+    """Columns that ``prepare`` adds for one of the texts."""
+
+    def __init__(self, side: str, text: str):
+        self.side, self.text = side, F.col(text)
+
+    def __getattr__(self, part: str) -> Column:
+        return F.col(f"_{self.side}_{part}")
+
+
+def prepare(rows: DataFrame, pred: str, ref: str) -> DataFrame:
+    """Per text its JSON object, document, facts, categories and category/attribute paths."""
+    for side, name in (("pred", pred), ("ref", ref)):
+        doc, facts = F.col(f"_{side}_doc"), F.col(f"_{side}_facts")
+        rows = rows.withColumn(f"_{side}_object", jsonx.object_in(F.col(name)))
+        rows = rows.withColumn(f"_{side}_doc", F.from_json(f"_{side}_object", jsonx.DOCUMENT))
+        rows = rows.withColumn(f"_{side}_facts", jsonx.facts(doc))
+        rows = rows.withColumns({f"_{side}_categories": jsonx.category_names(doc), f"_{side}_paths": jsonx.paths_of(facts)})
+    return rows
+
+
 def _flag(ok: Column, good=1.0, bad=0.0) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), good).otherwise(bad)
 
@@ -32,98 +53,98 @@ def total(facts: Column) -> Column:
     return F.aggregate(facts, F.lit(0), lambda s, f: s + f["n"])
 
 
-def header(pred: Column, ref: Column, domain: Column) -> Column:
+def header(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """The first line is a header with a domain and task."""
-    return _flag(text.header_of(pred).isNotNull())
+    return _flag(text.header_of(pred.text).isNotNull())
 
 
-def strict(pred: Column, ref: Column, domain: Column) -> Column:
+def strict(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """Two lines, header and object; -1 for any other number of lines."""
-    two = F.size(text.lines(pred)) == 2
-    return F.when(F.coalesce(two, F.lit(False)), _flag(jsonx.is_object(F.get(text.lines(pred), F.lit(1))))).otherwise(-1.0)
+    two = F.size(text.lines(pred.text)) == 2
+    return F.when(F.coalesce(two, F.lit(False)), _flag(jsonx.is_object(F.get(text.lines(pred.text), F.lit(1))))).otherwise(-1.0)
 
 
-def layout(pred: Column, ref: Column, domain: Column) -> Column:
+def layout(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """The reference is irrelevant and so is the text; or it has two lines and no list marks."""
-    both = (F.trim(pred) == jsonx.IRRELEVANT) & (F.trim(ref) == jsonx.IRRELEVANT)
-    return _flag(both | ((F.size(text.lines(pred)) == 2) & ~pred.rlike(r"(?m)^\s*[-*#]")))
+    both = (F.trim(pred.text) == jsonx.IRRELEVANT) & (F.trim(ref.text) == jsonx.IRRELEVANT)
+    return _flag(both | ((F.size(text.lines(pred.text)) == 2) & ~pred.text.rlike(r"(?m)^\s*[-*#]")))
 
 
-def parses(pred: Column, ref: Column, domain: Column) -> Column:
-    return _flag(jsonx.object_in(pred).isNotNull())
+def parses(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    return _flag(pred.object.isNotNull())
 
 
-def dataset(pred: Column, ref: Column, domain: Column) -> Column:
+def dataset(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """The header names the domain, and there are two lines."""
-    return _flag((text.header_of(pred)["domain"] == domain) & (F.size(text.lines(pred)) == 2))
+    return _flag((text.header_of(pred.text)["domain"] == domain) & (F.size(text.lines(pred.text)) == 2))
 
 
-def no_duplicate_keys(pred: Column, ref: Column, domain: Column) -> Column:
-    return F.when(F.coalesce(jsonx.has_duplicate_keys(jsonx.object_in(pred)), F.lit(False)), -1.0).otherwise(0.0)
+def no_duplicate_keys(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    return F.when(F.coalesce(jsonx.has_duplicate_keys(pred.object), F.lit(False)), -1.0).otherwise(0.0)
 
 
-def content_equal(pred: Column, ref: Column, domain: Column) -> Column:
-    return _flag(jsonx.canonical_json(jsonx.object_in(pred)) == jsonx.canonical_json(jsonx.object_in(ref)))
+def content_equal(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    return _flag(jsonx.canonical_json(pred.object) == jsonx.canonical_json(ref.object))
 
 
-def category_recall(pred: Column, ref: Column, domain: Column) -> Column:
-    return _share(jsonx.category_names(jsonx.document(pred)), jsonx.category_names(jsonx.document(ref)))
+def category_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    return _share(pred.categories, ref.categories)
 
 
-def category_f1(pred: Column, ref: Column, domain: Column) -> Column:
-    a, b = jsonx.category_names(jsonx.document(pred)), jsonx.category_names(jsonx.document(ref))
+def category_f1(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    a, b = pred.categories, ref.categories
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(f_beta(_share(b, a, 0.0), _share(a, b, 0.0)))
 
 
-def attribute_path_recall(pred: Column, ref: Column, domain: Column) -> Column:
+def attribute_path_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """Share of the reference's category/attribute paths, of categories that both have."""
-    both = F.array_intersect(jsonx.category_names(jsonx.document(pred)), jsonx.category_names(jsonx.document(ref)))
-    wanted = F.filter(jsonx.attribute_paths(jsonx.document(ref)), lambda p: F.array_contains(both, F.substring_index(p, "/", 1)))
-    return _share(jsonx.attribute_paths(jsonx.document(pred)), wanted, 0.0)
+    both = F.array_intersect(pred.categories, ref.categories)
+    wanted = F.filter(ref.paths, lambda p: F.array_contains(both, F.substring_index(p, "/", 1)))
+    return _share(pred.paths, wanted, 0.0)
 
 
-def content_tversky(pred: Column, ref: Column, domain: Column) -> Column:
+def content_tversky(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """Facts of both, spurious ones at weight 0.3, missing ones at 1."""
-    a, b = jsonx.facts(jsonx.document(pred)), jsonx.facts(jsonx.document(ref))
+    a, b = pred.facts, ref.facts
     hit = overlap(a, b)
     return F.when(total(a) + total(b) == 0, 1.0).otherwise(tversky(hit, total(a) - hit, total(b) - hit, 0.3, 1.0))
 
 
-def content_f1(pred: Column, ref: Column, domain: Column) -> Column:
-    a, b = jsonx.facts(jsonx.document(pred)), jsonx.facts(jsonx.document(ref))
+def content_f1(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    a, b = pred.facts, ref.facts
     hit = overlap(a, b)
     return F.when(total(a) + total(b) == 0, 1.0).otherwise(ratio(2 * hit, total(a) + total(b)))
 
 
-def _texts(doc: Column) -> Column:
-    found = F.filter(jsonx.facts(doc), lambda f: f["f2"] == text.TEXT)
+def _texts(of: Parsed) -> Column:
+    found = F.filter(of.facts, lambda f: f["f2"] == text.TEXT)
     return F.array_distinct(F.transform(found, lambda f: text.ocr_normal(f["f3"])))
 
 
-def text_recall(pred: Column, ref: Column, domain: Column) -> Column:
+def text_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """Share of the reference's label texts, less 0.1 for each spurious one beyond two (0 without a reference)."""
-    a, b = _texts(jsonx.document(pred)), _texts(jsonx.document(ref))
+    a, b = _texts(pred), _texts(ref)
     extra = F.greatest(F.lit(0), F.size(F.array_except(a, b)) - 2)
     return F.greatest(F.lit(-1.0), _share(a, b, 0.0) - 0.1 * extra)
 
 
-def _notes(doc: Column) -> Column:
-    return F.array_distinct(F.transform(F.coalesce(doc[jsonx.NOTES], F.array().cast("array<string>")), text.strip_all_blanks))
+def _notes(of: Parsed) -> Column:
+    return F.array_distinct(F.transform(F.coalesce(of.doc[jsonx.NOTES], F.array().cast("array<string>")), text.strip_all_blanks))
 
 
-def notes(pred: Column, ref: Column, domain: Column) -> Column:
+def notes(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """-1 for notes where the reference has none, else the share of its notes (1 if neither has any)."""
-    a, b = _notes(jsonx.document(pred)), _notes(jsonx.document(ref))
+    a, b = _notes(pred), _notes(ref)
     return F.when((F.size(b) == 0) & (F.size(a) > 0), -1.0).otherwise(_share(a, b))
 
 
-def notes_presence(pred: Column, ref: Column, domain: Column) -> Column:
-    return _flag((F.size(_notes(jsonx.document(pred))) > 0) == (F.size(_notes(jsonx.document(ref))) > 0))
+def notes_presence(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    return _flag((F.size(_notes(pred)) > 0) == (F.size(_notes(ref)) > 0))
 
 
-def groups_presence(pred: Column, ref: Column, domain: Column) -> Column:
+def groups_presence(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """The text has group counts where the reference has some."""
-    has = lambda t: F.size(F.coalesce(F.map_keys(jsonx.document(t)[jsonx.GROUPS]), F.array().cast("array<string>"))) > 0
+    has = lambda t: F.size(F.coalesce(F.map_keys(t.doc[jsonx.GROUPS]), F.array().cast("array<string>"))) > 0
     return F.when(has(ref), _flag(has(pred))).otherwise(_flag(~has(pred)))
 
 
@@ -148,6 +169,9 @@ SCORES = {
 }
 
 
-def score(rows, names=None, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain"):
+def score(rows: DataFrame, names=None, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain") -> DataFrame:
     """The rows with a column per score."""
-    return rows.withColumns({n: SCORES[n](F.col(pred), F.col(ref), F.col(domain)) for n in names or SCORES})
+    columns = rows.columns
+    ready = prepare(rows, pred, ref)
+    a, b = Parsed("pred", pred), Parsed("ref", ref)
+    return ready.select(*columns, *[SCORES[n](a, b, F.col(domain)).alias(n) for n in names or SCORES])

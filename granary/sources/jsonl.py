@@ -4,31 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
-OBJECT = "bbox_2d array<double>, poly array<double>, line array<double>, poly_points int, line_points int, desc string"
 #: Annotation records and ticket rows as they lie in JSON lines.
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField("images", T.ArrayType(T.StringType())),
-        T.StructField("width", T.IntegerType()),
-        T.StructField("height", T.IntegerType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("objects", T.ArrayType(T._parse_datatype_string(OBJECT))),
-    ]
-)
-TICKET_SCHEMA = T._parse_datatype_string("group_id string, mission string, label string, images array<string>, per_image map<string,string>, label_timestamp string, gt_fail_reason_text string")
-
-
-def read(spark: SparkSession, paths, schema: T.StructType, mode: str = "lenient") -> DataFrame:
+OBJECT = "bbox_2d:array<double>,poly:array<double>,line:array<double>,poly_points:int,line_points:int,desc:string"
+RECORD_SCHEMA = f"images array<string>, width int, height int, summary string, objects array<struct<{OBJECT}>>"
+TICKET_SCHEMA = "group_id string, mission string, label string, images array<string>, per_image map<string,string>, label_timestamp string, gt_fail_reason_text string"
+
+
+def read(spark: SparkSession, paths, schema: str, mode: str = "lenient") -> DataFrame:
     """JSON lines. lenient: bad lines are left out; strict: they fail the query; quarantine: they come in CORRUPT."""
     reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
     if mode == "strict":
         return reader.option("mode", "FAILFAST").schema(schema).json(paths)
     if mode == "lenient":
         return reader.option("mode", "DROPMALFORMED").schema(schema).json(paths)
-    return reader.option("mode", "PERMISSIVE").schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).json(paths)
+    return reader.option("mode", "PERMISSIVE").schema(f"{schema}, {CORRUPT} string").json(paths)
 
 
 def with_image_paths(rows: DataFrame, column: str = "images") -> DataFrame:
