@@ -20,7 +20,7 @@ def is_object(text: Column) -> Column:
 
 
 def object_in(text: Column) -> Column:
-    """The JSON object a text holds: all of it, else its last line that is one, else its widest braces, else a repaired 'key=[…]'."""
+    """The JSON object a text holds: all of it, else its last line that is one, else a repaired 'key=[…]', else its widest braces."""
     rows = F.filter(F.split(text, "\n"), lambda x: F.startswith(F.trim(x), F.lit("{")) & is_object(F.trim(x)))
     wide = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     repaired = F.regexp_replace(F.regexp_extract(text, rf"(?s)(({STATS}|{NOTES})\s*[=:]\s*\[.*\])", 1), rf"^({STATS}|{NOTES})\s*[=:]\s*", '{"$1": ')
@@ -28,8 +28,8 @@ def object_in(text: Column) -> Column:
     return F.coalesce(
         F.when(is_object(F.trim(text)), F.trim(text)),
         F.when(F.size(rows) > 0, F.trim(F.element_at(rows, -1))),
-        F.when(is_object(wide), wide),
         F.when(is_object(repaired), repaired),
+        F.when(is_object(wide), wide),
     )
 
 

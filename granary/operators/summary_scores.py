@@ -103,6 +103,42 @@ def attribute_path_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     return _share(pred.paths, wanted, 0.0)
 
 
+def attribute_key_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+    """Mean over shared categories of the share of the reference's attribute keys."""
+    both = F.array_intersect(pred.categories, ref.categories)
+    of = lambda side, c: F.filter(side.paths, lambda p: F.substring_index(p, "/", 1) == c)
+    shares = F.transform(both, lambda c: _share(of(pred, c), of(ref, c)))
+    return ratio(F.aggregate(shares, F.lit(0.0), lambda s, v: s + v), F.size(ref.categories), 1.0)
+
+
+#: Penalties of the schema score: categories missing, attributes missing, attributes not allowed, categories not known.
+PENALTIES = (0.60, 0.35, 0.25, 0.30)
+
+
+def attributes_of(side: Parsed, category: str) -> Column:
+    inside = F.filter(side.paths, lambda p: F.substring_index(p, "/", 1) == category)
+    return F.transform(inside, lambda p: F.substring_index(p, "/", -1))
+
+
+def schema_tree(schema: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]):
+    """A score against a schema: category to (required, allowed) attributes. Starts at 1, clamped to -1 … 1."""
+
+    def score_one(pred: Parsed, ref: Parsed, domain: Column) -> Column:
+        cost = F.lit(0.0)
+        known = F.array(*[F.lit(c) for c in schema])
+        for category, (required, allowed) in schema.items():
+            own = attributes_of(pred, category)
+            need = F.array(*[F.lit(a) for a in required]) if required else F.array().cast("array<string>")
+            may = F.array(*[F.lit(a) for a in (*required, *allowed)]) if required or allowed else F.array().cast("array<string>")
+            present = F.array_contains(pred.categories, category)
+            cost += F.when(present, PENALTIES[1] * F.size(F.array_except(need, own)) + PENALTIES[2] * F.size(F.array_except(own, may))).otherwise(0.0)
+        cost += PENALTIES[3] * F.size(F.array_except(pred.categories, known))
+        cost += F.when(F.size(pred.categories) == 0, PENALTIES[0]).otherwise(0.0)
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - cost))
+
+    return score_one
+
+
 def content_tversky(pred: Parsed, ref: Parsed, domain: Column) -> Column:
     """Facts of both, spurious ones at weight 0.3, missing ones at 1."""
     a, b = pred.facts, ref.facts
@@ -158,6 +194,7 @@ SCORES = {
     "dataset": dataset,
     "no_dup_keys": no_duplicate_keys,
     "category_recall": category_recall,
+    "attr_key_recall": attribute_key_recall,
     "attr_path_recall": attribute_path_recall,
     "content_tversky": content_tversky,
     "content_f1": content_f1,
