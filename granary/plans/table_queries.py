@@ -285,10 +285,13 @@ def sample_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sampling.sample_id(F.col("source"), F.col("doc_id")).alias("sample_id"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id < 4 * 29 THEN doc_id // 29 ELSE 4 + (doc_id - 4 * 29) // 28 END AS shard, doc_id % 7 AS strided FROM documents WHERE doc_id < 200")
+@query(
+    "WITH n AS (SELECT count(*) AS n, count(*) // 7 AS size, count(*) % 7 AS more FROM documents) "
+    "SELECT doc_id, CASE WHEN doc_id < more * (size + 1) THEN doc_id // (size + 1) ELSE more + (doc_id - more * (size + 1)) // size END AS shard, doc_id % 7 AS strided FROM documents, n"
+)
 def shards(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200")
-    return docs.select("doc_id", sampling.shard(F.col("doc_id"), 200, 7).alias("shard"), (F.col("doc_id") % 7).alias("strided"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", sampling.shard(F.col("doc_id"), docs.count(), 7).alias("shard"), (F.col("doc_id") % 7).alias("strided"))
 
 
 # --- validation ---

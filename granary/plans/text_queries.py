@@ -43,11 +43,9 @@ def text_sanitize(spark, sf_dir):
     return docs.select("doc_id", F.char_length(text.strip_all_blanks(F.col("text"))).alias("n_bare"), text.shorten(F.col("text"), 40).alias("short"))
 
 
-@query(
-    r"""WITH s AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS sig FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')), k AS (SELECT sig, min(doc_id) AS doc_id, count(*) AS n FROM s GROUP BY 1) SELECT doc_id, n FROM k"""
-)
+@query(r"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY regexp_replace(lower(text), '[\p{P}\p{S}\s]+', '', 'g')")
 def signature_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    docs = table(spark, sf_dir, "documents")
     return docs.groupBy(text.signature(F.col("text")).alias("sig")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("sig")
 
 
