@@ -239,3 +239,40 @@ def test_schema_and_key_scores(spark):
     score = summary_scores.schema_tree({"A": (("x", "y"), ()), "B": ((), ())})
     got = rows.select(score(p, r, F.col("domain")).alias("s"), summary_scores.attribute_key_recall(p, r, F.col("domain")).alias("k")).first()
     assert got["s"] == pytest.approx(1 - 0.35 - 0.25) and got["k"] == 1.0
+
+
+# --- records ---
+
+
+def test_record_rules(spark):
+    from granary.functions import records as r
+
+    df = spark.createDataFrame([(1, 2, 3)], "id long, eval_a long, b long")
+    train, held = r.split_by_prefix(df, "eval_", ["id"])
+    assert train.columns == ["id", "b"] and held.columns == ["id", "a"]
+    assert one(spark, r.first_present(F.col("a"), F.col("b")), a=" ", b="x") == "x"
+    assert one(spark, r.assistant_prefix(F.col("a"), F.lit("DENSE")), a="BBU") == "<DOMAIN=BBU>, <TASK=DENSE>\n"
+    got = one(spark, r.phase_of(F.col("t"), {}), t="螺丝、光纤插头/BBU安装螺丝,完整,符合")
+    assert (got["phase"], got["category"]) == ("螺丝、光纤插头", "BBU安装螺丝")
+    assert one(spark, r.phase_of(F.col("t"), {"BBU": "设备"}), t="类别=BBU设备,x=1")["phase"] == "设备"
+    assert one(spark, r.without_distance(F.col("t")), t="a\n站点距离=3\nb") == "a\nb"
+    sizes = lambda w, h: F.array(F.lit(w), F.lit(h))
+    assert one(spark, r.needs_turn(F.col("o"), sizes(100, 50), sizes(100, 50), sizes(50, 100)), o=6) is True
+    assert one(spark, r.needs_turn(F.col("o"), sizes(100, 50), sizes(50, 100), sizes(50, 100)), o=6) is False
+
+
+def test_polygon_rules(spark):
+    from granary.functions import records as r
+
+    square = [0.0, 0.0, 5.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0]
+    assert one(spark, r.without_collinear(F.col("p")), p=square) == [0, 0, 10, 0, 10, 10, 0, 10]
+    half = F.array(*[F.lit(v) for v in (0.0, 0.0, 5.0, 20.0)])
+    assert one(spark, r.coverage(F.col("p"), half), p=square) == pytest.approx(0.5)
+    shift = F.array(*[F.lit(v) for v in (1.0, 0.0, 5.0, 0.0, 1.0, 0.0)])
+    assert one(spark, r.moved_polygon(F.col("p"), shift, F.lit(30), F.lit(30)), p=square)[:2] == [5, 0]
+    assert max(one(spark, r.moved_polygon(F.col("p"), shift, F.lit(10), F.lit(30)), p=square)[0::2]) == pytest.approx(10)
+    assert one(spark, r.clipped_line(F.col("p"), half), p=[-5.0, 1.0, 2.0, 1.0, 9.0, 1.0]) == [0, 1, 2, 1, 5, 1]
+    shown = one(spark, r.rendered_objects(F.col("t")), t='[{"desc":"d","kind":"line","points":[1,2,3,4]}]')
+    assert shown == '{"object_1": {"desc": "d", "line": [[1, 2], [3, 4]], "line_points": 2}}'
+    spans = one(spark, r.json_spans(F.col("t")), t=shown)
+    assert [shown[s["start"] : s["end"]] for s in spans if s["kind"] == "desc"] == ["d"] and sum(s["kind"] == "coord" for s in spans) == 4
