@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from granary.streaming import progress
 
 def _run(spark, frame, mode: str):
     """All of a stream's rows, through the memory sink of a small result."""
-    name = f"stream_{abs(hash((mode, tempfile.mktemp())))}"
+    name = f"stream_{uuid.uuid4().hex}"
     job = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.table(name)
