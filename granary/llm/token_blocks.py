@@ -20,9 +20,11 @@ document longer than a block has a block to itself.
 
 from __future__ import annotations
 
+import functools
+import gc
+import os
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ from granary.llm.common import scratch, shuffle_parts, slices, stage
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 4096
 CHECKPOINTS = 4
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 END_ID = 2
 #: Chunks of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
+#: Marks that pre-tokenization never joins with a letter or digit before them.
+MARKS = ".,;:!?*#$%&|"
 HEAD = struct.Struct("<4sHHQQI")
 MAGIC = b"rANS"
 
@@ -60,64 +64,97 @@ class ChunkEncoder:
     Byte-level pre-tokenization never joins what stands before a space that
     follows a non-blank, nor what stands before a line feed between non-blanks.
     So a text whose blanks are single spaces and line feeds is coded chunk by
-    chunk, from a bounded memory of chunks; any other text is coded whole.
+    chunk; any other text is coded whole. Chunks not yet known are coded side
+    by side as one text, whose ids are dealt out again by their byte lengths;
+    the memory of chunks is bounded.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        plain = [c if c[0] == "\n" else " " + c for c in chunks]
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            self.known[c] = self._pack(e.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            yield self._one(text)
-
-    def _one(self, text: str) -> bytes:
-        chunks = text.replace("\n", " \n").split(" ")
-        first = chunks[0]
-        rest = chunks[1:]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # In a byte-level vocabulary a token has a character for each byte.
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.bytes_of[at] = len(token)
+        self.known: dict[str, bytes | None] = {}
+        self.marks = functools.lru_cache(4096)(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes() if text else b""
+
+    @staticmethod
+    def _plain(chunk: str) -> bool:
+        """No blank but the line feed that may lead."""
+        bare = chunk[1:] if chunk[:1] == "\n" else chunk
+        return bare.isalnum() or (len(bare.split()) == 1 and not bare[0].isspace() and not bare[-1].isspace() and "\u180e" not in bare)
+
+    def _learn(self, need: set[str]) -> None:
+        if len(self.known) + len(need) > REMEMBERED:
+            self.known = {c: self.known[c] for c in need if c in self.known}
         known = self.known
+        new, ended = need.difference(known), []
+        for c in new:
+            # Marks behind a letter or digit are coded apart from it.
+            bare = c.rstrip(MARKS)
+            if bare is not c and bare[-1:].isalnum():
+                ended.append((c, bare))
+        new.difference_update([c for c, _ in ended])
+        new.update([bare for _, bare in ended])
+        new = new.difference(known)
+        plain = self._plain
+        good = [c for c in new if c.isalnum() or plain(c)]
+        known.update(dict.fromkeys(new))
+        for at in range(0, len(good), 20_000):
+            names = good[at : at + 20_000]
+            joined = "".join([c if c[0] == "\n" else " " + c for c in names])
+            raw = np.frombuffer(self._whole(joined), self.kind)
+            sizes = map(len, names) if joined.isascii() else [len(c.encode()) for c in names]
+            led = np.fromiter([c[0] != "\n" for c in names], np.int64, len(names))
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[raw]), np.cumsum(np.fromiter(sizes, np.int64, len(names)) + led)) + 1
+            data, cuts = raw.tobytes(), (cuts * self.kind.itemsize).tolist()
+            known.update(zip(names, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        for c, bare in ended:
+            start = known[bare]
+            known[c] = None if start is None else start + self.marks(c[len(bare) :])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # many strings and no cycles: collections would only walk them
         try:
-            return self._whole(first) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            pass
-        missing = [c for c in dict.fromkeys(rest) if c not in known]
-        for c in missing:
-            bare = c[1:] if c[:1] == "\n" else c
-            if not bare or len(bare.split()) != 1 or bare[0].isspace() or bare[-1].isspace():
-                return self._whole(text)
-        if len(self.known) + len(missing) > REMEMBERED:
-            missing = list(dict.fromkeys(rest))
-        self._learn(missing)
-        return self._whole(first) + b"".join(map(known.__getitem__, rest))
+            return self._encode(texts)
+        finally:
+            gc.enable()
 
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids) if text else b""
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # A text's first chunk is learned behind a line feed, whose id is then left out.
+        split = [f"\n{t}".replace("\n", " \n")[1:].split(" ") for t in texts]
+        self._learn(set().union(*split))
+        known, out = self.known, []
+        for text, chunks in zip(texts, split):
+            found = list(map(known.__getitem__, chunks))
+            out.append(self._whole(text) if None in found else b"".join(found)[self.kind.itemsize :])
+        return out
+
+
+@functools.lru_cache(1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks that a worker process runs."""
+    return ChunkEncoder(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids: zstd of the ids (with the end id) as little-endian numbers."""
 
     def run(batches):
-        coder = ChunkEncoder(tokenizer or default_tokenizer())
+        coder = _encoder(tokenizer or default_tokenizer())
         pack = zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], coder.kind).tobytes()
         width = np.dtype(coder.kind).itemsize
         for batch in batches:
-            for at, to, texts in slices(batch, "text"):
+            for at, to, texts in slices(batch, "text", 2 << 20):
                 raw = [x + end for x in coder.encode([t.decode() for t in texts])]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,8 +182,9 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, blob in zip(batch.column("n_tokens").to_pylist(), batch.column("ids")):
-                seen = np.bincount(_ids(blob.as_py(), n))
+            sizes, blobs = batch.column("n_tokens").to_pylist(), batch.column("ids")
+            for at in range(0, len(sizes), 512):
+                seen = np.bincount(np.concatenate([_ids(blobs[k].as_py(), sizes[k]) for k in range(at, min(at + 512, len(sizes)))]))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
                 total[: len(seen)] += seen
@@ -234,6 +272,8 @@ def decode_from(data: bytes, table: Table, mark: int, until: int | None = None)
         under = np.flatnonzero(x < LOW)
         x[under] = (x[under] << np.uint64(32)) | words[at : at + len(under)]
         at += len(under)
+    if until is None and (state != LOW).any():
+        raise ValueError("a block of token ids does not end as it began")
     return out
 
 
