@@ -26,3 +26,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if not moved.where("was != component").limit(1).count():
             return labels
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component once more links are known: only components are linked anew, not their nodes."""
+    if labels is None:
+        return components(links)
+    a, b = labels.toDF("a", "c_a"), labels.toDF("b", "c_b")
+    named = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = components(named.where("a != b").distinct())
+    old = labels.join(merged.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    fresh = merged.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return stage(old.unionByName(fresh), "labels")

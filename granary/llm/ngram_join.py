@@ -10,7 +10,7 @@ a pair must pass under each:
    is counted per document, no pairs are made, and most documents end here.
 2. By rarity among the documents that are left, rarest first. Tokens of one
    document take up prefix places but are not indexed. Pairs come from this
-   index.
+   index, if from their token on both sets have enough tokens left.
 3. By hash, descending; checked, with order 1, pair by pair before the sets
    are compared in full.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import LOWER, U64, bucket_count, hash_words, mix, pack, packed_schema, shuffle_parts, slices, stage, unpack, window_hashes
-from granary.llm.components import components
+from granary.llm.components import joined_components
 
 SIZE = 5
 #: The threshold in hundredths, and how much longer the prefixes of order 1 are.
@@ -148,11 +148,18 @@ def shared_prefixes(docs: DataFrame) -> DataFrame:
         token, key = token[new], key[new]
         same = token[1:] == token[:-1]
         shared, n = np.unique(key[np.concatenate([same, [False]]) | np.concatenate([[False], same])], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64)), pa.array(n.astype(np.int64))], ["short", "n"])
+        yield pack((shared % U64(buckets)).astype(np.int64), {"key": shared, "n": n.astype(np.uint32)})
 
+    def total(batches):
+        got = unpack(batches, {"key": np.uint64, "n": np.uint32})
+        key, place = np.unique(got["key"], return_inverse=True)
+        n = np.bincount(place, got["n"], len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["short", "n_shared"])
+
+    parts = shuffle_parts(spark)
     packed = docs.select("text").mapInArrow(run, packed_schema(*SHORT))
-    counted = packed.repartition(shuffle_parts(spark), "bucket").mapInArrow(count, "short long, n long")
-    return counted.groupBy("short").agg(F.sum("n").alias("n_shared"))
+    counted = packed.repartition(parts, "bucket").mapInArrow(count, packed_schema("key", "n"))
+    return counted.repartition(parts, "bucket").mapInArrow(total, "short long, n_shared long")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,7 +178,10 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rarity_index(kept: DataFrame) -> DataFrame:
-    """token (upper 48 bits), key, n: prefix tokens of order 2 that several sets hold."""
+    """token (upper 48 bits), key, n, left: prefix tokens of order 2 that several sets hold.
+
+    ``left`` counts the set's tokens from this one on in that order.
+    """
     spark = kept.sparkSession
     buckets, parts = bucket_count(spark), shuffle_parts(spark)
 
@@ -210,11 +220,12 @@ def rarity_index(kept: DataFrame) -> DataFrame:
         # Tokens of one document come first in this order: n - sizes of the prefix's places are theirs.
         room = n - least_shared(n) + 1 - (n - np.repeat(sizes, sizes))
         keep = rank < room
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep])], ["token", "key", "n"])
+        left = np.repeat(sizes, sizes) - rank
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), *(pa.array(v[keep]) for v in (key, n, left))], ["token", "key", "n", "left"])
 
     first = kept.mapInArrow(tokens, packed_schema(*sent))
     second = first.repartition(parts, "bucket").mapInArrow(rate, packed_schema(*sent, "often"))
-    return second.repartition(parts, "bucket").mapInArrow(choose, "token long, key long, n long")
+    return second.repartition(parts, "bucket").mapInArrow(choose, "token long, key long, n long, left long")
 
 
 def verify(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -244,8 +255,12 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * inter >= PERCENT * (len(x) + len(y) - inter)
 
 
-def _fits(a: str, b: str):
-    return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
+def _fits(n_a: str, left_a: str, n_b: str, left_b: str):
+    """Whether two sets whose first common token is this one can still share enough.
+
+    A similar pair passes at its first common token, so this loses none.
+    """
+    return (100 + PERCENT) * F.least(F.col(left_a), F.col(left_b)) >= PERCENT * (F.col(n_a) + F.col(n_b))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -253,12 +268,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
-    """a, b: each token's pivot with the token's other documents of other components."""
+    """a, b: each token's pivot with the token's other documents of other components.
+
+    The first pivots are the smallest sets: of sets that share one passage, the
+    smallest is the most similar to all others. Later ones go by hash.
+    """
+    order = F.col("n") if seed == 0 else F.xxhash64(F.lit(seed), "key")
     pivot = index.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64(F.lit(seed), "key"), F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))).alias("pivot")
+        F.min(F.struct(order.alias("order"), F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))).alias("pivot")
     )
-    pairs = index.join(pivot, "token").select(F.col("key").alias("y"), "n", "component", "pivot.x", "pivot.n_x", "pivot.c_x")
-    return _ordered(pairs.where((F.col("component") != F.col("c_x")) & _fits("n", "n_x")))
+    pairs = index.join(pivot, "token").select(F.col("key").alias("y"), "n", "left", "component", "pivot.x", "pivot.n_x", "pivot.left_x", "pivot.c_x")
+    return _ordered(pairs.where((F.col("component") != F.col("c_x")) & _fits("n", "left", "n_x", "left_x")))
 
 
 def open_tokens(index: DataFrame, labels: DataFrame) -> DataFrame:
@@ -270,9 +290,9 @@ def open_tokens(index: DataFrame, labels: DataFrame) -> DataFrame:
 
 def cross_pairs(index: DataFrame) -> DataFrame:
     """a, b: all pairs under a token that are in different components and fit in size."""
-    left = index.select("token", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    right = index.select("token", F.col("key").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    pairs = left.join(right, "token").where((F.col("c_x") < F.col("c_y")) & _fits("n_x", "n_y"))
+    left = index.select("token", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))
+    right = index.select("token", F.col("key").alias("y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"), F.col("component").alias("c_y"))
+    pairs = left.join(right, "token").where((F.col("c_x") < F.col("c_y")) & _fits("n_x", "left_x", "n_y", "left_y"))
     return _ordered(pairs)
 
 
@@ -286,15 +306,15 @@ def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     kept = stage(fetch(docs, wanted).dropDuplicates(["key"]), "kept")
     index = stage(rarity_index(kept).withColumn("component", F.col("key")), "index")
 
-    done = links = spark.createDataFrame([], "a long, b long")
+    done = spark.createDataFrame([], "a long, b long")
     labels = None
     open_ = index
     for round_ in range(PIVOT_ROUNDS + 1):
         pairs = pivot_pairs(open_, round_) if round_ < PIVOT_ROUNDS else cross_pairs(open_)
         pairs = stage(pairs.join(done, ["a", "b"], "left_anti") if round_ else pairs, "pairs")
         found = stage(verify(pairs, kept), "found")
-        done, links = done.union(pairs), links.union(found)
-        labels = components(links)
+        done = done.union(pairs)
+        labels = joined_components(labels, found)
         if round_ < PIVOT_ROUNDS:
             open_ = stage(open_tokens(open_, labels), "open")
             if not open_.limit(1).count():
@@ -310,7 +330,8 @@ def join(docs: DataFrame) -> DataFrame:
     labels = link_sets(docs, sets)
     named = sets.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("oid").alias("component_id"))
-    named = named.join(smallest, "component").select("key", "n", "component_id")
+    # A table of its own, so that the join back to all copies of a set is one that Spark can split.
+    named = stage(named.join(smallest, "component").select("key", "n", "component_id"), "named")
     out = every.join(named, ["key", "n"], "left")
     component = F.nullif(F.coalesce("component_id", "oid"), F.lit(LAST))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))

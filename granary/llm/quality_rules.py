@@ -111,7 +111,8 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeats"))
-POLICIES = (BASE, Policy("web", 1, ("few_words", "repeats", "symbols", "duplicate_lines")), Policy("web", 2, tuple(r.name for r in RULES)))
+#: The newest last. The rule on long words is on the ledger but in no policy: scripts without blanks would fail it.
+POLICIES = (BASE, Policy("web", 1, ("few_words", "repeats", "symbols")), Policy("web", 2, ("few_words", "repeats", "symbols", "duplicate_lines")))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ m AS (
 f AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
     + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits
 FROM f
 """,
 }

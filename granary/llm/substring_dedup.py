@@ -273,7 +273,8 @@ def dedup(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     last = F.lit((1 << 63) - 1)
     docs = docs.select("doc_id", "text")
     every = stage(outline(docs).withColumn("oid", F.coalesce("doc_id", last)), "outline")
-    stand = every.groupBy("key_a", "key_b").agg(F.min("oid").alias("rep"))
+    # A table of its own, so that the join back to all copies of a text is one that Spark can split.
+    stand = stage(every.groupBy("key_a", "key_b").agg(F.min("oid").alias("rep")), "stand")
     places = repeated_anchors(docs)
     wanted = stand.join(places, "key_a").select(F.col("rep").alias("oid"), "key_a", "places")
 

@@ -81,6 +81,7 @@ class ChunkEncoder:
         for token, at in self.tokenizer.get_vocab().items():
             self.bytes_of[at] = len(token)
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.marks = functools.lru_cache(4096)(self._whole)
 
     def _whole(self, text: str) -> bytes:
@@ -93,10 +94,13 @@ class ChunkEncoder:
         return bare.isalnum() or (len(bare.split()) == 1 and not bare[0].isspace() and not bare[-1].isspace() and "\u180e" not in bare)
 
     def _learn(self, need: set[str]) -> None:
-        if len(self.known) + len(need) > REMEMBERED:
-            self.known = {c: self.known[c] for c in need if c in self.known}
+        if len(self.known) > REMEMBERED // 2:  # two generations: what is in use moves on
+            self.known, self.older = {}, self.known
         known = self.known
         new, ended = need.difference(known), []
+        kept = new.intersection(self.older)
+        known.update(zip(kept, map(self.older.__getitem__, kept)))
+        new.difference_update(kept)
         for c in new:
             # Marks behind a letter or digit are coded apart from it.
             bare = c.rstrip(MARKS)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from granary.llm import common, decontaminate, ngram_join, substring_dedup
-from granary.llm.components import components
+from granary.llm.components import components, joined_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,6 +99,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_joined_components(spark):
+    links = lambda *rows: spark.createDataFrame(list(rows), "a long, b long")
+    labels = joined_components(None, links((5, 7), (2, 9)))
+    got = {r["node"]: r["component"] for r in joined_components(labels, links((7, 9), (11, 12), (9, 5), (1, 12))).collect()}
+    assert got == {5: 2, 7: 2, 2: 2, 9: 2, 11: 1, 12: 1, 1: 1}
+    assert {r["node"] for r in joined_components(labels, links((7, 5)).limit(0)).collect()} == {2, 5, 7, 9}
+
+
 # --- decontamination ---
 
 
