@@ -270,10 +270,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
     """a, b: each token's pivot with the token's other documents of other components.
 
-    The first pivots are the smallest sets: of sets that share one passage, the
-    smallest is the most similar to all others. Later ones go by hash.
+    The first pivots are the sets with the smallest share of rarer tokens: of
+    sets that share one passage, or are edits of one text, such a set has the
+    least of its own and is the most similar to all others. Later ones go by hash.
     """
-    order = F.col("n") if seed == 0 else F.xxhash64(F.lit(seed), "key")
+    order = 1 - F.col("left") / F.col("n") if seed == 0 else F.xxhash64(F.lit(seed), "key")
     pivot = index.groupBy("token").agg(
         F.min(F.struct(order.alias("order"), F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))).alias("pivot")
     )
