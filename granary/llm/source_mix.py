@@ -96,7 +96,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     )
     plan = plan.join(edge, ["name", "nameless"], "left")
 
-    joined = slim.join(plan, ["name", "nameless"])
+    # Joined by key range too, so that a hot source is spread over its ranges.
+    joined = slim.join(per_bucket.drop("words").join(plan, ["name", "nameless"]), ["name", "nameless", "bucket"])
     at_cut = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
     below = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.coalesce(F.col("doc_id") < F.col("cut_id"), F.lit(True)) & ~at_cut)
     part = F.when(F.coalesce(at_cut, F.lit(False)), F.round(F.col("size") * F.col("portion")).cast("long")).otherwise(F.lit(0))
