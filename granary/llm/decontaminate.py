@@ -1,12 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over SPAN consecutive words: it hashes the words at the
-positions it looks at and ignores the others, so a substituted word at an
-ignored position still hits. Test items and training texts are hashed under
+A seed is a fixed mask over up to SPAN consecutive words: it hashes the words
+at the positions it looks at and ignores the others, so a substituted word at
+an ignored position still hits. Test items and training texts are hashed under
 all masks and joined on the hash. Each hit fixes an alignment (document
-position minus item position); around it the item's and the document's words
-are compared one to one, and an overlap is reported where the best-scoring
-stretch is long and pure enough, or covers nearly the whole item.
+position minus item position); along it the item's and the document's words
+are compared one to one. A pair overlaps if some stretch of an alignment is
+long and pure enough, or the whole alignment holds nearly the whole item.
+
+No placement of substituted words escapes the masks: of 14, 17, 20 or 24
+aligned words with 4, 5, 6 or 7 others among them, wherever these are, some
+mask hits; an overlap of 13 words or more has a part of 13 to 25 words with at
+most three others in ten, which is one of these or lies in one. SHORT_MASKS do
+the same for 7 words with 2 others and 10 with 3, and so for items of 6 to 12.
 
 Training windows reach the join only if a filter of FILTER_BITS bits, built
 from the test hashes and of that size whatever the tables, may know their
@@ -15,8 +21,9 @@ checked, whatever the number of its hits.
 
 Words are runs of ASCII letters, digits and non-ASCII characters in lower case
 (A-Z). Defined results: null and empty texts, and items under MIN_WORDS words,
-overlap with nothing; items of MIN_WORDS to SPAN - 1 words are sought word for
-word; repeated rows of one doc_id give one row with the best overlap; an empty
+overlap with nothing; items of MIN_WORDS words are sought word for word; of an
+alignment the best-scoring stretch is reported if it qualifies, else the
+longest that does, else the whole; repeated rows of one doc_id give one row with the best overlap; an empty
 table gives no rows; other columns play no part; texts are read whole.
 """
 
@@ -32,8 +39,11 @@ from pyspark.sql import functions as F
 from granary.llm.common import ALNUM_WORDS, LOWER, U64, hash_words, mix, slices, stage
 
 SPAN = 12
-#: Fixed masks over SPAN words: 1 looks at a word, 0 ignores it.
-MASKS = ("111101101111", "110111011011", "101011110111", "111010111101")
+#: Fixed masks of at most SPAN words: 1 looks at a word, 0 ignores it.
+MASKS = ("111011", "1100001011", "11010011", "1001111", "1110101", "10001111")
+#: Those for items of fewer than LONG_ITEM words, and for items of MIN_WORDS.
+SHORT_MASKS = ("10111", "111001", "1001011", "1100101", "1111", "11101")
+LONG_ITEM = 13
 MIN_WORDS = 5
 FILTER_BITS = 1 << 24
 #: An overlap: this many aligned words at this purity, or this share of the item.
@@ -53,8 +63,13 @@ def _masked(words: np.ndarray, mask: str, seed: int) -> np.ndarray:
     return mix(out ^ U64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def _masks(short_lengths=()) -> list[str]:
-    return [*MASKS, *("1" * n for n in short_lengths)]
+def masks_for(n: int) -> list[tuple[str, int]]:
+    """The masks for items of n words, each with the number that sets its hashes apart."""
+    if n >= LONG_ITEM:
+        return [(m, k) for k, m in enumerate(MASKS)]
+    if n > MIN_WORDS:
+        return [(m, 100 + k) for k, m in enumerate(SHORT_MASKS)]
+    return [("1" * n, 200)] if n == MIN_WORDS else []
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -74,16 +89,15 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def item_seeds(words: DataFrame) -> DataFrame:
-    """seed, item_id, item_pos: an item's seeds under all masks; a short item has one, of its whole length."""
+    """seed, item_id, item_pos: an item's seeds under all masks for its length."""
 
     def run(batches):
         for batch in batches:
             seeds, ids, places = [], [], []
             for item_id, own in zip(batch.column("item_id"), batch.column("words")):
                 own = np.array(own.as_py(), np.int64).view(U64)
-                n = len(own)
-                for k, mask in enumerate(MASKS if n >= SPAN else ["1" * n] if n >= MIN_WORDS else []):
-                    got = _masked(own, mask, k if n >= SPAN else 100 + n)
+                for mask, k in masks_for(len(own)):
+                    got = _masked(own, mask, k)
                     seeds.append(got.view(np.int64))
                     ids += [item_id.as_py()] * len(got)
                     places.append(np.arange(len(got)))
@@ -104,7 +118,7 @@ def _regions(hits: np.ndarray, reach: int, n: int) -> Iterator[tuple[int, int, i
             yield a, b, max(0, int(hits[a]) - reach), min(n, int(hits[b - 1]) + SPAN + reach)
 
 
-def candidate_regions(docs: DataFrame, known: np.ndarray, lengths: tuple[int, ...], reach: int) -> DataFrame:
+def candidate_regions(docs: DataFrame, known: np.ndarray, plan: list[tuple[str, int]], reach: int) -> DataFrame:
     """doc_id, start, words, hits(seed, pos): parts of documents around windows that the filter may know."""
     slots = U64(FILTER_BITS - 1)
     spark = docs.sparkSession
@@ -112,11 +126,10 @@ def candidate_regions(docs: DataFrame, known: np.ndarray, lengths: tuple[int, ..
 
     def run(batches):
         bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
-        plan = [(m, k) for k, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in lengths]
         for batch in batches:
             for at, to, texts in slices(batch, "text"):
                 words, first = hash_words(texts, ALNUM_WORDS, LOWER)
-                seeds, places = [], []
+                seeds, places = [np.empty(0, U64)], [np.empty(0, np.int64)]
                 for mask, k in plan:
                     got = _masked(words, mask, k)
                     may = np.flatnonzero(bits[(got & slots).astype(np.int64)])
@@ -153,6 +166,32 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(score[: end + 1])), end
 
 
+def longest_stretch(same: np.ndarray) -> tuple[int, int]:
+    """The longest stretch of purity PURITY that starts and ends with an equal word; of equal ones the first."""
+    starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
+    if not len(starts):
+        return 0, 0
+    # In hundredths, so that a stretch is pure enough where this does not fall from its start to its end.
+    rise = np.concatenate([[0], np.cumsum(np.where(same, 100 - round(100 * PURITY), -round(100 * PURITY)))])
+    low = np.minimum.accumulate(rise[starts])
+    first = starts[np.searchsorted(-low, -rise[ends])]
+    k = int(np.argmax(ends - first))
+    return int(first[k]), int(ends[k])
+
+
+def overlap(same: np.ndarray, n_item: int) -> tuple[int, int] | None:
+    """The stretch of an alignment with an item of n_item words that makes it an overlap, if any does."""
+    equal = np.flatnonzero(same)
+    if not len(equal):
+        return None
+    least = max(MIN_WORDS, -(-round(100 * ITEM_SHARE) * n_item // 100))
+    for p, q in (best_stretch(same), longest_stretch(same), (int(equal[0]), int(equal[-1]) + 1)):
+        matched = int(same[p:q].sum())
+        if matched >= least or (q - p >= LEAST_WORDS and 100 * matched >= round(100 * PURITY) * (q - p)):
+            return p, q
+    return None
+
+
 def verified(candidates: DataFrame) -> DataFrame:
     """Compare the item's words with the document's along each candidate's diagonal."""
 
@@ -165,11 +204,10 @@ def verified(candidates: DataFrame) -> DataFrame:
                 if a >= b:
                     continue
                 same = words[a + diagonal - start : b + diagonal - start] == item[a:b]
-                p, q = best_stretch(same)
-                matched = int(same[p:q].sum())
-                long = q - p >= LEAST_WORDS and matched >= PURITY * (q - p)
-                if long or matched >= max(MIN_WORDS, ITEM_SHARE * len(item)):
-                    rows.append((doc_id, item_id, a + p + diagonal, a + q + diagonal, matched, q - p, len(item)))
+                found = overlap(same, len(item))
+                if found:
+                    p, q = found
+                    rows.append((doc_id, item_id, a + p + diagonal, a + q + diagonal, int(same[p:q].sum()), q - p, len(item)))
             if rows:
                 names = ["doc_id", "item_id", "start", "end", "n_matched", "n_aligned", "item_words"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
@@ -187,14 +225,16 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = item_seeds(words).distinct()
     parts = F.array(F.col("seed"), F.shiftrightunsigned("seed", 32))
     slot = F.explode(F.transform(parts, lambda x: x.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).cast("int")))
-    # At most FILTER_BITS numbers and a dozen lengths, however many items there are.
+    # At most FILTER_BITS numbers and three kinds of lengths, however many items there are.
     slots = seeds.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy()
     known = np.zeros(FILTER_BITS, bool)
     known[slots] = True
     sizes = words.select(F.size("words").alias("n"))
-    short = sizes.where(F.col("n").between(MIN_WORDS, SPAN - 1)).distinct().collect()
+    kind = F.when(F.col("n") >= LONG_ITEM, LONG_ITEM).when(F.col("n") > MIN_WORDS, LONG_ITEM - 1).otherwise(MIN_WORDS)
+    kinds = sizes.where(F.col("n") >= MIN_WORDS).select(kind.alias("n")).distinct().collect()
+    plan = [mask for r in kinds for mask in masks_for(r["n"])]
     reach = sizes.agg(F.max("n")).first()[0] or 0
-    regions = stage(candidate_regions(docs, known, tuple(sorted(r["n"] for r in short)), reach), "regions")
+    regions = stage(candidate_regions(docs, known, plan, reach), "regions")
     hits = regions.select("doc_id", "start", F.explode("hits").alias("hit"))
     hits = hits.select("doc_id", "start", F.col("hit.seed").alias("seed"), F.col("hit.pos").alias("pos"))
     slim = hits.join(seeds, "seed")

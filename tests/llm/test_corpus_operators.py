@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -144,6 +145,58 @@ def test_best_stretch():
     assert decontaminate.best_stretch(same) == (3, 12)
 
 
+@pytest.mark.parametrize(("masks", "shapes"), [(decontaminate.MASKS, [(14, 4), (17, 5), (20, 6), (24, 7)]), (decontaminate.SHORT_MASKS, [(7, 2), (10, 3)])])
+def test_masks_hit_every_placement_of_substitutions(masks, shapes):
+    for n, others in shapes:
+        bad = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(n), others)])
+        hit = np.zeros(len(bad), bool)
+        for mask in masks:
+            assert len(mask) <= decontaminate.SPAN
+            looks = sum(1 << k for k, use in enumerate(mask) if use == "1")
+            for at in range(n - len(mask) + 1):
+                hit |= bad & (looks << at) == 0
+        assert hit.all(), (n, others)
+
+
+def brute_overlap(same, n_item):
+    """The rules themselves: some stretch is long and pure, or the whole alignment holds enough of the item."""
+    on = [k for k, x in enumerate(same) if x]
+    stretches = [(p, q + 1) for p in on for q in on if q - p >= 12]
+    return sum(same) >= 5 and 10 * sum(same) >= 7 * n_item or any(10 * sum(same[p:q]) >= 8 * (q - p) for p, q in stretches)
+
+
+def test_overlap_against_brute_force():
+    rng = random.Random(6)
+    changed = lambda n, *at: [k not in at for k in range(n)]
+    cases = [(changed(24, 12, 16, 20), 24), (changed(15, 4, 10), 15), (changed(0), 9), (changed(3, 0, 1, 2), 9)]
+    for _ in range(3000):
+        n, share = rng.randrange(1, 50), rng.random()
+        cases.append(([rng.random() < share for _ in range(n)], n + rng.choice([0, 0, 5, 60])))
+    for same, n_item in cases:
+        found = decontaminate.overlap(np.array(same, bool), n_item)
+        assert bool(found) == brute_overlap(same, n_item), (same, n_item)
+        if found:
+            p, q = found
+            part = sum(same[p:q])
+            assert same[p] and same[q - 1] and (10 * part >= 7 * n_item and part >= 5 or q - p >= 13 and 10 * part >= 8 * (q - p))
+
+
+def test_decontamination_at_random_edit_positions(spark):
+    rng = random.Random(9)
+    items = [invented(rng, n, 50_000) for n in [*range(5, 13), *[k for k in range(13, 31) for _ in range(8)], 24, 15]]
+    docs, planted = [], set()
+    for d, item in enumerate(items):
+        passage = list(item)
+        edits = {len(items) - 2: (12, 16, 20), len(items) - 1: (4, 10)}.get(d) or rng.sample(range(len(item)), min(3 * len(item) // 10, len(item) - 5))
+        for at in edits:
+            passage[at] = f"changed{d}x{at}"
+        docs.append((d, " ".join(invented(rng, 20, 50_000) + passage + invented(rng, 20, 50_000))))
+        planted.add((d, d))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()} == planted
+
+
 # --- substrings ---
 
 
