@@ -19,7 +19,9 @@ the one chosen as pivot is compared with the others; links found so join into
 components, and only tokens whose documents are still in several components
 are taken up again: with other pivots, at last with all pairs across
 components. So large groups of copies cost about a comparison per document and
-token, and yet no link between components is missed.
+token, and yet no link between components is missed. This is for components
+alone: ``links`` gives every pair of similar distinct sets, ``link_counts`` how
+many other documents each one is similar to.
 
 Sets stand as 64-bit hashes of shingles, and documents with equal sets are told
 by a 64-bit hash of the set.
@@ -46,6 +48,9 @@ PERCENT = 75
 EXTRA = 0.1
 PIVOT_ROUNDS = 2
 LAST = (1 << 63) - 1
+#: Sets that meet in one cell of a token, and sets to a row of the grid in which all links are verified.
+CELL_SETS = 2000
+BLOCK_SETS = 4000
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -297,15 +302,100 @@ def cross_pairs(index: DataFrame) -> DataFrame:
     return _ordered(pairs)
 
 
-def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, component of the sets that have links; ``sets`` has oid, key, n of each distinct set."""
-    spark = docs.sparkSession
+def indexed(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets that pass order 1, with their texts, and their index under order 2; ``sets`` has oid, key, n of each distinct set."""
     short = F.shiftrightunsigned("key", 16).alias("short")
     need = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(PERCENT * F.col("n") / 100))).cast("long")
     counted = shared_prefixes(docs)
     wanted = sets.withColumn("short", short).join(counted, "short").where(F.col("n_shared") >= need).select("oid", "key", "n")
     kept = stage(fetch(docs, wanted).dropDuplicates(["key"]), "kept")
-    index = stage(rarity_index(kept).withColumn("component", F.col("key")), "index")
+    return kept, stage(rarity_index(kept), "index")
+
+
+def all_pairs(index: DataFrame) -> DataFrame:
+    """a, b: all pairs under a token that fit, each once.
+
+    Sets meet in cells of a token and a class of sizes: those of similar sets
+    are the same or next to each other. A cell of more than CELL_SETS is dealt
+    to a square of smaller ones, so that a hot token is not one task's work.
+    """
+    # Classes are wider than the ratio of similar sets' sizes, so that rounding plays no part.
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT + 0.01))).cast("int")
+    own = index.select("token", "key", "n", "left", size_class.alias("class"))
+    larger = own.withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
+    cells = larger.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("int").alias("side"))
+    place = F.pmod(F.xxhash64("key"), F.col("side")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    rows = lambda df, side: df.join(cells, ["token", "class"]).select("token", "class", "side", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "left")), place.alias("own"))
+    left = rows(own, "x").withColumnRenamed("own", "i").withColumn("j", every)
+    right = rows(larger, "y").withColumnRenamed("own", "j").withColumn("i", every).drop("side")
+    met = left.join(right, ["token", "class", "i", "j"])
+    later = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
+    fit = met.where(later & _fits("n_x", "left_x", "n_y", "left_y"))
+    return _ordered(fit.select(F.col("key_x").alias("x"), F.col("key_y").alias("y")))
+
+
+def verify_in_blocks(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """a, b of the pairs that are similar, where a set may be in very many pairs.
+
+    Pairs are dealt to the squares of a grid by both keys; a square gets each of
+    its sets' texts once, not once per pair.
+    """
+    side = max(4, -(-kept.count() // BLOCK_SETS))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    placed = pairs.select("a", "b", place("a").alias("i"), place("b").alias("j"))
+    needed = placed.select(F.col("a").alias("key"), "i", "j").union(placed.select("b", "i", "j")).distinct()
+    texts = needed.join(kept.select("key", "text"), "key").select("text", F.col("key").alias("own"), F.col("i").alias("row"), F.col("j").alias("column"))
+
+    def run(own, texts):
+        sets = {}
+        for batch in texts.select(["own", "text"]).to_batches():
+            for at, to, part in slices(batch, "text"):
+                sets.update(zip(batch.column("own").slice(at, to - at).to_pylist(), shingle_sets(part)))
+        hits = [similar(sets[a], sets[b]) for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist())]
+        return own.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+
+    return placed.groupBy("i", "j").cogroup(texts.groupBy("row", "column")).applyInArrow(run, "a long, b long")
+
+
+def _distinct_sets(outlines: DataFrame) -> DataFrame:
+    return outlines.where("n > 0").groupBy("key", "n").agg(F.min("oid").alias("oid"), F.count(F.lit(1)).alias("members"))
+
+
+def _all_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    kept, index = indexed(docs, sets)
+    return verify_in_blocks(stage(all_pairs(index), "pairs"), kept)
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b: the keys of every two distinct sets that are similar, a < b; ``join`` has each row's set_key.
+
+    Rows with equal sets are similar to each other too and have one key.
+    """
+    docs = docs.select("doc_id", "text")
+    every = outline(docs).withColumn("oid", F.coalesce("doc_id", F.lit(LAST)))
+    return _all_links(docs, _distinct_sets(every).drop("members"))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_links for every row: how many other rows it is similar to, those with an equal set included."""
+    docs = docs.select("doc_id", "text")
+    every = stage(outline(docs).withColumn("oid", F.coalesce("doc_id", F.lit(LAST))), "outline")
+    sets = stage(_distinct_sets(every), "sets")
+    found = stage(_all_links(docs, sets.drop("members")), "links")
+    both = found.union(found.select("b", "a")).toDF("key", "near")
+    members = sets.select(F.col("key").alias("near"), F.col("members").alias("others"))
+    others = both.join(members, "near").groupBy("key").agg(F.sum("others").alias("others"))
+    # A table of its own, as in join().
+    counts = stage(sets.join(others, "key", "left").select("key", "n", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
+    return every.join(counts, ["key", "n"], "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, component of the sets that have links; ``sets`` has oid, key, n of each distinct set."""
+    spark = docs.sparkSession
+    kept, index = indexed(docs, sets)
+    index = index.withColumn("component", F.col("key"))
 
     done = spark.createDataFrame([], "a long, b long")
     labels = None
@@ -352,6 +442,10 @@ def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_key")
 
 
+def op2_ngram_links(spark, sf_dir: str) -> DataFrame:
+    return link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 ORACLE_SQL = {
     "op2_ngram_join": r"""
 WITH RECURSIVE d AS (
@@ -365,6 +459,17 @@ e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
+""",
+    "op2_ngram_links": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n + y.n - c))
+SELECT d.doc_id, count(e.b)::BIGINT AS n_links FROM d LEFT JOIN e ON e.a = d.doc_id GROUP BY d.doc_id
 """,
 }
-QUERIES = {"op2_ngram_join": op2_ngram_join}
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op2_ngram_links": op2_ngram_links}

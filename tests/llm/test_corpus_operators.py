@@ -85,6 +85,43 @@ def test_ngram_join_components(spark, seed):
     assert [got[i]["component_id"] for i in range(len(texts))] == label
 
 
+def brute_links(texts):
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(FOLD))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and y and 100 * len(x & y) >= 75 * len(x | y)}
+
+
+@pytest.mark.parametrize(("seed", "cell"), [(1, 2000), (2, 3)])
+def test_ngram_join_gives_all_links(spark, seed, cell, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL_SETS", cell)
+    rng = random.Random(seed)
+    base = invented(rng, 200)
+    texts = near_texts(seed) + [" ".join(edited(rng, base, 3)) for _ in range(20)]  # a family: nearly all pairs are links
+    want = brute_links(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = collections.Counter(k for pair in want for k in pair)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(df).collect()}
+    assert got == {i: counts[i] for i in range(len(texts))}
+    members = collections.defaultdict(list)
+    for r in ngram_join.join(df).collect():
+        if r["n_shingles"]:
+            members[r["set_key"]].append(r["doc_id"])
+    pairs = {p for m in members.values() for p in itertools.combinations(sorted(m), 2)}
+    rows = ngram_join.links(df).collect()
+    for r in rows:
+        pairs |= {tuple(sorted((x, y))) for x in members[r["a"]] for y in members[r["b"]]}
+    assert pairs == want and len({(r["a"], r["b"]) for r in rows}) == len(rows) and all(r["a"] < r["b"] for r in rows)
+
+
+def test_ngram_link_counts_odd_rows(spark):
+    text = "a b c d e f g"
+    df = spark.createDataFrame([(3, text), (3, text), (None, text), (None, None), (4, "q r")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in ngram_join.link_counts(df).collect()) == [("3", 2), ("3", 2), ("4", 0), ("None", 0), ("None", 2)]
+    assert not ngram_join.link_counts(df.limit(0)).collect() and not ngram_join.links(df.limit(0)).collect()
+
+
 def test_ngram_join_odd_rows(spark):
     text = "a b c d e f g"
     df = spark.createDataFrame([(3, text), (3, text), (None, text), (None, None), (4, "q r")], "doc_id long, text string")
