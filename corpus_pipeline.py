@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch(spark, "corpus")
-    token_blocks.write(docs, path)
+    token_blocks.write(docs, path, literal=False)
     return token_blocks.read(spark, path)
 
 

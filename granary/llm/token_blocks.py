@@ -66,15 +66,18 @@ class ChunkEncoder:
     So a text whose blanks are single spaces and line feeds is coded chunk by
     chunk; any other text is coded whole. Chunks not yet known are coded side
     by side as one text, whose ids are dealt out again by their byte lengths;
-    the memory of chunks is bounded.
+    the memory of chunks is bounded. With ``literal`` special tokens in a text
+    are coded as ordinary pieces; else as the library does by default, and a
+    text that holds an added token's content is coded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # In a byte-level vocabulary a token has a character for each byte.
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -87,6 +90,13 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes() if text else b""
 
+    def _with_added(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._whole(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     @staticmethod
     def _plain(chunk: str) -> bool:
         """No blank but the line feed that may lead."""
@@ -138,22 +148,25 @@ class ChunkEncoder:
         self._learn(set().union(*split))
         known, out = self.known, []
         for text, chunks in zip(texts, split):
+            if any(a in text for a in self.added):
+                out.append(self._with_added(text))
+                continue
             found = list(map(known.__getitem__, chunks))
             out.append(self._whole(text) if None in found else b"".join(found)[self.kind.itemsize :])
         return out
 
 
 @functools.lru_cache(1)
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, literal: bool) -> ChunkEncoder:
     """One encoder for all tasks that a worker process runs."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, literal)
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, literal: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids: zstd of the ids (with the end id) as little-endian numbers."""
 
     def run(batches):
-        coder = _encoder(tokenizer or default_tokenizer())
+        coder = _encoder(tokenizer or default_tokenizer(), literal)
         pack = zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], coder.kind).tobytes()
         width = np.dtype(coder.kind).itemsize
@@ -299,10 +312,13 @@ def _table(freq_rows) -> Table:
     return Table(freq)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Tokenize ``docs`` (doc_id, text) and write their ids, in ascending doc_id order, under ``path``."""
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS, literal: bool = True) -> None:
+    """Tokenize ``docs`` (doc_id, text) and write their ids, in ascending doc_id order, under ``path``.
+
+    ``literal``: special tokens that a text holds are coded as ordinary pieces, not as their ids.
+    """
     spark = docs.sparkSession
-    tokens = stage(tokenize(docs, tokenizer), "tokens")
+    tokens = stage(tokenize(docs, tokenizer, literal=literal), "tokens")
     # The vocabulary bounds these rows.
     counts = count_ids(tokens).orderBy("token").collect()
     freq = scale_counts(np.array([r["token"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64))
@@ -380,7 +396,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_token_blocks(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-blocks")
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, literal=False)
     return read(spark, path)
 
 

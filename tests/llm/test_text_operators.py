@@ -274,6 +274,22 @@ def test_token_blocks_round_trip(spark, sf_dir, tmp_path):
         start += len(ids)
 
 
+def test_token_blocks_query_codes_special_tokens_as_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words\nhere", "x<|endoftext|>y  z", "<|endoftext", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(token_blocks.default_tokenizer())
+    want, start = {}, 0
+    for k, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want[k] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert want[1][1] == 2
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_blocks.op9_token_blocks(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_token_blocks_empty_and_repeated(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     token_blocks.write(df.limit(0), str(tmp_path / "e"))
