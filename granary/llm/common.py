@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 U64 = np.uint64
-#: Text bytes hashed at a time; a text longer than this is cut at a separator.
+#: Text bytes hashed at a time, but for longer words.
 PIECE = 1 << 20
 
 
@@ -95,20 +95,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_piece(buf: np.ndarray, words: np.ndarray, fold: np.ndarray, want_spans: bool, at: int):
-    inside = words[fold[buf]]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.concatenate([[0], edge])
-    if inside[-1]:
-        edge = np.concatenate([edge, [len(buf)]])
-    starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _power_tables(len(buf))
-    total = np.empty(len(buf) + 1, U64)
-    total[0] = 0
-    np.cumsum(fold[buf].astype(U64) * power + power, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
-    return hashes, (starts + at, ends + at) if want_spans else None
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of ``buf`` in ascending order, about PIECE bytes at a time."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE)))
+        part = buf[low : int(ends[j - 1])]
+        power, inverse = _power_tables(len(part) + 1)
+        total = np.empty(len(part) + 1, U64)
+        total[0] = 0
+        np.cumsum(part.astype(U64) * power[:-1] + power[:-1], out=total[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((total[e] - total[s]) * inverse[s])
+        i = j
+    return out
+
+
+def word_spans(folded: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of a buffer."""
+    inside = np.zeros(len(folded) + 2, bool)
+    inside[1:-1] = words[folded]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[0::2], edge[1::2]
 
 
 def hash_words(texts: list[bytes], words: np.ndarray = BLANK_WORDS, fold: np.ndarray = SAME, spans: bool = False):
@@ -120,23 +130,12 @@ def hash_words(texts: list[bytes], words: np.ndarray = BLANK_WORDS, fold: np.nda
     """
     joined = b"\n".join([*texts, b""]) or b"\n"
     buf = np.frombuffer(joined, np.uint8)
-    found, where, at = [], [], 0
-    while at < len(buf):
-        to = min(at + PIECE, len(buf))
-        while to < len(buf) and words[fold[buf[to - 1]]]:
-            gap = np.flatnonzero(~words[fold[buf[to : to + PIECE]]])
-            to = to + int(gap[0]) + 1 if len(gap) else min(to + PIECE, len(buf))
-        hashes, span = _hash_piece(buf[at:to], words, fold, True, at)
-        found.append(hashes)
-        where.append(span)
-        at = to
-    hashes = np.concatenate(found)
-    starts = np.concatenate([s for s, _ in where])
+    folded = buf if fold is SAME else fold[buf]
+    starts, ends = word_spans(folded, words)
+    hashes = span_hashes(folded, starts, ends)
     offsets = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
     first = np.searchsorted(starts, offsets)
-    if spans:
-        return hashes, first, starts, np.concatenate([e for _, e in where]), joined
-    return hashes, first
+    return (hashes, first, starts, ends, joined) if spans else (hashes, first)
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

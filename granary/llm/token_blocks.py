@@ -6,8 +6,8 @@ Documents are range-partitioned and sorted by doc_id; each task cuts its run
 into blocks of whole documents, about ``block_tokens`` ids each. A block is
 coded on its own by interleaved coders: lane j holds ids j, j + lanes, ... and
 all lanes share one stream of 32-bit words. A block carries a CRC-32 of its
-ids and checkpoints (stream place and lane states), so that decoding can start
-inside it, at several places at once.
+ids and checkpoints (stream place and lane states), from which its stretches
+are decoded side by side, or one of them alone.
 
 Files: Parquet tables ``blocks`` (part, block, n_tokens, doc_ids, lengths,
 data) and ``freq`` (token, freq) under one path.
@@ -21,19 +21,19 @@ document longer than a block has a block to itself.
 from __future__ import annotations
 
 import functools
-import gc
 import os
 import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import scratch, shuffle_parts, slices, stage
+from granary.llm.common import U64, byte_table, scratch, shuffle_parts, slices, span_hashes, stage, word_spans
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -41,10 +41,17 @@ LANES = 4096
 CHECKPOINTS = 4
 BLOCK_TOKENS = 1 << 21
 END_ID = 2
-#: Chunks of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 350_000
+#: Chunks of text whose ids a worker remembers before it starts anew, and how many are coded as one text.
+REMEMBERED = 1_500_000
+AT_ONCE = 1000
+#: Bytes of the longest word that is coded as a chunk.
+LONGEST = 128
+CHUNKS = byte_table(b" \n")
 #: Marks that pre-tokenization never joins with a letter or digit before them.
-MARKS = ".,;:!?*#$%&|"
+IS_MARK = ~byte_table(b".,;:!?*#$%&|")
+IS_ALNUM = ~byte_table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+KIND_STEP = U64(0xD6E8FEB86659FD93)
+FULL = U64((1 << 64) - 1)
 HEAD = struct.Struct("<4sHHQQI")
 MAGIC = b"rANS"
 
@@ -62,127 +69,179 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
     Byte-level pre-tokenization never joins what stands before a space that
-    follows a non-blank, nor what stands before a line feed between non-blanks.
-    So a text whose blanks are single spaces and line feeds is coded chunk by
-    chunk; any other text is coded whole. Chunks not yet known are coded side
-    by side as one text, whose ids are dealt out again by their byte lengths;
-    the memory of chunks is bounded. With ``literal`` special tokens in a text
-    are coded as ordinary pieces; else as the library does by default, and a
-    text that holds an added token's content is coded whole.
+    follows a non-blank, nor what stands before a line feed between non-blanks,
+    nor marks with a letter or digit before them. So a text whose blanks are
+    single spaces and line feeds is coded chunk by chunk: a word with the blank
+    that leads it, or the marks behind a word. Chunks are known by a 64-bit
+    hash, their length and their first eight bytes; their ids lie in one array,
+    from which a batch's ids are gathered at once. New chunks are coded side by
+    side as one text, whose ids are dealt out again by their byte lengths; the
+    memory of chunks is bounded. Any other text is coded whole, as are texts
+    that hold an added token's content or a word of more than LONGEST bytes.
     """
 
-    def __init__(self, path: str, literal: bool = True):
+    SPACE, FEED, MARK = 0, 1, 2
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # In a byte-level vocabulary a token has a character for each byte.
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, at in self.tokenizer.get_vocab().items():
             self.bytes_of[at] = len(token)
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.marks = functools.lru_cache(4096)(self._whole)
+        self._forget()
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes() if text else b""
+    def _forget(self) -> None:
+        self.key = np.empty(0, U64)  # ascending; the others are by the same order
+        self.head, self.size = np.empty(0, U64), np.empty(0, np.int64)
+        self.at, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, self.kind)
 
-    def _with_added(self, text: str) -> bytes:
-        self.tokenizer.encode_special_tokens = False
-        try:
-            return self._whole(text)
-        finally:
-            self.tokenizer.encode_special_tokens = True
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], self.kind)
 
     @staticmethod
     def _plain(chunk: str) -> bool:
-        """No blank but the line feed that may lead."""
-        bare = chunk[1:] if chunk[:1] == "\n" else chunk
-        return bare.isalnum() or (len(bare.split()) == 1 and not bare[0].isspace() and not bare[-1].isspace() and "\u180e" not in bare)
-
-    def _learn(self, need: set[str]) -> None:
-        if len(self.known) > REMEMBERED // 2:  # two generations: what is in use moves on
-            self.known, self.older = {}, self.known
-        known = self.known
-        new, ended = need.difference(known), []
-        kept = new.intersection(self.older)
-        known.update(zip(kept, map(self.older.__getitem__, kept)))
-        new.difference_update(kept)
-        for c in new:
-            # Marks behind a letter or digit are coded apart from it.
-            bare = c.rstrip(MARKS)
-            if bare is not c and bare[-1:].isalnum():
-                ended.append((c, bare))
-        new.difference_update([c for c, _ in ended])
-        new.update([bare for _, bare in ended])
-        new = new.difference(known)
-        plain = self._plain
-        good = [c for c in new if c.isalnum() or plain(c)]
-        known.update(dict.fromkeys(new))
-        for at in range(0, len(good), 20_000):
-            names = good[at : at + 20_000]
-            joined = "".join([c if c[0] == "\n" else " " + c for c in names])
-            raw = np.frombuffer(self._whole(joined), self.kind)
-            sizes = map(len, names) if joined.isascii() else [len(c.encode()) for c in names]
-            led = np.fromiter([c[0] != "\n" for c in names], np.int64, len(names))
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[raw]), np.cumsum(np.fromiter(sizes, np.int64, len(names)) + led)) + 1
-            data, cuts = raw.tobytes(), (cuts * self.kind.itemsize).tolist()
-            known.update(zip(names, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
-        for c, bare in ended:
-            start = known[bare]
-            known[c] = None if start is None else start + self.marks(c[len(bare) :])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # many strings and no cycles: collections would only walk them
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        # A text's first chunk is learned behind a line feed, whose id is then left out.
-        split = [f"\n{t}".replace("\n", " \n")[1:].split(" ") for t in texts]
-        self._learn(set().union(*split))
-        known, out = self.known, []
-        for text, chunks in zip(texts, split):
-            if any(a in text for a in self.added):
-                out.append(self._with_added(text))
-                continue
-            found = list(map(known.__getitem__, chunks))
-            out.append(self._whole(text) if None in found else b"".join(found)[self.kind.itemsize :])
-        return out
+        """No blank of any kind inside."""
+        return chunk.isalnum() or (len(chunk.split()) == 1 and not chunk[0].isspace() and not chunk[-1].isspace() and "\u180e" not in chunk)
+
+    def _learn(self, joined: bytes, start: np.ndarray, end: np.ndarray, kind: np.ndarray, key: np.ndarray, head: np.ndarray) -> None:
+        """Code new chunks; those that must not be coded apart get no ids."""
+        if len(self.key) > REMEMBERED:
+            self._forget()
+        names = [joined[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+        n, parts = np.zeros(len(names), np.int64), []
+        marks = np.flatnonzero(kind == self.MARK)
+        led = np.flatnonzero(kind != self.MARK)
+        led = led[np.fromiter((self._plain(names[k]) for k in led), bool, len(led))]
+        for a in range(0, len(led), AT_ONCE):
+            own = led[a : a + AT_ONCE]
+            ids = self.whole("".join([("\n" if kind[k] == self.FEED else " ") + names[k] for k in own]))
+            ends = np.cumsum((end - start)[own] + 1)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            n[own] = np.diff(cuts, prepend=0)
+            parts.append(ids)
+        for k in marks:
+            parts.append(self.whole(names[k]))
+            n[k] = len(parts[-1])
+        order = np.concatenate([led, marks])
+        at = np.zeros(len(names), np.int64)
+        at[order] = len(self.pool) + np.cumsum(n[order]) - n[order]
+        self.pool = np.concatenate([self.pool, *parts])
+        into = np.searchsorted(self.key, key)
+        for name, values in (("key", key), ("head", head), ("size", end - start), ("at", at), ("n", n)):
+            setattr(self, name, np.insert(getattr(self, name), into, values))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text (UTF-8)."""
+        joined = b"\n" + b"\n".join([*texts, b""]) + bytes(8)
+        buf = np.frombuffer(joined, np.uint8)[: len(joined) - 8]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_start = 1 + np.cumsum(sizes + 1) - sizes - 1
+        start, end = word_spans(buf, CHUNKS)
+        first = np.searchsorted(start, np.append(text_start, len(buf)))
+        alone = np.zeros(len(texts) + 1, bool)  # to be coded whole; one entry more for what is in no text
+        n_words = np.diff(first)
+        some = np.flatnonzero(n_words)
+        text = np.repeat(np.arange(len(texts)), n_words)
+        alone[:-1] = (n_words == 0) & (sizes > 0)
+        alone[some] |= (start[first[some]] != text_start[some]) | (end[first[some + 1] - 1] != text_start[some] + sizes[some])
+        wide = (start[1:] - end[:-1] > 1) & (text[1:] == text[:-1])
+        alone[text[1:][wide]] = True
+        alone[text[end - start > LONGEST]] = True
+        for content in self.added:
+            at = joined.find(content)
+            while at >= 0:
+                alone[np.searchsorted(text_start, at, side="right") - 1] = True
+                at = joined.find(content, at + 1)
+
+        # Marks behind an ASCII letter or digit are chunks of their own.
+        bare = end.copy()
+        more = np.flatnonzero(IS_MARK[buf[end - 1]])
+        while len(more):
+            bare[more] -= 1
+            more = more[(bare[more] > start[more])]
+            more = more[IS_MARK[buf[bare[more] - 1]]]
+        cut = (bare < end) & (bare > start) & IS_ALNUM[buf[bare - 1]]
+        place = np.arange(len(start)) + np.cumsum(cut) - cut
+        total = len(start) + int(cut.sum())
+        a, b, kind = np.empty(total, np.int64), np.empty(total, np.int64), np.full(total, self.MARK)
+        a[place], b[place] = start, np.where(cut, bare, end)
+        kind[place] = np.where(buf[start - 1] == 10, self.FEED, self.SPACE)
+        a[place[cut] + 1], b[place[cut] + 1] = bare[cut], end[cut]
+
+        size = b - a
+        key = span_hashes(buf, a, b) + kind.astype(U64) * KIND_STEP
+        head = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))[a] & (FULL >> (U64(8) * (U64(8) - np.minimum(size, 8).astype(U64))))
+        code, distinct = pd.factorize(key)
+        sample = np.empty(len(distinct), np.int64)
+        sample[code[::-1]] = np.arange(total - 1, -1, -1)
+        known = np.searchsorted(self.key, distinct)
+        new = np.append(self.key, FULL)[known] != distinct
+        new[known == len(self.key)] = True
+        if new.any():
+            if len(self.key) > REMEMBERED:
+                new[:] = True
+            own = sample[new][np.argsort(distinct[new])]
+            self._learn(joined, a[own], b[own], kind[own], key[own], head[own])
+            known = np.searchsorted(self.key, distinct)
+        row = known[code]
+        n = self.n[row]
+        piece_first = np.append(place, total)[first]
+        odd = (n == 0) | (self.head[row] != head) | (self.size[row] != size)
+        if odd.any():
+            alone[np.searchsorted(piece_first, np.flatnonzero(odd), side="right") - 1] = True
+        until = np.cumsum(n)
+        took = np.repeat(self.at[row] - until + n, n)
+        took += np.arange(len(took))
+        ids = self.pool[took]
+        cuts = np.append(0, until)[piece_first].tolist()
+        # A text's first word is coded behind a line feed, whose id is left out.
+        return [self.whole(t.decode()) if w else ids[x + 1 : y] for t, w, x, y in zip(texts, alone, cuts, cuts[1:])]
 
 
 @functools.lru_cache(1)
-def _encoder(path: str, literal: bool) -> ChunkEncoder:
+def _encoder(path: str) -> ChunkEncoder:
     """One encoder for all tasks that a worker process runs."""
-    return ChunkEncoder(path, literal)
+    return ChunkEncoder(path)
+
 
+def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """doc_id, n_tokens, ids, counts.
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, literal: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids: zstd of the ids (with the end id) as little-endian numbers."""
+    ``ids``: zstd of the ids (with the end id) as little-endian numbers. A
+    task's last row has no document, but ``counts``: how often each id occurs
+    in the task's documents, as zstd of little-endian 64-bit numbers by id.
+    """
 
     def run(batches):
-        coder = _encoder(tokenizer or default_tokenizer(), literal)
+        coder = _encoder(tokenizer or default_tokenizer())
         pack = zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], coder.kind).tobytes()
-        width = np.dtype(coder.kind).itemsize
+        total = np.zeros(max(len(coder.bytes_of), end_id + 1), np.int64)
+        none = {"doc_id": pa.nulls(1, pa.int64()), "n_tokens": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary())}
         for batch in batches:
-            for at, to, texts in slices(batch, "text", 2 << 20):
-                raw = [x + end for x in coder.encode([t.decode() for t in texts])]
+            for at, to, texts in slices(batch, "text"):
+                found = coder.encode(texts)
+                seen = np.bincount(np.concatenate(found)) if found else total[:0]
+                total[: len(seen)] += seen
+                total[end_id] += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, to - at),
-                        pa.array([len(x) // width for x in raw], pa.int64()),
-                        pa.array([pack.compress(x) for x in raw], pa.binary()),
+                        pa.array([len(x) + 1 for x in found], pa.int64()),
+                        pa.array([pack.compress(x.tobytes() + end) for x in found], pa.binary()),
+                        pa.nulls(to - at, pa.binary()),
                     ],
-                    ["doc_id", "n_tokens", "ids"],
+                    ["doc_id", "n_tokens", "ids", "counts"],
                 )
+        yield pa.RecordBatch.from_pydict(none | {"counts": pa.array([pack.compress(total.tobytes())], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _ids(blob: bytes, n: int) -> np.ndarray:
@@ -194,21 +253,19 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
-    """token, n: how often each id occurs in all documents."""
+    """token, n: how often each id occurs in all documents, from the rows with ``counts`` alone."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            sizes, blobs = batch.column("n_tokens").to_pylist(), batch.column("ids")
-            for at in range(0, len(sizes), 512):
-                seen = np.bincount(np.concatenate([_ids(blobs[k].as_py(), sizes[k]) for k in range(at, min(at + 512, len(sizes)))]))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
+            for blob in batch.column("counts").to_pylist():
+                seen = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
+                total = total + seen if len(total) else seen
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at], pa.int64())], ["token", "n"])
 
-    return tokens.select("n_tokens", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = tokens.where("counts is not null").select("counts")
+    return rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def scale_counts(tokens: np.ndarray, counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -268,35 +325,52 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, checkpoints:
     return HEAD.pack(MAGIC, lanes, len(marks), n, emitted, zlib.crc32(ids.astype("<u4").tobytes())) + body + stream.tobytes()
 
 
-def decode_from(data: bytes, table: Table, mark: int, until: int | None = None) -> np.ndarray:
-    """The ids from a checkpoint up to checkpoint ``until`` (or the block's end)."""
+def decode_marks(data: bytes, table: Table, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The ids from checkpoint ``low`` to checkpoint ``high`` (or the block's end).
+
+    Each checkpoint starts a stretch of its own; all stretches are decoded side by side.
+    """
     _, lanes, marks, n, n_words, _ = HEAD.unpack_from(data)
     size = 16 + 8 * lanes
-    place = HEAD.size + mark * size
-    step, at = struct.unpack_from("<QQ", data, place)
-    state = np.frombuffer(data, np.uint64, lanes, place + 16).copy()
     words = np.frombuffer(data, np.uint32, n_words, HEAD.size + marks * size)
-    last = -(-n // lanes) if until is None else struct.unpack_from("<Q", data, HEAD.size + until * size)[0]
-    out = np.empty(min(last * lanes, n) - step * lanes, np.uint32)
+    heads = [struct.unpack_from("<QQ", data, HEAD.size + m * size) for m in range(marks)]
+    high = marks if high is None else high
+    state = np.array([np.frombuffer(data, np.uint64, lanes, HEAD.size + m * size + 16) for m in range(low, high)])
+    at = np.array([heads[m][1] for m in range(low, high)])
+    bounds = [*(t for t, _ in heads), -(-n // lanes)]
+    first, lengths = bounds[low], np.diff(bounds[low : high + 1])
+    out = np.zeros((int(lengths.sum()), lanes), np.uint32)
+    row = np.array(bounds[low:high]) - first
+    last = n - (bounds[-1] - 1) * lanes  # lanes in use at the block's last step
     mask = np.uint64((1 << SCALE) - 1)
-    for t in range(step, last):
-        a, b = t * lanes, min((t + 1) * lanes, n)
-        x = state[: b - a]
+    for t in range(int(lengths.max())):
+        k = int((lengths > t).sum())  # only the last stretch may be shorter than the others
+        short = high == marks and t == lengths[-1] - 1 and last < lanes
+        x = state[:k]
         slot = x & mask
         ids = table.slot[slot]
-        out[a - step * lanes : b - step * lanes] = ids
-        x[:] = table.freq[ids] * (x >> np.uint64(SCALE)) + slot - table.base[ids]
-        under = np.flatnonzero(x < LOW)
-        x[under] = (x[under] << np.uint64(32)) | words[at : at + len(under)]
-        at += len(under)
-    if until is None and (state != LOW).any():
+        y = table.freq[ids] * (x >> np.uint64(SCALE)) + slot - table.base[ids]
+        under = y < LOW
+        if short:
+            under[-1, last:] = False
+        taken = under.sum(1)
+        rank = np.cumsum(under, 1)[under] - 1 + np.repeat(at, [*taken, *[0] * (len(at) - k)])
+        if len(rank) and rank.max() >= n_words:
+            raise ValueError("a block of token ids ends too early")
+        y[under] = (y[under] << np.uint64(32)) | words[rank]
+        if short:
+            y[-1, last:] = x[-1, last:]
+        state[:k] = y
+        out[row[:k] + t] = ids
+        at[:k] += taken
+    if high == marks and (state[-1] != LOW).any():
         raise ValueError("a block of token ids does not end as it began")
-    return out
+    return out.ravel()[: min(bounds[high] * lanes, n) - first * lanes]
 
 
 def decode_block(data: bytes, table: Table) -> np.ndarray:
     magic, _, _, n, _, crc = HEAD.unpack_from(data)
-    ids = decode_from(data, table, 0) if n else np.empty(0, np.uint32)
+    ids = decode_marks(data, table) if n else np.empty(0, np.uint32)
     if magic != MAGIC or zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a block of token ids is damaged")
     return ids
@@ -312,13 +386,10 @@ def _table(freq_rows) -> Table:
     return Table(freq)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS, literal: bool = True) -> None:
-    """Tokenize ``docs`` (doc_id, text) and write their ids, in ascending doc_id order, under ``path``.
-
-    ``literal``: special tokens that a text holds are coded as ordinary pieces, not as their ids.
-    """
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
+    """Tokenize ``docs`` (doc_id, text) and write their ids, in ascending doc_id order, under ``path``."""
     spark = docs.sparkSession
-    tokens = stage(tokenize(docs, tokenizer, literal=literal), "tokens")
+    tokens = stage(tokenize(docs, tokenizer), "tokens")
     # The vocabulary bounds these rows.
     counts = count_ids(tokens).orderBy("token").collect()
     freq = scale_counts(np.array([r["token"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64))
@@ -347,7 +418,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, block_tokens
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    ordered = tokens.where("ids is not null").drop("counts").repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
     schema = "part int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
     ordered.mapInArrow(cut, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -396,7 +467,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_token_blocks(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-blocks")
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, literal=False)
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read(spark, path)
 
 
