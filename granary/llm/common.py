@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,14 +138,17 @@ def hash_words(texts: list[bytes], words: np.ndarray = BLANK_WORDS, fold: np.nda
     return (hashes, first, starts, ends, joined) if spans else (hashes, first)
 
 
-def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of ``size`` words; entry i starts at word i."""
+STEP, OTHER_STEP = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
+
+
+def window_hashes(words: np.ndarray, size: int, seed: int = 0, step: np.uint64 = STEP) -> np.ndarray:
+    """Hashes of all runs of ``size`` words; entry i starts at word i. Another ``step`` gives independent ones."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, U64)
     out = np.zeros(n, U64)
     for k in range(size):
-        out *= U64(0xD6E8FEB86659FD93)
+        out *= step
         out += words[k : k + n]
     return mix(out ^ U64(seed))
 
@@ -170,28 +173,35 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
 
 # --- packed shuffles ------------------------------------------------------
 # Many small (key, value) numbers travel as a few binary rows per batch and
-# bucket; Spark shuffles these rows by bucket and each task unpacks its own.
+# bucket; Spark groups these rows by bucket and each bucket is unpacked alone.
+
+#: Packed rows that a bucket should hold on average.
+BUCKET_ROWS = 1 << 18
 
 
-def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket that occurs, its numbers as little-endian binary columns."""
+def pack(bucket: np.ndarray, columns: dict[str, np.ndarray | list[bytes]]) -> pa.RecordBatch:
+    """One row per bucket that occurs, its numbers as little-endian binary columns, its byte strings joined by line feeds."""
     order = np.argsort(bucket, kind="stable")
     at = bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, int)
     ends = [*cuts[1:], len(at)]
-    arrays = [pa.array(at[cuts].astype(np.int32), pa.int32())]
+    arrays = [pa.array(at[cuts].astype(np.int64), pa.int64())]
     for values in columns.values():
-        values = np.ascontiguousarray(values[order])
-        arrays.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()))
+        if isinstance(values, list):
+            values = [values[k] for k in order.tolist()]
+            arrays.append(pa.array([b"\n".join(values[a:b]) for a, b in zip(cuts, ends)], pa.binary()))
+        else:
+            values = np.ascontiguousarray(values[order])
+            arrays.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
 def packed_schema(*names: str) -> str:
-    return "bucket int, " + ", ".join(f"{n} binary" for n in names)
+    return "bucket long, " + ", ".join(f"{n} binary" for n in names)
 
 
 def unpack(batches: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
-    """All numbers of a task's packed rows, joined."""
+    """All numbers of some packed rows, joined."""
     parts: dict[str, list[bytes]] = {n: [] for n in kinds}
     for batch in batches:
         for n in kinds:
@@ -199,9 +209,22 @@ def unpack(batches: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[st
     return {n: np.frombuffer(b"".join(parts[n]), kind) for n, kind in kinds.items()}
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets of a packed shuffle: a few for each shuffle partition."""
-    return 4 * shuffle_parts(spark)
+def bucket_count(spark: SparkSession, rows: int = 0) -> int:
+    """Buckets of a packed shuffle of about so many numbers: a few per shuffle partition, more where the data ask for it."""
+    return max(4 * shuffle_parts(spark), rows // BUCKET_ROWS)
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def per_bucket(packed: DataFrame, run: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the packed rows of one bucket after another; a task holds one bucket at a time."""
+    kinds = pa.schema([(n, ARROW[k]) for n, k in (c.split() for c in schema.split(", "))])
+
+    def whole(table):
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=kinds) for b in run(table.to_batches())], kinds)
+
+    return packed.groupBy("bucket").applyInArrow(whole, schema)
 
 
 def text_columns(docs: DataFrame, *names: str) -> DataFrame:

@@ -252,7 +252,7 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [1 << 14, 2])
+@pytest.mark.parametrize("group_rows", [1 << 14, 40, 2])
 def test_substring_dedup(spark, group_rows):
     rng = random.Random(7)
     passages = [invented(rng, rng.randrange(18, 70)) for _ in range(5)]
@@ -270,11 +270,43 @@ def test_substring_dedup(spark, group_rows):
     assert got == brute_substrings(rows)
 
 
+def test_substring_repeats_are_maximal(spark):
+    rng = random.Random(4)
+    passage, own = invented(rng, 130, 10**6), [invented(rng, 30, 10**6) for _ in range(4)]
+    rows = [(1, passage), (2, own[0] + passage[7:90] + own[1]), (3, own[2] + passage[100:119] + own[3] + passage[5:25])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["repeats"] for r in substring_dedup.dedup(df).collect()}
+    assert got == {1: [], 2: [[30, 83]], 3: [[79, 20]]}
+
+
+def test_suffix_groups_stay_under_their_bound(spark):
+    rng = random.Random(6)
+    stem = invented(rng, 24, 10**6)
+    rows = [(d, " ".join(invented(rng, 3, 10**6) + stem[d % 3 : 12 + d % 12] + invented(rng, 12, 8) + invented(rng, 6, 10**6))) for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = substring_dedup._rows(df)
+    places = substring_dedup.repeated_anchors(docs, 10_000)
+    keyed = substring_dedup.outline(docs).select("void", "oid", "key_a").join(docs.select("void", "oid", "text"), ["void", "oid"]).join(places, "key_a")
+    chosen = common.stage(substring_dedup._chosen(keyed, 16), "chosen")
+    long = substring_dedup.split_groups(chosen, 30, 16)
+    assert len({len(substring_dedup.HALVES[k]) for k in long}) and max(long) > 2  # prefixes of at least three lengths
+    texts = [(r["text"].encode(), np.array(r["places"])) for r in chosen.where("text is not null").collect()]
+    own = substring_dedup._Suffixes([t for t, _ in texts], [p for _, p in texts])
+    sizes = collections.Counter(g for _, _, group, whole in own.groups(long, 16) if not whole for g in group.tolist())
+    assert sizes and max(sizes.values()) <= 30
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(df, 30).collect()}
+    assert got == brute_substrings(rows)
+
+
 def test_substring_dedup_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(df).collect())
     assert got == [("1", 30, 0), ("1", 30, 0), ("None", 0, 0), ("None", 30, 30)]
+    rows = [(None, text), (None, f"a {text} b"), (None, f"c {text} d"), ((1 << 63) - 1, f"e {text}"), (1, f"f {text} g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(df).collect())
+    assert got == [("1", 32, 0), ("9223372036854775807", 31, 30), ("None", 30, 30), ("None", 32, 30), ("None", 32, 30)]
     assert not substring_dedup.dedup(df.limit(0)).collect()
 
 
