@@ -47,6 +47,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, void (no doc_id), oid: rows without doc_id are told by their text, and come last in the order of (void, oid)."""
+    return docs.select("doc_id", "text", F.col("doc_id").isNull().alias("void"), F.coalesce("doc_id", F.xxhash64("text")).alias("oid"))
+
+
+def in_runs(values: np.ndarray) -> np.ndarray:
+    """Which of some sorted values occur twice or more."""
+    same = values[1:] == values[:-1]
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(values) else np.empty(0, bool)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,8 +11,9 @@ a pair must pass under each:
 2. By rarity among the documents that are left, rarest first. Tokens of one
    document take up prefix places but are not indexed. Pairs come from this
    index, if from their token on both sets have enough tokens left.
-3. By hash, descending; checked, with order 1, pair by pair before the sets
-   are compared in full.
+3. By hash, descending. A pair from order 2 stays a candidate only if the two
+   sets' prefixes under order 1 and those under order 3 meet too; prefixes
+   travel as 32-bit numbers, so this filter comes before any text is fetched.
 
 Documents with equal sets are one. Of the documents under an index token only
 the one chosen as pivot is compared with the others; links found so join into
@@ -26,20 +27,25 @@ many other documents each one is similar to.
 Sets stand as 64-bit hashes of shingles, and documents with equal sets are told
 by a 64-bit hash of the set.
 
+A token that many sets of a batch hold goes on as one row that says so, and is
+joined in several salted parts, so that a hot token is not one task's work.
+
 Defined results: null, empty and blank texts have an empty set and link with
-nothing; rows with equal doc_ids are documents of their own; a null doc_id
-ranks last as component id; an empty table gives no rows; other columns play
+nothing; rows with equal doc_ids are documents of their own; rows without
+doc_id rank last, and a component of such rows alone has no id; an empty table gives no rows; other columns play
 no part. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from granary.llm.common import LOWER, U64, bucket_count, hash_words, mix, pack, packed_schema, shuffle_parts, slices, stage, unpack, window_hashes
+from granary.llm.common import LOWER, U64, bucket_count, hash_words, identified, in_runs, mix, pack, packed_schema, per_bucket, slices, stage, unpack, window_hashes
 from granary.llm.components import joined_components
 
 SIZE = 5
@@ -47,7 +53,9 @@ SIZE = 5
 PERCENT = 75
 EXTRA = 0.1
 PIVOT_ROUNDS = 2
-LAST = (1 << 63) - 1
+#: Sets with a token from which its frequency counts no further, and parts in which such a token is joined.
+OFTEN = 64
+SALTS = 32
 #: Sets that meet in one cell of a token, and sets to a row of the grid in which all links are verified.
 CELL_SETS = 2000
 BLOCK_SETS = 4000
@@ -90,19 +98,20 @@ def extra_shared(n: int) -> int:
     return max(1, int(EXTRA * least_shared(n)))
 
 
-def outline(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (hash of the set)."""
+def outline(rows: DataFrame) -> DataFrame:
+    """doc_id, void, oid, n (set size), key (hash of the set)."""
 
     def run(batches):
         for batch in batches:
             for at, to, texts in slices(batch, "text"):
                 sets = shingle_sets(texts)
+                ids = [batch.column(n).slice(at, to - at) for n in ("doc_id", "void", "oid")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
-                    ["doc_id", "n", "key"],
+                    [*ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
+                    ["doc_id", "void", "oid", "n", "key"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long")
+    return rows.mapInArrow(run, "doc_id long, void boolean, oid long, n long, key long")
 
 
 # Tokens and keys travel as their upper 48 bits where a chance collision only
@@ -128,32 +137,56 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
 
 
-def shared_prefixes(docs: DataFrame) -> DataFrame:
-    """key (upper 48 bits), n_shared: how many of a set's prefix tokens of order 1 are in other sets' prefixes."""
+def shared_prefixes(docs: DataFrame, n_tokens: int) -> DataFrame:
+    """short (upper 48 bits of key), n_shared: how many of a set's prefix tokens of order 1 are in other sets' prefixes.
+
+    Tokens that several sets of a batch hold are counted there; of each of them
+    one row goes on to tell other batches. Counts of copies of a set may come
+    out larger, never smaller.
+    """
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, int((1 - PERCENT / 100 + EXTRA) * n_tokens))
+    totals = bucket_count(spark, n_tokens // 500)
 
     def run(batches):
         for batch in batches:
             for _, _, texts in slices(batch, "text"):
                 sets = {set_key(s): s[: extra_length(len(s))] for s in shingle_sets(texts) if len(s)}
-                if sets:
-                    tokens = np.concatenate(list(sets.values()))
-                    keys = np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()])
-                    yield pack(((tokens >> U64(16)) % U64(buckets)).astype(np.int64), _short(tokens, "token") | _short(keys, "key"))
+                if not sets:
+                    continue
+                tokens = np.concatenate(list(sets.values())) >> U64(16)
+                keys = np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()])
+                order = np.argsort(tokens, kind="stable")
+                tokens, keys = tokens[order], keys[order]
+                told = in_runs(tokens)
+                ask = ~told | np.concatenate([[True], tokens[1:] != tokens[:-1]])
+                rows = _short(tokens[ask] << U64(16), "token") | _short(keys[ask], "key") | {"told": told[ask].astype(np.uint8)}
+                yield pack((tokens[ask] % U64(buckets)).astype(np.int64), rows)
+                if told.any():  # below zero: counted already; ``told`` has the count's bytes
+                    key, n = np.unique(keys[told], return_counts=True)
+                    short = key.view(U64) >> U64(16)
+                    none = np.zeros(len(key), np.uint64)
+                    yield pack(-1 - (short % U64(totals)).astype(np.int64), _short(none, "token") | _short(key, "key") | {"told": n.astype("<u4")})
 
     def count(batches):
-        got = unpack(batches, SHORT)
-        token, key = _long(got, "token"), _long(got, "key")
-        order = np.lexsort((key, token))
-        token, key = token[order], key[order]
-        if not len(token):
+        if batches[0].column("bucket")[0].as_py() < 0:
+            got = unpack(batches, {**SHORT, "told": np.uint32})
+            key, n = _long(got, "key"), got["told"]
+            order = np.lexsort((n, key))
+            key, n = key[order], n[order]
+            last = np.concatenate([key[1:] != key[:-1], [True]])  # of a set's copies in several batches the most
+            yield pack((key[last] % U64(totals)).astype(np.int64), {"key": key[last], "n": n[last]})
             return
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key = token[new], key[new]
-        same = token[1:] == token[:-1]
-        shared, n = np.unique(key[np.concatenate([same, [False]]) | np.concatenate([[False], same])], return_counts=True)
-        yield pack((shared % U64(buckets)).astype(np.int64), {"key": shared, "n": n.astype(np.uint32)})
+        got = unpack(batches, {**SHORT, "told": np.uint8})
+        token, key, told = _long(got, "token"), _long(got, "key"), got["told"]
+        order = np.lexsort((told, key, token))
+        token, key, told = token[order], key[order], told[order]
+        stay = np.concatenate([(token[1:] != token[:-1]) | (key[1:] != key[:-1]), [True]])
+        token, key, told = token[stay], key[stay], told[stay]
+        shared = (in_runs(token) | np.isin(token, token[told == 1])) & (told == 0)
+        shared, n = np.unique(key[shared], return_counts=True)
+        if len(shared):
+            yield pack((shared % U64(totals)).astype(np.int64), {"key": shared, "n": n.astype(np.uint32)})
 
     def total(batches):
         got = unpack(batches, {"key": np.uint64, "n": np.uint32})
@@ -161,64 +194,92 @@ def shared_prefixes(docs: DataFrame) -> DataFrame:
         n = np.bincount(place, got["n"], len(key)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["short", "n_shared"])
 
-    parts = shuffle_parts(spark)
-    packed = docs.select("text").mapInArrow(run, packed_schema(*SHORT))
-    counted = packed.repartition(parts, "bucket").mapInArrow(count, packed_schema("key", "n"))
-    return counted.repartition(parts, "bucket").mapInArrow(total, "short long, n_shared long")
+    packed = docs.select("text").mapInArrow(run, packed_schema(*SHORT, "told"))
+    counted = per_bucket(packed, count, packed_schema("key", "n"))
+    return per_bucket(counted, total, "short long, n_shared long")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n, text of the sets in ``wanted`` (oid, key, n)."""
+def _numbers(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype(np.uint32).view(np.int32)
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for _, _, texts in slices(batch, "text"):
-                keep += [set_key(s) for s in shingle_sets(texts)]
-            yield batch.filter(pa.array(np.array(keep, np.int64) == batch.column("key").to_numpy()))
-
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("oid"), "text")
-    found = texts.join(wanted.hint("shuffle_hash"), "oid").select("key", "n", "text")
-    return found.mapInArrow(run, "key long, n long, text string")
 
+def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n, text, lowest, highest of the sets in ``wanted`` (void, oid, key, n).
 
-def rarity_index(kept: DataFrame) -> DataFrame:
-    """token (upper 48 bits), key, n, left: prefix tokens of order 2 that several sets hold.
+    ``lowest`` and ``highest``: the set's prefixes under orders 1 and 3, as the tokens' low 32 bits.
+    """
+    prefix = pa.list_(pa.int32())
 
-    ``left`` counts the set's tokens from this one on in that order.
+    def run(batches):
+        for batch in batches:
+            keep, lowest, highest = [], [], []
+            wanted = batch.column("key").to_pylist()
+            for _, _, texts in slices(batch, "text"):
+                for tokens in shingle_sets(texts):
+                    keep.append(set_key(tokens) == wanted[len(keep)])
+                    if keep[-1]:
+                        p = prefix_length(len(tokens))
+                        lowest.append(_numbers(tokens[:p]))
+                        highest.append(_numbers(tokens[-p:]))
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            arrays = [*(part.column(n) for n in ("key", "n", "text")), pa.array(lowest, prefix), pa.array(highest, prefix)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "text", "lowest", "highest"])
+
+    found = rows.select("void", "oid", "text").join(wanted.hint("shuffle_hash"), ["void", "oid"]).select("key", "n", "text")
+    return found.mapInArrow(run, "key long, n long, text string, lowest array<int>, highest array<int>")
+
+
+def rarity_index(kept: DataFrame, n_tokens: int) -> DataFrame:
+    """token (upper 48 bits), key, n, left, hot: prefix tokens of order 2 that several sets hold.
+
+    ``left`` counts the set's tokens from this one on in that order; ``hot``
+    tokens are those of OFTEN sets or more, whose order goes by hash. Tokens of
+    OFTEN sets in a batch are known to be hot there.
     """
     spark = kept.sparkSession
-    buckets, parts = bucket_count(spark), shuffle_parts(spark)
+    buckets = bucket_count(spark, n_tokens)
+    sent = {"token_lo": np.uint32, "token_hi": np.uint16, "key": np.int64, "n": np.uint32, "often": np.uint8}
 
     def tokens(batches):
         for batch in batches:
             for at, to, texts in slices(batch, "text"):
-                keys = batch.column("key").slice(at, to - at).to_numpy()
                 sets = shingle_sets(texts)
                 sizes = [len(s) for s in sets]
-                token = np.concatenate(sets)
-                rows = _short(token, "token") | {"key": np.repeat(keys, sizes), "n": np.repeat(np.array(sizes, np.uint32), sizes)}
-                yield pack(((token >> U64(16)) % U64(buckets)).astype(np.int64), rows)
-
-    sent = {"token_lo": np.uint32, "token_hi": np.uint16, "key": np.int64, "n": np.uint32}
+                token = np.concatenate(sets) >> U64(16)
+                key = np.repeat(batch.column("key").slice(at, to - at).to_numpy(), sizes)
+                n = np.repeat(np.array(sizes, np.uint32), sizes)
+                order = np.argsort(token, kind="stable")
+                token, key, n = token[order], key[order], n[order]
+                cuts = _runs(token)
+                often = np.repeat(np.minimum(np.diff(cuts), OFTEN), np.diff(cuts)).astype(np.uint8)
+                hot = often == OFTEN
+                ask = ~hot
+                ask[cuts[:-1]] = True
+                rows = lambda own: _short(token[own] << U64(16), "token") | {"key": key[own], "n": n[own], "often": np.where(hot[own], OFTEN, 0).astype(np.uint8)}  # noqa: E731, B023
+                yield pack((token[ask] % U64(buckets)).astype(np.int64), rows(ask))
+                if hot.any():
+                    yield pack(-1 - (key[hot].view(U64) % U64(buckets)).astype(np.int64), rows(hot))
 
     def rate(batches):
         got = unpack(batches, sent)
-        token = _long(got, "token")
-        order = np.lexsort((got["key"], token))
-        token, key, n = token[order], got["key"][order], got["n"][order]
-        cuts = _runs(token)
-        often = np.repeat(np.diff(cuts), np.diff(cuts))
-        keep = often > 1
-        token, key, n, often = token[keep], key[keep], n[keep], often[keep]
+        token, key, n, often = _long(got, "token"), got["key"], got["n"], got["often"]
+        if batches[0].column("bucket")[0].as_py() >= 0:
+            order = np.lexsort((key, token))
+            token, key, n, often = token[order], key[order], n[order], often[order]
+            cuts = _runs(token)
+            sizes = np.diff(cuts)
+            told = np.isin(token, token[often == OFTEN])
+            most = np.where(told, OFTEN, np.minimum(np.repeat(sizes, sizes), OFTEN))
+            keep = (most > 1) & (often != OFTEN)
+            token, key, n, often = token[keep], key[keep], n[keep], most[keep].astype(np.uint8)
         if len(token):
-            yield pack((key.view(U64) % U64(buckets)).astype(np.int64), _short(token << U64(16), "token") | {"key": key, "n": n, "often": often.astype(np.uint32)})
+            yield pack((key.view(U64) % U64(buckets)).astype(np.int64), _short(token << U64(16), "token") | {"key": key, "n": n, "often": often})
 
     def choose(batches):
-        got = unpack(batches, sent | {"often": np.uint32})
+        got = unpack(batches, sent)
         token = _long(got, "token")
         order = np.lexsort((token, got["often"], got["key"]))
-        token, key, n = token[order], got["key"][order], got["n"][order].astype(np.int64)
+        token, key, n, often = token[order], got["key"][order], got["n"][order].astype(np.int64), got["often"][order]
         cuts = _runs(key)
         sizes = np.diff(cuts)
         rank = np.arange(len(key)) - np.repeat(cuts[:-1], sizes)
@@ -226,11 +287,21 @@ def rarity_index(kept: DataFrame) -> DataFrame:
         room = n - least_shared(n) + 1 - (n - np.repeat(sizes, sizes))
         keep = rank < room
         left = np.repeat(sizes, sizes) - rank
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), *(pa.array(v[keep]) for v in (key, n, left))], ["token", "key", "n", "left"])
+        cols = [token[keep].view(np.int64), *(v[keep].astype(np.int64) for v in (key, n, left, often == OFTEN))]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["token", "key", "n", "left", "hot"])
+
+    first = kept.select("key", "text").mapInArrow(tokens, packed_schema(*sent))
+    second = per_bucket(first, rate, packed_schema(*sent))
+    chosen = per_bucket(second, choose, "token long, key long, n long, left long, hot long")
+    return chosen.withColumn("hot", F.col("hot") == 1)
 
-    first = kept.mapInArrow(tokens, packed_schema(*sent))
-    second = first.repartition(parts, "bucket").mapInArrow(rate, packed_schema(*sent, "often"))
-    return second.repartition(parts, "bucket").mapInArrow(choose, "token long, key long, n long, left long")
+
+def candidates(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """a, b of the pairs whose prefixes under orders 1 and 3 meet as well."""
+    own = kept.select("key", "lowest", "highest")
+    with_a = pairs.join(own.toDF("a", "lowest_a", "highest_a"), "a")
+    both = with_a.join(own.toDF("b", "lowest_b", "highest_b"), "b")
+    return both.where(F.arrays_overlap("lowest_a", "lowest_b") & F.arrays_overlap("highest_a", "highest_b")).select("a", "b")
 
 
 def verify(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -241,8 +312,7 @@ def verify(pairs: DataFrame, kept: DataFrame) -> DataFrame:
             hits = []
             for at, to, left in slices(batch, "text_a"):
                 right = [t.as_py() for t in batch.column("text_b").slice(at, to - at).cast(pa.large_string()).cast(pa.large_binary())]
-                for k, (x, y) in enumerate(zip(shingle_sets(left), shingle_sets(right)), at):
-                    hits.append(similar(x, y))
+                hits += map(similar, shingle_sets(left), shingle_sets(right))
             mask = pa.array(hits, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -252,10 +322,7 @@ def verify(pairs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold; the prefixes under orders 1 and 3 must meet first."""
-    p, q = prefix_length(len(x)), prefix_length(len(y))
-    if not len(np.intersect1d(x[:p], y[:q], True)) or not len(np.intersect1d(x[-p:], y[-q:], True)):
-        return False
+    """Whether two sets of distinct tokens reach the threshold."""
     inter = len(np.intersect1d(x, y, True))
     return 100 * inter >= PERCENT * (len(x) + len(y) - inter)
 
@@ -272,6 +339,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _salt(index: DataFrame) -> DataFrame:
+    return index.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
+
+
+def _each_salt(tokens: DataFrame) -> DataFrame:
+    """A row for each part in which a token is joined; hot ones have several."""
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return tokens.withColumn("salt", F.explode(parts)).drop("hot")
+
+
 def pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
     """a, b: each token's pivot with the token's other documents of other components.
 
@@ -281,39 +358,35 @@ def pivot_pairs(index: DataFrame, seed: int) -> DataFrame:
     """
     order = 1 - F.col("left") / F.col("n") if seed == 0 else F.xxhash64(F.lit(seed), "key")
     pivot = index.groupBy("token").agg(
-        F.min(F.struct(order.alias("order"), F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))).alias("pivot")
+        F.min(F.struct(order.alias("order"), F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))).alias("pivot"),
+        F.max("hot").alias("hot"),
     )
-    pairs = index.join(pivot, "token").select(F.col("key").alias("y"), "n", "left", "component", "pivot.x", "pivot.n_x", "pivot.left_x", "pivot.c_x")
+    pairs = _salt(index).join(_each_salt(pivot), ["token", "salt"])
+    pairs = pairs.select(F.col("key").alias("y"), "n", "left", "component", "pivot.x", "pivot.n_x", "pivot.left_x", "pivot.c_x")
     return _ordered(pairs.where((F.col("component") != F.col("c_x")) & _fits("n", "left", "n_x", "left_x")))
 
 
 def open_tokens(index: DataFrame, labels: DataFrame) -> DataFrame:
     """The index with its documents' components, of tokens that hold several components."""
     labelled = index.drop("component").join(labels.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    many = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    return labelled.join(many, "token")
-
-
-def cross_pairs(index: DataFrame) -> DataFrame:
-    """a, b: all pairs under a token that are in different components and fit in size."""
-    left = index.select("token", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))
-    right = index.select("token", F.col("key").alias("y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"), F.col("component").alias("c_y"))
-    pairs = left.join(right, "token").where((F.col("c_x") < F.col("c_y")) & _fits("n_x", "left_x", "n_y", "left_y"))
-    return _ordered(pairs)
+    many = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("hot").alias("hot"))
+    many = many.where("low != high").select("token", "hot")
+    return _salt(labelled).join(_each_salt(many), ["token", "salt"]).drop("salt")
 
 
 def indexed(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets that pass order 1, with their texts, and their index under order 2; ``sets`` has oid, key, n of each distinct set."""
+    """The sets that pass order 1, with their texts, and their index under order 2; ``sets`` has void, oid, key, n of each distinct set."""
+    rows = identified(docs)
     short = F.shiftrightunsigned("key", 16).alias("short")
     need = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(PERCENT * F.col("n") / 100))).cast("long")
-    counted = shared_prefixes(docs)
-    wanted = sets.withColumn("short", short).join(counted, "short").where(F.col("n_shared") >= need).select("oid", "key", "n")
-    kept = stage(fetch(docs, wanted).dropDuplicates(["key"]), "kept")
-    return kept, stage(rarity_index(kept), "index")
+    counted = shared_prefixes(rows, sets.agg(F.sum("n")).first()[0] or 0)
+    wanted = sets.withColumn("short", short).join(counted, "short").where(F.col("n_shared") >= need).select("void", "oid", "key", "n")
+    kept = stage(fetch(rows, wanted).dropDuplicates(["key"]), "kept")
+    return kept, stage(rarity_index(kept, kept.agg(F.sum("n")).first()[0] or 0), "index")
 
 
 def all_pairs(index: DataFrame) -> DataFrame:
-    """a, b: all pairs under a token that fit, each once.
+    """a, b: all pairs under a token that fit, each once; of different components only, where the index has these.
 
     Sets meet in cells of a token and a class of sizes: those of similar sets
     are the same or next to each other. A cell of more than CELL_SETS is dealt
@@ -321,17 +394,23 @@ def all_pairs(index: DataFrame) -> DataFrame:
     """
     # Classes are wider than the ratio of similar sets' sizes, so that rounding plays no part.
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT + 0.01))).cast("int")
-    own = index.select("token", "key", "n", "left", size_class.alias("class"))
+    component = "component" if "component" in index.columns else "key"
+    own = index.select("token", "key", "n", "left", "hot", F.col(component).alias("part"), size_class.alias("class"))
     larger = own.withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
-    cells = larger.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("int").alias("side"))
+    cells = larger.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("int").alias("side"), F.max("hot").alias("hot"))
+    cells = _each_salt(cells)
     place = F.pmod(F.xxhash64("key"), F.col("side")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
-    rows = lambda df, side: df.join(cells, ["token", "class"]).select("token", "class", "side", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "left")), place.alias("own"))
+
+    def rows(df: DataFrame, end: str) -> DataFrame:
+        placed = _salt(df).join(cells, ["token", "class", "salt"])
+        return placed.select("token", "class", "side", *(F.col(c).alias(f"{c}_{end}") for c in ("key", "n", "left", "part")), place.alias("own"))
+
     left = rows(own, "x").withColumnRenamed("own", "i").withColumn("j", every)
     right = rows(larger, "y").withColumnRenamed("own", "j").withColumn("i", every).drop("side")
     met = left.join(right, ["token", "class", "i", "j"])
     later = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
-    fit = met.where(later & _fits("n_x", "left_x", "n_y", "left_y"))
+    fit = met.where(later & (F.col("part_x") != F.col("part_y")) & _fits("n_x", "left_x", "n_y", "left_y"))
     return _ordered(fit.select(F.col("key_x").alias("x"), F.col("key_y").alias("y")))
 
 
@@ -358,13 +437,18 @@ def verify_in_blocks(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return placed.groupBy("i", "j").cogroup(texts.groupBy("row", "column")).applyInArrow(run, "a long, b long")
 
 
+def _outlines(docs: DataFrame) -> DataFrame:
+    return stage(outline(identified(docs)), "outline")
+
+
 def _distinct_sets(outlines: DataFrame) -> DataFrame:
-    return outlines.where("n > 0").groupBy("key", "n").agg(F.min("oid").alias("oid"), F.count(F.lit(1)).alias("members"))
+    sets = outlines.where("n > 0").groupBy("key", "n").agg(F.min(F.struct("void", "oid")).alias("rep"), F.count(F.lit(1)).alias("members"))
+    return stage(sets.select("key", "n", "rep.void", "rep.oid", "members"), "sets")
 
 
 def _all_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     kept, index = indexed(docs, sets)
-    return verify_in_blocks(stage(all_pairs(index), "pairs"), kept)
+    return verify_in_blocks(stage(candidates(all_pairs(index), kept), "pairs"), kept)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -372,17 +456,14 @@ def links(docs: DataFrame) -> DataFrame:
 
     Rows with equal sets are similar to each other too and have one key.
     """
-    docs = docs.select("doc_id", "text")
-    every = outline(docs).withColumn("oid", F.coalesce("doc_id", F.lit(LAST)))
-    return _all_links(docs, _distinct_sets(every).drop("members"))
+    return _all_links(docs, _distinct_sets(_outlines(docs)))
 
 
 def link_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_links for every row: how many other rows it is similar to, those with an equal set included."""
-    docs = docs.select("doc_id", "text")
-    every = stage(outline(docs).withColumn("oid", F.coalesce("doc_id", F.lit(LAST))), "outline")
-    sets = stage(_distinct_sets(every), "sets")
-    found = stage(_all_links(docs, sets.drop("members")), "links")
+    every = _outlines(docs)
+    sets = _distinct_sets(every)
+    found = stage(_all_links(docs, sets), "links")
     both = found.union(found.select("b", "a")).toDF("key", "near")
     members = sets.select(F.col("key").alias("near"), F.col("members").alias("others"))
     others = both.join(members, "near").groupBy("key").agg(F.sum("others").alias("others"))
@@ -392,7 +473,7 @@ def link_counts(docs: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, component of the sets that have links; ``sets`` has oid, key, n of each distinct set."""
+    """key, component of the sets that have links; ``sets`` has void, oid, key, n of each distinct set."""
     spark = docs.sparkSession
     kept, index = indexed(docs, sets)
     index = index.withColumn("component", F.col("key"))
@@ -401,9 +482,9 @@ def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     labels = None
     open_ = index
     for round_ in range(PIVOT_ROUNDS + 1):
-        pairs = pivot_pairs(open_, round_) if round_ < PIVOT_ROUNDS else cross_pairs(open_)
+        pairs = pivot_pairs(open_, round_) if round_ < PIVOT_ROUNDS else all_pairs(open_)
         pairs = stage(pairs.join(done, ["a", "b"], "left_anti") if round_ else pairs, "pairs")
-        found = stage(verify(pairs, kept), "found")
+        found = stage(verify(candidates(pairs, kept), kept), "found")
         done = done.union(pairs)
         labels = joined_components(labels, found)
         if round_ < PIVOT_ROUNDS:
@@ -413,29 +494,49 @@ def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return labels.toDF("key", "component")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_key for every row."""
-    docs = docs.select("doc_id", "text")
-    every = stage(outline(docs).withColumn("oid", F.coalesce("doc_id", F.lit(LAST))), "outline")
-    sets = every.where("n > 0").groupBy("key", "n").agg(F.min("oid").alias("oid"))
+def _joined(docs: DataFrame) -> DataFrame:
+    """doc_id, void, oid, n, key for every row, and ``first``: void, oid and key of its component's smallest row."""
+    every = _outlines(docs)
+    sets = _distinct_sets(every)
     labels = link_sets(docs, sets)
     named = sets.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = named.groupBy("component").agg(F.min("oid").alias("component_id"))
+    smallest = named.groupBy("component").agg(F.min(F.struct("void", "oid", "key")).alias("first"))
     # A table of its own, so that the join back to all copies of a set is one that Spark can split.
-    named = stage(named.join(smallest, "component").select("key", "n", "component_id"), "named")
-    out = every.join(named, ["key", "n"], "left")
-    component = F.nullif(F.coalesce("component_id", "oid"), F.lit(LAST))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))
+    named = stage(named.join(smallest, "component").select("key", "n", "first"), "named")
+    own = F.struct("void", "oid", "key")
+    return every.join(named, ["key", "n"], "left").withColumn("first", F.coalesce("first", own))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_key for every row."""
+    component = F.when(~F.col("first.void"), F.col("first.oid"))
+    return _joined(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))
+
+
+@F.pandas_udf(LongType())
+def _key_of(text: pd.Series) -> pd.Series:
+    return pd.Series([set_key(s) for s in shingle_sets([(t or "").encode() for t in text])], dtype="int64")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked ones, with its own columns: the one with the smallest doc_id.
+    """One row of each group of linked ones, with its own columns: that with the smallest doc_id.
 
-    Documents without words link with nothing and stay, as do those without doc_id.
+    Rows without words link with nothing and stay. Where rows have equal
+    doc_ids, or none, each one goes by its text, and of equal ones one stays.
     """
-    joined = join(docs).select(F.col("doc_id").alias("own_id"), "component_id")
-    later = joined.where(F.col("own_id") != F.col("component_id")).select("own_id").distinct()
-    return docs.join(later.hint("shuffle_hash"), docs["doc_id"] == later["own_id"], "left_anti")
+    own = F.struct("void", "oid", "key")
+    decided = stage(_joined(docs).select("void", "oid", "key", ((F.col("n") == 0) | (own == F.col("first"))).alias("stays")), "decided")
+    ids = decided.groupBy("void", "oid").agg(F.count(F.lit(1)).alias("times"), F.min("stays").alias("stays"))
+    listed = stage(ids.where("times > 1 or not stays").toDF("_void", "_oid", "times", "stays"), "listed")
+    marked = docs.select("*", F.col("doc_id").isNull().alias("_void"), F.coalesce("doc_id", F.xxhash64("text")).alias("_oid"))
+    kept = marked.join(listed.hint("shuffle_hash"), ["_void", "_oid"], "left_anti")
+    twice = listed.where("times > 1").select("_void", "_oid")
+    if twice.limit(1).count():
+        stay = decided.where("stays").select(F.col("void").alias("_void"), F.col("oid").alias("_oid"), F.col("key").alias("_key")).distinct()
+        rows = marked.join(twice, ["_void", "_oid"], "left_semi").withColumn("_key", _key_of("text")).join(stay, ["_void", "_oid", "_key"], "left_semi")
+        worded = rows.where("_key != 0").dropDuplicates(["_void", "_oid", "_key"])
+        kept = kept.unionByName(worded.unionByName(rows.where("_key = 0")).drop("_key"))
+    return kept.select(*[kept[c] for c in docs.columns])
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import OTHER_STEP, U64, bucket_count, hash_words, mix, pack, packed_schema, per_bucket, slices, stage, unpack, window_hashes
+from granary.llm.common import OTHER_STEP, U64, bucket_count, hash_words, identified, in_runs, mix, pack, packed_schema, per_bucket, slices, stage, unpack, window_hashes
 
 DEPTH = 20
 ANCHOR = 8
@@ -72,11 +72,6 @@ def _key(words: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in np.array(both, U64))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, void (no doc_id), oid: rows without doc_id are told by their text."""
-    return docs.select("doc_id", "text", F.col("doc_id").isNull().alias("void"), F.coalesce("doc_id", F.xxhash64("text")).alias("oid"))
-
-
 def outline(rows: DataFrame) -> DataFrame:
     """doc_id, void, oid, n_words, key_a, key_b (of all words), kept_sha256 (if nothing goes)."""
 
@@ -124,12 +119,6 @@ def _windows_within(first: np.ndarray) -> np.ndarray:
 PLACED = {"gram": np.uint64, "key": np.int64, "place": np.uint32}
 
 
-def _in_runs(values: np.ndarray) -> np.ndarray:
-    """Which of some sorted values occur twice or more."""
-    same = values[1:] == values[:-1]
-    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(values) else np.empty(0, bool)
-
-
 def repeated_anchors(docs: DataFrame, n_words: int) -> DataFrame:
     """key_a, places: for each distinct text, the anchors of it that occur elsewhere too.
 
@@ -158,7 +147,7 @@ def repeated_anchors(docs: DataFrame, n_words: int) -> DataFrame:
                 order = np.argsort(grams[places], kind="stable")
                 places, doc = places[order], doc[order]
                 gram, key, place = grams[places], keys[doc], (places - first[doc]).astype(np.uint32)
-                told = _in_runs(gram)
+                told = in_runs(gram)
                 lead = told & np.concatenate([[True], gram[1:] != gram[:-1]])
                 ask = ~told | lead
                 bucket = (gram % U64(asks)).astype(np.int64)
@@ -177,7 +166,7 @@ def repeated_anchors(docs: DataFrame, n_words: int) -> DataFrame:
             stay = ~np.concatenate([copy, [False]])
             gram, key, place, told = gram[stay], key[stay], place[stay], told[stay]
             known = np.isin(gram, gram[told == 1])
-            keep = (_in_runs(gram) | known) & (told == 0)
+            keep = (in_runs(gram) | known) & (told == 0)
             key, place = key[keep], place[keep]
         if len(key):
             yield pack((key.view(U64) % U64(tells)).astype(np.int64), {"key": key, "place": place})
@@ -453,7 +442,7 @@ def dedup(docs: DataFrame, group_rows: int = GROUP_ROWS, mean_rows: int = MEAN_R
     ``kept`` is the text that stays, null where all of it does; ``repeats`` the
     maximal runs of words that repeat earlier ones, as [start, length].
     """
-    rows = _rows(docs)
+    rows = identified(docs)
     spark = docs.sparkSession
     every = stage(outline(rows), "outline")
     n_words = every.agg(F.sum("n_words")).first()[0] or 0

@@ -10,10 +10,13 @@ writer puts the records, a line each, into gzip files in the shared folder;
 ``records_per_file`` bounds a file, since no record is much longer than a
 segment.
 
-Reading: files are parsed record by record; segments are grouped by origin,
-ordered by segment number and checked against the total length that the last
-one states; then the chunked framing is undone, and the payload's SHA-1 is
-held against the record's.
+Reading: files, gzip with a member for each record or for all, or plain, are
+parsed record by record; segments are grouped by origin identifier, ordered by
+segment number and checked against the total length that the last one states;
+then the chunked framing is undone, and the payload's SHA-1 is held against
+the record's, where that has one. Records of other archives are read too: only
+identifiers made here give a page_id, others (UUIDs) are in ``record_id`` and
+``refers_to_id``; other kinds of record (warcinfo, request) are passed over.
 
 Defined results: null html is an empty payload; a null url is given as a URN;
 a null page_id is written as ``null`` and read back as null, and ranks last
@@ -25,8 +28,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -42,7 +46,7 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTrans
 HTTP_REVISIT = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RAW = "page_id long, kind string, segment int, origin string, total long, refers_to long, digest string, bytes long, block binary"
+RAW = "page_id long, kind string, segment int, origin string, total long, refers_to long, refers_to_id string, digest string, bytes long, block binary"
 
 
 # --- one record -----------------------------------------------------------
@@ -77,20 +81,56 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + CRLF
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def members(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a plain or gzip file piece by piece, one gzip member after another."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+    while at < len(content):
+        inflate = zlib.decompressobj(31)
+        while not inflate.eof and at < len(content):
+            yield inflate.decompress(content[at : at + step])
+            at += step
+        if not inflate.eof:
+            raise ValueError("a gzip member ends too early")
+        at = min(at, len(content)) - len(inflate.unused_data)
+        while content[at : at + 1] == b"\0":  # padding between members
+            at += 1
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by name in lower case, block) of each record of some bytes that come in pieces."""
+    held, at, passed = bytearray(), 0, 0
+    pieces = iter(pieces)
+
+    def fill(until) -> bool:
+        """Take more pieces until there is what is looked for."""
+        nonlocal at, passed
+        del held[:at]
+        passed, at = passed + at, 0
+        while not until():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(lambda: re.search(rb"[^\r\n]", held)):
+        at = re.search(rb"[^\r\n]", held).start()
+        if not fill(lambda: held.find(b"\r\n\r\n") >= 0):
+            raise ValueError(f"the record at byte {passed} has no end of its headers")
+        end = held.find(b"\r\n\r\n")
+        lines = re.sub(r"\r\n[ \t]+", " ", held[:end].decode()).split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield headers, data[start:stop]
-        at = stop + 4
+            raise ValueError(f"no WARC record at byte {passed}")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        at = end + 4
+        size = int(headers["content-length"])
+        if not fill(lambda: len(held) >= size + 4) or held[size : size + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record before byte {passed + size} does not end where its length says")
+        yield headers, bytes(held[:size])
+        at = size + 4
 
 
 def _urn(page_id, digest: str) -> str:
@@ -98,8 +138,8 @@ def _urn(page_id, digest: str) -> str:
 
 
 def _page(urn: str) -> int | None:
-    name = urn.strip("<>").split(":")[2]
-    return None if name == "null" else int(name)
+    own = re.fullmatch(r"<urn:page:(-?[0-9]+):[0-9A-Z]+>", urn)
+    return int(own[1]) if own else None
 
 
 def page_records(page_id, url, payload: bytes, refers_to, revisit: bool, segment_bytes: int) -> Iterator[bytes]:
@@ -169,9 +209,12 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
 # --- reading --------------------------------------------------------------
 
 
+KINDS_READ = ("response", "revisit", "resource", "continuation")
+
+
 def _parsed(batches):
     names = [c.split()[0] for c in RAW.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def flush(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -179,15 +222,17 @@ def _parsed(batches):
     for batch in batches:
         for content in batch.column("content"):
             rows, size = [], 0
-            for h, block in parse_records(zlib.decompress(content.as_py(), 31)):
-                kind = h["WARC-Type"]
-                origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])
-                segment = int(h.get("WARC-Segment-Number", 0))
-                total = h.get("WARC-Segment-Total-Length")
-                refers = h.get("WARC-Refers-To")
-                length = h.get("X-Payload-Length")
-                digest = h.get("WARC-Payload-Digest", "sha1:").removeprefix("sha1:") or None
-                row = (_page(origin), kind, segment, origin, total and int(total), refers and _page(refers), digest, length and int(length), block)
+            for h, block in parse_records(members(content.as_py())):
+                kind = h["warc-type"]
+                if kind not in KINDS_READ:
+                    continue
+                origin = h.get("warc-segment-origin-id", h["warc-record-id"])
+                segment = int(h.get("warc-segment-number", 0))
+                total = h.get("warc-segment-total-length")
+                refers = h.get("warc-refers-to")
+                length = h.get("x-payload-length")
+                digest = h.get("warc-payload-digest", "sha1:").removeprefix("sha1:").upper() or None
+                row = (_page(origin), kind, segment, origin, total and int(total), refers and _page(refers), refers, digest, length and int(length), block)
                 rows.append(row)
                 size += len(block)
                 if size > 8 << 20:
@@ -199,18 +244,23 @@ def _parsed(batches):
 
 def _decoded(batches):
     for batch in batches:
-        col = {n: batch.column(n).to_pylist() for n in ("page_id", "kind", "refers_to", "digest", "bytes")}
-        blocks = batch.column("block")
+        col = {n: batch.column(n).to_pylist() for n in ("page_id", "kind", "origin", "refers_to", "refers_to_id", "digest", "bytes")}
+        blocks = batch.column("parts")
         sizes, payloads = [], []
         for i, kind in enumerate(col["kind"]):
             if kind == "revisit":
                 sizes.append(col["bytes"][i])
                 payloads.append(None)
                 continue
-            head, _, body = blocks[i].as_py().partition(b"\r\n\r\n")
-            payload = unframe_chunks(body) if b"chunked" in head.lower() else body
-            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != col["digest"][i]:
-                raise ValueError(f"the payload of page {col['page_id'][i]} does not match its digest")
+            payload = b"".join(blocks[i].as_py())
+            if kind == "response":
+                head, _, payload = payload.partition(b"\r\n\r\n")
+                if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+                    payload = unframe_chunks(payload)
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if col["digest"][i] not in (None, digest):
+                raise ValueError(f"the payload of record {col['origin'][i]} does not match its digest")
+            col["digest"][i] = digest
             sizes.append(len(payload))
             payloads.append(payload)
         yield pa.RecordBatch.from_arrays(
@@ -220,55 +270,50 @@ def _decoded(batches):
                 pa.array(col["digest"], pa.string()),
                 pa.array(col["kind"], pa.string()),
                 pa.array(col["refers_to"], pa.int64()),
+                pa.array(col["origin"], pa.string()),
+                pa.array(col["refers_to_id"], pa.string()),
                 pa.array(payloads, pa.binary()),
             ],
-            ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
+            ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "payload"],
         )
 
 
 def reassemble(raw: DataFrame) -> DataFrame:
-    """Segmented records joined to whole ones; the others pass as they are."""
-    plain = raw.where("segment = 0")
-    parts = raw.where("segment > 0").groupBy("origin").agg(
+    """Records with their block as ``parts``: one, or the segments in order, checked for gaps and total length."""
+    names = ["page_id", "kind", "origin", "refers_to", "refers_to_id", "digest", "bytes"]
+    plain = raw.where("segment = 0").select(*names, F.array("block").alias("parts"))
+    own = F.col("segment") == 1  # the origin record: it alone has the record's kind and digest
+    grouped = raw.where("segment > 0").groupBy("origin").agg(
         F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"),
-        F.first("page_id", ignorenulls=True).alias("page_id"),
         F.max("total").alias("total"),
-        F.max("digest").alias("digest"),
-        F.sum((F.col("segment") == 1).cast("int")).alias("times"),
+        *(F.max(F.when(own, F.col(n))).alias(n) for n in names if n != "origin"),
+        F.sum(own.cast("int")).alias("times"),
     )
-    block = F.expr("aggregate(parts, X'', (a, p) -> concat(a, p.block))")
-    whole = parts.withColumn("block", block)
     numbered = F.forall(F.transform("parts", lambda p, i: p["segment"] == i + 1), lambda ok: ok)
-    sound = numbered & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
-    checked = F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin"))))
-    joined = whole.select(
-        "page_id",
-        F.lit("response").alias("kind"),
-        F.lit(0).alias("segment"),
-        "origin",
-        "total",
-        F.lit(None).cast("long").alias("refers_to"),
-        "digest",
-        F.lit(None).cast("long").alias("bytes"),
-        checked.alias("block"),
-        "times",
-    )
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    sound = numbered & F.coalesce(length == F.col("total"), F.lit(False))
+    checked = F.when(sound, F.col("parts.block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin"))))
+    joined = grouped.select(*names, checked.alias("parts"), "times")
     joined = joined.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "time")
     return plain.unionByName(joined)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id, payload (null for revisits).
+
+    A file is one row of a task, a record's block another: files of other
+    origin should be of the usual size, a gigabyte at most.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     raw = files.mapInArrow(_parsed, RAW)
-    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, payload binary"
     return reassemble(raw).mapInArrow(_decoded, out)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read(spark, path).drop("payload")
+    return read(spark, path).drop("payload", "record_id", "refers_to_id")
 
 
 #: DuckDB has no base32; tests hold the result against hashlib.

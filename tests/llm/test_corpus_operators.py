@@ -128,7 +128,39 @@ def test_ngram_join_odd_rows(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect() if r["component_id"])
     assert got == [(False, 3, 3, 3), (False, 3, 3, 3), (False, 4, 1, 4), (True, 0, 3, 3)]
     assert not ngram_join.join(df.limit(0)).collect()
-    assert sorted(str(r["doc_id"]) for r in ngram_join.keep_one(df.withColumnRenamed("x", "y")).collect()) == ["3", "3", "4", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in ngram_join.keep_one(df).collect()) == ["3", "4", "None"]
+    rows = [(1, text, 0), (1, "p q r s t u", 1), (2, "P q r s t u", 2), (None, "v w x", 3), (None, "v w x", 4), ((1 << 63) - 1, "v w x", 5), (None, "y z", 6), (6, text, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns and sorted(r["key"] for r in got.collect()) == [0, 1, 5, 6]
+
+
+def test_ngram_filters_of_each_order_cut_candidates(spark):
+    rng = random.Random(12)
+    passage = invented(rng, 25, 10**6)
+    texts = near_texts(3) + [" ".join(invented(rng, 20, 10**6) + passage + invented(rng, 20, 10**6)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = ngram_join._distinct_sets(ngram_join._outlines(df))
+    kept, index = ngram_join.indexed(df, sets)
+    keys = sorted(r["key"] for r in kept.select("key").collect())
+    every = spark.createDataFrame(list(itertools.combinations(keys, 2)), "a long, b long")
+    pairs = lambda found: {(r["a"], r["b"]) for r in found.collect()}
+    links, second, outer = pairs(ngram_join.verify(every, kept)), pairs(ngram_join.all_pairs(index)), pairs(ngram_join.candidates(every, kept))
+    # Each order lets every link through and cuts pairs; both are applied before verification.
+    assert len(keys) < sets.count() and links <= second & outer
+    assert len(second) < every.count() and len(outer) < every.count()
+
+
+@pytest.mark.parametrize("often", [64, 3])
+def test_ngram_join_with_hot_tokens(spark, often, monkeypatch):
+    monkeypatch.setattr(ngram_join, "OFTEN", often)
+    rng = random.Random(5)
+    base = invented(rng, 60)
+    texts = [" ".join(edited(rng, base, rng.randrange(12))) for _ in range(90)] + near_texts(4)
+    sizes, label = brute_components(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in ngram_join.join(df).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == label
 
 
 def test_components_of_a_long_chain(spark):
@@ -284,7 +316,7 @@ def test_suffix_groups_stay_under_their_bound(spark):
     stem = invented(rng, 24, 10**6)
     rows = [(d, " ".join(invented(rng, 3, 10**6) + stem[d % 3 : 12 + d % 12] + invented(rng, 12, 8) + invented(rng, 6, 10**6))) for d in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    docs = substring_dedup._rows(df)
+    docs = common.identified(df)
     places = substring_dedup.repeated_anchors(docs, 10_000)
     keyed = substring_dedup.outline(docs).select("void", "oid", "key_a").join(docs.select("void", "oid", "text"), ["void", "oid"]).join(places, "key_a")
     chosen = common.stage(substring_dedup._chosen(keyed, 16), "chosen")

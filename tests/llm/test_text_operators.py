@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -208,6 +209,45 @@ def test_warc_missing_segment_is_told(spark, tmp_path):
         warc.reassemble(raw.where("segment != 2")).collect()
 
 
+def foreign_record(kind, name, block, **more):
+    more = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", **{k.replace("_", "-"): v for k, v in more.items()}}
+    return warc.record(list(more.items()), block) + b"\r\n"
+
+
+@pytest.mark.parametrize("layout", ["members", "one member", "plain"])
+def test_warc_of_other_origin(spark, tmp_path, layout):
+    http = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n"
+    big = bytes(range(256)) * 200_000  # 50 MB
+    framed = http + warc.frame_chunks(big)
+    cuts = [framed[a : a + (20 << 20)] for a in range(0, len(framed), 20 << 20)]
+    records = [
+        foreign_record("warcinfo", "0", b"software: x"),
+        foreign_record("response", "a", http + b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n"),
+        foreign_record("request", "b", b"GET / HTTP/1.1\r\n\r\n"),
+        foreign_record("continuation", "d2", cuts[1], WARC_Segment_Origin_ID="<urn:uuid:d>", WARC_Segment_Number="2"),
+        foreign_record("response", "d", cuts[0], WARC_Segment_Number="1"),
+        foreign_record("revisit", "c", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<urn:uuid:a>"),
+        foreign_record("continuation", "d3", cuts[2], WARC_Segment_Origin_ID="<urn:uuid:d>", WARC_Segment_Number="3", WARC_Segment_Total_Length=str(len(framed))),
+        foreign_record("resource", "e", b"a\r\n\r\nb"),
+    ]
+    data = {"members": b"".join(gzip.compress(r, 1) for r in records), "one member": gzip.compress(b"".join(records), 1), "plain": b"".join(records)}[layout]
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    got = {r["record_id"]: r for r in warc.read(spark, str(tmp_path)).drop("payload").collect()}
+    assert {k[10:-1]: (r["record_type"], r["payload_bytes"], r["page_id"]) for k, r in got.items()} == {"a": ("response", 3, None), "c": ("revisit", None, None), "d": ("response", len(big), None), "e": ("resource", 6, None)}
+    assert got["<urn:uuid:c>"]["refers_to_id"] == "<urn:uuid:a>"
+    assert got["<urn:uuid:d>"]["payload_digest"] == base64.b32encode(hashlib.sha1(big).digest()).decode()
+
+
+def test_warc_damage_is_told():
+    record = foreign_record("resource", "e", b"abc")
+    for bad in (record[:-3], b"x" + record, record.replace(b"Length: 3", b"Length: 2")):
+        with pytest.raises(ValueError):
+            list(warc.parse_records([bad]))
+    with pytest.raises(ValueError):
+        list(warc.members(gzip.compress(record)[:-9]))
+    assert [b for _, b in warc.parse_records(bytes([c]) for c in record * 2)] == [b"abc"] * 2
+
+
 # --- licences ---
 
 
