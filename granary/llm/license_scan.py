@@ -4,7 +4,8 @@ A notice of m characters that a text holds with at most k edits, cut into
 k + 1 pieces, has one piece free of edits (pigeonhole). So each piece is
 looked up as an exact seed; only around its hits does the regex library's
 bounded-error matching verify the notice, and report its span and edits.
-Before that, exact phrases are found word by word; they always count.
+Before that, exact phrases are found word by word; they always count. Licence
+identifiers behind the words ``spdx license identifier`` add their labels too.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, in lower
 case (A-Z only). Each notice and phrase is matched on the text's words joined
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from granary.llm.common import ALNUM_WORDS, LOWER, slices
 
@@ -35,21 +37,67 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Short notices, in lower-case words, and the labels they add.
+#: Short notices, in lower-case words, and the labels they add.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "the software is provided as is without warranty of any kind express or implied": "mit",
     "released under the mit license": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "licensed under the apache license version 2 0": "apache-2",
+    "you may not use this file except in compliance with the license": "apache-2",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3",
     "under the terms of the gnu general public license": "gpl",
+    "licensed under the gnu general public license version 3": "gpl-3",
     "under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu affero general public license": "agpl",
     "this source code form is subject to the terms of the mozilla public license": "mpl-2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
+    "boost software license version 1 0": "bsl-1",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "has waived all copyright and related or neighboring rights": "cc0",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under a creative commons attribution": "cc-by",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license": "gfdl",
     "all rights reserved": "all-rights-reserved",
 }
 
+#: Licence identifiers, in lower-case words, and their labels.
+IDENTIFIERS = {
+    "mit": "mit",
+    "mit 0": "mit-0",
+    "isc": "isc",
+    "apache 2 0": "apache-2",
+    "bsd 2 clause": "bsd-2",
+    "bsd 3 clause": "bsd-3",
+    "gpl 2 0 only": "gpl-2",
+    "gpl 2 0 or later": "gpl-2",
+    "gpl 3 0 only": "gpl-3",
+    "gpl 3 0 or later": "gpl-3",
+    "lgpl 2 1 only": "lgpl",
+    "lgpl 2 1 or later": "lgpl",
+    "lgpl 3 0 only": "lgpl",
+    "lgpl 3 0 or later": "lgpl",
+    "agpl 3 0 only": "agpl",
+    "agpl 3 0 or later": "agpl",
+    "mpl 2 0": "mpl-2",
+    "epl 2 0": "epl",
+    "bsl 1 0": "bsl-1",
+    "unlicense": "unlicense",
+    "zlib": "zlib",
+    "wtfpl": "wtfpl",
+    "cc0 1 0": "cc0",
+    "cc by 4 0": "cc-by",
+    "cc by sa 4 0": "cc-by-sa",
+    "cc by nc 4 0": "cc-by-nc",
+    "cc by nd 4 0": "cc-by-nd",
+}
+TAG = "spdx license identifier"
+
 #: One edit is allowed for every so many characters of a notice.
 CHARS_PER_EDIT = 12
 
@@ -94,17 +142,29 @@ def fuzzy_spans(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
         else:
             merged.append([a, b])
     spans = []
-    for a, b in merged:
-        while (m := notice.pattern.search(text, a, b)) is not None:
+    while merged:  # the best match of a stretch, then those before and behind it
+        a, b = merged.pop()
+        m = notice.pattern.search(text, a, b)
+        if m is not None:
             spans.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            a = m.end()
-    return spans
+            merged += [[a, m.start() - 1]] * (m.start() - 1 > a) + [[m.end(), b]] * (b > m.end())
+    return sorted(spans)
 
 
 def _phrase_pattern(phrase: str) -> re.Pattern:
     return re.compile(rb"(?<![^ ])(?=" + re.escape(phrase.encode()) + rb"(?![^ ]))")
 
 
+def word_places(text: bytes, starts: list[int]) -> list[int]:
+    """How many words stand before each of some ascending places in words joined by single spaces."""
+    out, at, n = [], 0, 0
+    for start in starts:
+        n += text.count(b" ", at, start)
+        at = start
+        out.append(n)
+    return out
+
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -116,6 +176,8 @@ class Scanner:
         self.phrases = [(p.encode(), _phrase_pattern(p), label) for p, label in phrases.items()]
         self.notices = [compile_notice(t, label) for t, label in notices.items()]
         # Raw texts separate words freely, so a first look takes each seed's longest whole word.
+        ids = b"|".join(re.escape(i.encode()) for i in sorted(IDENTIFIERS, key=len, reverse=True))
+        self.tagged = re.compile(rb"(?<![^ ])" + TAG.encode() + rb" (" + ids + rb")(?![^ ])")
         self.keys = [(n, tuple(max(s.split(b" "), key=len) for s, _ in n.seeds)) for n in self.notices]
 
     def scan(self, raw: bytes) -> tuple[list, list]:
@@ -123,12 +185,17 @@ class Scanner:
         low = raw.translate(_FOLD)
         near = [n for n, keys in self.keys if any(k in low for k in keys)]
         exact = [x for x in self.phrases if all(w in low for w in x[0].split(b" "))]
-        if not near and not exact:
+        tagged = b"spdx" in low
+        if not near and not exact and not tagged:
             return [], []
         joined = b" ".join(_WORD.findall(low))
-        places = [(joined.count(b" ", 0, m.start()), label) for _, pattern, label in exact for m in pattern.finditer(joined)]
+        places = []
+        for _, pattern, label in exact:
+            places += [(k, label) for k in word_places(joined, [m.start() for m in pattern.finditer(joined)])]
         spans = [(a, b, e, n.label, len(n.text)) for n in near for a, b, e in fuzzy_spans(joined, n)]
-        return sorted(places), spans
+        if tagged:
+            spans += [(m.start(), m.end(), 0, IDENTIFIERS[m[1].decode()], m.end() - m.start()) for m in self.tagged.finditer(joined)]
+        return sorted(places), sorted(spans)
 
 
 def count_words(texts: list[bytes]) -> np.ndarray:
@@ -178,7 +245,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    """``spans`` lists label:start:end:edits of every fuzzy match."""
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["edits"].cast("string")))
+    return found.withColumn("spans", F.array_join(shown, ","))
 
 
 #: SQL has no bounded-error matching; tests hold the result against brute force.

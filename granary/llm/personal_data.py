@@ -4,14 +4,17 @@ DataFrame functions only. Each kind has a pattern; its matches go leftmost
 first without overlap, then a validator drops those that fail (no retries).
 Card numbers must pass Luhn, bank account numbers (iban) mod 97. A span's
 score starts at its kind's base and rises by CONTEXT_BONUS where one of the
-kind's context words stands within CONTEXT characters before it. The kinds
-``email ip card phone`` are the base and always stay; ``iban`` and ``ssn``
-are added where their score reaches THRESHOLD.
+kind's context words (English, German, Spanish, French) stands within CONTEXT
+characters before it. The kinds ``email ip card phone`` are the base and always
+stay; ``iban ssn secret key`` are added where their score reaches THRESHOLD.
+An account number that passes mod 97 does by itself; a social security number
+and a random-looking token do with context alone.
 
 Spans are code points, end exclusive. Defined results: a null or empty text
 has no spans; rows are judged one by one, so repeats and ties give equal rows;
 an empty table gives no rows; other columns play no part. The patterns cannot
-backtrack more than linearly, so long texts are read whole.
+backtrack more than linearly, and matches are placed block by block, so long
+texts with many matches are read whole.
 """
 
 from __future__ import annotations
@@ -57,6 +60,11 @@ def _iban_ok(match: Column) -> Column:
     return F.char_length(plain).between(15, 34) & (F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), step) == 1)
 
 
+def _secret_ok(match: Column) -> Column:
+    """Letters and digits both, as random tokens have."""
+    return match.rlike("[A-Za-z]") & (F.char_length(_digits(match)) >= 4)
+
+
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data: its pattern, a string any match contains, its validator and context."""
@@ -70,16 +78,20 @@ class Kind:
     base: bool = True
 
 
-# A match of these starts where a run of its characters starts, or where the
-# last match ended; quantifiers are possessive where that changes no match.
+# Fixed values. A match of these patterns starts where a run of its characters starts, or where
+# the last match ended; quantifiers are possessive where that changes no match.
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", None, 0.9, ("mail", "contact")),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\.[0-9]", _ip_ok, 0.6, ("ip", "host", "server", "address")),
-    Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9][\\x20-]?[0-9]", _card_ok, 0.8, ("card", "visa", "credit", "payment")),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", _phone_ok, 0.7, ("phone", "call", "tel", "mobile")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _iban_ok, 0.75, ("iban", "account", "bank"), False),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", None, 0.65, ("e?-?mail", "contact", "kontakt", "correo", "courriel", "write to", "schreib")),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\.[0-9]", _ip_ok, 0.6, ("ip", "host", "server", "address", "adresse", "servidor", "serveur", "dirección")),
+    Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9][\\x20-]?[0-9]", _card_ok, 0.65, ("card", "visa", "credit", "payment", "karte", "kredit", "zahlung", "tarjeta", "pago", "carte", "paiement")),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", _phone_ok, 0.65, ("phone", "call", "tel", "mobile", "anruf", "handy", "llam", "móvil", "appel", "portable")),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _iban_ok, 0.7, ("iban", "account", "bank", "konto", "cuenta", "compte", "banco", "banque"), False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", None, 0.4, ("ssn", "social security"), False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "[A-Za-z0-9+/_-]{20}", _secret_ok, 0.4, ("token", "key", "secret", "passw", "credential", "schlüssel", "kennwort", "clave", "contraseña", "clé", "mot de passe"), False),
+    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_])|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "A[KS]IA|gh[pousr]_|xox|PRIVATE KEY", None, 0.9, ("key",), False),
 )
+#: Matches whose places are summed one by one before their sums are.
+BLOCK = 128
 BASE = tuple(k for k in KINDS if k.base)
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -90,20 +102,40 @@ def _let(value: Column, use) -> Column:
 
 def _spans(text: Column, kind: Kind) -> Column:
     """The kind's confirmed spans in a text, in order."""
-    # Between n matches lie n + 1 pieces; running sums of both lengths give the places.
+    # Between n matches lie n + 1 pieces; running sums of both lengths give the places. A fold that
+    # grows an array copies it at each step, so it runs inside blocks, and once over the blocks' sums.
     both = F.arrays_zip(
         F.split(text, kind.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int,end:int>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        at = state["at"] + F.char_length(x["gap"])
-        end = at + F.char_length(x["hit"])
-        span = F.struct(x["hit"].alias("hit"), at.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    pieces = F.transform(
+        F.filter(both, lambda x: x["hit"].isNotNull()),
+        lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("size"), x["hit"].alias("hit")),
+    )
 
-    found = F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
+    def place(state: Column, x: Column) -> Column:
+        start = state["at"] + x["gap"]
+        span = F.struct(x["hit"].alias("hit"), start.alias("start"), (start + x["size"]).alias("end"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+
+    def skip(state: Column, block: Column) -> Column:
+        size = F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def spans_of(pieces: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(BLOCK))
+        return _let(
+            F.transform(cuts, lambda c: F.slice(pieces, c, BLOCK)),
+            lambda blocks: F.flatten(
+                F.zip_with(
+                    blocks,
+                    F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), skip, lambda s: s["out"]),
+                    lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<struct<hit:string,start:int,end:int>>").alias("out")), place, lambda s: s["out"]),
+                )
+            ),
+        )
+
+    found = _let(pieces, spans_of)
     if kind.valid:
         found = F.filter(found, lambda s: kind.valid(s["hit"]))
 
@@ -161,6 +193,8 @@ def op10_personal_data(spark, sf_dir: str) -> DataFrame:
         *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(_listed(BASE), 256).alias("base_sha256"),
         _listed(KINDS).alias("spans"),
+        sum((F.size(k.name) for k in KINDS), F.lit(0)).cast("long").alias("n_spans"),
+        F.array_join(F.transform(F.concat(*[F.col(k.name) for k in KINDS]), lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
 
 
