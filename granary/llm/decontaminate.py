@@ -249,9 +249,15 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without an overlap, with their own columns; those without doc_id stay."""
-    bad = overlaps(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["bad_id"], "left_anti")
+    """The documents without an overlap, with their own columns.
+
+    Each row goes by its doc_id and text together, so rows that share a doc_id,
+    or have none, are judged one by one.
+    """
+    marked = docs.select("*", F.xxhash64("doc_id", "text").alias("_row"))
+    bad = overlaps(marked.select(F.col("_row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_row")).distinct()
+    kept = marked.join(bad.hint("shuffle_hash"), "_row", "left_anti")
+    return kept.select(*[kept[c] for c in docs.columns])
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights: random keys, distributed prefix sums, exact cuts.
 
 Every document gets a random key from a hash of its doc_id. Within each source
-the documents are ordered by key; a key's leading bits name one of BUCKETS
-ranges, so word counts are first summed per range, ranges are summed along
-each source, and only the range in which a source's budget ends is sorted
-document by document. No source, however large, is ordered in one task.
+the documents are ordered by key; a key's leading bits name a range, of which
+there are more the more documents there are (about RANGE_DOCS of them to one).
+Word counts are summed per range, the ranges' sums along each source, and the
+range in which a source's budget ends is sorted document by document. No
+source, however large, is ordered in one task.
 
 A source's target is its share of all words by weight, at most ``max_epochs``
 times its size; the excess goes to the others by weight. A target of k sizes
@@ -12,27 +13,32 @@ and a rest takes the whole source k times, then documents in key order until
 the rest is used up; the document at the cut gives only the words that fit.
 
 Defined results: a null text or one of blanks has size 0; a null source is one
-source, ordered last; documents with equal key and doc_id in a source share
-what is left at the cut; a source without words has target 0; an empty table
-gives no rows; other columns play no part. Keys depend on doc_id and seed
-alone, so reruns agree.
+source, ordered last; rows with equal doc_id and size in a source are taken
+alike, and share what is left where they are at the cut (rounded for each of
+them); a source without words has target 0; an empty table gives no rows;
+other columns play no part. Keys depend on doc_id and seed alone, so reruns
+agree.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import BLANK, BLANKS, n_words, stage
 
-BUCKETS = 1024
+RANGE_DOCS = 8192
+KEY_BITS = 60
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 
 
 def random_key(seed: int = 0) -> Column:
-    """A non-negative 62-bit number from doc_id and the seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 2)
+    """A number of KEY_BITS bits from doc_id and the seed: the leading hex digits of an MD5."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    return F.conv(F.substr(F.md5(name), F.lit(1), F.lit(KEY_BITS // 4)), 16, 10).cast("long")
 
 
 def _slim(docs: DataFrame, seed: int) -> DataFrame:
@@ -43,7 +49,7 @@ def _slim(docs: DataFrame, seed: int) -> DataFrame:
         F.col("source").isNull().alias("nameless"),
         n_words(F.col("text")).alias("size"),
         random_key(seed).alias("key"),
-    ).withColumn("bucket", F.shiftright("key", 52).cast("int"))
+    )
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -69,6 +75,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (whole takes), part (words at the cut), taken."""
     slim = stage(_slim(docs, seed), "mix")
+    bits = max(4, math.ceil(math.log2(max(slim.count(), 1) / RANGE_DOCS + 1)))
+    slim = slim.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     per_bucket = slim.groupBy("name", "nameless", "bucket").agg(F.sum("size").alias("words"))
     sizes = per_bucket.groupBy("name", "nameless").agg(F.sum("words").alias("source_size"))
     plan = targets(sizes, weights, max_epochs)
@@ -82,35 +90,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     cut_bucket = at.where((before < F.col("rest")) & (F.col("rest") <= F.col("upto"))).select("name", "nameless", "bucket", (F.col("rest") - before).alias("left"))
 
     inside = slim.join(cut_bucket, ["name", "nameless", "bucket"])
-    within = Window.partitionBy("name", "nameless").orderBy("key", "doc_id")
-    ties = Window.partitionBy("name", "nameless", "key", "doc_id")
+    place = F.struct("key", F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "size")
+    inside = inside.withColumn("place", place)
+    within = Window.partitionBy("name", "nameless").orderBy("place")
+    ties = Window.partitionBy("name", "nameless", "place")
     inside = inside.withColumn("upto", F.sum("size").over(within)).withColumn("tie", F.sum("size").over(ties)).withColumn("peers", F.count(F.lit(1)).over(ties))
     before = F.col("upto") - F.col("tie")
     # Range frames give peers one running sum; the cut is where it first reaches what is left.
     edge = inside.where((before < F.col("left")) & (F.col("left") <= F.col("upto")))
-    edge = edge.groupBy("name", "nameless").agg(
-        F.max("key").alias("cut_key"),
-        F.max("doc_id").alias("cut_id"),
-        F.max((F.col("left") - before) / F.col("tie")).alias("portion"),
-        F.max("peers").alias("peers"),
-    )
+    edge = edge.groupBy("name", "nameless").agg(F.max("place").alias("cut"), F.max(F.round((F.col("left") - before) / F.col("peers"))).cast("long").alias("share"))
     plan = plan.join(edge, ["name", "nameless"], "left")
 
     # Joined by key range too, so that a hot source is spread over its ranges.
     joined = slim.join(per_bucket.drop("words").join(plan, ["name", "nameless"]), ["name", "nameless", "bucket"])
-    at_cut = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
-    below = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.coalesce(F.col("doc_id") < F.col("cut_id"), F.lit(True)) & ~at_cut)
-    part = F.when(F.coalesce(at_cut, F.lit(False)), F.round(F.col("size") * F.col("portion")).cast("long")).otherwise(F.lit(0))
-    epochs = F.col("whole") + F.when(F.coalesce(below, F.lit(False)), 1).otherwise(0)
-    full = F.coalesce(at_cut, F.lit(False)) & (part == F.col("size")) & (F.col("size") > 0)
+    at_cut = F.coalesce(place == F.col("cut"), F.lit(False))
+    below = F.coalesce(place < F.col("cut"), F.lit(False))
+    part = F.when(at_cut, F.col("share")).otherwise(F.lit(0))
+    full = at_cut & (part == F.col("size")) & (F.col("size") > 0)
+    epochs = F.col("whole") + (below | full).cast("int")
+    part = F.when(full, F.lit(0)).otherwise(part).cast("long")
     return joined.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (epochs + full.cast("int")).cast("long").alias("epochs"),
-        F.when(full, F.lit(0)).otherwise(part).cast("long").alias("part"),
+        epochs.cast("long").alias("epochs"),
+        part.alias("part"),
         (epochs * F.col("size") + part).cast("long").alias("taken"),
     )
 
@@ -123,8 +129,11 @@ def first_words(text: Column, n: Column) -> Column:
 
 def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of a mix with their own columns: a row per epoch, and a cut row where only a part is taken."""
-    plan = mixed.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "epochs", "part").dropDuplicates(["mix_id", "mix_source"])
-    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")))
+    plan = mixed.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "epochs", "part")
+    # Rows with equal doc_id, source and size have equal plans.
+    plan = plan.dropDuplicates(["mix_id", "mix_source", "mix_size"]).hint("shuffle_hash")
+    marked = docs.withColumn("mix_size", n_words(F.col("text")))
+    joined = marked.join(plan, marked["doc_id"].eqNullSafe(F.col("mix_id")) & marked["source"].eqNullSafe(F.col("mix_source")) & (marked["mix_size"] == plan["mix_size"]))
     times = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
     # Whole rows are repeated and at most one is cut; documents not taken go.
     rows = joined.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<bigint>"))))
@@ -138,9 +147,28 @@ def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "epochs", "part")
-
-
-#: The keys are Spark's xxhash64, which DuckDB lacks; tests hold the result against brute force.
-ORACLE_SQL: dict = {}
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL = {
+    "op7_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::BIGINT AS size,
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+r AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source IS NULL, encode(source)) AS k FROM s),
+l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM r),
+o AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM l WHERE cap > level * weight),
+t AS (SELECT l.source, source_size, CASE WHEN l.k < coalesce(o.k, l.k + 1) THEN cap ELSE least(cap, o.level * weight) END AS target FROM l CROSS JOIN o),
+p AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+  (p.whole * d.size + greatest(0, least(d.size, round(p.target)::BIGINT - p.whole * p.source_size
+    - (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS LAST, d.size) - d.size))))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+""",
+}
 QUERIES = {"op7_source_mix": op7_source_mix}

@@ -266,6 +266,55 @@ def test_decontamination_at_random_edit_positions(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()} == planted
 
 
+def brute_overlaps(docs, items):
+    """The best overlap of each pair over all alignments."""
+    best = {}
+    for d, text in docs:
+        words = np.array(ALNUM.findall((text or "").translate(FOLD)), object)
+        for i, item in items:
+            item = np.array(ALNUM.findall((item or "").translate(FOLD)), object)
+            if len(item) < decontaminate.MIN_WORDS:
+                continue
+            for diagonal in range(-len(item) + 1, len(words)):
+                a, b = max(0, -diagonal), min(len(item), len(words) - diagonal)
+                same = words[a + diagonal : b + diagonal] == item[a:b]
+                found = decontaminate.overlap(same, len(item)) if a < b else None
+                if found:
+                    p, q = found
+                    row = (-int(same[p:q].sum()), q - p, a + p + diagonal, a + q + diagonal)
+                    best[d, i] = min(best.get((d, i), row), row)
+    return {k: (start, end, -matched, aligned) for k, (matched, aligned, start, end) in best.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontamination_against_all_alignments(spark, seed):
+    rng = random.Random(seed)
+    items = [(k, " ".join(invented(rng, rng.randrange(3, 45), 4000))) for k in range(14)] + [(20, None), (21, "")]
+    docs = [(0, None), (1, "")]
+    for d in range(2, 60):
+        words = invented(rng, rng.randrange(30), 4000)
+        for _ in range(rng.randrange(3)):
+            passage = rng.choice(items[:14])[1].split()
+            a = rng.choice([0, 0, rng.randrange(len(passage))])
+            passage = passage[a : a + rng.choice([99, rng.randrange(1, 40)])]
+            words += edited(rng, passage, rng.randrange(7)) + invented(rng, rng.randrange(12), 4000)
+        docs.append((d, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["n_matched"], r["n_aligned"]) for r in decontaminate.overlaps(df, bench).collect()}
+    assert got == brute_overlaps(docs, items) and len(got) > 10
+
+
+def test_decontamination_goes_by_row(spark):
+    rng = random.Random(3)
+    item = " ".join(invented(rng, 30, 10**6))
+    docs = [(None, item, 0), (None, "clean text", 1), (5, f"x {item}", 2), (5, "clean too", 3), (None, None, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _row int".replace("_row", "item_id"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.drop_contaminated(df, bench)
+    assert got.columns == df.columns and sorted(r["item_id"] for r in got.collect()) == [1, 3, 4]
+
+
 # --- substrings ---
 
 

@@ -192,10 +192,35 @@ def test_mix_targets_and_cuts(spark):
         taken[r["source"]] += r["taken"]
     for s in names:
         assert abs(taken[s] - target[s]) <= 1
+    # Per document: whole takes, then in the order of the key until the rest is used up.
+    want = {}
+    for s in names:
+        own = sorted((hashlib.md5(f"0:{d}".encode()).hexdigest()[:15], d, len(WORD.findall(t or ""))) for d, x, t in rows if x == s)
+        whole = int(target[s] // size[s]) if size[s] else 0
+        rest = round(target[s]) - whole * size[s]
+        for _, d, n in own:
+            want[d] = whole * n + max(0, min(n, rest))
+            rest -= n
+    assert {r["doc_id"]: r["taken"] for r in got} == want
     again = {r["doc_id"]: r["taken"] for r in source_mix.mix(df.repartition(3)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def test_mix_of_repeated_ids(spark):
+    rows = [(i, "a", "w " * (i % 9)) for i in range(60)] + [(7, "b", "w " * n) for n in (3, 3, 8, 0, 11)] + [(None, "b", "w " * n) for n in (5, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = source_mix.mix(df)
+    got, target = collections.Counter(), {}
+    for r in mixed.collect():
+        got[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(got[s] - target[s]) <= 3 for s in target)
+    words = collections.Counter()
+    for r in source_mix.materialize(df, mixed).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == got
+
+
 def test_mix_materializes_whole_and_cut_rows(spark):
     rows = [(i, "abc"[i % 3], " ".join(f"w{k}" for k in range(i % 7)), "en") for i in range(200)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
