@@ -186,8 +186,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
 # Many small (key, value) numbers travel as a few binary rows per batch and
 # bucket; Spark groups these rows by bucket and each bucket is unpacked alone.
 
-#: Packed rows that a bucket should hold on average.
-BUCKET_ROWS = 1 << 18
+#: Numbers that a bucket should hold: at least, if there are few, and on average, if there are many.
+LEAST_ROWS, BUCKET_ROWS = 1 << 14, 1 << 18
 
 
 def pack(bucket: np.ndarray, columns: dict[str, np.ndarray | list[bytes]]) -> pa.RecordBatch:
@@ -221,8 +221,12 @@ def unpack(batches: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[st
 
 
 def bucket_count(spark: SparkSession, rows: int = 0) -> int:
-    """Buckets of a packed shuffle of about so many numbers: a few per shuffle partition, more where the data ask for it."""
-    return max(4 * shuffle_parts(spark), rows // BUCKET_ROWS)
+    """Buckets of a packed shuffle of about so many numbers: one to four per shuffle partition, more where the data ask for it.
+
+    Where numbers go on from bucket to bucket, a few to a row would be no packing at all.
+    """
+    parts = shuffle_parts(spark)
+    return max(parts, min(4 * parts, rows // LEAST_ROWS), rows // BUCKET_ROWS)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
