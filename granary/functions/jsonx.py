@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,24 +74,168 @@ def stable_json(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
-    """Objects' keys and lists' items sorted at every depth, for equality regardless of order."""
+    """Keys sorted at every depth, and the items of the lists of statistics and notes: equality regardless of their order."""
 
-    def order(x):
+    def order(x, name=None):
         if isinstance(x, dict):
-            return {k: order(x[k]) for k in sorted(x)}
+            return {k: order(x[k], k) for k in sorted(x)}
         if isinstance(x, list):
-            return sorted((order(v) for v in x), key=lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True))
+            items = [order(v) for v in x]
+            return sorted(items, key=lambda v: json.dumps(v, ensure_ascii=False)) if name in (STATS, NOTES) else items
         return x
 
     def show(t):
         try:
-            return json.dumps(order(json.loads(t)), ensure_ascii=False, sort_keys=True)
+            return json.dumps(order(json.loads(t)), ensure_ascii=False)
         except (TypeError, ValueError):
             return None
 
     return text.map(show)
 
 
+#: What a summary holds: ``valid`` JSON, an ``object``, a key ``twice``, top-level ``keys``, entries with
+#: their attributes (``mapped``: an object, with its keys), facts with counts, notes and group names.
+PARTS = T.StructType.fromJson(
+    {
+        "type": "struct",
+        "fields": [
+            {"name": n, "type": k, "nullable": True, "metadata": {}}
+            for n, k in {
+                "valid": "boolean",
+                "object": "boolean",
+                "twice": "boolean",
+                "keys": {"type": "array", "elementType": "string", "containsNull": True},
+                "entries": {
+                    "type": "array",
+                    "containsNull": True,
+                    "elementType": {
+                        "type": "struct",
+                        "fields": [
+                            {"name": "category", "type": "string", "nullable": True, "metadata": {}},
+                            {
+                                "name": "attributes",
+                                "nullable": True,
+                                "metadata": {},
+                                "type": {
+                                    "type": "array",
+                                    "containsNull": True,
+                                    "elementType": {
+                                        "type": "struct",
+                                        "fields": [
+                                            {"name": "name", "type": "string", "nullable": True, "metadata": {}},
+                                            {"name": "mapped", "type": "boolean", "nullable": True, "metadata": {}},
+                                            {"name": "keys", "type": {"type": "array", "elementType": "string", "containsNull": True}, "nullable": True, "metadata": {}},
+                                        ],
+                                    },
+                                },
+                            },
+                        ],
+                    },
+                },
+                "facts": {
+                    "type": "array",
+                    "containsNull": True,
+                    "elementType": {
+                        "type": "struct",
+                        "fields": [{"name": n, "type": k, "nullable": True, "metadata": {}} for n, k in (("f0", "string"), ("f1", "string"), ("f2", "string"), ("f3", "string"), ("n", "long"))],
+                    },
+                },
+                "notes": {"type": "array", "elementType": "string", "containsNull": True},
+                "groups": {"type": "array", "elementType": "string", "containsNull": True},
+            }.items()
+        ],
+    }
+)
+#: Attributes whose values are free text, and those whose values are numbers in text.
+FREE_TEXT, DIGITS = ("文本",), ("站点距离", "组")
+
+
+def _squeezed(value) -> str:
+    return re.sub(r"\s+", "", str(value))
+
+
+def _number_in(value) -> str:
+    bare = _squeezed(value)
+    found = re.search(r"\d+", bare)
+    return str(int(found[0])) if found else bare
+
+
+def _count(value) -> int:
+    """A positive whole number, also one in text; else 0."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return 0
+    try:
+        whole = int(value)
+    except (ValueError, OverflowError):
+        return 0
+    return whole if whole > 0 and (isinstance(value, str) or whole == value) else 0
+
+
+def _facts_of(doc: dict) -> Counter:
+    found = Counter()
+    if doc.get("dataset") is not None and _squeezed(doc["dataset"]):
+        found["dataset", _squeezed(doc["dataset"]), None, None] = 1
+    for note in doc.get(NOTES) if isinstance(doc.get(NOTES), list) else []:
+        if note is not None and _squeezed(note):
+            found[NOTES, _squeezed(note), None, None] = 1
+    for group, n in doc.get(GROUPS).items() if isinstance(doc.get(GROUPS), dict) else []:
+        if _number_in(group):
+            found[GROUPS, _number_in(group), None, None] += _count(n)
+    for entry in _entries_of(doc):
+        category = str(entry.get(CATEGORY, "")).strip() if entry.get(CATEGORY) is not None else ""
+        for name, value in entry.items():
+            if not category or name == CATEGORY or not name.strip():
+                continue
+            pairs = value.items() if isinstance(value, dict) else ((v, 1) for v in (value if isinstance(value, list) else [value]))
+            for shown, n in pairs:
+                shown, attribute = str(shown).strip(), name.strip()
+                shown = _squeezed(shown) if attribute in FREE_TEXT else _number_in(shown) if attribute in DIGITS else shown
+                if shown:
+                    found[STATS, category, attribute, shown] += _count(n)
+    return +found
+
+
+def _entries_of(doc: dict) -> list[dict]:
+    stats = doc.get(STATS)
+    return [e for e in stats if isinstance(e, dict)] if isinstance(stats, list) else []
+
+
+@F.pandas_udf(PARTS)
+def summary_parts(text: pd.Series) -> pd.DataFrame:
+    """What a summary's JSON holds, see PARTS; null texts are not valid."""
+
+    def parts(t):
+        twice = []
+
+        def seen(items):
+            twice.append(len({k for k, _ in items}) < len(items))
+            return dict(items)
+
+        out = dict.fromkeys(PARTS.names)
+        try:
+            doc = json.loads(t, object_pairs_hook=seen)
+        except (TypeError, ValueError, RecursionError):
+            return out | {"valid": False, "object": False, "twice": any(twice)}
+        out |= {"valid": True, "object": isinstance(doc, dict), "twice": any(twice)}
+        if not isinstance(doc, dict):
+            return out
+        entries = []
+        for e in _entries_of(doc):
+            if isinstance(e.get(CATEGORY), str) and e[CATEGORY].strip():
+                attributes = [{"name": k.strip(), "mapped": isinstance(v, dict), "keys": [str(x).strip() for x in v] if isinstance(v, dict) else []} for k, v in e.items() if k != CATEGORY and k.strip()]
+                entries.append({"category": e[CATEGORY].strip(), "attributes": attributes})
+        notes, groups = doc.get(NOTES), doc.get(GROUPS)
+        return out | {
+            "keys": list(doc),
+            "entries": entries,
+            "facts": [{"f0": a, "f1": b, "f2": c, "f3": d, "n": n} for (a, b, c, d), n in _facts_of(doc).items()],
+            "notes": [str(x) for x in notes if x is not None] if isinstance(notes, list) else [],
+            "groups": [k for k in groups if k.strip()] if isinstance(groups, dict) else [],
+        }
+
+    return pd.DataFrame([parts(t) for t in text], columns=PARTS.names)
+
+
 def document(text: Column) -> Column:
     """The summary's struct; null where there is no object."""
     found = object_in(text)

@@ -139,9 +139,12 @@ def strip_special(text: Column, tokens: tuple[str, ...] = ("<|endoftext|>", "<|i
     return F.btrim(text, F.lit(" \t\r\n"))
 
 
+LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+
 def lines(text: Column) -> Column:
     """Non-blank lines, trimmed at both ends."""
-    split = F.transform(F.split(text, "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"), lambda x: F.btrim(x, F.lit(" \t　")))
+    split = F.transform(F.split(text, LINE_END), lambda x: F.btrim(x, F.lit(" \t　")))
     return F.filter(split, lambda x: x != "")
 
 

@@ -1,7 +1,9 @@
 """Scores of a generated summary against its reference, one double per row.
 
-Each score is a function from two parsed texts and the expected domain to a
-Column; SCORES lists them by name. ``prepare`` parses both texts once.
+A text should have two lines: a header that names the domain (BBU or RRU) and
+the task, and a JSON object. Rows of irrelevant images should say so instead,
+and score 0 but for ``format`` and ``header``. ``prepare`` parses both texts
+once; each score is a function of a Sample to a Column, and SCORES lists them.
 """
 
 from __future__ import annotations
@@ -10,178 +12,313 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import jsonx, text
-from granary.functions.numeric import f_beta, ratio, tversky
+from granary.functions.numeric import clamp
 
+BBU, RRU = "BBU", "RRU"
 
-class Parsed:
-    """Columns that ``prepare`` adds for one of the texts."""
 
-    def __init__(self, side: str, text: str):
-        self.side, self.text = side, F.col(text)
+class Sample:
+    """Columns that ``prepare`` adds: text, lines, domain, irrelevant, expected, line, second, pred, ref."""
 
     def __getattr__(self, part: str) -> Column:
-        return F.col(f"_{self.side}_{part}")
+        return F.col(f"_{part}")
 
 
-def prepare(rows: DataFrame, pred: str, ref: str) -> DataFrame:
-    """Per text its JSON object, document, facts, categories and category/attribute paths."""
-    for side, name in (("pred", pred), ("ref", ref)):
-        doc, facts = F.col(f"_{side}_doc"), F.col(f"_{side}_facts")
-        rows = rows.withColumn(f"_{side}_object", jsonx.object_in(F.col(name)))
-        rows = rows.withColumn(f"_{side}_doc", F.from_json(f"_{side}_object", jsonx.DOCUMENT))
-        rows = rows.withColumn(f"_{side}_facts", jsonx.facts(doc))
-        rows = rows.withColumns({f"_{side}_categories": jsonx.category_names(doc), f"_{side}_paths": jsonx.paths_of(facts)})
-    return rows
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, rf"^{text.BLANKS}|{text.BLANKS}$", "")
+
+
+def prepare(rows: DataFrame, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain", irrelevant: str | None = None) -> DataFrame:
+    """The rows with a Sample's columns. ``irrelevant`` names a boolean column; such rows have no domain."""
+    s = Sample()
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"_irrelevant": F.coalesce(F.col(irrelevant), F.lit(False)) if irrelevant else F.lit(False), "_text": _stripped(text.strip_special(F.coalesce(F.col(pred), F.lit(""))))})
+    rows = rows.withColumns(
+        {
+            "_domain": F.when(s.irrelevant, none).otherwise(F.col(domain)),
+            "_lines": F.when(s.text == "", F.array().cast("array<string>")).otherwise(F.split(s.text, text.LINE_END)),
+            "_reference": F.nullif(_stripped(F.col(ref)), F.lit("")),
+        }
+    )
+    rows = rows.withColumns({"_expected": F.concat(F.lit("<DOMAIN="), s.domain, F.lit(">, <TASK=SUMMARY>")), "_line": _stripped(F.get(s.lines, F.lit(1)))})
+    rows = rows.withColumns({"_second": jsonx.summary_parts(s.line), "_known": jsonx.summary_parts(F.when(s.reference != jsonx.IRRELEVANT, s.reference))})
+    strict = (F.size(s.lines) == 2) & (_stripped(F.get(s.lines, F.lit(0))) == s.expected)
+    return rows.withColumns({"_strict": F.coalesce(strict, F.lit(False)), "_pred": F.when(F.coalesce(strict, F.lit(False)), s.second), "_ref": F.when(s.known["object"], s.known)})
+
+
+# --- parts of the rules ---
 
 
 def _flag(ok: Column, good=1.0, bad=0.0) -> Column:
-    return F.when(F.coalesce(ok, F.lit(False)), good).otherwise(bad)
+    return F.when(F.coalesce(ok, F.lit(False)), F.lit(float(good))).otherwise(F.lit(float(bad)))
+
+
+def _relevant(s: Sample, score: Column) -> Column:
+    return F.when(s.irrelevant, 0.0).otherwise(F.coalesce(score.cast("double"), F.lit(0.0)))
+
+
+def _objects(s: Sample) -> Column:
+    return F.coalesce(s.pred["object"] & s.ref["object"], F.lit(False))
+
+
+def _allowed(s: Sample) -> Column:
+    """Both texts are objects without the other domain's top-level key."""
+    banned = F.when(s.domain == RRU, jsonx.NOTES).when(s.domain == BBU, jsonx.GROUPS)
+    free = lambda side: ~F.coalesce(F.array_contains(side["keys"], banned), F.lit(False))
+    return _objects(s) & free(s.pred) & free(s.ref)
+
+
+def _compared(s: Sample, score: Column) -> Column:
+    return F.when(~s.irrelevant & _allowed(s), score.cast("double")).otherwise(0.0)
+
+
+def _mean(values: Column) -> Column:
+    """Of an array of doubles without nulls; null if it is empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
 
 
-def _share(hit: Column, of: Column, empty=1.0) -> Column:
-    return ratio(F.size(F.array_intersect(hit, of)), F.size(of), empty)
+def _shared(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
+
+
+def categories(side: Column) -> Column:
+    return F.array_distinct(F.transform(side["entries"], lambda e: e["category"]))
+
+
+def attributes(side: Column, category: Column, but: tuple[str, ...] = ()) -> Column:
+    """Distinct attribute names of all entries of a category."""
+    own = F.filter(side["entries"], lambda e: e["category"] == category)
+    names = F.array_distinct(F.flatten(F.transform(own, lambda e: F.transform(e["attributes"], lambda a: a["name"]))))
+    return F.filter(names, lambda n: ~n.isin(*but)) if but else names
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two fact multisets."""
-    same = lambda x, y: (x["f1"] == y["f1"]) & (x["f2"] == y["f2"]) & (x["f3"] == y["f3"])
+    same = lambda x, y: F.struct(*(x[f"f{k}"] for k in range(4))).eqNullSafe(F.struct(*(y[f"f{k}"] for k in range(4))))
     one = lambda x: F.least(x["n"], F.coalesce(F.get(F.filter(b, lambda y: same(x, y)), F.lit(0))["n"], F.lit(0)))
-    return F.aggregate(F.transform(a, one), F.lit(0), lambda s, v: s + v)
+    return total(a, one)
 
 
-def total(facts: Column) -> Column:
-    return F.aggregate(facts, F.lit(0), lambda s, f: s + f["n"])
+def total(facts: Column, of=lambda f: f["n"]) -> Column:
+    return F.aggregate(facts, F.lit(0).cast("long"), lambda s, f: s + of(f))
 
 
-def header(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """The first line is a header with a domain and task."""
-    return _flag(text.header_of(pred.text).isNotNull())
+# --- scores ---
 
+HEADER = r"^<DOMAIN=[A-Z]+>, <TASK=[A-Z]+>$"
 
-def strict(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """Two lines, header and object; -1 for any other number of lines."""
-    two = F.size(text.lines(pred.text)) == 2
-    return F.when(F.coalesce(two, F.lit(False)), _flag(jsonx.is_object(F.get(text.lines(pred.text), F.lit(1))))).otherwise(-1.0)
 
+def layout(s: Sample) -> Column:
+    """Two lines, a header and what ends like an object; of an irrelevant image the one word for it."""
+    two = (F.size(s.lines) == 2) & _stripped(F.get(s.lines, F.lit(0))).rlike(HEADER) & F.endswith(s.line, F.lit("}"))
+    return F.when(s.irrelevant, _flag(s.text == jsonx.IRRELEVANT)).otherwise(_flag(two))
 
-def layout(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """The reference is irrelevant and so is the text; or it has two lines and no list marks."""
-    both = (F.trim(pred.text) == jsonx.IRRELEVANT) & (F.trim(ref.text) == jsonx.IRRELEVANT)
-    return _flag(both | ((F.size(text.lines(pred.text)) == 2) & ~pred.text.rlike(r"(?m)^\s*[-*#]")))
 
+def header(s: Sample) -> Column:
+    """The first line is the domain's header; -1 for a header where the image is irrelevant."""
+    first = _stripped(F.get(s.lines, F.lit(0)))
+    marked = F.startswith(first, F.lit("<DOMAIN=")) | F.contains(s.text, F.lit("<TASK="))
+    return F.when(s.irrelevant, _flag(marked, -1.0)).otherwise(_flag(first == s.expected))
 
-def parses(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    return _flag(pred.object.isNotNull())
 
+def strict(s: Sample) -> Column:
+    """-1 unless there are two lines and the first is the domain's header."""
+    right = (F.size(s.lines) == 2) & (s.domain.isNull() | s.strict)
+    return F.when(s.irrelevant, 0.0).otherwise(_flag(right, 0.0, -1.0))
 
-def dataset(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """The header names the domain, and there are two lines."""
-    return _flag((text.header_of(pred.text)["domain"] == domain) & (F.size(text.lines(pred.text)) == 2))
 
+def parses(s: Sample) -> Column:
+    """-1 where the second line is no JSON."""
+    return F.when(s.irrelevant, 0.0).otherwise(_flag((F.size(s.lines) >= 2) & s.second["valid"], 0.0, -1.0))
 
-def no_duplicate_keys(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    return F.when(F.coalesce(jsonx.has_duplicate_keys(pred.object), F.lit(False)), -1.0).otherwise(0.0)
 
+def dataset(s: Sample) -> Column:
+    return F.when(s.irrelevant, 0.0).otherwise(_flag(s.strict & (s.line != "")))
 
-def content_equal(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    return _flag(jsonx.canonical_json(pred.object) == jsonx.canonical_json(ref.object))
 
+def no_duplicate_keys(s: Sample) -> Column:
+    return F.when(s.irrelevant, 0.0).otherwise(_flag(s.pred["twice"], -1.0))
 
-def category_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    return _share(pred.categories, ref.categories)
 
+def content_equal(s: Sample) -> Column:
+    return _compared(s, _flag(jsonx.canonical_json(s.line) == jsonx.canonical_json(s.reference)))
 
-def category_f1(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    a, b = pred.categories, ref.categories
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(f_beta(_share(b, a, 0.0), _share(a, b, 0.0)))
 
+def category_recall(s: Sample) -> Column:
+    a, b = categories(s.pred), categories(s.ref)
+    return _compared(s, F.when(F.size(b) == 0, _flag(F.size(a) == 0)).otherwise(_shared(a, b) / F.size(b)))
 
-def attribute_path_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """Share of the reference's category/attribute paths, of categories that both have."""
-    both = F.array_intersect(pred.categories, ref.categories)
-    wanted = F.filter(ref.paths, lambda p: F.array_contains(both, F.substring_index(p, "/", 1)))
-    return _share(pred.paths, wanted, 0.0)
 
+def category_f1(s: Sample) -> Column:
+    a, b = categories(s.pred), categories(s.ref)
+    both = F.size(a) + F.size(b)
+    return _compared(s, F.when(both == 0, 1.0).otherwise(2 * _shared(a, b) / both))
 
-def attribute_key_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """Mean over shared categories of the share of the reference's attribute keys."""
-    both = F.array_intersect(pred.categories, ref.categories)
-    of = lambda side, c: F.filter(side.paths, lambda p: F.substring_index(p, "/", 1) == c)
-    shares = F.transform(both, lambda c: _share(of(pred, c), of(ref, c)))
-    return ratio(F.aggregate(shares, F.lit(0.0), lambda s, v: s + v), F.size(ref.categories), 1.0)
 
+def attribute_key_recall(s: Sample) -> Column:
+    """Mean over the reference's categories, of those with attributes but label texts, of the share of these."""
+    of = lambda side, c: attributes(side, c, jsonx.FREE_TEXT)
+    named = F.filter(categories(s.ref), lambda c: F.size(of(s.ref, c)) > 0)
+    shares = F.transform(named, lambda c: _shared(of(s.pred, c), of(s.ref, c)) / F.size(of(s.ref, c)))
+    return _compared(s, F.coalesce(_mean(shares), _flag(F.size(s.pred["entries"]) == 0)))
 
-#: Penalties of the schema score: categories missing, attributes missing, attributes not allowed, categories not known.
-PENALTIES = (0.60, 0.35, 0.25, 0.30)
 
+#: Attributes whose values belong to the schema, and the longest value that can.
+STABLE = ("捆扎", "可见性", "符合性", "弯曲半径", "套管保护", "保护", "保护措施", "位置", "安装状态", "方向", "安装方向")
+LONGEST_VALUE = 32
 
-def attributes_of(side: Parsed, category: str) -> Column:
-    inside = F.filter(side.paths, lambda p: F.substring_index(p, "/", 1) == category)
-    return F.transform(inside, lambda p: F.substring_index(p, "/", -1))
 
+def attribute_path_recall(s: Sample) -> Column:
+    """Mean over shared categories, of those with stable values in the reference, of the share of these."""
 
-def schema_tree(schema: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]):
-    """A score against a schema: category to (required, allowed) attributes. Starts at 1, clamped to -1 … 1."""
+    def paths(side: Column, category: Column) -> Column:
+        steady = lambda f: (f["f1"] == category) & f["f2"].isin(*STABLE) & ~f["f3"].rlike(r"^\d+$|=") & (F.char_length(f["f3"]) <= LONGEST_VALUE)
+        return F.transform(F.filter(side["facts"], lambda f: (f["f0"] == jsonx.STATS) & steady(f)), lambda f: F.struct(f["f2"], f["f3"]))
 
-    def score_one(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-        cost = F.lit(0.0)
-        known = F.array(*[F.lit(c) for c in schema])
-        for category, (required, allowed) in schema.items():
-            own = attributes_of(pred, category)
-            need = F.array(*[F.lit(a) for a in required]) if required else F.array().cast("array<string>")
-            may = F.array(*[F.lit(a) for a in (*required, *allowed)]) if required or allowed else F.array().cast("array<string>")
-            present = F.array_contains(pred.categories, category)
-            cost += F.when(present, PENALTIES[1] * F.size(F.array_except(need, own)) + PENALTIES[2] * F.size(F.array_except(own, may))).otherwise(0.0)
-        cost += PENALTIES[3] * F.size(F.array_except(pred.categories, known))
-        cost += F.when(F.size(pred.categories) == 0, PENALTIES[0]).otherwise(0.0)
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - cost))
+    both = F.array_intersect(categories(s.pred), categories(s.ref))
+    wanted = F.filter(both, lambda c: F.size(paths(s.ref, c)) > 0)
+    return _compared(s, F.coalesce(_mean(F.transform(wanted, lambda c: _shared(paths(s.pred, c), paths(s.ref, c)) / F.size(paths(s.ref, c)))), F.lit(0.0)))
 
-    return score_one
 
-
-def content_tversky(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """Facts of both, spurious ones at weight 0.3, missing ones at 1."""
-    a, b = pred.facts, ref.facts
+#: Per domain its top-level keys, and per category the attributes that it needs, groups of
+#: which it needs one, and others that it may have.
+SCHEMAS = {
+    BBU: (
+        ("统计", "备注"),
+        {
+            "挡风板": (("品牌", "可见性", "安装方向"), (), ()),
+            "BBU设备": (("品牌", "可见性", "挡风板需求"), (), ()),
+            "BBU安装螺丝": (("可见性", "符合性"), (), ()),
+            "BBU端光纤插头": (("可见性", "符合性"), (), ()),
+            "ODF端光纤插头": (("可见性", "符合性"), (), ()),
+            "机柜处接地螺丝": (("可见性", "符合性"), (), ()),
+            "地排处接地螺丝": (("可见性", "符合性"), (), ()),
+            "光纤": (("弯曲半径",), (("保护措施", "套管保护", "保护"),), ()),
+            "电线": (("捆扎",), (), ()),
+            "标签": ((), (("文本", "可读性"),), ()),
+        },
+    ),
+    RRU: (
+        ("统计", "分组统计"),
+        {
+            "站点距离": (("站点距离",), (), ("组",)),
+            "RRU设备": ((), (), ()),
+            "紧固件": (("安装状态",), (), ()),
+            "RRU接地端": (("安装状态",), (), ()),
+            "地排接地端螺丝": (("安装状态",), (), ()),
+            "尾纤": (("套管保护", "标签"), (), ("组",)),
+            "接地线": (("标签",), (), ("组",)),
+            "标签": ((), (("文本", "可读性"),), ("组",)),
+        },
+    ),
+}
+#: Weights of attributes, categories and top-level keys beyond the schema, and of a distance that is no number.
+EXTRA_KEY, EXTRA_CATEGORY, EXTRA_TOP, BAD_DISTANCE = 0.35, 0.25, 0.30, 0.60
+
+
+def _strings(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def schema_tree(schemas=SCHEMAS):
+    """A score against schemas: mean completeness of the categories that the reference has too, less penalties."""
+
+    def domain_score(s: Sample, domain: str) -> Column:
+        top, known = schemas[domain]
+        mine, theirs = categories(s.pred), categories(s.ref)
+        complete, extra = [], []
+        for category, (needs, groups, may) in known.items():
+            own = attributes(s.pred, F.lit(category))
+            counts = F.array_contains(mine, category) & F.array_contains(theirs, category)
+            allowed = {*needs, *may, *(a for g in groups for a in g)}
+            wanted = len(needs) + len(groups)
+            met = _shared(own, _strings(needs)) + sum((F.arrays_overlap(own, _strings(g)).cast("int") for g in groups), F.lit(0))
+            beyond = F.size(F.array_except(own, _strings(sorted(allowed))))
+            complete.append(F.when(counts, met / wanted if wanted else F.lit(1.0)))
+            extra.append(F.when(counts, F.least(F.lit(1.0), beyond / max(1, len(allowed)))))
+        distance = "站点距离"
+        far = F.filter(s.pred["entries"], lambda e: e["category"] == distance)
+        number = lambda a: a["mapped"] & F.forall(a["keys"], lambda k: k.rlike(r"^\d+$"))
+        sound = F.forall(far, lambda e: F.exists(e["attributes"], lambda a: a["name"] == distance) & F.forall(e["attributes"], lambda a: (a["name"] != distance) | number(a)))
+        bad = F.array_contains(mine, distance) & F.array_contains(theirs, distance) & ~sound if domain == RRU else F.lit(False)
+        score = (
+            _mean(F.array_compact(F.array(*complete)))
+            - EXTRA_KEY * _mean(F.array_compact(F.array(*extra)))
+            - EXTRA_CATEGORY * F.size(F.array_except(mine, theirs)) / F.greatest(F.size(theirs), F.lit(1))
+            - EXTRA_TOP * F.size(F.array_except(s.pred["keys"], _strings(top))) / max(1, len(top))
+            - F.when(bad, BAD_DISTANCE).otherwise(0.0)
+        )
+        return F.when(score.isNotNull(), clamp(score, -1.0, 1.0))
+
+    def score(s: Sample) -> Column:
+        chosen = F.lit(None).cast("double")
+        for domain in schemas:
+            chosen = F.when(s.domain == domain, domain_score(s, domain)).otherwise(chosen)
+        return _compared(s, F.when(F.size(s.ref["entries"]) > 0, F.coalesce(chosen, F.lit(0.0))).otherwise(0.0))
+
+    return score
+
+
+#: Weights of spurious facts by domain; missing ones weigh 1.
+SPURIOUS = {BBU: 0.30, RRU: 0.60}
+
+
+def content_tversky(s: Sample) -> Column:
+    """Facts of both but notes, and in BBU but label texts."""
+    kept = lambda f: (f["f0"] != jsonx.NOTES) & ~((s.domain == BBU) & (f["f0"] == jsonx.STATS) & f["f2"].isin(*jsonx.FREE_TEXT))
+    a, b = F.filter(s.pred["facts"], kept), F.filter(s.ref["facts"], kept)
     hit = overlap(a, b)
-    return F.when(total(a) + total(b) == 0, 1.0).otherwise(tversky(hit, total(a) - hit, total(b) - hit, 0.3, 1.0))
+    alpha = F.when(s.domain == BBU, SPURIOUS[BBU]).otherwise(SPURIOUS[RRU])
+    value = hit / (hit + alpha * (total(a) - hit) + (total(b) - hit))
+    return _compared(s, F.when(total(a) + total(b) == 0, 1.0).when(total(b) == 0, 0.0).otherwise(value))
 
 
-def content_f1(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    a, b = pred.facts, ref.facts
-    hit = overlap(a, b)
-    return F.when(total(a) + total(b) == 0, 1.0).otherwise(ratio(2 * hit, total(a) + total(b)))
+def content_f1(s: Sample) -> Column:
+    a, b = s.pred["facts"], s.ref["facts"]
+    both = total(a) + total(b)
+    return _compared(s, F.when(both == 0, 1.0).otherwise(2 * overlap(a, b) / both))
 
 
-def _texts(of: Parsed) -> Column:
-    found = F.filter(of.facts, lambda f: f["f2"] == text.TEXT)
-    return F.array_distinct(F.transform(found, lambda f: text.ocr_normal(f["f3"])))
+def ocr_text(x: Column) -> Column:
+    return F.upper(F.translate(text.strip_all_blanks(x), "（）－—–−‐／：，", "()-----/:,"))
 
 
-def text_recall(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """Share of the reference's label texts, less 0.1 for each spurious one beyond two (0 without a reference)."""
-    a, b = _texts(pred), _texts(ref)
-    extra = F.greatest(F.lit(0), F.size(F.array_except(a, b)) - 2)
-    return F.greatest(F.lit(-1.0), _share(a, b, 0.0) - 0.1 * extra)
+#: Label texts beyond the reference's number that cost nothing, and what each further one costs.
+FREE_TEXTS, PER_TEXT = 2, 0.10
 
 
-def _notes(of: Parsed) -> Column:
-    return F.array_distinct(F.transform(F.coalesce(of.doc[jsonx.NOTES], F.array().cast("array<string>")), text.strip_all_blanks))
+def text_recall(s: Sample) -> Column:
+    """BBU: share of the reference's label texts, counted, less a cost for far too many different ones."""
 
+    def texts(side: Column) -> Column:
+        own = F.filter(side["facts"], lambda f: (f["f0"] == jsonx.STATS) & f["f2"].isin(*jsonx.FREE_TEXT))
+        shown = F.transform(own, lambda f: F.struct(ocr_text(f["f3"]).alias("t"), f["n"].alias("n")))
+        names = F.filter(F.array_distinct(F.transform(shown, lambda x: x["t"])), lambda t: t != "")
+        return F.transform(names, lambda t: F.struct(*(F.lit(None).cast("string").alias(f"f{k}") for k in range(3)), t.alias("f3"), total(F.filter(shown, lambda x: x["t"] == t)).alias("n")))
 
-def notes(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """-1 for notes where the reference has none, else the share of its notes (1 if neither has any)."""
-    a, b = _notes(pred), _notes(ref)
-    return F.when((F.size(b) == 0) & (F.size(a) > 0), -1.0).otherwise(_share(a, b))
+    a, b = texts(s.pred), texts(s.ref)
+    share = F.when(total(b) > 0, overlap(a, b) / total(b)).otherwise(0.0)
+    extra = F.greatest(F.lit(0), F.size(a) - F.size(b) - FREE_TEXTS)
+    return F.when(s.domain == BBU, _compared(s, clamp(share - PER_TEXT * extra, -1.0, 1.0))).otherwise(0.0)
 
 
-def notes_presence(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    return _flag((F.size(_notes(pred)) > 0) == (F.size(_notes(ref)) > 0))
+def notes(s: Sample) -> Column:
+    """BBU: share of the reference's notes; -1 for notes where it has none."""
+    of = lambda side: F.filter(F.array_distinct(F.transform(side["notes"], ocr_text)), lambda t: t != "")
+    a, b = of(s.pred), of(s.ref)
+    value = F.when(F.size(b) == 0, _flag(F.size(a) > 0, -1.0)).otherwise(_shared(a, b) / F.size(b))
+    return F.when(~s.irrelevant & (s.domain == BBU) & _objects(s), value).otherwise(0.0)
 
 
-def groups_presence(pred: Parsed, ref: Parsed, domain: Column) -> Column:
-    """The text has group counts where the reference has some."""
-    has = lambda t: F.size(F.coalesce(F.map_keys(t.doc[jsonx.GROUPS]), F.array().cast("array<string>"))) > 0
-    return F.when(has(ref), _flag(has(pred))).otherwise(_flag(~has(pred)))
+def notes_presence(s: Sample) -> Column:
+    """BBU: there are notes, where the reference has some."""
+    has = lambda side: F.exists(side["notes"], lambda n: text.strip_all_blanks(n) != "")
+    return _flag(~s.irrelevant & (s.domain == BBU) & has(s.ref) & has(s.pred))
+
+
+def groups_presence(s: Sample) -> Column:
+    """RRU: there are group counts, where the reference has some."""
+    return _flag(~s.irrelevant & (s.domain == RRU) & (F.size(s.ref["groups"]) > 0) & (F.size(s.pred["groups"]) > 0))
 
 
 #: Scores by name; add to it to extend the set.
@@ -196,19 +333,19 @@ SCORES = {
     "category_recall": category_recall,
     "attr_key_recall": attribute_key_recall,
     "attr_path_recall": attribute_path_recall,
+    "schema_tree": schema_tree(),
     "content_tversky": content_tversky,
-    "content_f1": content_f1,
-    "category_f1": category_f1,
     "text": text_recall,
     "notes": notes,
+    "content_f1": content_f1,
+    "category_f1": category_f1,
     "notes_presence": notes_presence,
     "group_stats_presence": groups_presence,
 }
 
 
-def score(rows: DataFrame, names=None, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain") -> DataFrame:
+def score(rows: DataFrame, names=None, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain", irrelevant: str | None = None) -> DataFrame:
     """The rows with a column per score."""
     columns = rows.columns
-    ready = prepare(rows, pred, ref)
-    a, b = Parsed("pred", pred), Parsed("ref", ref)
-    return ready.select(*columns, *[SCORES[n](a, b, F.col(domain)).alias(n) for n in names or SCORES])
+    ready = prepare(rows, pred, ref, domain, irrelevant)
+    return ready.select(*columns, *[SCORES[n](Sample()).alias(n) for n in names or SCORES])

@@ -122,38 +122,96 @@ def smart_resize(spark, sf_dir):
 
 
 def _summaries(spark, sf_dir):
-    """A generated and a reference summary per order, from its odd and even lines."""
+    """A generated and a reference summary per order, from its odd and even lines; the order's number tells what is wrong with it."""
     lines = table(spark, sf_dir, "lineitem")
-    facts = lines.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("half"), "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    entry = facts.groupBy("l_orderkey", "half", "l_returnflag").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("l_linestatus", "n")))).alias("v"))
-    shown = F.concat(F.lit('{"类别": "'), "l_returnflag", F.lit('", "状态": '), F.to_json("v"), F.lit("}"))
-    doc = entry.groupBy("l_orderkey", "half").agg(F.array_join(F.sort_array(F.collect_list(shown)), ", ").alias("d"))
-    text_ = F.concat(F.lit('<DOMAIN=BBU>, <TASK=SUMMARY>\n{"统计": ['), "d", F.lit("]}"))
-    sides = doc.groupBy("l_orderkey").agg(F.max(F.when(F.col("half") == 1, text_)).alias("completion"), F.max(F.when(F.col("half") == 0, text_)).alias("summary_ref"))
-    return sides.where("completion is not null and summary_ref is not null").withColumn("domain", F.lit("BBU"))
+    flag, status, kind = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_orderkey") % 12
+    category = F.when(flag == "A", "光纤").when(flag == "N", "标签").otherwise("电线")
+    facts = lines.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("half"), category.alias("c"), F.when(status == "O", "捆扎").otherwise("文本").alias("a"), F.concat(F.lit("v "), (F.col("l_partkey") % 5).cast("string")).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    values = facts.groupBy("l_orderkey", "half", "c", "a").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("m", "n"))))).alias("v"))
+    shown = F.concat(F.lit('"'), "a", F.lit('": '), "v")
+    entries = values.groupBy("l_orderkey", "half", "c").agg(F.array_join(F.sort_array(F.collect_list(shown)), ", ").alias("e"))
+    entry = F.concat(F.lit('{"类别": "'), "c", F.lit('", '), "e", F.lit("}"))
+    docs = entries.groupBy("l_orderkey", "half").agg(F.array_join(F.sort_array(F.collect_list(entry)), ", ").alias("d"))
+    sides = docs.groupBy("l_orderkey").agg(F.max(F.when(F.col("half") == 1, F.col("d"))).alias("p"), F.max(F.when(F.col("half") == 0, F.col("d"))).alias("r")).where("p is not null and r is not null")
+    stats = lambda d: F.concat(F.lit('"统计": ['), d, F.lit("]"))
+    note = F.concat(F.lit(', "备注": ["n'), (F.col("l_orderkey") % 5 % 3).cast("string"), F.lit('"]'))
+    more = F.when(kind == 4, F.concat(F.lit(", "), stats(F.col("p")))).when(kind == 5, note).when(kind == 7, ', "备注": ["x"]').when(kind == 8, ', "分组统计": {"1": 2}').otherwise("")
+    known = F.when(kind == 5, ', "备注": ["N 0", "n1"]').when(kind == 8, ', "分组统计": {"01": "3"}').otherwise("")
+    domain = F.when(kind.between(6, 9), "RRU").otherwise("BBU")
+    head = F.concat(F.lit("<DOMAIN="), F.when(kind == 1, "RRU").otherwise(domain), F.lit(">, <TASK=SUMMARY>\n{"))
+    pred = F.concat(head, stats(F.col("p")), more, F.when(kind == 3, "").when(kind == 2, "}\nmore").otherwise("}"))
+    return sides.select(
+        "l_orderkey",
+        F.when(kind == 10, "无关图片").otherwise(pred).alias("completion"),
+        F.when(kind == 9, "无关图片").otherwise(F.concat(F.lit("{"), stats(F.col("r")), known, F.lit("}"))).alias("summary_ref"),
+        domain.alias("domain"),
+        (kind >= 10).alias("irrelevant"),
+    )
 
 
-SCORES = """WITH l AS (SELECT l_orderkey AS k, l_returnflag AS f, l_linestatus AS s, count(*) FILTER (l_linenumber % 2 = 1) AS a, count(*) FILTER (l_linenumber % 2 = 0) AS b FROM lineitem GROUP BY 1, 2, 3),
-o AS (SELECT k, sum(a) AS na, sum(b) AS nb, sum(least(a, b)) AS h, count(DISTINCT f) FILTER (b > 0) AS cb FROM l GROUP BY 1 HAVING sum(a) > 0 AND sum(b) > 0),
-c AS (SELECT k, count(*) FILTER (x AND y) AS shared FROM (SELECT k, f, sum(a) > 0 AS x, sum(b) > 0 AS y FROM l GROUP BY 1, 2) GROUP BY 1)"""
+SUMMARY_SQL = """WITH l AS (
+  SELECT l_orderkey AS k, l_returnflag AS f, l_linestatus = 'O' AS bound, l_partkey % 5 AS m,
+    count(*) FILTER (l_linenumber % 2 = 1) AS a, count(*) FILTER (l_linenumber % 2 = 0) AS b FROM lineitem GROUP BY 1, 2, 3, 4),
+o AS (
+  SELECT k, k % 12 AS v, k % 12 IN (6, 7, 8, 9) AS rru, k % 12 IN (0, 4, 5, 6, 8) AS compared, sum(a) AS na, sum(b) AS nb, sum(least(a, b)) AS h,
+    sum(a) FILTER (bound OR k % 12 IN (6, 8)) AS ta, sum(b) FILTER (bound OR k % 12 IN (6, 8)) AS tb, sum(least(a, b)) FILTER (bound OR k % 12 IN (6, 8)) AS th,
+    bool_and(a = b) AS same FROM l GROUP BY k HAVING sum(a) > 0 AND sum(b) > 0),
+c AS (
+  SELECT k, f, sum(a) > 0 AS p, sum(b) > 0 AS r, count(*) FILTER (bound AND a > 0) > 0 AS pb, count(*) FILTER (NOT bound AND a > 0) > 0 AS pt,
+    count(*) FILTER (bound AND b > 0) AS rb, count(*) FILTER (bound AND b > 0 AND a > 0) AS hb FROM l GROUP BY k, f),
+s AS (
+  SELECT *, p AND r AND (f = 'N' OR k % 12 NOT BETWEEN 6 AND 9) AS counts,
+    CASE f WHEN 'A' THEN 0.0 WHEN 'N' THEN pt::INT ELSE pb::INT END AS complete,
+    CASE f WHEN 'A' THEN (pb::INT + pt::INT) / 4 WHEN 'N' THEN pb::INT / CASE WHEN k % 12 BETWEEN 6 AND 9 THEN 3 ELSE 2 END ELSE pt::INT END AS extra FROM c),
+g AS (
+  SELECT k, count(*) FILTER (p AND r) AS shared, count(*) FILTER (p) AS ca, count(*) FILTER (r) AS cb,
+    avg(pb::INT) FILTER (r AND rb > 0) AS keys, avg(hb / rb) FILTER (p AND r AND rb > 0) AS paths,
+    avg(complete) FILTER (counts) - 0.35 * avg(extra) FILTER (counts) - 0.25 * count(*) FILTER (p AND NOT r) / count(*) FILTER (r) AS tree
+  FROM s GROUP BY k HAVING count(*) FILTER (r) > 0),
+t AS (
+  SELECT k, sum(least(a, b)) AS h, sum(b) AS nb, count(*) FILTER (a > 0) AS ua, count(*) FILTER (b > 0) AS ub
+  FROM (SELECT k, m, sum(a) AS a, sum(b) AS b FROM l WHERE NOT bound GROUP BY k, m) GROUP BY k),
+x AS (
+  SELECT o.*, g.* EXCLUDE (k), coalesce(t.h, 0) AS xh, coalesce(t.nb, 0) AS xb, coalesce(t.ua, 0) AS ua, coalesce(t.ub, 0) AS ub, CASE v WHEN 5 THEN 1 WHEN 8 THEN 2 ELSE 0 END AS ea,
+    CASE v WHEN 5 THEN 2 WHEN 8 THEN 3 ELSE 0 END AS eb, CASE v WHEN 5 THEN (k % 5 % 3 = 1)::INT WHEN 8 THEN 2 ELSE 0 END AS eh,
+    CASE v WHEN 8 THEN 2 ELSE 0 END AS ga, CASE v WHEN 8 THEN 3 ELSE 0 END AS gb, CASE v WHEN 8 THEN 2 ELSE 0 END AS gh
+  FROM o JOIN g USING (k) LEFT JOIN t USING (k))
+SELECT k AS l_orderkey,
+  CASE WHEN v IN (2, 3, 11) THEN 0.0 ELSE 1.0 END::DOUBLE AS format,
+  CASE WHEN v = 11 THEN -1.0 WHEN v IN (1, 10) THEN 0.0 ELSE 1.0 END::DOUBLE AS header,
+  CASE WHEN v IN (1, 2) THEN -1.0 ELSE 0.0 END::DOUBLE AS strict,
+  CASE WHEN v = 3 THEN -1.0 ELSE 0.0 END::DOUBLE AS parse,
+  CASE WHEN compared AND v IN (0, 4, 6) AND same THEN 1.0 ELSE 0.0 END::DOUBLE AS content_eq,
+  CASE WHEN v IN (1, 2, 10, 11) THEN 0.0 ELSE 1.0 END::DOUBLE AS dataset,
+  CASE WHEN v = 4 THEN -1.0 ELSE 0.0 END::DOUBLE AS no_dup_keys,
+  CASE WHEN compared THEN round(shared / cb, 6) ELSE 0.0 END::DOUBLE AS category_recall,
+  CASE WHEN compared THEN round(coalesce(keys, 0), 6) ELSE 0.0 END::DOUBLE AS attr_key_recall,
+  CASE WHEN compared THEN round(coalesce(paths, 0), 6) ELSE 0.0 END::DOUBLE AS attr_path_recall,
+  CASE WHEN compared THEN round(greatest(-1, least(1, coalesce(tree, 0))), 6) ELSE 0.0 END::DOUBLE AS schema_tree,
+  CASE WHEN NOT compared THEN 0.0 WHEN coalesce(ta, 0) + ga + coalesce(tb, 0) + gb = 0 THEN 1.0 WHEN coalesce(tb, 0) + gb = 0 THEN 0.0
+    ELSE round((coalesce(th, 0) + gh) / (coalesce(th, 0) + gh + CASE WHEN rru THEN 0.6 ELSE 0.3 END * (coalesce(ta, 0) + ga - coalesce(th, 0) - gh) + coalesce(tb, 0) + gb - coalesce(th, 0) - gh), 6) END::DOUBLE AS content_tversky,
+  CASE WHEN compared AND NOT rru THEN round(greatest(-1, CASE WHEN xb > 0 THEN xh / xb ELSE 0 END - 0.1 * greatest(0, ua - ub - 2)), 6) ELSE 0.0 END::DOUBLE AS "text",
+  CASE WHEN v = 5 AND k % 5 % 3 = 1 THEN 0.5 WHEN v = 5 AND k % 5 % 3 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS notes,
+  CASE WHEN compared THEN round(2 * (h + eh) / (na + nb + ea + eb), 6) ELSE 0.0 END::DOUBLE AS content_f1,
+  CASE WHEN compared THEN round(2 * shared / (ca + cb), 6) ELSE 0.0 END::DOUBLE AS category_f1,
+  CASE WHEN v = 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS notes_presence,
+  CASE WHEN v = 8 THEN 1.0 ELSE 0.0 END::DOUBLE AS group_stats_presence
+FROM x"""
+
+
+@query(SUMMARY_SQL)
+def summary_scores_all(spark, sf_dir):
+    scored = summary_scores.score(_summaries(spark, sf_dir), irrelevant="irrelevant")
+    return scored.select("l_orderkey", *[F.round(n, 6).alias(n) for n in summary_scores.SCORES])
 
 
-@query(
-    SCORES
-    + """ SELECT k AS l_orderkey, 1.0::DOUBLE AS header, 1.0::DOUBLE AS strict, 1.0::DOUBLE AS dataset, round(shared / cb, 6) AS category_recall, round(2 * h / (na + nb), 6) AS content_f1,
-round(h / (h + 0.3 * (na - h) + (nb - h)), 6) AS content_tversky FROM o JOIN c USING (k)"""
-)
+@query(f"SELECT l_orderkey, header, strict, dataset, category_recall, content_f1, content_tversky FROM ({SUMMARY_SQL})")
 def summary_scores_sql(spark, sf_dir):
     names = ["header", "strict", "dataset", "category_recall", "content_f1", "content_tversky"]
-    scored = summary_scores.score(_summaries(spark, sf_dir), names)
+    scored = summary_scores.score(_summaries(spark, sf_dir), names, irrelevant="irrelevant")
     return scored.select("l_orderkey", *[F.round(n, 6).alias(n) for n in names])
 
 
-@query()
-def summary_scores_all(spark, sf_dir):
-    return summary_scores.score(_summaries(spark, sf_dir)).drop("completion", "summary_ref", "domain")
-
-
 @query("SELECT l_orderkey, sum(n)::BIGINT AS n_objects FROM (SELECT l_orderkey, l_returnflag, greatest(1, count(*)) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def objects_estimate(spark, sf_dir):
     facts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("f1"), F.lit("状态").alias("f2"), F.lit(1).alias("n"))

@@ -1,5 +1,7 @@
 """Operators on small inputs with known results."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,23 +83,90 @@ def test_json_extraction(spark):
     assert one(spark, jsonx.stable_json(F.col("t")), t='{"备注":[],"统计":[1]}') == '{"统计": [1], "备注": []}'
 
 
-def scores(spark, completion, ref, *names):
-    rows = spark.createDataFrame([(completion, ref, "BBU")], "completion string, summary_ref string, domain string")
-    got = summary_scores.score(rows, names).first()
-    return [got[n] for n in names]
-
-
-def test_summary_scores(spark):
-    head = "<DOMAIN=BBU>, <TASK=SUMMARY>\n"
-    doc = lambda *e: head + '{"统计": [' + ", ".join(e) + "]}"
-    a, b = '{"类别":"A","可见性":{"完整":1}}', '{"类别":"B","可见性":{"完整":1}}'
-    assert scores(spark, doc(a, b), doc(a), "content_tversky") == [pytest.approx(1 / 1.3)]
-    assert scores(spark, doc(a), doc(a, b), "content_tversky", "category_recall") == [0.5, 0.5]
-    assert scores(spark, doc(a) + "\nmore", doc(a), "strict", "dataset") == [-1.0, 0.0]
-    assert scores(spark, doc(a), doc(a), "dataset", "header", "parse", "content_eq", "notes") == [1.0, 1.0, 1.0, 1.0, 1.0]
-    assert scores(spark, head + '{"统计": [], "统计": []}', doc(a), "no_dup_keys") == [-1.0]
-    noted = head + '{"统计": [], "备注": ["x"]}'
-    assert scores(spark, noted, noted, "notes") == [1.0] and scores(spark, doc(), noted, "notes") == [0.0] and scores(spark, noted, doc(), "notes") == [-1.0]
+HEAD = {d: f"<DOMAIN={d}>, <TASK=SUMMARY>\n" for d in ("BBU", "RRU")}
+
+
+def scored(spark, *names, pred, ref='{"统计": []}', domain="BBU", irrelevant=False):
+    rows = spark.createDataFrame([(pred, ref, domain, irrelevant)], "completion string, summary_ref string, domain string, irrelevant boolean")
+    got = summary_scores.score(rows, names, irrelevant="irrelevant").first()
+    return [round(got[n], 6) for n in names]
+
+
+def summary(*entries, **more):
+    return json.dumps({"统计": list(entries), **more}, ensure_ascii=False)
+
+
+def entry(category, **attributes):
+    return {"类别": category, **attributes}
+
+
+def test_summary_layout_scores(spark):
+    head, doc = HEAD["BBU"], summary(entry("A", x={"1": 1}))
+    names = ("format", "header", "strict", "parse", "dataset", "content_eq")
+    assert scored(spark, *names, pred=head + doc + "<|im_end|>", ref=doc) == [1, 1, 0, 0, 1, 1]
+    assert scored(spark, *names, pred=HEAD["RRU"] + doc, ref=doc) == [1, 0, -1, 0, 0, 0]
+    assert scored(spark, *names, pred=head + doc + "\nmore", ref=doc) == [0, 1, -1, 0, 0, 0]
+    assert scored(spark, *names, pred=head + "\n" + doc, ref=doc) == [0, 1, -1, -1, 0, 0]
+    assert scored(spark, *names, pred=head + doc[:-1], ref=doc) == [0, 1, 0, -1, 1, 0]
+    assert scored(spark, *names, pred=doc, ref=doc) == [0, 0, -1, -1, 0, 0]
+    assert scored(spark, *names, pred=None, ref=doc) == [0, 0, -1, -1, 0, 0]
+    assert scored(spark, *names, pred=" 无关图片\n", irrelevant=True) == [1, 0, 0, 0, 0, 0]
+    assert scored(spark, *names, pred=head + doc, irrelevant=True) == [0, -1, 0, 0, 0, 0]
+    assert scored(spark, *names, pred=head + doc, ref="无关图片") == [1, 1, 0, 0, 1, 0]
+    assert scored(spark, "content_eq", pred=head + summary(entry("B"), entry("A", y=1, x=2)), ref=summary(entry("A", x=2, y=1), entry("B"))) == [1]
+    twice = '{"统计": [{"类别": "A", "x": {"1": 1, "1": 2}}]}'
+    assert scored(spark, "no_dup_keys", pred=head + twice) == [-1] and scored(spark, "no_dup_keys", pred=twice) == [0]
+
+
+def test_summary_domains(spark):
+    noted, grouped = summary(entry("A"), 备注=["x"]), summary(entry("A"), 分组统计={"1": 2})
+    names = ("category_recall", "content_f1", "notes", "notes_presence", "group_stats_presence")
+    assert scored(spark, *names, pred=HEAD["BBU"] + noted, ref=noted) == [1, 1, 1, 1, 0]
+    assert scored(spark, *names, pred=HEAD["RRU"] + noted, ref=noted, domain="RRU") == [0, 0, 0, 0, 0]
+    assert scored(spark, *names, pred=HEAD["BBU"] + grouped, ref=grouped) == [0, 0, 0, 0, 0]
+    assert scored(spark, *names, pred=HEAD["RRU"] + grouped, ref=grouped, domain="RRU") == [1, 1, 0, 0, 1]
+    assert scored(spark, "notes", pred=HEAD["BBU"] + noted, ref=summary()) == [-1] and scored(spark, "notes", pred=HEAD["BBU"] + summary(), ref=summary()) == [0]
+    assert scored(spark, "notes", pred=HEAD["BBU"] + summary(备注=["（a） b"]), ref=summary(备注=["(A)b", "c"])) == [0.5]
+
+
+def test_summary_recalls(spark):
+    one, two = entry("A", 可见性={"完整": 1}, 文本={"t": 1}), entry("B", 捆扎={"整齐": 2, "263": 1, "k=v": 1}, 品牌={"x": 1})
+    names = ("category_recall", "category_f1", "attr_key_recall", "attr_path_recall")
+    assert scored(spark, *names, pred=HEAD["BBU"] + summary(one), ref=summary(one, two)) == [0.5, round(2 / 3, 6), 0.5, 1]
+    assert scored(spark, *names, pred=HEAD["BBU"] + summary(one, entry("B", 捆扎={"散乱": 1})), ref=summary(one, two)) == [1, 1, 0.75, 0.5]
+    assert scored(spark, *names, pred=HEAD["BBU"] + summary(), ref=summary()) == [1, 1, 1, 0]
+    assert scored(spark, "attr_key_recall", pred=HEAD["BBU"] + summary(entry("C")), ref=summary(entry("A", 文本="t"))) == [0]
+
+
+def test_summary_content(spark):
+    a, b = entry("A", 可见性={"完整": 1}), entry("B", 可见性={"完整": 1})
+    text_ = entry("标签", 文本={"x": 3})
+    names = ("content_tversky", "content_f1")
+    assert scored(spark, *names, pred=HEAD["BBU"] + summary(a, b), ref=summary(a)) == [round(1 / 1.3, 6), round(2 / 3, 6)]
+    assert scored(spark, *names, pred=HEAD["RRU"] + summary(a, b), ref=summary(a), domain="RRU") == [round(1 / 1.6, 6), round(2 / 3, 6)]
+    assert scored(spark, *names, pred=HEAD["BBU"] + summary(a), ref=summary(a, b)) == [0.5, round(2 / 3, 6)]
+    assert scored(spark, *names, pred=HEAD["BBU"] + summary(a, text_), ref=summary(a)) == [1, round(2 / 5, 6)]
+    assert scored(spark, *names, pred=HEAD["RRU"] + summary(a, text_), ref=summary(a), domain="RRU") == [round(1 / 2.8, 6), round(2 / 5, 6)]
+    far = lambda v: summary(entry("站点距离", 站点距离=v))
+    assert scored(spark, "content_f1", pred=HEAD["RRU"] + far({"013米": "2"}), ref=far({"13": 2}), domain="RRU") == [1]
+    assert scored(spark, "content_f1", pred=HEAD["RRU"] + far(["13", 13]), ref=far({"13": 2.0, "7": True, "8": -1}), domain="RRU") == [1]
+    labels = lambda *t: summary(entry("标签", 文本={x: 1 for x in t}))
+    assert scored(spark, "text", pred=HEAD["BBU"] + labels("5g（1）"), ref=labels("5G(1)", "b")) == [0.5]
+    assert scored(spark, "text", pred=HEAD["BBU"] + labels("b", "c", "d", "e", "f"), ref=labels("b")) == [0.8]
+    assert scored(spark, "text", pred=HEAD["RRU"] + labels("b"), ref=labels("b"), domain="RRU") == [0]
+
+
+def test_summary_schema_score(spark):
+    wire, fibre = entry("电线", 捆扎={"整齐": 1}), entry("光纤", 弯曲半径={"合格": 1})
+    value = lambda pred, ref, domain="BBU": scored(spark, "schema_tree", pred=HEAD[domain] + pred, ref=ref, domain=domain)[0]
+    assert value(summary(wire), summary(wire)) == 1 and value(summary(fibre), summary(fibre)) == 0.5
+    assert value(summary(entry("电线", 捆扎=1, 颜色=1)), summary(wire)) == 0.65
+    assert value(summary(wire, entry("新", x=1)), summary(wire)) == 0.75
+    assert value(summary(wire, dataset="d"), summary(wire)) == 0.85
+    assert value(summary(wire), summary()) == 0 and value(summary(entry("新", x=1)), summary(entry("新", x=1))) == 0
+    far = lambda v: summary(entry("站点距离", 站点距离=v))
+    assert value(far({"13": 1}), far({"13": 1}), "RRU") == 1
+    assert value(far({"13m": 1}), far({"13": 1}), "RRU") == 0.4 and value(far("13"), far({"13": 1}), "RRU") == 0.4
 
 
 # --- geometry ---
@@ -232,15 +301,6 @@ def test_distances_distill_entries(spark):
     assert one(spark, a.similar_text(known, F.col("t")), t="gamma delta epsilom") == "gamma delta epsilon" and one(spark, a.similar_text(known, F.col("t")), t="zeta") is None
 
 
-def test_schema_and_key_scores(spark):
-    doc = '<DOMAIN=BBU>, <TASK=SUMMARY>\n{"统计": [{"类别":"A","x":{"1":1},"z":{"1":1}}]}'
-    rows = summary_scores.prepare(spark.createDataFrame([(doc, doc, "BBU")], "completion string, summary_ref string, domain string"), "completion", "summary_ref")
-    p, r = summary_scores.Parsed("pred", "completion"), summary_scores.Parsed("ref", "summary_ref")
-    score = summary_scores.schema_tree({"A": (("x", "y"), ()), "B": ((), ())})
-    got = rows.select(score(p, r, F.col("domain")).alias("s"), summary_scores.attribute_key_recall(p, r, F.col("domain")).alias("k")).first()
-    assert got["s"] == pytest.approx(1 - 0.35 - 0.25) and got["k"] == 1.0
-
-
 # --- records ---
 
 
