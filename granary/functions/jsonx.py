@@ -18,7 +18,8 @@ DOCUMENT = f"struct<`{STATS}`:array<map<string,string>>,`{NOTES}`:array<string>,
 
 
 def is_object(text: Column) -> Column:
-    return F.json_object_keys(text).isNotNull()
+    """A JSON object and nothing behind it: Spark's parser stops at an object's end, but not inside a list."""
+    return F.json_object_keys(text).isNotNull() & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
 
 
 def object_in(text: Column) -> Column:
@@ -236,6 +237,20 @@ def summary_parts(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parts(t) for t in text], columns=PARTS.names)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
+def string_values(text: pd.Series) -> pd.Series:
+    """The top-level string values of an object with their keys, in order; null if the text is no object."""
+
+    def values(t):
+        try:
+            doc = json.loads(t)
+        except (TypeError, ValueError):
+            return None
+        return [{"key": k, "value": v} for k, v in doc.items() if isinstance(v, str)] if isinstance(doc, dict) else None
+
+    return text.map(values)
+
+
 def document(text: Column) -> Column:
     """The summary's struct; null where there is no object."""
     found = object_in(text)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions import geometry
+from granary.functions import geometry, jsonx
 from granary.functions.text import DISTANCE, kv_pairs
 
 
@@ -72,6 +72,58 @@ def phase_of(desc: Column, umbrella: dict[str, str]) -> Column:
     )
 
 
+def clean_summary(said: Column) -> Column:
+    """One image's summary out of what was said of it.
+
+    The word for irrelevant images alone; else the last line that is a summary
+    object, or the whole text if it is one, in its stable form; else of another
+    object the text of its first image, or all its texts; else the text itself.
+    """
+    text = F.trim(F.regexp_replace(said, r"^\s+|\s+$", ""))
+    is_summary = lambda x: jsonx.is_object(x) & F.get_json_object(x, f"$.{jsonx.STATS}").isNotNull()
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), is_summary)
+    summary = F.when(F.size(lines) > 0, F.element_at(lines, -1)).when(is_summary(text), text)
+    values = jsonx.string_values(F.when(jsonx.is_object(text), text))
+    of = lambda key: F.get(F.filter(values, lambda v: v["key"] == key), F.lit(0))["value"]
+    joined = F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda v: F.trim(v["value"])), "，"))
+    return F.when(F.startswith(text, F.lit(jsonx.IRRELEVANT)), jsonx.IRRELEVANT).otherwise(F.coalesce(jsonx.stable_json(summary), F.trim(of("image_1")), F.trim(of("图片_1")), joined, text))
+
+
+def clean_records(records: DataFrame, key: str, column: str = "per_image") -> DataFrame:
+    """Records, unique by ``key``, with every text of a map of images' summaries cleaned; null texts go."""
+    said = records.select(key, F.explode(column).alias("image", "said")).where("said is not null")
+    clean = said.select(key, F.struct("image", clean_summary(F.col("said"))).alias("e")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias(column))
+    return records.drop(column).join(clean, key, "left").select(records.columns)
+
+
+#: Kinds of tokens.
+IGNORED, IN_DESC, IN_COORD, IN_FORMAT = -1, 1, 2, 3
+
+
+def token_types(tokens: Column, spans: Column, labels: Column) -> Column:
+    """The kind of every position of a sequence: that of most of its token's characters where it is supervised.
+
+    tokens: (start, end) of the supervised text's tokens; spans: (start, end,
+    type) of the text, apart from each other, with what lies between them as
+    format; labels: -100 where not supervised. Missing tokens count as format,
+    surplus ones are left out; of kinds with as many characters the least wins.
+    """
+
+    def kind(token: Column) -> Column:
+        width = token["end"] - token["start"]
+        inside = lambda s: F.greatest(F.least(s["end"], token["end"]) - F.greatest(s["start"], token["start"]), F.lit(0))
+        part = lambda k: F.aggregate(F.filter(spans, lambda s: s["type"] == k), F.lit(0).cast("long"), lambda n, s: n + inside(s))
+        desc, coord = part(IN_DESC), part(IN_COORD)
+        rest = width - desc - coord
+        found = F.when((desc >= coord) & (desc >= rest), IN_DESC).when(coord >= rest, IN_COORD).otherwise(IN_FORMAT)
+        return F.when(width > 0, found).otherwise(IN_FORMAT)
+
+    kinds = F.transform(tokens, kind)
+    on = F.filter(F.transform(labels, lambda x, i: F.when(x != -100, i)), lambda i: i.isNotNull())
+    place = F.transform(labels, lambda x, i: F.when(x != -100, F.array_position(on, i)))
+    return F.transform(place, lambda p: F.when(p.isNull(), IGNORED).otherwise(F.coalesce(F.get(kinds, (p - 1).cast("int")), F.lit(IN_FORMAT))))
+
+
 def without_distance(summary: Column) -> Column:
     """A text without the lines that name the station distance."""
     return F.array_join(F.filter(F.split(summary, "\n"), lambda x: ~F.contains(x, F.lit(DISTANCE))), "\n")

@@ -116,3 +116,8 @@ def object_order(objects: Column, policy: str = "reference") -> Column:
         return F.struct(centre(1).alias("y"), centre(0).alias("x"), rank(o).alias("k"), point(o).alias("p"), i.alias("i"), o.alias("o"))
 
     return F.transform(F.sort_array(F.transform(objects, key)), lambda s: s["o"])
+
+
+def category_order(domain: Column, category: Column) -> list[Column]:
+    """Order of a summary's entries: by name, in RRU the station's distance before all."""
+    return [F.when((F.upper(domain) == "RRU") & (category == "站点距离"), 0).otherwise(1), category]

@@ -161,3 +161,46 @@ def wrapped_page(position: Column, n: int, size: int, start: int = 0):
     """(epoch, offset) of the position-th item when pages of a reshuffled permutation wrap around."""
     at = position + start * size
     return F.floor(at / n).cast("long"), (at % n).cast("long")
+
+
+#: Fields of a data set's entry that may stand beside its name, or in ``params``.
+ENTRY_FIELDS = "train_jsonl string, val_jsonl string, template string, mode string, use_summary boolean, poly_fallback string, poly_max_points int, augmentation_enabled boolean, curriculum_enabled boolean, max_objects_per_image int, user_prompt string, system_prompt string, seed bigint, sample_without_replacement boolean"
+ENTRY = f"dataset string, name string, ratio string, params struct<{ENTRY_FIELDS.replace(' ', ':').replace(',:', ',')}>, {ENTRY_FIELDS}"
+
+
+def mixture_entries(rows: DataFrame) -> DataFrame:
+    """role, dataset, name, ratio, the entry's fields, problem: entries of a mixture read from JSON.
+
+    rows: role (target or auxiliary), entry (JSON). ``params``, where given, is
+    what counts, else the fields beside the name. ``problem`` (null if none):
+    no_name, ratio_missing (an auxiliary one needs it), ratio_not_number,
+    ratio_negative, removed_field, or duplicate for all entries of one name.
+    """
+    e = F.from_json("entry", ENTRY)
+    ratio = F.col("e.ratio").try_cast("double")
+    removed = F.coalesce(F.get_json_object("entry", "$.summary_label_grouping"), F.get_json_object("entry", "$.params.summary_label_grouping"))
+    fields = [f.split()[0] for f in ENTRY_FIELDS.split(", ")]
+    own = [F.when(F.col("e.params").isNotNull(), F.col(f"e.params.{f}")).otherwise(F.col(f"e.{f}")).alias(f) for f in fields]
+    parsed = rows.select("role", "entry", e.alias("e")).select(
+        "role",
+        F.coalesce("e.dataset", "e.name").alias("dataset"),
+        F.coalesce("e.name", "e.dataset").alias("name"),
+        ratio.alias("ratio"),
+        *own,
+        F.when(F.col("e.dataset").isNull() & F.col("e.name").isNull(), "no_name")
+        .when(removed.isNotNull(), "removed_field")
+        .when((F.col("role") == "auxiliary") & F.col("e.ratio").isNull(), "ratio_missing")
+        .when(F.col("e.ratio").isNotNull() & ratio.isNull(), "ratio_not_number")
+        .when(ratio < 0, "ratio_negative")
+        .alias("fault"),
+    )
+    names = parsed.where("fault is null").groupBy("name").agg(F.count(F.lit(1)).alias("times"))
+    return parsed.join(names, "name", "left").withColumn("problem", F.coalesce("fault", F.when(F.col("times") > 1, "duplicate"))).drop("fault", "times")
+
+
+def merged_mixture(base: DataFrame, override: DataFrame, key: str = "name") -> DataFrame:
+    """Entries of a mixture that extends another: equal names are merged, the own fields first, then the base's; others stay."""
+    fields = [c for c in base.columns if c != key]
+    own = override.select(F.col(key).alias("own_key"), *[F.col(c).alias(f"own_{c}") for c in fields])
+    joined = base.join(own, F.col(key) == F.col("own_key"), "full")
+    return joined.select(F.coalesce(key, "own_key").alias(key), *[F.coalesce(f"own_{c}", c).alias(c) for c in fields])

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from granary.plans.registry import query, table
+from granary.session import shared_path
 from granary.streaming import progress
 
 
 def _run(spark, frame, mode: str):
-    """All of a stream's rows, through the memory sink of a small result."""
-    name = f"stream_{uuid.uuid4().hex}"
-    job = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """A stream's whole result after its last batch, as a table in the shared folder: a file sink that replaces it with each batch."""
+    root = shared_path(spark, "stream")
+    newest = {}
+
+    def write(batch, number):
+        newest["path"] = f"{root}/{number}"
+        batch.write.mode("overwrite").parquet(newest["path"])
+
+    job = frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(frame.schema).parquet(newest["path"])
 
 
 def _events(spark, sf_dir):

@@ -280,7 +280,12 @@ def md5_route(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sampling.route(F.col("doc_id")).alias("route"))
 
 
-@query()
+#: CRC-32 of a name, a bit at a time.
+CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(source, ''), lambda c: ord(c)::BIGINT)), lambda crc, byte:
+list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+
+@query(f"SELECT doc_id, ((xor({CRC}, 4294967295) & 65535) << 32) | (doc_id & 4294967295) AS sample_id FROM documents")
 def sample_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sampling.sample_id(F.col("source"), F.col("doc_id")).alias("sample_id"))
 

@@ -61,9 +61,13 @@ def multi_category(spark, sf_dir):
     return docs.select(F.explode(text.categories(F.col("text"), RULES)).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events")
+@query("SELECT event_id, CASE event_id % 6 WHEN 4 THEN NULL WHEN 5 THEN -1 ELSE (json_extract_string(props, '$.k'))::BIGINT END AS k FROM events")
 def json_extract(spark, sf_dir):
-    found = jsonx.object_in(F.concat(F.lit("result: "), F.col("props")))
+    """Objects alone, behind a prefix, on a line among others, in a fence, cut off, and two of them."""
+    props, kind = F.col("props"), F.col("event_id") % 6
+    said = F.when(kind == 0, props).when(kind == 1, F.concat(F.lit("result: "), props)).when(kind == 2, F.concat(F.lit("so\n  "), props, F.lit("\nend")))
+    said = said.when(kind == 3, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(kind == 4, F.expr("left(props, length(props) - 1)"))
+    found = jsonx.object_in(said.otherwise(F.concat(props, F.lit('\n{"k": -1}'))))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(found, "$.k").cast("bigint").alias("k"))
 
 
@@ -80,11 +84,17 @@ def chat_clean(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderkey, o_orderstatus <> 'P' AS format_ok, CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'F' THEN 'fail' END AS verdict, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS reason FROM orders"
+    """WITH v AS (SELECT o_orderkey, o_orderpriority AS r, CASE o_orderkey % 9 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'fail' WHEN 8 THEN 'pass' END AS verdict FROM orders)
+SELECT o_orderkey, verdict IS NOT NULL AS format_ok, verdict, CASE WHEN verdict IS NOT NULL THEN r END AS reason FROM v"""
 )
 def verdict_parse(spark, sf_dir):
-    word = F.when(F.col("o_orderstatus") == "O", "通过").when(F.col("o_orderstatus") == "F", " FAIL").otherwise("maybe")
-    said = F.concat(F.lit("\nVerdict: "), word, F.lit("\n\nReason： "), "o_orderpriority", F.lit(" \n"))
+    """Two good lines in several dresses; a third line, no reason, an unknown word, lines turned round, one line."""
+    kind, r = F.col("o_orderkey") % 9, F.col("o_orderpriority")
+    shapes = {0: ("Verdict: 通过\nReason: ", ""), 1: ("\nVERDICT： FAIL\n\nReason： ", " \n"), 2: ("verdict:2\nreason:", ""), 3: ("Verdict: pass\nReason: ", "\nmore"), 4: ("Verdict: pass\nBecause: ", "")}
+    shapes |= {5: ("Verdict: maybe\nReason: ", ""), 6: ("Reason: ", "\nVerdict: pass"), 7: ("Verdict: pass ", ""), 8: ("Verdict: 审核通过 \n \nReason: ", "")}
+    said = F.lit(None).cast("string")
+    for k, (before, after) in shapes.items():
+        said = F.when(kind == k, F.concat(F.lit(before), r, F.lit(after))).otherwise(said)
     return table(spark, sf_dir, "orders").select("o_orderkey", text.verdict_of(said).alias("v")).select("o_orderkey", "v.*")
 
 
@@ -104,9 +114,12 @@ def natural_order(spark, sf_dir):
     return ordering.ranked_per_group(parts, ["p_type"], [text.natural_key(F.col("name"))], 1 << 30).drop("p_type")
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'F' THEN 'fail' END AS label FROM orders")
+LABELS = ("pass", "FAIL ", " 1", "2", "通过", "审核不通过", "审核通过 ", "不通过", "passed", "", "0", "未通过")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 13 IN (0, 2, 4, 6) THEN 'pass' WHEN o_orderkey % 13 IN (1, 3, 5, 7) THEN 'fail' END AS label FROM orders")
 def label_normalize(spark, sf_dir):
-    raw = F.when(F.col("o_orderstatus") == "O", " 审核通过").when(F.col("o_orderstatus") == "F", "不通过 ").otherwise("?")
+    raw = F.get(F.array(*[F.lit(x) for x in LABELS]), (F.col("o_orderkey") % 13).cast("int"))  # 12: null
     return table(spark, sf_dir, "orders").select("o_orderkey", text.normal_label(raw).alias("label"))
 
 

@@ -1,6 +1,7 @@
 """Operators on small inputs with known results."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -169,6 +170,44 @@ def test_summary_schema_score(spark):
     assert value(far({"13m": 1}), far({"13": 1}), "RRU") == 0.4 and value(far("13"), far({"13": 1}), "RRU") == 0.4
 
 
+# --- matching ---
+
+
+@pytest.mark.parametrize("at_once", [200_000, 10])
+def test_greedy_matches_against_a_plain_loop(spark, at_once, monkeypatch):
+    monkeypatch.setattr(matching, "PAIRS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    rows = [(i, g, p, rng.randrange(1, 9) / 8) for i in range(4) for g in range(8) for p in range(8) if rng.random() < (0.2, 0.9)[i % 2]]
+    df = spark.createDataFrame(rows, "image long, gt_idx long, pr_idx long, iou double")
+    want, left, right = set(), set(), set()
+    for i, g, p, iou in sorted(rows, key=lambda r: (r[0], -r[3], r[1], r[2])):
+        if iou >= 0.25 and (i, g) not in left and (i, p) not in right:
+            left.add((i, g))
+            right.add((i, p))
+            want.add((i, g, p, iou))
+    assert {tuple(r) for r in matching.greedy(df, 0.25).collect()} == want
+    assert {tuple(r) for r in matching.greedy(df, 0.75).collect()} == {r for r in want if r[3] >= 0.75}
+
+
+def test_weighted_attributes_with_bonus(spark):
+    rows = [
+        ("a", 1, "光纤", "可见性", "完整", "x"),
+        ("a", 1, "光纤", "品牌", "h", "h"),
+        ("a", 1, "光纤", "文本", "t", "t"),
+        ("a", 2, "站点距离", "站点距离", "13", "013"),
+        ("b", 1, "光纤", "类别", "光纤", "光纤"),
+    ]
+    df = spark.createDataFrame(rows, "image string, gt_idx long, category string, key string, gt_value string, pr_value string")
+    got = {r["image"]: r["score"] for r in matching.weighted_attribute_recall(df).collect()}
+    assert got["a"] == pytest.approx((1 / 1.1 + 6 / 7.1 + 1) / 2) and got["b"] == 0
+
+
+def test_merged_mixture(spark):
+    base = spark.createDataFrame([("a", 1.0, "t"), ("b", 2.0, "t")], "name string, ratio double, template string")
+    more = spark.createDataFrame([("b", 3.0, None), ("c", 4.0, "u")], "name string, ratio double, template string")
+    assert {tuple(r) for r in sampling.merged_mixture(base, more).collect()} == {("a", 1.0, "t"), ("b", 3.0, "t"), ("c", 4.0, "u")}
+
+
 # --- geometry ---
 
 
