@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import shared_path, staged
+
 #: Bytes that separate words: space and the controls tab to carriage return.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same for Spark's regular expressions.
@@ -25,26 +25,8 @@ PIECE = 1 << 20
 # --- scratch tables -------------------------------------------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, as in local tests, a temporary folder of this
-    machine becomes the setting.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A new path in the folder that all executors share, and a table written there and read back.
+scratch, stage = shared_path, staged
 
 
 def identified(docs: DataFrame) -> DataFrame:
