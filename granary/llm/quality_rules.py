@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from granary.llm.common import BLANK, BLANKS
 
 WINDOW = 5
+#: Lines that begin as list items do, and lines that break off.
+BULLET = r"^[ \t]*[-*•‣]"
+ELLIPSIS = r"(?:\.\.\.|…)[ \t\r]*\z"
 
 
 def _words(text: Column) -> Column:
@@ -73,6 +76,8 @@ def measure(docs: DataFrame) -> DataFrame:
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: x.rlike(BULLET))).cast("long").alias("n_bullets"),
+        F.size(F.filter("lines", lambda x: x.rlike(ELLIPSIS))).cast("long").alias("n_ellipses"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(zipped, lambda w: F.xxhash64(w))).alias("hashes"),
     )
@@ -94,6 +99,10 @@ RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
     Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("long_words", "word_chars > 20 * n_words"),
+    Rule("bullets", "10 * n_bullets > 9 * n_lines"),
+    Rule("ellipses", "10 * n_ellipses > 3 * n_lines"),
+    Rule("short_words", "word_chars < 3 * n_words"),
+    Rule("crammed", "n_words > 200 * n_lines"),
 )
 
 
@@ -111,8 +120,8 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeats"))
-#: The newest last. The rule on long words is on the ledger but in no policy: scripts without blanks would fail it.
-POLICIES = (BASE, Policy("web", 1, ("few_words", "repeats", "symbols")), Policy("web", 2, ("few_words", "repeats", "symbols", "duplicate_lines")))
+#: The one that counts last. What scripts without blanks, lists or single long paragraphs would fail is in the strict one alone.
+POLICIES = (BASE, Policy("strict", 1, tuple(r.name for r in RULES)), Policy("web", 1, ("few_words", "repeats", "symbols")), Policy("web", 2, ("few_words", "repeats", "symbols", "duplicate_lines")))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -184,8 +193,12 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_SQL = {
-    "op3_quality_rules": r"""
+def op3_rule_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and with others."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("bits_seen")
+
+
+LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (
   SELECT r, doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words,
@@ -198,14 +211,24 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS
 gap AS (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 5)) AS g FROM twice),
 cov AS (SELECT r, sum(g)::BIGINT AS n FROM gap GROUP BY r),
 m AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  SELECT doc_id, len(list_filter(lines, lambda l: regexp_matches(l, '^[ \t]*[-*•‣]'))) AS n_bullets, len(list_filter(lines, lambda l: regexp_matches(l, '(?:\.\.\.|…)[ \t\r]*\z'))) AS n_ellipses,
+    len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM a LEFT JOIN cov USING (r)),
 f AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
-    + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits
+    + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT
+    + 32 * (10 * n_bullets > 9 * n_lines)::BIGINT + 64 * (10 * n_ellipses > 3 * n_lines)::BIGINT + 128 * (word_chars < 3 * n_words)::BIGINT + 256 * (n_words > 200 * n_lines)::BIGINT AS fail_bits FROM m)
+"""
+ORACLE_SQL = {
+    "op3_quality_rules": LEDGER_SQL
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits
 FROM f
+""",
+    "op3_rule_ablation": LEDGER_SQL
+    + f""", p AS (SELECT unnest([{", ".join(f"{{'policy': '{p.name}', 'version': {p.version}, 'rule': '{r.name}', 'bit': {1 << i}, 'mask': {p.mask}}}" for p in POLICIES for i, r in enumerate(RULES) if r.name in p.rules)}], recursive := true))
+SELECT policy, "version"::INT AS "version", rule, count(*) AS n_docs, count(*) FILTER (fail_bits & bit <> 0) AS n_fail, count(*) FILTER (fail_bits & mask = bit) AS n_fail_alone, count(*) FILTER (fail_bits & mask <> 0) AS n_rejected
+FROM f, p GROUP BY ALL
 """,
 }
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op3_rule_ablation": op3_rule_ablation}
