@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.geometry import aabb, pairs
+from granary.session import staged
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -83,13 +84,33 @@ def steps_of_percents(percents: list[float], total: int) -> list[int]:
     return out
 
 
+def _since_gain(rows: DataFrame, order: list[str], gain: str, by: list[str]) -> DataFrame:
+    """``_island``: gains so far; ``without_gain``: rows since the last of them, or so far; both per ``by``."""
+    window = Window.partitionBy(*by).orderBy(*order)
+    island = F.sum(F.when(F.col(gain) > 0, 1).otherwise(0)).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = F.row_number().over(Window.partitionBy(*by, "_island").orderBy(*order))
+    return rows.withColumn("_island", island).withColumn("without_gain", inside - F.when(F.col("_island") > 0, 1).otherwise(0))
+
+
 def patience(rows: DataFrame, order: list[str], gain: str, run: list[str] | None = None) -> DataFrame:
-    """``without_gain``: rows since the last positive gain, counted per run."""
-    by = Window.partitionBy(*(run or [F.lit(0)])).orderBy(*order)
-    island = F.sum(F.when(F.col(gain) > 0, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = rows.withColumn("_island", island)
-    inside = Window.partitionBy(*(run or []), "_island").orderBy(*order)
-    return marked.withColumn("without_gain", F.row_number().over(inside) - F.when(F.col("_island") > 0, 1).otherwise(0)).drop("_island")
+    """``without_gain``: rows since the last positive gain, counted per run.
+
+    Without runs the rows are counted in ranges of their order, and what each
+    range leaves to the next is summed over the ranges, of which there are few.
+    """
+    if run:
+        return _since_gain(rows, order, gain, run).drop("_island")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counted = _since_gain(dealt, order, gain, ["_range"])
+    ends = counted.groupBy("_range").agg(F.max("_island").alias("gains"), F.max_by("without_gain", F.struct(*order)).alias("tail"))
+    along = Window.partitionBy(F.lit(0)).orderBy("_range")
+    ends = ends.withColumn("since", F.sum((F.col("gains") > 0).cast("int")).over(along))
+    left = F.sum("tail").over(Window.partitionBy("since").orderBy("_range"))
+    ends = ends.withColumn("left", left).withColumn("before", F.coalesce(F.lag("left").over(along), F.lit(0))).select("_range", "before")
+    joined = counted.join(F.broadcast(ends), "_range")
+    value = F.col("without_gain") + F.when(F.col("_island") == 0, F.col("before")).otherwise(0)
+    return joined.select(*rows.columns, value.cast("int").alias("without_gain"))
 
 
 def last_message(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "assistant") -> DataFrame:

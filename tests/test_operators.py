@@ -170,6 +170,18 @@ def test_summary_schema_score(spark):
     assert value(far({"13m": 1}), far({"13": 1}), "RRU") == 0.4 and value(far("13"), far({"13": 1}), "RRU") == 0.4
 
 
+def test_patience_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([-1.0, 0.0, 0.0, 0.0, 1.0]) if k > 12 else 0.0, "x") for k in range(60)]
+    want, since = {}, 0
+    for k, gain, _ in rows:
+        since = 0 if gain > 0 else since + 1
+        want[k] = since
+    df = spark.createDataFrame(rows, "step long, gain double, _x string").repartition(5)
+    assert {r["step"]: r["without_gain"] for r in ordering.patience(df, ["step"], "gain").collect()} == want
+    assert {r["step"]: r["without_gain"] for r in ordering.patience(df, ["step"], "gain", ["_x"]).collect()} == want
+
+
 # --- matching ---
 
 
