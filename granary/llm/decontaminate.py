@@ -198,8 +198,10 @@ def verified(candidates: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, item_id, diagonal, start, words, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "start", "words", "item_words"))):
-                words, item = np.array(words, np.int64), np.array(item, np.int64)
+            words_at, item_at = (batch.column(c).offsets.to_numpy() for c in ("words", "item_words"))
+            all_words, all_items = (batch.column(c).values.to_numpy() for c in ("words", "item_words"))
+            for k, (doc_id, item_id, diagonal, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "start")))):
+                words, item = all_words[words_at[k] : words_at[k + 1]], all_items[item_at[k] : item_at[k + 1]]
                 a, b = max(0, start - diagonal), min(len(item), start + len(words) - diagonal)
                 if a >= b:
                     continue
