@@ -42,7 +42,7 @@ CHECKPOINTS = 4
 BLOCK_TOKENS = 1 << 21
 END_ID = 2
 #: Chunks of text whose ids a worker remembers before it starts anew, and how many are coded as one text.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 AT_ONCE = 1000
 #: Bytes of the longest word that is coded as a chunk.
 LONGEST = 128
@@ -225,7 +225,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID
         total = np.zeros(max(len(coder.bytes_of), end_id + 1), np.int64)
         none = {"doc_id": pa.nulls(1, pa.int64()), "n_tokens": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary())}
         for batch in batches:
-            for at, to, texts in slices(batch, "text"):
+            for at, to, texts in slices(batch, "text", 4 << 20):
                 found = coder.encode(texts)
                 seen = np.bincount(np.concatenate(found)) if found else total[:0]
                 total[: len(seen)] += seen
