@@ -15,6 +15,7 @@ MODULES = (
     "ngram_join",
     "substring_dedup",
     "token_blocks",
+    "byte_bpe",
 )
 
 QUERIES: dict = {}
