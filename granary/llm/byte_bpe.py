@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import U64, mix, shuffle_parts, slices, span_hashes
 
 #: Text bytes of a slice.
-SLICE = 8 << 20
+SLICE = 6 << 20
 APOSTROPHE = ord("'")
 SPACE = ord(" ")
 BLANK, LETTER, NUMBER, OTHER = range(4)
@@ -93,8 +93,11 @@ def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Code points of the joined texts, the first byte of each (one more entry at the end), and each text's first code point (likewise)."""
     strings = [t.decode("utf-8", "replace") for t in texts]
     points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
-    at = np.zeros(len(points) + 1, np.int64)
-    np.cumsum(1 + (points >= 0x80) + (points >= 0x800).astype(np.int8) + (points >= 0x10000), out=at[1:])
+    size = np.ones(len(points), np.int8)
+    for more in (0x80, 0x800, 0x10000):
+        size += points >= more
+    at = np.zeros(len(points) + 1, np.int32)
+    np.cumsum(size, out=at[1:])
     return points, at, np.append(0, np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings))))
 
 
@@ -144,7 +147,8 @@ def spans(texts: list[bytes], pattern: str) -> tuple[bytes, np.ndarray, np.ndarr
         points, at, text_first = code_points(texts)
         found = word_starts(points, text_first)
         joined = points.tobytes().decode("utf-32-le").encode()
-        return joined, at[found], at[np.append(found[1:], len(points))] if len(found) else at[:0], np.searchsorted(found, text_first)
+        starts, ends = at[found].astype(np.int64), at[np.append(found[1:], len(points))].astype(np.int64)
+        return joined, starts, ends[: len(starts)], np.searchsorted(found, text_first)
     import regex
 
     parts, starts, ends, first, size = [], [], [], [0], 0

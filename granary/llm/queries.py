@@ -16,6 +16,7 @@ MODULES = (
     "substring_dedup",
     "token_blocks",
     "byte_bpe",
+    "hard_negatives",
 )
 
 QUERIES: dict = {}

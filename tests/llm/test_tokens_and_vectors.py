@@ -71,3 +71,53 @@ def test_byte_bpe_refuses_changed_input_and_unknown_ids(spark):
 
 def test_token_table(spark):
     assert byte_bpe.token_table(spark).where("token = ' the'").count() == 1
+
+
+# --- hard negatives ---
+
+VECTORS = "vec_id long, embedding array<float>, label int, score string"
+
+
+def brute_negatives(rows, positives=5, negatives=3):
+    import math
+
+    clean = [(v, l, [math.floor(256 * x) for x in e]) for v, e, l, *_ in rows if None not in (v, e, l) and all(x is not None and math.isfinite(x) for x in e)]
+    out = []
+    for i, (a, la, x) in enumerate(clean):
+        if a % 50:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), v, lb == la) for j, (v, lb, y) in enumerate(clean) if j != i)
+        for score, p, _ in [s for s in scored if s[2]][:positives]:
+            window = [(v, -s) for s, v, same in scored if not same and 50 * -score <= 100 * -s <= 95 * -score][:negatives]
+            out += [(a, p, k + 1, v, -score, s) for k, (v, s) in enumerate(window)]
+    return sorted(out)
+
+
+def mined(df):
+    from granary.llm import hard_negatives
+
+    v = hard_negatives.usable(df)
+    return sorted(tuple(r) for r in hard_negatives.mine(v, v.where("vec_id % 50 = 0")).collect())
+
+
+@pytest.mark.parametrize("cells", [(1 << 13, 1 << 11, 1 << 10), (40, 3, 20)])
+def test_hard_negatives_against_brute_force(spark, monkeypatch, cells):
+    from granary.llm import hard_negatives
+
+    for name, n in zip(("CELL_ROWS", "CELL_ANCHORS", "LEAST_ROWS"), cells):
+        monkeypatch.setattr(hard_negatives, name, n)
+    monkeypatch.setattr(hard_negatives, "SCORES_AT_ONCE", 256)
+    rng = random.Random(4)
+    vector = lambda: [rng.choice([-0.5, -0.004, 0.0, 0.25, 0.5, 1.0]) for _ in range(4)]  # noqa: E731  many ties
+    rows = [(k * 5, vector(), rng.randrange(4) if k % 9 else 7 + k, "x") for k in range(-60, 240)]
+    rows += [(50, vector(), 1, "x"), (50, [0.5] * 4, 1, "x"), (50, [0.5] * 4, 1, "x"), (7, [0.5] * 3, 2, "x"), (100, [0.0] * 4, 3, "x")]
+    rows += [(None, [1.0] * 4, 1, "x"), (150, None, 1, "x"), (200, [1.0, None], 1, "x"), (250, [float("nan")], 1, "x"), (300, [float("inf")] * 4, 1, "x"), (350, [1.0] * 4, None, "x"), (400, [], 2, "x")]
+    df = spark.createDataFrame(rows, VECTORS)
+    want = brute_negatives(rows)
+    assert len(want) > 200 and mined(df) == want
+    assert mined(df.limit(0)) == []
+
+
+def test_hard_negatives_large_values_and_hot_vector(spark):
+    rows = [(k, [1.0, 0.0] if k % 3 else [0.0, 0.9], k % 2, "x") for k in range(400)] + [(1000 + k, [2.0**20, -(2.0**20) + k], k % 2, "x") for k in range(6)]
+    assert mined(spark.createDataFrame(rows, VECTORS)) == brute_negatives(rows)
