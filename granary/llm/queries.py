@@ -17,6 +17,7 @@ MODULES = (
     "token_blocks",
     "byte_bpe",
     "hard_negatives",
+    "token_alignment",
 )
 
 QUERIES: dict = {}

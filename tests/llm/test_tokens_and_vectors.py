@@ -1,6 +1,7 @@
 """Byte-pair coding, alignment of tokenizers and hard negatives, held against plain Python."""
 
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -121,3 +122,76 @@ def test_hard_negatives_against_brute_force(spark, monkeypatch, cells):
 def test_hard_negatives_large_values_and_hot_vector(spark):
     rows = [(k, [1.0, 0.0] if k % 3 else [0.0, 0.9], k % 2, "x") for k in range(400)] + [(1000 + k, [2.0**20, -(2.0**20) + k], k % 2, "x") for k in range(6)]
     assert mined(spark.createDataFrame(rows, VECTORS)) == brute_negatives(rows)
+
+
+# --- alignment of two tokenizers ---
+
+
+def brute_alignment(texts):
+    """Whole texts through both libraries; a row per text."""
+    import collections
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from granary.llm import token_alignment
+
+    path_a, path_b = token_alignment.default_tokenizers()
+    a = Tokenizer.from_file(path_a)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    shown = {c: i for i, c in enumerate([*range(33, 127), *range(161, 173), *range(174, 256)])}
+    plain = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
+    of_a = {k: bytes(plain[c] for c in t) for t, k in a.get_vocab().items() if all(c in plain for c in t)}
+    of_b = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(map(b.id_to_piece, range(b.get_piece_size())))]
+    rows, counts = [], collections.Counter()
+    for text in texts:
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        if not text or not (b"".join(of_a[i] for i in ids_a) == b"".join(of_b[i] for i in ids_b) == (" " + text).encode()):
+            rows.append((0, 0, [], ""))
+            continue
+        end_a, end_b = (list(itertools.accumulate(len(of[i]) for i in ids)) for ids, of in ((ids_a, of_a), (ids_b, of_b)))
+        both = sorted(set(end_a) & set(end_b))
+        last_a, last_b = dict(zip(end_a, ids_a)), dict(zip(end_b, ids_b))
+        links = [(last_a[e], last_b[e]) for e in both]
+        groups, i, j = [], 0, 0
+        for e in both:
+            x = y = ""
+            while i < len(ids_a) and end_a[i] <= e:
+                x, i = f"{x},{ids_a[i]}", i + 1
+            while j < len(ids_b) and end_b[j] <= e:
+                y, j = f"{y},{ids_b[j]}", j + 1
+            groups.append(f"{x[1:]}|{y[1:]}")
+        counts.update(links)
+        rows.append((len(ids_a), len(ids_b), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    top = collections.Counter()
+    for (_, y), n in counts.items():
+        top[y] = max(top[y], n)
+    return [(x, y, len(z), len(z), sum(counts[k] == top[k[1]] for k in z), sum(counts[k] for k in z), h) for x, y, z, h in rows]
+
+
+def test_alignment_against_whole_texts(spark, monkeypatch):
+    from granary.llm import token_alignment
+
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = odd_texts(1500, 3) + real + [f"a{chr(c)} b{chr(c)}\nc" for c in (0x85, 0xA0, 0x1680, 0x180E, 0x200B, 0x2003, 0x2028, 0x3000, 0xFEFF, 0x1C, 0x7F)] * 2
+    want = brute_alignment([t or "" for t in texts])
+    for size, memory in ((token_alignment.SLICE, token_alignment.REMEMBERED), (5000, 2000)):
+        monkeypatch.setattr(token_alignment, "SLICE", size)
+        monkeypatch.setattr(token_alignment, "REMEMBERED", memory)
+        got = {r["doc_id"]: tuple(r)[1:] for r in token_alignment.align(docs_of(spark, texts)).collect()}
+        assert len(got) == len(texts)
+        for k, row in enumerate(want):
+            assert got[k] == row, texts[k]
+
+
+def test_alignment_repeats_nulls_and_empty(spark):
+    from granary.llm import token_alignment
+
+    df = spark.createDataFrame([(None, "a b", "x"), (None, "a b", "x"), (3, None, "x")], SCHEMA)
+    got = [tuple(r)[1:] for r in token_alignment.align(df).orderBy(*["doc_id"]).collect()]
+    assert got[0] == got[1] == brute_alignment(["a b", "a b"])[0] and got[2] == (0,) * 6 + ("",)
+    assert not token_alignment.align(df.limit(0)).collect()
+    only_void = token_alignment.align(spark.createDataFrame([(1, "", "x"), (2, "ﬁ▁", "x")], SCHEMA)).collect()
+    assert [r["n_a"] for r in only_void] == [0, 0]
