@@ -46,8 +46,8 @@ from granary.llm.common import byte_table, slices, stage
 
 #: Text bytes of a slice, and text bytes of chunks that a worker remembers before it starts anew.
 SLICE = 4 << 20
-REMEMBERED = 4 << 20
-#: How many chunks are coded in one call.
+REMEMBERED = 3 << 20
+#: How many chunks are coded as one text.
 AT_ONCE = 4096
 META = "▁"
 BREAKS = ~byte_table(b" \n")
@@ -90,18 +90,26 @@ class Pair:
             if not (self.b.is_control(k) or self.b.is_unknown(k)):
                 usual.setdefault(self.bytes_b[k], k)
         self.same = np.array([usual.get(x, -1) for x in self.bytes_a], np.int64)
-        self.size_a, self.size_b = (np.array([len(x or b"") for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.pool_a, self.pool_b = self._pool(self.bytes_a), self._pool(self.bytes_b)
+        most = max(len(self.bytes_a), len(pieces))
+        self.names = np.array([[f"{k}{mark}" for k in range(most)] for mark in ",|;"], object)
         #: No piece goes on past a blank behind another character, and none holds a line feed.
         self.by_chunk = not any("\n" in p or re.search(f"[^{META}]{META}", p) for p in pieces) and self.b.encode("\n", out_type=str)[:1] == [META]
         self.forget()
 
+    @staticmethod
+    def _pool(tokens: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all tokens, where each starts, and their sizes."""
+        size = np.array([len(x or b"") for x in tokens], np.int64)
+        return np.frombuffer(b"".join(x or b"" for x in tokens), np.uint8), np.cumsum(size) - size, size
+
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.held = 0
-        # By chunk: tokens of A and B (-1: changed by a tokenizer), groups as text, links' place among all links.
-        self.n_a, self.n_b, self.n_links, self.at, self.shown = [], [], [], [], []
-        self.links: list[np.ndarray] = []
-        self.n_all = 0
+        # By chunk: tokens of A and B (-1: changed by a tokenizer), links and their place among all links, groups as text.
+        self.n_a, self.n_b, self.n_links, self.at = (np.empty(0, np.int64) for _ in range(4))
+        self.shown: list[str] = []
+        self.links = np.empty((0, 2), np.int64)
 
     def cuts(self, buf: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where chunks start in joined texts that each start with a space; ``first``: where the texts do."""
@@ -117,54 +125,77 @@ class Pair:
             for k, byte in enumerate(blank[::-1]):
                 same &= buf[np.maximum(at[wide] - 1 - k, 0)] == byte
             at[wide[same]] = -1
-        return np.union1d(at[at >= 0], first)
-
-    def _tokens_b(self, chunks: list[bytes]) -> list[list[int]]:
-        """B puts a space before a text: a chunk's own leads it, or none is wanted before a line feed."""
-        own = [c[0] == 0x20 for c in chunks]
-        ids = self.b.encode([(c[1:] if x else c).decode() for c, x in zip(chunks, own)], num_threads=1)
-        return [i if x else i[1:] for i, x in zip(ids, own)]
+        start = np.zeros(len(buf), bool)
+        start[at[at >= 0]] = True
+        start[first] = True
+        return np.flatnonzero(start)
 
     def learn(self, chunks: list[bytes]) -> None:
+        """Align new chunks: many as one text, those that end in blanks or that a tokenizer changes one by one."""
+        blank_end = tuple(WIDE_BLANKS)
+        firm = [c[-1] > 0x20 and c[-1] != 0x7F and not c.endswith(blank_end) for c in chunks] if self.by_chunk else [False] * len(chunks)
+        found, alone = [], [c for c, x in zip(chunks, firm) if not x]
+        chunks = [c for c, x in zip(chunks, firm) if x]
         for k in range(0, len(chunks), AT_ONCE):
             some = chunks[k : k + AT_ONCE]
-            coded = self.a.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            for chunk, a, b in zip(some, (x.ids for x in coded), self._tokens_b([c if c != b" " else b"  " for c in some])):
-                if chunk == b" ":  # B gives an empty text no tokens at all
-                    b = self._lone_space()
-                self.known[chunk] = len(self.n_a)
-                self._align(chunk, a, b)
-            self.held += sum(map(len, some))
-
-    def _lone_space(self) -> list[int]:
-        return [self.b.piece_to_id(META)]
-
-    def _align(self, chunk: bytes, a: list[int], b: list[int]) -> None:
-        kept = b"".join([self.bytes_a[i] or b"" for i in a]) == chunk == b"".join([self.bytes_b[i] for i in b])
-        links, shown = [], []
-        if kept:
-            if len(a) == len(b) == 1:
-                links, shown = [(a[0], b[0])], [f"{a[0]}|{b[0]}"]
+            joined = b"".join(some)
+            a, b = self._tokens(joined)
+            if self._same(joined, a, b):
+                found.append(self._aligned(some, a, b))
+            else:
+                alone += some
+        good, a_of, b_of, changed = [], [], [], []
+        for chunk in alone:
+            a, b = self._tokens(chunk)
+            if self._same(chunk, a, b):
+                good.append(chunk)
+                a_of.append(a)
+                b_of.append(b)
             else:
-                i = j = from_i = from_j = end_a = end_b = 0
-                while i < len(a) or j < len(b):
-                    if end_a <= end_b:
-                        end_a += len(self.bytes_a[a[i]])
-                        i += 1
-                    else:
-                        end_b += len(self.bytes_b[b[j]])
-                        j += 1
-                    if end_a == end_b:
-                        links.append((a[i - 1], b[j - 1]))
-                        shown.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                        from_i, from_j = i, j
-        self.n_a.append(len(a) if kept else -1)
-        self.n_b.append(len(b))
-        self.n_links.append(len(links))
-        self.at.append(self.n_all)
-        self.shown.append(";".join(shown))
-        self.links.append(np.array(links, np.int64).reshape(-1, 2))
-        self.n_all += len(links)
+                changed.append(chunk)
+        if good:
+            found.append(self._aligned(good, np.concatenate(a_of), np.concatenate(b_of)))
+        if changed:
+            none = np.zeros(len(changed), np.int64)
+            found.append((changed, none - 1, none, none, np.empty((0, 2), np.int64), [""] * len(changed)))
+        for names, n_a, n_b, n_links, links, shown in found:
+            self.known.update(zip(names, range(len(self.n_a), len(self.n_a) + len(names))))
+            self.at = np.append(self.at, len(self.links) + np.cumsum(n_links) - n_links)
+            self.n_a, self.n_b, self.n_links = np.append(self.n_a, n_a), np.append(self.n_b, n_b), np.append(self.n_links, n_links)
+            self.links = np.concatenate([self.links, links])
+            self.shown += shown
+            self.held += sum(map(len, names))
+
+    def _tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both. B puts a space before a text: its own leads it, or none is wanted."""
+        string = text.decode()
+        a = self.a.encode_batch_fast([string], add_special_tokens=False)[0].ids
+        if string[0] == " ":  # B gives an empty text no tokens at all
+            b = self.b.encode(string[1:], num_threads=1) if len(string) > 1 else [self.b.piece_to_id(META)]
+        else:
+            b = self.b.encode(string, num_threads=1)[1:]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _same(self, text: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        return all(gather(pool, at[ids], size[ids]).tobytes() == text for ids, (pool, at, size) in ((a, self.pool_a), (b, self.pool_b)))
+
+    def _aligned(self, chunks: list[bytes], a: np.ndarray, b: np.ndarray):
+        """chunks, tokens of A, of B, links, the links, groups as text; the tokens' bytes are the chunks' bytes."""
+        chunk_end = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        end_a, end_b = np.cumsum(self.pool_a[2][a]), np.cumsum(self.pool_b[2][b])
+        at = np.searchsorted(end_b, end_a)
+        i = np.flatnonzero(end_b[at] == end_a)
+        j = at[i]
+        per_chunk = lambda ends: np.diff(np.searchsorted(ends, chunk_end, side="right"), prepend=0)
+        # A group's tokens of A, then those of B, each with the mark that follows it.
+        group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[i], last_b[j] = 1, 2
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = self.names[np.concatenate([last_a, last_b])[order], np.concatenate([a, b])[order]].tolist()
+        cuts = [0, *np.cumsum(per_chunk(end_a) + per_chunk(end_b)).tolist()]
+        shown = ["".join(words[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
+        return chunks, per_chunk(end_a), per_chunk(end_b), per_chunk(end_a[i]), np.stack([a[i], b[j]], 1), shown
 
 
 @functools.lru_cache(1)
@@ -188,7 +219,7 @@ def _slice_links(pair: Pair, texts: list[bytes]):
     joined = b"".join(marked)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     text_first = np.cumsum(sizes) - sizes
-    starts = pair.cuts(np.frombuffer(joined, np.uint8), np.unique(text_first[sizes > 0])) if joined else np.empty(0, np.int64)
+    starts = pair.cuts(np.frombuffer(joined, np.uint8), text_first[sizes > 0]) if joined else np.empty(0, np.int64)
     ends = np.append(starts[1:], len(joined))[: len(starts)]
     number, sample = distinct_spans(joined, starts, ends)
     chunks = [joined[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
@@ -197,19 +228,18 @@ def _slice_links(pair: Pair, texts: list[bytes]):
     pair.learn([c for c in chunks if c not in pair.known])
     at = np.array([pair.known[c] for c in chunks], np.int64)[number] if chunks else np.empty(0, np.int64)
     doc = np.searchsorted(text_first, starts, side="right") - 1  # of equal places, the last text is the one that is not empty
-    n_a, n_b, n_links = (np.array(x, np.int64) for x in (pair.n_a, pair.n_b, pair.n_links))
     void = np.zeros(len(texts), bool)
-    void[doc[n_a[at] < 0]] = True
+    void[doc[pair.n_a[at] < 0]] = True
     void |= sizes == 0
     cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
     shown = [pair.shown[k] for k in at.tolist()]
     hashes = [b"" if v else hashlib.sha256(";".join(shown[x:y]).encode()).hexdigest().encode() for v, x, y in zip(void.tolist(), cuts, cuts[1:])]
     used = ~void[doc]
     at, doc = at[used], doc[used]
-    figures = np.stack([np.bincount(doc, x[at], len(texts)).astype(np.int64) for x in (n_a, n_b, n_links)])
-    links = np.concatenate(pair.links) if pair.links else np.empty((0, 2), np.int64)
-    taken = gather(np.arange(len(links)), np.array(pair.at, np.int64)[at], n_links[at])
-    return figures, hashes, np.repeat(doc, n_links[at]), links[taken, 0], links[taken, 1]
+    figures = np.stack([np.bincount(doc, x[at], len(texts)).astype(np.int64) for x in (pair.n_a, pair.n_b, pair.n_links)])
+    n_links = pair.n_links[at]
+    links = pair.links[gather(np.arange(len(pair.links)), pair.at[at], n_links)]
+    return figures, hashes, np.repeat(doc, n_links), links[:, 0], links[:, 1]
 
 
 def aligned_parts(docs: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
