@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import U64, mix, shuffle_parts, slices, span_hashes
 
 #: Text bytes of a slice.
-SLICE = 6 << 20
+SLICE = 4 << 20
 APOSTROPHE = ord("'")
 SPACE = ord(" ")
 BLANK, LETTER, NUMBER, OTHER = range(4)
