@@ -129,6 +129,46 @@ def without_distance(summary: Column) -> Column:
     return F.array_join(F.filter(F.split(summary, "\n"), lambda x: ~F.contains(x, F.lit(DISTANCE))), "\n")
 
 
+#: An entry in braces that names the distance as its category (one level of braces inside it), also cut off, and a keyed value of that name.
+ENTRY = re.compile(rf',?\s*\{{(?:[^{{}}]|\{{[^{{}}]*\}})*"类别"\s*:\s*"{DISTANCE}"(?:[^{{}}]|\{{[^{{}}]*\}})*(?:\}}|$)')
+KEYED = re.compile(rf',?\s*"{DISTANCE}"\s*:\s*(?:\{{(?:[^{{}}]|\{{[^{{}}]*\}})*(?:\}}|$)|[^,}}]*)')
+HEADER = re.compile(r"<DOMAIN=.*>\s*,\s*<TASK=.*>")
+FIRST_KEYS = ("统计", "备注", "分组统计")
+
+
+def _without_station_distance(text: str | None) -> str | None:
+    if not text:
+        return text
+    text = text.strip()
+    if text.startswith("无关图片"):
+        return "无关图片"
+    text = "\n".join(x for x in text.splitlines() if x.strip() and not HEADER.fullmatch(x.strip())).strip()
+    start, end = text.find("{"), text.rfind("}")
+    try:
+        doc = json.loads(text[start : end + 1]) if start >= 0 else None
+    except ValueError:
+        doc = None
+    if isinstance(doc, dict) and isinstance(doc.get("统计"), list):
+        doc["统计"] = [e for e in doc["统计"] if not (isinstance(e, dict) and e.get("类别") == DISTANCE)]
+        if isinstance(doc.get("分组统计"), dict):
+            doc["分组统计"].pop(DISTANCE, None)
+        ordered = {k: doc[k] for k in FIRST_KEYS if k in doc} | doc
+        return json.dumps(ordered, ensure_ascii=False, separators=(", ", ": ")).replace(DISTANCE, "")
+    out = KEYED.sub("", ENTRY.sub("", text))
+    return re.sub(r"([\[{])\s*,\s*", r"\1", out).replace(DISTANCE, "").strip()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def strip_station_distance(texts: pd.Series) -> pd.Series:
+    """Summaries without what they say about the station distance.
+
+    Entries and keys of that name leave a JSON summary, whose usual keys come
+    first; from text that is no JSON the same pieces are cut. Header lines go,
+    and a text that begins as an irrelevant image's is just that.
+    """
+    return texts.map(lambda row: None if row is None else [_without_station_distance(t) for t in row])
+
+
 @F.pandas_udf(T.StringType())
 def rendered_objects(objects: pd.Series) -> pd.Series:
     """A JSON object object_1, object_2, … with points in pairs, from a JSON array of (desc, kind, points)."""

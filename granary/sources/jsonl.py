@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.session import shared_path
+
 CORRUPT = "_corrupt_record"
 #: Annotation records and ticket rows as they lie in JSON lines.
 OBJECT = "bbox_2d:array<double>,poly:array<double>,line:array<double>,poly_points:int,line_points:int,desc:string"
@@ -12,14 +16,63 @@ RECORD_SCHEMA = f"images array<string>, width int, height int, summary string, o
 TICKET_SCHEMA = "group_id string, mission string, label string, images array<string>, per_image map<string,string>, label_timestamp string, gt_fail_reason_text string"
 
 
+def lines(spark: SparkSession, paths) -> DataFrame:
+    """value, path, block, ordinal of text lines; blank lines count.
+
+    ``block`` is the place in the file where the part begins that a task reads,
+    and ``ordinal`` ascends within a block by one a line.
+    """
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(paths).select("value", *place, F.monotonically_increasing_id().alias("ordinal"))
+
+
+def _fault(value: Column, parsed: Column) -> Column:
+    """What is wrong with a line: 'malformed', or 'kind' for JSON that is no object; blank lines are fine."""
+    from granary.functions.jsonx import is_object
+
+    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    listed = F.rlike(text, F.lit(r'^(?s)(\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$')) & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
+    good = F.startswith(text, F.lit("{")) & is_object(text) & parsed[CORRUPT].isNull()
+    return F.when((text == "") | F.coalesce(good, F.lit(False)), None).when(F.coalesce(listed, F.lit(False)), "kind").otherwise("malformed")
+
+
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` with the line as a struct of the schema and CORRUPT, and its fault."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    with_line = rows.where(~F.rlike("value", F.lit(r"(?U)^\s*$"))).withColumn("parsed", F.from_json("value", f"{schema}, {CORRUPT} string", options))
+    return with_line.withColumn("fault", _fault(F.col("value"), F.col("parsed")))
+
+
+def faults(spark: SparkSession, paths, schema: str) -> DataFrame:
+    """path, line (from 1), fault, value of lines that are no JSON objects of the schema.
+
+    Files are read in parts, as Spark splits them: a part counts its lines, the
+    counts are summed over a file's parts, and a faulty line adds its place.
+    """
+    bad = _parsed(lines(spark, paths), schema).where("fault IS NOT NULL").select("path", "block", "ordinal", "fault", "value")
+    blocks = lines(spark, paths).groupBy("path", "block").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per part of a file
+    at = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return bad.join(at, ["path", "block"]).select("path", (F.col("before") + F.col("ordinal") - F.col("first") + 1).alias("line"), "fault", "value")
+
+
 def read(spark: SparkSession, paths, schema: str, mode: str = "lenient") -> DataFrame:
-    """JSON lines. lenient: bad lines are left out; strict: they fail the query; quarantine: they come in CORRUPT."""
-    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
+    """JSON lines that are objects; blank lines are skipped, and lists and scalars are faults like malformed lines.
+
+    lenient: faulty lines are left out; strict: the first one is an error that
+    names file and line, raised here after one pass over the files; quarantine:
+    they come in CORRUPT.
+    """
     if mode == "strict":
-        return reader.option("mode", "FAILFAST").schema(schema).json(paths)
-    if mode == "lenient":
-        return reader.option("mode", "DROPMALFORMED").schema(schema).json(paths)
-    return reader.option("mode", "PERMISSIVE").schema(f"{schema}, {CORRUPT} string").json(paths)
+        first = faults(spark, paths, schema).orderBy("path", "line").first()
+        if first:
+            raise ValueError(f"no JSON object at {first['path']}:{first['line']} ({first['fault']})")
+    rows = _parsed(spark.read.text(paths), schema)
+    fields = [f.name for f in rows.schema["parsed"].dataType.fields if f.name != CORRUPT]
+    good = F.col("fault").isNull()
+    if mode != "quarantine":
+        return rows.where(good).select(*[F.col("parsed")[n].alias(n) for n in fields])
+    return rows.select(*[F.when(good, F.col("parsed")[n]).alias(n) for n in fields], F.when(~good, F.col("value")).alias(CORRUPT))
 
 
 def with_image_paths(rows: DataFrame, column: str = "images") -> DataFrame:
@@ -29,14 +82,37 @@ def with_image_paths(rows: DataFrame, column: str = "images") -> DataFrame:
     return rows.withColumn(column, F.transform(column, lambda p: F.when(absolute(p), p).otherwise(F.concat(folder, F.lit("/"), p))))
 
 
-def read_tickets(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths (or patterns) that match something; the others are told in a warning."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        matches = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+        if matches:
+            found.append(path)
+        else:
+            logging.getLogger(__name__).warning("left out, there is no such file: %s", path)
+    return found
+
+
+def read_tickets(spark: SparkSession, paths: list[str], require: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tickets, rejected): rows with a known label, images and texts; the others with a reason.
 
-    Ticket keys are group_id::label; image texts are numbered anew in order of
-    the numbers in their keys; timestamps that do not parse are null.
+    Missing files are left out with a warning. Ticket keys are group_id::label;
+    image texts are numbered anew in order of the numbers in their keys, and
+    lose what they say about the station distance unless the mission begins with
+    RRU; timestamps that do not parse are null. With ``require``, it is an error
+    if there is no ticket at all.
     """
+    from granary.functions.records import strip_station_distance
     from granary.functions.text import normal_label
 
+    paths = existing(spark, paths)
+    if not paths and require:
+        raise ValueError("no tickets: none of the files exists")
+    if not paths:
+        paths = [shared_path(spark, "no-tickets")]
+        spark.createDataFrame([], "value string").write.text(paths[0])
     raw = read(spark, paths, TICKET_SCHEMA, "quarantine")
     number = lambda k: F.coalesce(F.regexp_extract(k, "([0-9]+)", 1).try_cast("int"), F.lit(0))
     texts = F.transform(F.sort_array(F.transform(F.map_entries("per_image"), lambda e: F.struct(number(e["key"]).alias("n"), e["key"].alias("key"), e["value"].alias("value")))), lambda e: e["value"])
@@ -54,10 +130,12 @@ def read_tickets(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
         "mission",
         label.alias("label"),
         "images",
-        texts.alias("texts"),
+        F.when(F.startswith(F.trim(F.coalesce("mission", F.lit(""))), F.lit("RRU")), texts).otherwise(strip_station_distance(texts)).alias("texts"),
         F.try_to_timestamp("label_timestamp").alias("labelled_at"),
         "gt_fail_reason_text",
     )
+    if require and good.isEmpty():
+        raise ValueError("no tickets: no row of the files is one")
     return good, judged.where("reason is not null")
 
 
@@ -68,16 +146,26 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of a COCO-style file; a missing file_name comes from its URL."""
+    """(images, annotations, categories) of a COCO-style file.
+
+    An image's file_name is its coco_file_name, else its file_name, else the
+    last two parts of its URL. A file without one of the collections is an error.
+    """
     schema = (
-        "images array<struct<id:bigint,file_name:string,coco_url:string,width:int,height:int>>, "
+        "images array<struct<id:bigint,coco_file_name:string,file_name:string,coco_url:string,width:int,height:int>>, "
         "annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,segmentation:array<array<double>>,iscrowd:int,area:double>>, "
         "categories array<struct<id:int,name:string,frequency:string>>"
     )
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    collections = ("images", "annotations", "categories")
+    missing = doc.agg(*[F.bool_and(F.col(c).isNotNull()).alias(c) for c in collections]).first()
+    if not all(missing):
+        raise ValueError(f"{path} lacks {', '.join(c for c in collections if not missing[c])}")
     part = lambda c: doc.select(F.explode(c).alias("x")).select("x.*")
-    images = part("images").withColumn("file_name", F.coalesce("file_name", F.substring_index("coco_url", "/", -2)))
-    return images, part("annotations"), part("categories")
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    from_url = F.when(F.contains("coco_url", F.lit("/")), F.substring_index("coco_url", "/", -2))
+    images = part("images").withColumn("file_name", F.coalesce(given("coco_file_name"), given("file_name"), from_url)).drop("coco_file_name")
+    return images, part("annotations"), part("categories").withColumn("frequency", F.coalesce("frequency", F.lit("unknown")))
 
 
 def image_tree(spark: SparkSession, root: str) -> DataFrame:
