@@ -36,41 +36,53 @@ def _number(content: Column, at: Column, size: int, little: Column | None = None
     return F.when(little, small).otherwise(big)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _orientation(content: Column, base: Column) -> Column:
     """The orientation in the first directory of a TIFF head that starts at ``base``; null if it has none from 1 to 8."""
-    little = F.substring(content, base, F.lit(2)) == F.lit(b"II")
-    first = (base + _number(content, base + 4, 4, little)).cast("int")
-    entries = F.least(_number(content, first, 2, little), F.lit(4096)).cast("int")
-    at = lambda k: first + 2 + 12 * k
-    found = F.filter(F.sequence(F.lit(0), entries - 1), lambda k: _number(content, at(k), 2, little) == ORIENTATION_TAG)
-    value = _number(content, at(F.get(found, F.lit(0))) + 8, 2, little).cast("int")
-    return F.when((entries > 0) & value.between(1, 8), value)
+
+    def of_directory(d: Column) -> Column:
+        at = lambda k: d["first"] + 2 + 12 * k
+        entries = F.least(_number(content, d["first"], 2, d["little"]), F.lit(4096)).cast("int")
+        numbers = F.when(entries > 0, F.sequence(F.lit(0), entries - 1))
+        found = F.get(F.filter(numbers, lambda k: _number(content, at(k), 2, d["little"]) == ORIENTATION_TAG), F.lit(0))
+        return _let(found, lambda k: _number(content, at(k) + 8, 2, d["little"]).cast("int"))
+
+    head = _let(base, lambda b: F.struct((F.substring(content, b, F.lit(2)) == F.lit(b"II")).alias("little"), b.alias("base")))
+    directory = _let(head, lambda h: F.struct(h["little"].alias("little"), (h["base"] + _number(content, h["base"] + 4, 4, h["little"])).cast("int").alias("first")))
+    value = _let(directory, of_directory)
+    return _let(value, lambda v: F.when(v.between(1, 8), v))
 
 
 def _jpeg(content: Column) -> Column:
-    """width, height, orientation as a struct."""
+    """width, height, exif (where its TIFF head starts) as a struct."""
+    none = F.lit(None)
 
-    def state(at, width, height, orientation, going) -> Column:
-        return F.struct(at.cast("int").alias("at"), width.cast("int").alias("width"), height.cast("int").alias("height"), orientation.cast("int").alias("orientation"), going.alias("going"))
+    def state(at, width, height, exif, going) -> Column:
+        return F.struct(at.cast("int").alias("at"), width.cast("int").alias("width"), height.cast("int").alias("height"), exif.cast("int").alias("exif"), going.alias("going"))
 
-    def step(s: Column, _: Column) -> Column:
-        at, none = s["at"], F.lit(None)
-        marker = _byte(content, at + 1)
-        size = _number(content, at + 2, 2)
-        exif = (marker == 0xE1) & (F.substring(content, at + 4, F.lit(6)) == F.lit(b"Exif\x00\x00")) & s["orientation"].isNull()
-        stop = state(at, none, none, s["orientation"], F.lit(False))
+    def next_of(s: Column, m: Column) -> Column:
+        at, marker, size = s["at"], m["marker"], m["size"]
+        exif = F.coalesce(s["exif"], F.when((marker == 0xE1) & (F.substring(content, at + 4, F.lit(6)) == F.lit(b"Exif\x00\x00")), at + 10))
+        stop = state(at, none, none, s["exif"], F.lit(False))
         return (
-            F.when(~s["going"], s)
-            .when((_byte(content, at) != 0xFF) | marker.isNull() | marker.isin(ENDS), stop)
-            .when(marker == 0xFF, state(at + 1, none, none, s["orientation"], F.lit(True)))
-            .when(marker.isin(BARE), state(at + 2, none, none, s["orientation"], F.lit(True)))
-            .when(marker.isin(FRAMES), state(at, _number(content, at + 7, 2), _number(content, at + 5, 2), s["orientation"], F.lit(False)))
-            .when(size < 2, stop)
-            .otherwise(state(at + 2 + size, none, none, F.coalesce(s["orientation"], F.when(exif, _orientation(content, at + 10))), size.isNotNull()))
+            F.when((m["mark"] != 0xFF) | marker.isNull() | marker.isin(ENDS), stop)
+            .when(marker == 0xFF, state(at + 1, none, none, s["exif"], F.lit(True)))
+            .when(marker.isin(BARE), state(at + 2, none, none, s["exif"], F.lit(True)))
+            .when(marker.isin(FRAMES), state(at, m["wide"], m["high"], s["exif"], F.lit(False)))
+            .when(size.isNull() | (size < 2), stop)
+            .otherwise(state(at + 2 + size, none, none, exif, F.lit(True)))
         )
 
-    start = state(F.lit(3), F.lit(None), F.lit(None), F.lit(None), F.lit(True))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step)
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        read = F.struct(_byte(content, at).alias("mark"), _byte(content, at + 1).alias("marker"), _number(content, at + 2, 2).alias("size"), _number(content, at + 5, 2).alias("high"), _number(content, at + 7, 2).alias("wide"))
+        return F.when(~s["going"], s).otherwise(_let(read, lambda m: next_of(s, m)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), state(F.lit(3), none, none, none, F.lit(True)), step)
 
 
 def image_heads(files: DataFrame) -> DataFrame:
@@ -88,7 +100,7 @@ def image_heads(files: DataFrame) -> DataFrame:
         "kind",
         F.coalesce("head.width", png(17)).alias("stored_width"),
         F.coalesce("head.height", png(21)).alias("stored_height"),
-        F.when(F.col("kind").isNotNull(), F.coalesce("head.orientation", F.lit(1))).alias("orientation"),
+        F.when(F.col("kind").isNotNull(), F.coalesce(F.when(F.col("head.exif").isNotNull(), _orientation(content, F.col("head.exif"))), F.lit(1))).alias("orientation"),
     )
     turned = F.col("orientation") >= 5
     return sized.select("*", F.when(turned, F.col("stored_height")).otherwise(F.col("stored_width")).alias("width"), F.when(turned, F.col("stored_width")).otherwise(F.col("stored_height")).alias("height"))
