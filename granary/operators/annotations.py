@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions import geometry
 from granary.functions.text import CATEGORY, DISTANCE
@@ -131,14 +135,23 @@ def merged_entries(base: DataFrame, override: DataFrame, key: str = "name") -> D
 
 
 def similar_text(known: Column, text: Column, least: float = 0.9, contained: float = 0.85) -> Column:
-    """The first known text equal to ``text``, or around or inside it with lengths that alike; else the closest by edit distance.
+    """The first known text equal to ``text``, or around or inside it with lengths that alike; else the first of the highest ratio of common blocks.
 
-    ``known`` is an array in key order. Edit distance over the longer length stands for the ratio.
+    ``known`` is an array in key order; ``guidance.similar_guidance`` does the same for tables.
     """
-    def length_ratio(k: Column) -> Column:
-        return F.least(F.length(k), F.length(text)) / F.greatest(F.length(k), F.length(text), F.lit(1))
 
-    quick = F.filter(known, lambda k: (k == text) | ((F.contains(k, text) | F.contains(text, k)) & (length_ratio(k) >= contained)))
-    scored = F.transform(known, lambda k, i: F.struct((1 - F.levenshtein(k, text) / F.greatest(F.length(k), F.length(text), F.lit(1))).alias("r"), (-i).alias("i"), k.alias("k")))
-    best = F.array_max(scored)
-    return F.coalesce(F.get(quick, F.lit(0)), F.when(best["r"] >= least, best["k"]))
+    @F.pandas_udf(T.StringType())
+    def first_like(known: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([None if k is None or not t else _first_like(k, t, least, contained) for k, t in zip(known, text)], dtype=object)
+
+    return first_like(known, text)
+
+
+def _first_like(known, text: str, least: float, contained: float) -> str | None:
+    best, ratio = None, 0.0
+    for k in known:
+        if k and (k == text or ((text in k or k in text) and min(len(k), len(text)) / max(len(k), len(text)) >= contained)):
+            return k
+        if k and (own := difflib.SequenceMatcher(None, text, k).ratio()) > ratio:
+            best, ratio = k, own
+    return best if ratio >= least else None

@@ -179,11 +179,3 @@ def image_tree(spark: SparkSession, root: str) -> DataFrame:
     rows = files.select(part(-4).alias("mission"), label.alias("label"), group.alias("group_id"), "path", natural_key(F.col("path")).alias("k")).where("label is not null")
     grouped = rows.groupBy("mission", "label", "group_id").agg(F.sort_array(F.collect_list(F.struct("k", "path"))).alias("p"))
     return grouped.select("mission", "label", "group_id", F.transform("p", lambda x: x["path"]).alias("images"))
-
-
-def read_excel(spark: SparkSession, path: str, columns: list[str], flag: str) -> DataFrame:
-    """Four-column sheet of a small workbook; rows whose flag is 2. Needs pandas' Excel engine, which may be absent."""
-    import pandas as pd
-
-    frame = pd.read_excel(path, usecols=columns, dtype=str)
-    return spark.createDataFrame(frame).where(F.col(flag).try_cast("int") == 2).na.drop()
