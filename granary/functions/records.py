@@ -130,8 +130,8 @@ def without_distance(summary: Column) -> Column:
 
 
 #: An entry in braces that names the distance as its category (one level of braces inside it), also cut off, and a keyed value of that name.
-ENTRY = re.compile(rf',?\s*\{{(?:[^{{}}]|\{{[^{{}}]*\}})*"类别"\s*:\s*"{DISTANCE}"(?:[^{{}}]|\{{[^{{}}]*\}})*(?:\}}|$)')
-KEYED = re.compile(rf',?\s*"{DISTANCE}"\s*:\s*(?:\{{(?:[^{{}}]|\{{[^{{}}]*\}})*(?:\}}|$)|[^,}}]*)')
+ENTRY = re.compile(rf',?\s*\{{(?:[^{{}}]|\{{[^{{}}]*\}})*"类别"\s*:\s*"{DISTANCE}"(?:[^{{}}]|\{{[^{{}}]*(?:\}}|$))*(?:\}}|$)')
+KEYED = re.compile(rf',?\s*"{DISTANCE}"\s*:\s*(?:\{{(?:[^{{}}]|\{{[^{{}}]*(?:\}}|$))*(?:\}}|$)|[^,}}]*)')
 HEADER = re.compile(r"<DOMAIN=.*>\s*,\s*<TASK=.*>")
 FIRST_KEYS = ("统计", "备注", "分组统计")
 

@@ -59,7 +59,7 @@ def first_arrivals(rows: DataFrame, stream: str, object: str, ordinal: str, ttl:
 
     Of one batch, the row with the smallest ordinal counts. With ``ttl`` (an
     interval such as '2 hours') an object counts as new again once its first row
-    is so old. A stream's objects are dealt to ``parts`` groups by hash, so that one
+    is so old; such a stream goes on until it is stopped, with any trigger. A stream's objects are dealt to ``parts`` groups by hash, so that one
     busy stream does not stay in one task.
     """
     columns = [stream, object, ordinal]

@@ -5,6 +5,7 @@ import io
 import json
 import random
 import struct
+import time
 import zipfile
 
 import pytest
@@ -146,10 +147,18 @@ def test_similar_guidance_takes_the_first_near_match(spark):
 # --- streams ---
 
 
-def run(spark, path, schema, make):
+def run(spark, path, schema, make, rows=0):
+    """A stream over the new files until they end, or, where it would go on, until it has read so many rows."""
     with ordered.rocksdb(spark):
         made = make(spark.readStream.schema(schema).json(f"{path}/in"))
-        made.writeStream.format("json").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        out = made.writeStream.format("json").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        if rows:
+            job, until = out.start(), time.time() + 40
+            while sum(p["numInputRows"] for p in job.recentProgress) < rows and time.time() < until:
+                time.sleep(0.3)
+            job.stop()
+        else:
+            out.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).json(f"{path}/out").collect()
 
 
@@ -172,9 +181,9 @@ def test_first_arrivals_over_a_restart_with_time_to_live(spark, tmp_path):
     schema = "s string, o string, n long"
     make = lambda rows: ordered.first_arrivals(rows, "s", "o", "n", ttl="1 hour", parts=3)
     spark.createDataFrame([("a", "x", 2), ("a", "x", 1), ("a", "y", 5), ("b", "x", 3)], schema).write.json(f"{tmp_path}/in")
-    assert sorted(tuple(r) for r in run(spark, tmp_path, schema, make)) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 3)]
+    assert sorted(tuple(r) for r in run(spark, tmp_path, schema, make, 4)) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 3)]
     spark.createDataFrame([("a", "x", 0), ("b", "y", 7)], schema).write.mode("append").json(f"{tmp_path}/in")
-    assert sorted(tuple(r) for r in run(spark, tmp_path, schema, make)) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 3), ("b", "y", 7)]
+    assert sorted(tuple(r) for r in run(spark, tmp_path, schema, make, 2)) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 3), ("b", "y", 7)]
 
 
 # --- payloads ---
