@@ -214,13 +214,30 @@ def test_mix_of_repeated_ids(spark):
     for r in mixed.collect():
         got[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    assert all(abs(got[s] - target[s]) <= 3 for s in target)
+    assert all(abs(got[s] - target[s]) <= 1 for s in target)
     words = collections.Counter()
     for r in source_mix.materialize(df, mixed).collect():
         words[r["source"]] += len(r["text"].split())
     assert words == got
 
 
+@pytest.mark.parametrize("ids,text", [(lambda k: None, lambda k: "w"), (lambda k: 5, lambda k: "w"), (lambda k: None, lambda k: f"w{k % 3} v"), (lambda k: 5, lambda k: "w " * (k % 4))])
+def test_mix_meets_targets_with_rows_that_are_alike(spark, ids, text):
+    rows = [(ids(k), "a", text(k), k) for k in range(1000)] + [(k, "b", "w", k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, uid long").repartition(5)
+    mixed = source_mix.mix(df)
+    taken, target = collections.Counter(), {}
+    for r in mixed.collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in "ab")
+    out = collections.Counter()
+    for r in source_mix.materialize(df, mixed).collect():
+        out[r["source"]] += len(r["text"].split())
+    assert out == taken
+
+
 def test_mix_materializes_whole_and_cut_rows(spark):
     rows = [(i, "abc"[i % 3], " ".join(f"w{k}" for k in range(i % 7)), "en") for i in range(200)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
