@@ -146,24 +146,25 @@ def key_lists(spark, sf_dir):
     return jsonl.read_keys(spark, f"{path}/event_type={first}")
 
 
-@query("SELECT n_nationkey, n_name, 3 AS version FROM nation")
+@query("SELECT o_orderkey, o_orderstatus, 3 AS version FROM orders")
 def table_versions(spark, sf_dir):
-    """Three versions of a table, of which two are kept; the newest is read."""
+    """Three versions of a table, of which two are kept, then one whose writer died before the pointer was switched."""
     root = shared_path(spark, "versions")
     for number in (1, 2, 3):
-        sinks.write_version(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(number).alias("version")), root, keep=2)
+        sinks.write_version(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.lit(number).alias("version")), root, keep=2)
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.lit(4).alias("version")).write.parquet(f"{root}/v00000004")
     return sinks.read_version(spark, root)
 
 
-@query("SELECT n_nationkey + 100 AS n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey + 100 AS o_orderkey, o_orderstatus FROM orders")
 def table_replace(spark, sf_dir):
     """A table replaced by one made from itself."""
     path = shared_path(spark, "replace")
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
-    nations.write.json(path)
-    old = spark.read.schema(nations.schema).json(path)
-    sinks.replace(old.withColumn("n_nationkey", F.col("n_nationkey") + 100), path)
-    return spark.read.schema(nations.schema).json(path)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    orders.write.json(path)
+    old = spark.read.schema(orders.schema).json(path)
+    sinks.replace(old.withColumn("o_orderkey", F.col("o_orderkey") + 100), path)
+    return spark.read.schema(orders.schema).json(path)
 
 
 @query("SELECT doc_id % 3 = 0 AS held_out, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")

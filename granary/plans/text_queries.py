@@ -76,13 +76,6 @@ def last_assistant(spark, sf_dir):
     return ordering.last_message(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, count(*) AS n FROM conversations GROUP BY 1")
-def chat_clean(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text", F.lit(0.5).alias("loss")).dropFields("loss").alias("m"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return whole.select("conv_id", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("chat"), F.size("m").cast("long").alias("n"))
-
-
 @query(
     """WITH v AS (SELECT o_orderkey, o_orderpriority AS r, CASE o_orderkey % 9 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'fail' WHEN 8 THEN 'pass' END AS verdict FROM orders)
 SELECT o_orderkey, verdict IS NOT NULL AS format_ok, verdict, CASE WHEN verdict IS NOT NULL THEN r END AS reason FROM v"""
