@@ -295,28 +295,36 @@ def min_area_rectangle(points: np.ndarray) -> np.ndarray:
 def raster_mask(kind: str, points: np.ndarray, box: tuple[int, int, int, int], tolerance: float = 8.0) -> np.ndarray:
     """Cells of a window whose centres lie in a box or polygon, or within a stroke's half width of a line."""
     x0, y0, x1, y1 = box
-    gy, gx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1].astype(float)
+    gy, gx = np.ogrid[y0 : y1 + 1, x0 : x1 + 1]
+    gx, gy = gx.astype(float), gy.astype(float)
     p = points.reshape(-1, 2)
     if kind == "bbox":
         return (gx >= p[0, 0]) & (gx <= p[1, 0]) & (gy >= p[0, 1]) & (gy <= p[1, 1])
+    out = np.zeros((len(gy), gx.size), bool)
+
+    def mark_near(a, b, reach):
+        """Sets the cells within ``reach`` of a side; only those around it are looked at."""
+        low, high = np.minimum(a, b) - reach, np.maximum(a, b) + reach
+        rows = slice(max(0, int(np.ceil(low[1])) - y0), max(0, int(np.floor(high[1])) - y0 + 1))
+        columns = slice(max(0, int(np.ceil(low[0])) - x0), max(0, int(np.floor(high[0])) - x0 + 1))
+        x, y, d = gx[:, columns], gy[rows], b - a
+        t = np.clip(((x - a[0]) * d[0] + (y - a[1]) * d[1]) / max(d @ d, 1e-12), 0, 1)
+        out[rows, columns] |= np.hypot(x - a[0] - t * d[0], y - a[1] - t * d[1]) <= reach
+
     if kind == "line":
-        near = np.zeros(gx.shape, bool)
         half = max(1.0, round(2 * tolerance)) / 2
         for a, b in zip(p, p[1:]):
-            d = b - a
-            t = np.clip(((gx - a[0]) * d[0] + (gy - a[1]) * d[1]) / max(d @ d, 1e-12), 0, 1)
-            near |= np.hypot(gx - a[0] - t * d[0], gy - a[1] - t * d[1]) <= half
-        return near
-    inside = np.zeros(gx.shape, bool)
-    on_edge = np.zeros(gx.shape, bool)
-    for a, b in zip(p, np.roll(p, -1, 0)):
+            mark_near(a, b, half)
+        return out
+    sides = list(zip(p, np.roll(p, -1, 0)))
+    for a, b in sides:
+        # Where a row of cells crosses a side depends on the row alone.
         cross = (a[1] > gy) != (b[1] > gy)
         with np.errstate(divide="ignore", invalid="ignore"):
-            inside ^= cross & (gx < (b[0] - a[0]) * (gy - a[1]) / (b[1] - a[1]) + a[0])
-        d = b - a
-        t = np.clip(((gx - a[0]) * d[0] + (gy - a[1]) * d[1]) / max(d @ d, 1e-12), 0, 1)
-        on_edge |= np.hypot(gx - a[0] - t * d[0], gy - a[1] - t * d[1]) <= 1e-9
-    return inside | on_edge
+            out ^= cross & (gx < (b[0] - a[0]) * (gy - a[1]) / (b[1] - a[1]) + a[0])
+    for a, b in sides:
+        mark_near(a, b, 1e-9)
+    return out
 
 
 def raster_iou(kind_a: str, a: np.ndarray, kind_b: str, b: np.ndarray, tolerance: float = 8.0, grid: int = 1000) -> float:
