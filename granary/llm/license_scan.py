@@ -2,8 +2,11 @@
 
 A notice of m characters that a text holds with at most k edits, cut into
 k + 1 pieces, has one piece free of edits (pigeonhole). So each piece is
-looked up as an exact seed; only around its hits does the regex library's
-bounded-error matching verify the notice, and report its span and edits.
+looked up as an exact seed, all seeds of all notices in one pass of an
+automaton. Around its hits a place must still hold enough of the notice's
+short grams: k edits spoil at most k * GRAM of them. Only what is left is
+verified by the regex library's bounded-error matching, which reports spans
+and edits.
 Before that, exact phrases are found word by word; they always count. Licence
 identifiers behind the words ``spdx license identifier`` add their labels too.
 
@@ -22,13 +25,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import numpy as np
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ALNUM_WORDS, LOWER, slices
+from granary.llm.common import slices
 
 #: Exact phrases and their labels.
 PHRASES = {
@@ -100,6 +103,8 @@ TAG = "spdx license identifier"
 
 #: One edit is allowed for every so many characters of a notice.
 CHARS_PER_EDIT = 12
+#: Length of the grams of which a notice's place must hold enough.
+GRAM = 4
 
 
 @dataclass(frozen=True)
@@ -108,35 +113,45 @@ class Notice:
     label: str
     edits: int
     seeds: tuple[tuple[bytes, int], ...]
+    grams: tuple[bytes, ...]
+    least: int
     pattern: object
 
+    def may_stand_in(self, window: bytes) -> bool:
+        """False only where too few grams are left for so many edits."""
+        return sum(map(window.__contains__, self.grams)) >= self.least
+
 
 def compile_notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notice:
     raw = text.encode()
     edits = len(raw) // chars_per_edit
     cuts = [len(raw) * k // (edits + 1) for k in range(edits + 2)]
     seeds = tuple((raw[a:b], a) for a, b in zip(cuts, cuts[1:]))
+    grams = tuple(raw[k : k + GRAM] for k in range(len(raw) - GRAM + 1))
     pattern = regex.compile(rb"(?be)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(raw), edits))
-    return Notice(raw, label, edits, seeds, pattern)
+    return Notice(raw, label, edits, seeds, grams, len(grams) - edits * GRAM, pattern)
+
 
+def seed_starts(text: bytes, notice: Notice) -> list[int]:
+    """Where the notice would start by each hit of its seeds; one notice's part of ``Scanner.starts``."""
+    starts = []
+    for seed, at in notice.seeds:
+        hit = text.find(seed)
+        while hit >= 0:
+            starts.append(hit - at)
+            hit = text.find(seed, hit + 1)
+    return starts
 
-def find_all(text: bytes, part: bytes):
-    at = text.find(part)
-    while at >= 0:
-        yield at
-        at = text.find(part, at + 1)
 
+def fuzzy_spans(text: bytes, notice: Notice, starts: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of a notice in a text of words joined by single spaces; no two overlap.
 
-def fuzzy_spans(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of a notice in a text of words joined by single spaces; no two overlap."""
-    windows: list[list[int]] = []
+    ``starts``: where the notice would start by its seeds' hits, if it had no edits; looked up if not given.
+    """
     reach = len(notice.text) + notice.edits + 1
-    for seed, at in notice.seeds:
-        for hit in find_all(text, seed):
-            windows.append([max(0, hit - at - notice.edits - 1), min(len(text), hit - at + reach)])
-    windows.sort()
     merged: list[list[int]] = []
-    for a, b in windows:
+    for start in sorted(seed_starts(text, notice) if starts is None else starts):
+        a, b = max(0, start - notice.edits - 1), min(len(text), start + reach)
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
@@ -144,6 +159,8 @@ def fuzzy_spans(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     spans = []
     while merged:  # the best match of a stretch, then those before and behind it
         a, b = merged.pop()
+        if not notice.may_stand_in(text[a:b]):
+            continue
         m = notice.pattern.search(text, a, b)
         if m is not None:
             spans.append((m.start(), m.end(), sum(m.fuzzy_counts)))
@@ -165,8 +182,8 @@ def word_places(text: bytes, starts: list[int]) -> list[int]:
     return out
 
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: A-Z to a-z, and each byte that is in no word to a space.
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 class Scanner:
@@ -175,36 +192,42 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str]):
         self.phrases = [(p.encode(), _phrase_pattern(p), label) for p, label in phrases.items()]
         self.notices = [compile_notice(t, label) for t, label in notices.items()]
-        # Raw texts separate words freely, so a first look takes each seed's longest whole word.
         ids = b"|".join(re.escape(i.encode()) for i in sorted(IDENTIFIERS, key=len, reverse=True))
         self.tagged = re.compile(rb"(?<![^ ])" + TAG.encode() + rb" (" + ids + rb")(?![^ ])")
-        self.keys = [(n, tuple(max(s.split(b" "), key=len) for s, _ in n.seeds)) for n in self.notices]
-
-    def scan(self, raw: bytes) -> tuple[list, list]:
-        """([(first word, label)], [(start, end, edits, label, length)]): exact phrases by word, notices by place in the joined words."""
-        low = raw.translate(_FOLD)
-        near = [n for n, keys in self.keys if any(k in low for k in keys)]
-        exact = [x for x in self.phrases if all(w in low for w in x[0].split(b" "))]
-        tagged = b"spdx" in low
-        if not near and not exact and not tagged:
-            return [], []
-        joined = b" ".join(_WORD.findall(low))
+        users: dict[str, list[tuple[int, int]]] = {}
+        for k, notice in enumerate(self.notices):
+            for seed, at in notice.seeds:
+                users.setdefault(seed.decode("latin-1"), []).append((k, at + len(seed) - 1))
+        self.seeds = ahocorasick.Automaton()
+        for seed, of in users.items():
+            self.seeds.add_word(seed, of)
+        if users:
+            self.seeds.make_automaton()
+
+    def starts(self, joined: bytes) -> dict[int, list[int]]:
+        """Of each notice with seeds in the words, where its start would be by every hit."""
+        found: dict[int, list[int]] = {}
+        if len(self.seeds):
+            for end, of in self.seeds.iter(joined.decode("latin-1")):
+                for k, back in of:
+                    found.setdefault(k, []).append(end - back)
+        return found
+
+    def scan(self, raw: bytes) -> tuple[int, list, list]:
+        """Number of words, [(first word, label)], [(start, end, edits, label, length)]: exact phrases by word, notices by place in the joined words."""
+        words = raw.translate(_WORDS).split()
+        joined = b" ".join(words)
         places = []
-        for _, pattern, label in exact:
-            places += [(k, label) for k in word_places(joined, [m.start() for m in pattern.finditer(joined)])]
-        spans = [(a, b, e, n.label, len(n.text)) for n in near for a, b, e in fuzzy_spans(joined, n)]
-        if tagged:
+        for phrase, pattern, label in self.phrases:
+            if phrase in joined:
+                places += [(k, label) for k in word_places(joined, [m.start() for m in pattern.finditer(joined)])]
+        spans = []
+        for k, starts in self.starts(joined).items():
+            notice = self.notices[k]
+            spans += [(a, b, e, notice.label, len(notice.text)) for a, b, e in fuzzy_spans(joined, notice, starts)]
+        if TAG.encode() in joined:
             spans += [(m.start(), m.end(), 0, IDENTIFIERS[m[1].decode()], m.end() - m.start()) for m in self.tagged.finditer(joined)]
-        return sorted(places), sorted(spans)
-
-
-def count_words(texts: list[bytes]) -> np.ndarray:
-    """Words of each text."""
-    buf = np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8)
-    inside = ALNUM_WORDS[LOWER[buf]]
-    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return np.diff(np.searchsorted(starts, offsets))
+        return len(words), sorted(places), sorted(spans)
 
 
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
@@ -223,10 +246,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         scanner = Scanner(phrases, notices)
         for batch in batches:
             for at, to, texts in slices(batch, "text"):
-                n_words = count_words(texts)
-                rows = {k: [] for k in ("n_base", "first", "last", "base", "labels", "score", "spans")}
+                rows = {k: [] for k in ("n_words", "n_base", "first", "last", "base", "labels", "score", "spans")}
                 for raw in texts:
-                    places, spans = scanner.scan(raw)
+                    n_words, places, spans = scanner.scan(raw)
+                    rows["n_words"].append(n_words)
                     base = {label for _, label in places}
                     rows["n_base"].append(len(places))
                     rows["first"].append(places[0][0] if places else None)
@@ -235,9 +258,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
                     rows["labels"].append(",".join(sorted(base | {s[3] for s in spans})))
                     rows["score"].append(1.0 if places else max((1 - s[2] / s[4] for s in spans), default=0.0))
                     rows["spans"].append([{"label": s[3], "start": s[0], "end": s[1], "edits": s[2]} for s in spans])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), SPANS]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), SPANS]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, to - at), pa.array(n_words, pa.int64()), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))],
+                    [batch.column("doc_id").slice(at, to - at), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))],
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
                 )
 
