@@ -20,6 +20,8 @@ texts with many matches are read whole.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +69,11 @@ def _secret_ok(match: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data: its pattern, a string any match contains, its validator and context."""
+    """A kind of personal data: its pattern, what a text with a valid match holds (a pattern, or one of some strings), its validator and context."""
 
     name: str
     pattern: str
-    needs: str
+    needs: str | tuple[str, ...]
     valid: object = None
     score: float = 0.6
     words: tuple[str, ...] = field(default=())
@@ -79,16 +81,18 @@ class Kind:
 
 
 # Fixed values. A match of these patterns starts where a run of its characters starts, or where
-# the last match ended; quantifiers are possessive where that changes no match.
+# the last match ended; quantifiers are possessive where that changes no match. Matches take all the
+# characters they can, so the least number of digits is asked by the patterns of card and phone already:
+# shorter matches would be dropped, and no part of one is long enough.
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", None, 0.65, ("e?-?mail", "contact", "kontakt", "correo", "courriel", "write to", "schreib")),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\.[0-9]", _ip_ok, 0.6, ("ip", "host", "server", "address", "adresse", "servidor", "serveur", "dirección")),
-    Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9][\\x20-]?[0-9]", _card_ok, 0.65, ("card", "visa", "credit", "payment", "karte", "kredit", "zahlung", "tarjeta", "pago", "carte", "paiement")),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", _phone_ok, 0.65, ("phone", "call", "tel", "mobile", "anruf", "handy", "llam", "móvil", "appel", "portable")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _iban_ok, 0.7, ("iban", "account", "bank", "konto", "cuenta", "compte", "banco", "banque"), False),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", None, 0.4, ("ssn", "social security"), False),
-    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "[A-Za-z0-9+/_-]{20}", _secret_ok, 0.4, ("token", "key", "secret", "passw", "credential", "schlüssel", "kennwort", "clave", "contraseña", "clé", "mot de passe"), False),
-    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_])|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "A[KS]IA|gh[pousr]_|xox|PRIVATE KEY", None, 0.9, ("key",), False),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",), None, 0.65, ("e?-?mail", "contact", "kontakt", "correo", "courriel", "write to", "schreib")),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", _ip_ok, 0.6, ("ip", "host", "server", "address", "adresse", "servidor", "serveur", "dirección")),
+    Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+", r"[0-9](?:[\x20-]?[0-9]){12}", _card_ok, 0.65, ("card", "visa", "credit", "payment", "karte", "kredit", "zahlung", "tarjeta", "pago", "carte", "paiement")),
+    Kind("phone", r"\+[0-9](?:[\x20().-]*+[0-9]){8,}+", r"\+[0-9](?:[\x20().-]*+[0-9]){8}", _phone_ok, 0.65, ("phone", "call", "tel", "mobile", "anruf", "handy", "llam", "móvil", "appel", "portable")),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", _iban_ok, 0.7, ("iban", "account", "bank", "konto", "cuenta", "compte", "banco", "banque"), False),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", None, 0.4, ("ssn", "social security"), False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "[0-9](?:[A-Za-z+/_-]*+[0-9]){3}", _secret_ok, 0.4, ("token", "key", "secret", "passw", "credential", "schlüssel", "kennwort", "clave", "contraseña", "clé", "mot de passe"), False),
+    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_])|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "PRIVATE KEY"), None, 0.9, ("key",), False),
 )
 #: Matches whose places are summed one by one before their sums are.
 BLOCK = 128
@@ -149,7 +153,7 @@ def _spans(text: Column, kind: Kind) -> Column:
     spans = F.transform(found, scored)
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
-    may = F.contains(text, F.lit(kind.needs)) if kind.needs == "@" else text.rlike(kind.needs)
+    may = text.rlike(kind.needs) if isinstance(kind.needs, str) else reduce(or_, (F.contains(text, F.lit(n)) for n in kind.needs))
     return F.when(may, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
