@@ -29,6 +29,9 @@ by a 64-bit hash of the set.
 
 A token that many sets of a batch hold goes on as one row that says so, and is
 joined in several salted parts, so that a hot token is not one task's work.
+Beyond GROUP_TOKENS, slices of texts are dealt to groups, and what a group's
+slices say is joined to one such row before the groups meet: a token that a few
+sets of every slice hold sends at most OFTEN rows per group to one bucket.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; rows with equal doc_ids are documents of their own; rows without
@@ -59,6 +62,9 @@ SALTS = 32
 #: Sets that meet in one cell of a token, and sets to a row of the grid in which all links are verified.
 CELL_SETS = 2000
 BLOCK_SETS = 4000
+#: Tokens to a row of that grid, and tokens of all sets to a group in which frequencies are counted first.
+BLOCK_TOKENS = 1 << 23
+GROUP_TOKENS = 1 << 32
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -234,12 +240,24 @@ def rarity_index(kept: DataFrame, n_tokens: int) -> DataFrame:
 
     ``left`` counts the set's tokens from this one on in that order; ``hot``
     tokens are those of OFTEN sets or more, whose order goes by hash. Tokens of
-    OFTEN sets in a batch are known to be hot there.
+    OFTEN sets in a batch, or in a group of batches, are known to be hot there.
     """
     spark = kept.sparkSession
     buckets = bucket_count(spark, n_tokens)
+    groups = max(1, n_tokens // GROUP_TOKENS)
+    per_group = max(1, buckets // groups)
     sent = {"token_lo": np.uint32, "token_hi": np.uint16, "key": np.int64, "n": np.uint32, "often": np.uint8}
 
+    def told(token, key, n, hot, send, group):
+        """Packed rows of ascending tokens: of a hot one a row that says so, of others all; and by key those of ``send``."""
+        ask = ~hot
+        ask[_runs(token)[:-1]] = True
+        rows = lambda own, mark: _short(token[own] << U64(16), "token") | {"key": key[own], "n": n[own], "often": np.where(mark[own], OFTEN, 0).astype(np.uint8)}
+        place = token[ask] % U64(buckets) if group is None else token[ask] % U64(per_group) + U64(group * per_group)
+        yield pack(place.astype(np.int64), rows(ask, hot))
+        if send.any():
+            yield pack(-1 - (key[send].view(U64) % U64(buckets)).astype(np.int64), rows(send, hot))
+
     def tokens(batches):
         for batch in batches:
             for at, to, texts in slices(batch, "text"):
@@ -251,14 +269,23 @@ def rarity_index(kept: DataFrame, n_tokens: int) -> DataFrame:
                 order = np.argsort(token, kind="stable")
                 token, key, n = token[order], key[order], n[order]
                 cuts = _runs(token)
-                often = np.repeat(np.minimum(np.diff(cuts), OFTEN), np.diff(cuts)).astype(np.uint8)
-                hot = often == OFTEN
-                ask = ~hot
-                ask[cuts[:-1]] = True
-                rows = lambda own: _short(token[own] << U64(16), "token") | {"key": key[own], "n": n[own], "often": np.where(hot[own], OFTEN, 0).astype(np.uint8)}  # noqa: E731, B023
-                yield pack((token[ask] % U64(buckets)).astype(np.int64), rows(ask))
-                if hot.any():
-                    yield pack(-1 - (key[hot].view(U64) % U64(buckets)).astype(np.int64), rows(hot))
+                hot = np.repeat(np.diff(cuts) >= OFTEN, np.diff(cuts))
+                # The slice's group, by a key of its own, so that a slice that is made again goes to the same one.
+                group = int(key.view(U64).min() % U64(groups)) if groups > 1 and len(key) else None
+                yield from told(token, key, n, hot, hot, group)
+
+    def gather(batches):
+        """Within a group: tokens that its slices hold often enough together are hot from here on."""
+        if batches[0].column("bucket")[0].as_py() < 0:
+            yield from batches
+            return
+        got = unpack(batches, sent)
+        token, key, n, known = _long(got, "token"), got["key"], got["n"], got["often"] == OFTEN
+        order = np.lexsort((key, token))
+        token, key, n, known = token[order], key[order], n[order], known[order]
+        sizes = np.diff(_runs(token))
+        hot = np.repeat(sizes >= OFTEN, sizes) | np.isin(token, token[known])
+        yield from told(token, key, n, hot, hot & ~known, None)
 
     def rate(batches):
         got = unpack(batches, sent)
@@ -291,6 +318,8 @@ def rarity_index(kept: DataFrame, n_tokens: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["token", "key", "n", "left", "hot"])
 
     first = kept.select("key", "text").mapInArrow(tokens, packed_schema(*sent))
+    if groups > 1:
+        first = per_bucket(first, gather, packed_schema(*sent))
     second = per_bucket(first, rate, packed_schema(*sent))
     chosen = per_bucket(second, choose, "token long, key long, n long, left long, hot long")
     return chosen.withColumn("hot", F.col("hot") == 1)
@@ -418,9 +447,11 @@ def verify_in_blocks(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     """a, b of the pairs that are similar, where a set may be in very many pairs.
 
     Pairs are dealt to the squares of a grid by both keys; a square gets each of
-    its sets' texts once, not once per pair.
+    its sets' texts once, not once per pair. The grid is as fine as the number of
+    sets and that of their tokens ask, so long texts are not too many to a square.
     """
-    side = max(4, -(-kept.count() // BLOCK_SETS))
+    n_sets, n_tokens = kept.agg(F.count(F.lit(1)), F.sum("n")).first()
+    side = max(4, -(-n_sets // BLOCK_SETS), -(-(n_tokens or 0) // BLOCK_TOKENS))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     placed = pairs.select("a", "b", place("a").alias("i"), place("b").alias("j"))
     needed = placed.select(F.col("a").alias("key"), "i", "j").union(placed.select("b", "i", "j")).distinct()

@@ -163,6 +163,36 @@ def test_ngram_join_with_hot_tokens(spark, often, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == label
 
 
+@pytest.mark.parametrize("often", [64, 5])
+def test_rarity_index_in_groups_of_slices(spark, often, monkeypatch):
+    monkeypatch.setattr(ngram_join, "OFTEN", often)
+    rng = random.Random(31)
+    line = invented(rng, 40, 10**6)  # a line that some sets of every slice hold, though not often in any
+    texts = [" ".join(invented(rng, 2, 10**6) + line + invented(rng, 2, 10**6)) for _ in range(72)]
+    for _ in range(4):
+        words = invented(rng, 40, 10**6)
+        texts += [" ".join(words), " ".join(edited(rng, words, 1))]
+    sets = ngram_join.shingle_sets([t.encode() for t in texts])
+    rows = [(ngram_join.set_key(x), len(x), t) for x, t in zip(sets, texts)]
+    kept = spark.createDataFrame(rows, "key long, n long, text string").repartition(24)
+    n_tokens = sum(map(len, sets))
+    whole = sorted(map(tuple, ngram_join.rarity_index(kept, n_tokens).collect()))
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", n_tokens // 5)
+    assert whole and sorted(map(tuple, ngram_join.rarity_index(kept, n_tokens).collect())) == whole
+    held = collections.Counter(t >> 16 for x in sets for t in x.tolist())
+    assert all(hot == (held[token & (1 << 64) - 1] >= often) for token, _, _, _, hot in whole)
+    assert {hot for *_, hot in whole} == {True, False}
+
+
+def test_ngram_links_in_groups_and_a_fine_grid(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 500)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
+    texts = near_texts(8)
+    want = collections.Counter(k for pair in brute_links(texts) for k in pair)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(df).collect()} == {i: want[i] for i in range(len(texts))}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
