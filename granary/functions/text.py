@@ -17,6 +17,11 @@ KNOWN_NOTES = ("这里已经帮助修改,请注意参考学习", "这里已经
 PASS_WORDS, FAIL_WORDS = ("pass", "1", "通过", "审核通过"), ("fail", "2", "不通过", "审核不通过")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is named; Spark's array functions do not share what is repeated inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_all_blanks(text: Column) -> Column:
     return F.regexp_replace(text, BLANKS, "")
 
@@ -40,8 +45,8 @@ def kv_first(pairs: Column, key: str) -> Column:
 
 def kv_map(pairs: Column) -> Column:
     """A map of the pairs; of equal keys the last wins."""
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return let(pairs, lambda ps: F.map_from_entries(last(ps)))
 
 
 def kv_multimap(pairs: Column) -> Column:

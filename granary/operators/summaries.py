@@ -43,8 +43,8 @@ def parsed(desc: Column) -> Column:
     def flushed(s: Column) -> Column:
         return F.when(s["key"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["key"].alias("k"), s["value"].alias("v")))))
 
-    def step(s: Column, t: Column) -> Column:
-        key = _key(t)
+    def step(s: Column, given: Column) -> Column:
+        t, key = given["t"], given["k"]
         opens, broken = key.isNotNull() & (key != ""), key.isNotNull() & (key == "")
         joins = key.isNull() & F.coalesce(s["key"].isin(*FREE), F.lit(False))
         stray = broken | (key.isNull() & ~joins)
@@ -53,22 +53,26 @@ def parsed(desc: Column) -> Column:
             F.when(key.isNotNull(), flushed(s)).otherwise(s["out"]).alias("out"),
             F.when(stray, F.concat(s["stray"], F.array(t))).otherwise(s["stray"]).alias("stray"),
             F.when(opens, key).when(broken, F.lit(None).cast("string")).otherwise(s["key"]).alias("key"),
-            F.when(opens, _value(t)).when(broken, F.lit("")).when(joins, longer).otherwise(s["value"]).alias("value"),
+            F.when(opens, given["v"]).when(broken, F.lit("")).when(joins, longer).otherwise(s["value"]).alias("value"),
             (s["bad"] | broken).alias("bad"),
         )
 
-    s = F.aggregate(_tokens(desc), start, step, lambda s: F.struct(flushed(s).alias("out"), s["stray"].alias("stray"), s["bad"].alias("bad")))
+    # A token's key and value are found once, before the steps that name them many times.
+    tokens = F.transform(_tokens(desc), lambda t: F.struct(t.alias("t"), _key(t).alias("k"), _value(t).alias("v")))
+    read = F.aggregate(tokens, start, step, lambda s: F.struct(flushed(s).alias("out"), s["stray"].alias("stray"), s["bad"].alias("bad")))
 
     def spread(p: Column) -> Column:
         free = F.filter(F.array(text.clean_free_text(p["v"])), lambda v: v != "")
         several = F.when(p["k"].isin(*FREE), free).otherwise(F.filter(F.split(p["v"], r"\|"), lambda v: v != ""))
         return F.transform(several, lambda v: F.struct(p["k"].alias("k"), v.alias("v")))
 
-    rest = text.clean_free_text(F.array_join(s["stray"], ","))
-    more = F.when((F.size(s["stray"]) > 0) & (rest != ""), F.array(F.struct(F.lit(text.REMARK).alias("k"), rest.alias("v")))).otherwise(none)
-    values = F.concat(F.flatten(F.transform(s["out"], spread)), more)
-    bad = s["bad"] | F.exists(s["out"], lambda p: p["v"] == "") | ~F.exists(values, lambda p: p["k"] == text.CATEGORY)
-    return F.struct(values.alias("values"), bad.alias("invalid"))
+    def judged(s: Column) -> Column:
+        rest = text.clean_free_text(F.array_join(s["stray"], ","))
+        more = F.when(F.size(s["stray"]) > 0, text.let(rest, lambda r: F.when(r != "", F.array(F.struct(F.lit(text.REMARK).alias("k"), r.alias("v")))).otherwise(none))).otherwise(none)
+        bad = lambda values: s["bad"] | F.exists(s["out"], lambda p: p["v"] == "") | ~F.exists(values, lambda p: p["k"] == text.CATEGORY)
+        return text.let(F.concat(F.flatten(F.transform(s["out"], spread)), more), lambda values: F.struct(values.alias("values"), bad(values).alias("invalid")))
+
+    return text.let(read, judged)
 
 
 def _conflict(values: Column) -> Column:
@@ -97,30 +101,36 @@ def built(objects: DataFrame, record: str, place: str, desc: str, domain: str =
     known, rru = CATEGORIES[domain.upper()], domain.upper() == "RRU"
     dealt = objects.select(F.col(record), F.col(place).alias("_place"), parsed(F.coalesce(F.col(desc), F.lit(""))).alias("_d")).repartition(record)
     category = F.get(F.filter("_d.values", lambda p: p["k"] == text.CATEGORY), F.lit(0))["v"]
-    rows = dealt.select(record, "_place", category.alias("_c"), "_d.values", "_d.invalid")
-    unknown = F.col("_c").isNotNull() & ~F.col("_c").isin(*known)
-    faults = rows.groupBy(record).agg(F.count_if("invalid").alias("n_invalid"), F.count_if(F.coalesce(unknown, F.lit(False))).alias("n_unknown"), F.count_if(_conflict(F.col("values"))).alias("n_conflict"))
-
-    long = rows.where("_c is not null").select(record, "_c", "_place", F.posexplode("values").alias("_i", "_p"))
-    counted = long.groupBy(record, "_c", F.col("_p.k").alias("k"), F.col("_p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_place", "_i")).alias("first"))
-    in_order = lambda entries: F.to_json(F.map_from_entries(F.transform(F.array_sort(entries), lambda e: F.struct(e["v"], e["n"]))))
-    per_key = counted.where(F.col("k") != text.REMARK).groupBy(record, "_c", "k").agg(in_order(F.collect_list(F.struct("first", "v", "n"))).alias("json"))
-    attribute = F.when(F.col("k") != text.CATEGORY, F.struct("k", _named(F.col("k"), F.col("json")).alias("json")))
-    per_category = per_key.groupBy(record, "_c").agg(F.array_sort(F.collect_list(attribute)).alias("a"))
+    rows = dealt.select(record, "_place", category.alias("_c"), "_d.values", F.col("_d.invalid").alias("n_invalid"))
+    unknown = F.coalesce(F.col("_c").isNotNull() & ~F.col("_c").isin(*known), F.lit(False))
+    rows = rows.withColumns({"n_unknown": unknown, "n_conflict": _conflict(F.col("values"))})
+    faults = ("n_invalid", "n_unknown", "n_conflict")
+
+    # An object's faults go with the first of its values, so that one chain of aggregations counts both.
+    long = rows.select(record, "_c", "_place", *faults, F.posexplode_outer("values").alias("_i", "_p"))
+    leads = F.coalesce(F.col("_i"), F.lit(0)) == 0
+    sums = [F.sum(n).alias(n) for n in faults]
+    counted = long.groupBy(record, "_c", F.col("_p.k").alias("k"), F.col("_p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_place", "_i")).alias("first"), *[F.count_if(leads & F.col(n)).alias(n) for n in faults])
+    in_order = lambda entries: F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["v"], e["n"]))))
+    per_key = counted.groupBy(record, "_c", "k").agg(F.array_sort(F.collect_list(F.struct("first", "v", "n"))).alias("values"), *sums)
+    extra_key = GROUP if rru else text.REMARK
+    counts = F.col("_c").isNotNull() & F.col("k").isNotNull()
+    attribute = F.when(counts & ~F.col("k").isin(text.CATEGORY, text.REMARK), F.struct("k", _named(F.col("k"), in_order(F.col("values"))).alias("json")))
+    extras = F.flatten(F.collect_list(F.when(counts & (F.col("k") == extra_key), F.col("values"))))
+    per_category = per_key.groupBy(record, "_c").agg(F.array_sort(F.collect_list(attribute)).alias("a"), extras.alias("extras"), *sums)
     named = F.to_json(F.create_map(F.lit(text.CATEGORY), F.col("_c")))
     entry = F.concat(F.lit("{"), F.array_join(F.concat(F.array(F.substring(named, F.lit(2), F.length(named) - 2)), F.transform("a", lambda a: a["json"])), ","), F.lit("}"))
     rank = F.when(F.lit(rru) & (F.col("_c") == SITE), 0).otherwise(1)
-    stats = per_category.groupBy(record).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "_c", entry.alias("e")))), lambda x: x["e"]), ",").alias("stats"))
+    listed = F.collect_list(F.when(F.col("_c").isNotNull(), F.struct(rank.alias("r"), "_c", entry.alias("e"))))
+    whole = per_category.groupBy(record).agg(F.array_join(F.transform(F.array_sort(listed), lambda x: x["e"]), ",").alias("stats"), F.array_sort(F.flatten(F.collect_list("extras"))).alias("extras"), *sums)
 
-    extra_key = GROUP if rru else text.REMARK
-    extras = counted.where(F.col("k") == extra_key).groupBy(record, "v").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    listed = F.collect_list(F.struct("first", "v", "n"))
-    shown = in_order(listed) if rru else F.to_json(F.transform(F.array_sort(listed), lambda e: e["v"]))
-    extras = extras.groupBy(record).agg(shown.alias("extra"))
+    names = F.array_distinct(F.transform("extras", lambda e: e["v"]))
+    times = lambda v: F.aggregate(F.filter("extras", lambda e: e["v"] == v), F.lit(0).cast("long"), lambda n, e: n + e["n"])
+    shown = F.to_json(F.map_from_entries(F.transform(names, lambda v: F.struct(v, times(v))))) if rru else F.to_json(names)
+    whole = whole.withColumn("extra", F.when(F.size("extras") > 0, shown))
 
     tail = F.when(F.col("extra").isNotNull(), F.concat(F.lit(f',"{jsonx.GROUPS if rru else jsonx.NOTES}":'), F.col("extra"))).otherwise("")
     summary = jsonx.stable_json(F.concat(F.lit(f'{{"{jsonx.STATS}":['), F.coalesce("stats", F.lit("")), F.lit("]"), tail, F.lit("}")))
-    whole = faults.join(stats, record, "left").join(extras, record, "left")
     faulty = F.col("n_invalid") + F.col("n_unknown") + F.col("n_conflict") > 0
     otherwise = F.raise_error(F.concat(F.lit("summary with faults: "), F.to_json(F.struct("n_invalid", "n_unknown", "n_conflict")))) if strict else F.lit(None).cast("string")
     return whole.select(record, F.when(faulty, otherwise).otherwise(summary).alias("summary"), "n_invalid", "n_unknown", "n_conflict")

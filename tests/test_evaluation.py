@@ -174,6 +174,12 @@ def test_built_summaries(spark, domain):
     assert summaries.built(table.limit(0), "r", "i", "d", domain).count() == 0
 
 
+def test_descriptions_are_parsed_in_one_place(spark):
+    table = spark.createDataFrame([(1, 1, "类别=标签,备注=r")], "r int, i int, d string")
+    plan = summaries.built(table, "r", "i", "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
 def test_components_and_vocabulary(spark):
     rows = [("类别=a,属性=p,备注=r,s",), ("x,类别=a,y",), ("标签/p/e/f",), ("plain",), ("",), (None,)]
     df = spark.createDataFrame(rows, "desc string")
@@ -216,3 +222,34 @@ def test_candidates_take_a_score(spark):
     schema = "image int, idx int, kind string, points array<double>, label string"
     a = spark.createDataFrame([(1, 0, "bbox", [0.0, 0.0, 2.0, 2.0], "x")], schema)
     assert matching.candidates(a, a, score=F.lit(0.25)).first()["iou"] == 0.25
+
+
+def test_upright_polygons_have_the_cells_of_their_boxes(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        x, y, w, h = (rng.randrange(0, 30) for _ in range(4))
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        turn = rng.randrange(4)
+        ring = (ring[turn:] + ring[:turn])[:: rng.choice([1, -1])]
+        if i % 5 == 0:
+            ring[0], ring[1] = ring[1], ring[0]
+        rows.append((i % 6, i, "poly" if i % 3 else "bbox", [c + (0.5 if i % 7 == 0 else 0.0) for p in ring for c in p] if i % 3 else [float(v) for v in (x, y, x + w, y + h)], ""))
+    df = spark.createDataFrame(rows, "image int, idx int, kind string, points array<double>, desc string")
+    pairs = evaluation.overlaps(df, df, cell=10.0)
+    got = {(r["image"], r["gt_idx"], r["pr_idx"]): r["iou"] for r in pairs.collect()}
+    want = {}
+    for i, k, kind, p, _ in rows:
+        for j, m, other, q, _ in rows:
+            a, b = (np.array(s).reshape(-1, 2) for s in (p, q))
+            if i == j and (np.minimum(a.max(0), b.max(0)) > np.maximum(a.min(0), b.min(0))).all():
+                want[i, k, m] = geometry.raster_iou(kind, np.array(p), other, np.array(q))
+    assert got == pytest.approx({k: v for k, v in want.items() if v > 0}) and len(got) > 100
+    # The shapes that are drawn are drawn once, and a filter on the result does not draw them again.
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_boxes_are_not_drawn(spark):
+    df = spark.createDataFrame([(1, 0, [0.0, 0.0, 2.0, 2.0])], "image int, idx int, points array<double>").selectExpr("*", "'bbox' AS kind", "'x' AS label")
+    pairs = matching.candidates(df, df)
+    assert pairs.first()["iou"] == 1.0 and "ArrowEvalPython" not in pairs._jdf.queryExecution().optimizedPlan().toString()
