@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of packs that are sent on at once.
+AT_ONCE = 10_000
+
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     """New JSON-lines files of a folder as a stream."""
@@ -63,21 +67,28 @@ def promote(proposals: DataFrame, min_cycles: int = 2, min_keys: int = 2) -> Dat
 
 
 def packs(rows: DataFrame, group: str, length: str, cap: int) -> DataFrame:
-    """group, pack, length: sequential packs per group over micro-batches; the open pack's sum is the state."""
+    """group, pack, length: sequential packs per group over micro-batches; the open pack's sum is the state.
+
+    A micro-batch's rows of a group come in several frames that are in no order
+    among each other, so all of them are put in order of ``ordinal`` (two numbers
+    a row are held) before the first is packed.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pack, total = state.get if state.exists else (-1, 0)
-        for frame in frames:
-            out = []
-            for n in frame.sort_values("ordinal")[length]:
-                n = int(n)
+        held = [(frame["ordinal"].to_numpy(), frame[length].to_numpy()) for frame in frames]
+        ordinals, lengths = (np.concatenate(part) for part in zip(*held))
+        lengths = lengths[np.argsort(ordinals, kind="stable")]
+        for first in range(0, len(lengths), AT_ONCE):
+            some, out = lengths[first : first + AT_ONCE], []
+            for n in map(int, some):
                 if pack < 0 or total + n > cap or n >= cap:
                     pack, total = pack + 1, n
                 else:
                     total += n
                 out.append(pack)
-            yield pd.DataFrame({group: key[0], "pack": out, length: frame.sort_values("ordinal")[length].to_numpy()})
+            yield pd.DataFrame({group: key[0], "pack": out, length: some})
         state.update((pack, total))
 
     return rows.groupBy(group).applyInPandasWithState(step, f"{group} string, pack long, {length} long", "pack long, total long", "append", GroupStateTimeout.NoTimeout)

@@ -77,3 +77,19 @@ def test_state_machine_and_packs(spark, tmp_path):
     frame = progress.read_jsonl(spark, str(tmp_path / "q"), "g string, ordinal long, n long")
     got = stream(spark, progress.packs(frame, "g", "n", 8), "append", "packed")
     assert sorted((r["pack"], r["n"]) for r in got) == [(0, 3), (0, 4), (1, 5), (2, 10), (3, 2)]
+
+
+def test_packs_of_a_group_that_comes_in_many_frames(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("'a' AS g", "id AS ordinal", "id * 37 % 23 AS n")
+    rows.orderBy(F.xxhash64("ordinal")).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = stream(spark, progress.packs(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "g", "n", 40), "append", "many")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    pack, total, want = -1, 0, []
+    for n in (i * 37 % 23 for i in range(3000)):
+        pack, total = (pack + 1, n) if pack < 0 or total + n > 40 else (pack, total + n)
+        want.append((pack, n))
+    assert sorted((r["pack"], r["n"]) for r in got) == sorted(want)
