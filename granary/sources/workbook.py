@@ -41,8 +41,11 @@ def _rows(content: bytes, sheet: int) -> Iterator[tuple[int, list[str | None]]]:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_text(s) for s in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot().findall(f"{SPACE}si")]
-        at = 0
-        for _, row in ElementTree.iterparse(book.open(f"xl/worksheets/sheet{sheet}.xml")):
+        at, sheet_data = 0, None
+        for event, row in ElementTree.iterparse(book.open(f"xl/worksheets/sheet{sheet}.xml"), ("start", "end")):
+            if event == "start":
+                sheet_data = row if row.tag == f"{SPACE}sheetData" else sheet_data
+                continue
             if row.tag != f"{SPACE}row":
                 continue
             at = int(row.get("r", at + 1))
@@ -56,7 +59,10 @@ def _rows(content: bytes, sheet: int) -> Iterator[tuple[int, list[str | None]]]:
                 elif value is not None and value.text is not None and kind != "e":
                     cells[place] = shared[int(value.text)] if kind == "s" else value.text
             yield at, cells
+            # The sheet would keep even an empty row.
             row.clear()
+            if sheet_data is not None:
+                sheet_data.clear()
 
 
 def workbook_rows(files: DataFrame, sheet: int = 1) -> DataFrame:
@@ -127,13 +133,24 @@ def workbook_bytes(rows) -> bytes:
     return out.getvalue()
 
 
-def workbooks(rows: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
-    """``by``, content: a workbook per value, its rows in order. A group is one file and one task, by the format at most 2**20 rows."""
+#: Rows up to which a value's rows are one workbook.
+ROWS_OF_A_BOOK = 50_000
+
+
+def workbooks(rows: DataFrame, by: str, order: str, columns: list[str], most: int = ROWS_OF_A_BOOK) -> DataFrame:
+    """``by``, content: workbooks per value, rows in order. A value with more than ``most`` rows has several, and its rows are dealt to them by hash.
+
+    A book is one file and one task, so its size bounds a task's memory; the
+    format itself ends at 2**20 rows.
+    """
     kinds = dict(rows.dtypes)
+    taken = rows.select(*dict.fromkeys([by, order, *columns]))
+    counts = taken.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count(F.lit(1)) / most).alias("_books"))
+    dealt = taken.join(counts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_book", F.pmod(F.xxhash64(*taken.columns), F.col("_books"))).drop("_by", "_books")
 
     def write(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         content = workbook_bytes(zip(*(table.column(c).to_pylist() for c in columns)))
         return pa.table({by: table.column(by).slice(0, 1), "content": pa.array([content], pa.binary())})
 
-    return rows.select(*dict.fromkeys([by, order, *columns])).groupBy(by).applyInArrow(write, f"{by} {kinds[by]}, content binary")
+    return dealt.groupBy(by, "_book").applyInArrow(write, f"{by} {kinds[by]}, content binary")

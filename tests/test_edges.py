@@ -304,3 +304,11 @@ def test_conversion_counts_come_from_the_writing_pass(spark, tmp_path):
     got = converter.convert(rows, made, f"{tmp_path}/out", counts={"large": F.count_if(F.size("objects") > 1)})
     assert got == {"total_images": 2, "total_objects": 2, "skipped_images": 2, "large": 1}
     assert spark.read.json(f"{tmp_path}/out").count() == 2 and spark.read.json(f"{tmp_path}/out_stats").first()["skipped_images"] == 2
+
+
+def test_large_groups_are_several_workbooks(spark):
+    df = spark.range(900).selectExpr("CASE WHEN id % 3 > 0 THEN 'b' END AS book", "id AS k", "id AS v")
+    books = workbook.workbooks(df, "book", "k", ["k", "v"], most=100)
+    assert {(r["book"], r["count"]) for r in books.groupBy("book").count().collect()} == {("b", 6), (None, 3)}
+    got = [(r["book"], r["cells"]) for r in workbook.workbook_rows(books.selectExpr("coalesce(book, '') AS book", "content").withColumnRenamed("book", "path")).selectExpr("path AS book", "cells").collect()]
+    assert len(got) == 900 and {int(c[0]) for _, c in got} == set(range(900))
