@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,79 +74,54 @@ def stable_json(text: pd.Series) -> pd.Series:
     return text.map(show)
 
 
+def _ordered(x, name=None):
+    if isinstance(x, dict):
+        return {k: _ordered(x[k], k) for k in sorted(x)}
+    if isinstance(x, list):
+        items = [_ordered(v) for v in x]
+        return sorted(items, key=lambda v: json.dumps(v, ensure_ascii=False)) if name in (STATS, NOTES) else items
+    return x
+
+
+def _canonical(doc) -> str | None:
+    try:
+        return json.dumps(_ordered(doc), ensure_ascii=False)
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Keys sorted at every depth, and the items of the lists of statistics and notes: equality regardless of their order."""
 
-    def order(x, name=None):
-        if isinstance(x, dict):
-            return {k: order(x[k], k) for k in sorted(x)}
-        if isinstance(x, list):
-            items = [order(v) for v in x]
-            return sorted(items, key=lambda v: json.dumps(v, ensure_ascii=False)) if name in (STATS, NOTES) else items
-        return x
-
     def show(t):
         try:
-            return json.dumps(order(json.loads(t)), ensure_ascii=False)
-        except (TypeError, ValueError):
+            return _canonical(json.loads(t))
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return text.map(show)
 
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in fields.items()])
+
+
+_NAME, _NAMES, _FLAG = T.StringType(), T.ArrayType(T.StringType()), T.BooleanType()
 #: What a summary holds: ``valid`` JSON, an ``object``, a key ``twice``, top-level ``keys``, entries with
-#: their attributes (``mapped``: an object, with its keys), facts with counts, notes and group names.
-PARTS = T.StructType.fromJson(
-    {
-        "type": "struct",
-        "fields": [
-            {"name": n, "type": k, "nullable": True, "metadata": {}}
-            for n, k in {
-                "valid": "boolean",
-                "object": "boolean",
-                "twice": "boolean",
-                "keys": {"type": "array", "elementType": "string", "containsNull": True},
-                "entries": {
-                    "type": "array",
-                    "containsNull": True,
-                    "elementType": {
-                        "type": "struct",
-                        "fields": [
-                            {"name": "category", "type": "string", "nullable": True, "metadata": {}},
-                            {
-                                "name": "attributes",
-                                "nullable": True,
-                                "metadata": {},
-                                "type": {
-                                    "type": "array",
-                                    "containsNull": True,
-                                    "elementType": {
-                                        "type": "struct",
-                                        "fields": [
-                                            {"name": "name", "type": "string", "nullable": True, "metadata": {}},
-                                            {"name": "mapped", "type": "boolean", "nullable": True, "metadata": {}},
-                                            {"name": "keys", "type": {"type": "array", "elementType": "string", "containsNull": True}, "nullable": True, "metadata": {}},
-                                        ],
-                                    },
-                                },
-                            },
-                        ],
-                    },
-                },
-                "facts": {
-                    "type": "array",
-                    "containsNull": True,
-                    "elementType": {
-                        "type": "struct",
-                        "fields": [{"name": n, "type": k, "nullable": True, "metadata": {}} for n, k in (("f0", "string"), ("f1", "string"), ("f2", "string"), ("f3", "string"), ("n", "long"))],
-                    },
-                },
-                "notes": {"type": "array", "elementType": "string", "containsNull": True},
-                "groups": {"type": "array", "elementType": "string", "containsNull": True},
-            }.items()
-        ],
-    }
+#: their attributes (``mapped``: an object, with its keys), distinct categories with their distinct attribute
+#: names, facts with counts, notes, group names, and the canonical text where it is asked for.
+PARTS = _struct(
+    valid=_FLAG,
+    object=_FLAG,
+    twice=_FLAG,
+    keys=_NAMES,
+    entries=T.ArrayType(_struct(category=_NAME, attributes=T.ArrayType(_struct(name=_NAME, mapped=_FLAG, keys=_NAMES)))),
+    named=T.ArrayType(_struct(category=_NAME, names=_NAMES)),
+    facts=T.ArrayType(_struct(f0=_NAME, f1=_NAME, f2=_NAME, f3=_NAME, n=T.LongType())),
+    notes=_NAMES,
+    groups=_NAMES,
+    canonical=_NAME,
 )
 #: Attributes whose values are free text, and those whose values are numbers in text.
 FREE_TEXT, DIGITS = ("文本",), ("站点距离", "组")
@@ -201,40 +177,67 @@ def _entries_of(doc: dict) -> list[dict]:
     return [e for e in stats if isinstance(e, dict)] if isinstance(stats, list) else []
 
 
-@F.pandas_udf(PARTS)
-def summary_parts(text: pd.Series) -> pd.DataFrame:
-    """What a summary's JSON holds, see PARTS; null texts are not valid."""
+def _arrow(values, kind: T.DataType) -> pa.Array:
+    """Python values as Arrow, of nulls, texts, numbers, lists and tuples for structs, field by field instead of value by value."""
+    if isinstance(kind, T.StructType):
+        columns = list(zip(*values)) or [()] * len(kind)
+        return pa.StructArray.from_arrays([_arrow(c, f.dataType) for c, f in zip(columns, kind)], kind.names)
+    if isinstance(kind, T.ArrayType):
+        ends, flat = [0], []
+        for row in values:
+            flat += row or ()
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _arrow(flat, kind.elementType), mask=pa.array([r is None for r in values], pa.bool_()))
+    return pa.array(values, {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}[kind.simpleString()])
 
-    def parts(t):
-        twice = []
 
-        def seen(items):
-            twice.append(len({k for k, _ in items}) < len(items))
-            return dict(items)
+def _parts_of(t, canonical: bool) -> tuple:
+    twice = False
 
-        out = dict.fromkeys(PARTS.names)
-        try:
-            doc = json.loads(t, object_pairs_hook=seen)
-        except (TypeError, ValueError, RecursionError):
-            return out | {"valid": False, "object": False, "twice": any(twice)}
-        out |= {"valid": True, "object": isinstance(doc, dict), "twice": any(twice)}
-        if not isinstance(doc, dict):
-            return out
-        entries = []
-        for e in _entries_of(doc):
-            if isinstance(e.get(CATEGORY), str) and e[CATEGORY].strip():
-                attributes = [{"name": k.strip(), "mapped": isinstance(v, dict), "keys": [str(x).strip() for x in v] if isinstance(v, dict) else []} for k, v in e.items() if k != CATEGORY and k.strip()]
-                entries.append({"category": e[CATEGORY].strip(), "attributes": attributes})
-        notes, groups = doc.get(NOTES), doc.get(GROUPS)
-        return out | {
-            "keys": list(doc),
-            "entries": entries,
-            "facts": [{"f0": a, "f1": b, "f2": c, "f3": d, "n": n} for (a, b, c, d), n in _facts_of(doc).items()],
-            "notes": [str(x) for x in notes if x is not None] if isinstance(notes, list) else [],
-            "groups": [k for k in groups if k.strip()] if isinstance(groups, dict) else [],
-        }
-
-    return pd.DataFrame([parts(t) for t in text], columns=PARTS.names)
+    def seen(items):
+        nonlocal twice
+        found = dict(items)
+        twice = twice or len(found) < len(items)
+        return found
+
+    nothing = (None,) * 7
+    try:
+        doc = json.loads(t, object_pairs_hook=seen)
+    except (TypeError, ValueError, RecursionError):
+        return (False, False, twice, *nothing)
+    if not isinstance(doc, dict):
+        return (True, False, twice, *nothing)
+    entries, named = [], {}
+    for e in _entries_of(doc):
+        if isinstance(e.get(CATEGORY), str) and e[CATEGORY].strip():
+            attributes = [(k.strip(), isinstance(v, dict), [str(x).strip() for x in v] if isinstance(v, dict) else []) for k, v in e.items() if k != CATEGORY and k.strip()]
+            entries.append((e[CATEGORY].strip(), attributes))
+            named.setdefault(entries[-1][0], {}).update(dict.fromkeys(a[0] for a in attributes))
+    notes, groups = doc.get(NOTES), doc.get(GROUPS)
+    return (
+        True,
+        True,
+        twice,
+        list(doc),
+        entries,
+        [(c, list(names)) for c, names in named.items()],
+        [(*fact, n) for fact, n in _facts_of(doc).items()],
+        [str(x) for x in notes if x is not None] if isinstance(notes, list) else [],
+        [k for k in groups if k.strip()] if isinstance(groups, dict) else [],
+        _canonical(doc) if canonical else None,
+    )
+
+
+@F.arrow_udf(PARTS)
+def summary_parts(text: pa.Array) -> pa.Array:
+    """What a summary's JSON holds, see PARTS; null texts are not valid."""
+    return _arrow([_parts_of(t, False) for t in text.to_pylist()], PARTS)
+
+
+@F.arrow_udf(PARTS)
+def summary_parts_canonical(text: pa.Array) -> pa.Array:
+    """``summary_parts`` with the canonical text, see ``canonical_json``."""
+    return _arrow([_parts_of(t, True) for t in text.to_pylist()], PARTS)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))

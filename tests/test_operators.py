@@ -119,6 +119,18 @@ def test_summary_layout_scores(spark):
     assert scored(spark, "no_dup_keys", pred=head + twice) == [-1] and scored(spark, "no_dup_keys", pred=twice) == [0]
 
 
+def test_summaries_are_parsed_once_for_all_scores(spark):
+    rows = spark.createDataFrame([("", "", "BBU")], "completion string, summary_ref string, domain string")
+    plan = summary_scores.score(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "canonical_json" not in plan
+    # Texts that are equal once normal count together, in whatever order they come.
+    mine, theirs = {f"t{k}" for k in range(40)} | {"（A", "(a", ""}, {f"T{k}" for k in range(20, 60)} | {"(A"}
+    facts = lambda ts: [entry("A", 文本=dict.fromkeys(sorted(ts), 2)), entry("A", 文本={"t0": 1}), entry(" B ", x={}), entry("A", 文本=[])]
+    names = ("text", "category_f1", "content_eq", "attr_key_recall", "content_f1")
+    got = scored(spark, *names, pred=HEAD["BBU"] + summary(*facts(mine)), ref=summary(*facts(theirs)))
+    assert got == [round(43 / 83, 6), 1, 0, 1, round(2 / (85 + 83), 6)]
+
+
 def test_summary_domains(spark):
     noted, grouped = summary(entry("A"), 备注=["x"]), summary(entry("A"), 分组统计={"1": 2})
     names = ("category_recall", "content_f1", "notes", "notes_presence", "group_stats_presence")
