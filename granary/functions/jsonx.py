@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -74,18 +73,20 @@ def stable_json(text: pd.Series) -> pd.Series:
     return text.map(show)
 
 
+_shown = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+
+
 def _ordered(x, name=None):
+    """With the items of the lists of statistics and notes in order."""
     if isinstance(x, dict):
-        return {k: _ordered(x[k], k) for k in sorted(x)}
-    if isinstance(x, list):
-        items = [_ordered(v) for v in x]
-        return sorted(items, key=lambda v: json.dumps(v, ensure_ascii=False)) if name in (STATS, NOTES) else items
-    return x
+        return {k: _ordered(v, k) if isinstance(v, (dict, list)) else v for k, v in x.items()}
+    items = [_ordered(v) if isinstance(v, (dict, list)) else v for v in x]
+    return sorted(items, key=_shown) if name in (STATS, NOTES) and len(items) > 1 else items
 
 
 def _canonical(doc) -> str | None:
     try:
-        return json.dumps(_ordered(doc), ensure_ascii=False)
+        return _shown(_ordered(doc) if isinstance(doc, (dict, list)) else doc)
     except (TypeError, ValueError, RecursionError):
         return None
 
@@ -110,7 +111,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 _NAME, _NAMES, _FLAG = T.StringType(), T.ArrayType(T.StringType()), T.BooleanType()
 #: What a summary holds: ``valid`` JSON, an ``object``, a key ``twice``, top-level ``keys``, entries with
 #: their attributes (``mapped``: an object, with its keys), distinct categories with their distinct attribute
-#: names, facts with counts, notes, group names, and the canonical text where it is asked for.
+#: names, facts with counts, notes and group names.
 PARTS = _struct(
     valid=_FLAG,
     object=_FLAG,
@@ -121,14 +122,15 @@ PARTS = _struct(
     facts=T.ArrayType(_struct(f0=_NAME, f1=_NAME, f2=_NAME, f3=_NAME, n=T.LongType())),
     notes=_NAMES,
     groups=_NAMES,
-    canonical=_NAME,
 )
+#: Two summaries, and whether they are the same object but for order.
+PAIR = _struct(mine=PARTS, theirs=PARTS, same=_FLAG)
 #: Attributes whose values are free text, and those whose values are numbers in text.
 FREE_TEXT, DIGITS = ("文本",), ("站点距离", "组")
 
 
 def _squeezed(value) -> str:
-    return re.sub(r"\s+", "", str(value))
+    return "".join(str(value).split())
 
 
 def _number_in(value) -> str:
@@ -139,6 +141,8 @@ def _number_in(value) -> str:
 
 def _count(value) -> int:
     """A positive whole number, also one in text; else 0."""
+    if type(value) is int:
+        return max(value, 0)
     if isinstance(value, bool) or not isinstance(value, (int, float, str)):
         return 0
     try:
@@ -148,8 +152,13 @@ def _count(value) -> int:
     return whole if whole > 0 and (isinstance(value, str) or whole == value) else 0
 
 
-def _facts_of(doc: dict) -> Counter:
-    found = Counter()
+def _facts_of(doc: dict) -> dict[tuple, int]:
+    found = {}
+
+    def add(fact, n):
+        if n:
+            found[fact] = found.get(fact, 0) + n
+
     if doc.get("dataset") is not None and _squeezed(doc["dataset"]):
         found["dataset", _squeezed(doc["dataset"]), None, None] = 1
     for note in doc.get(NOTES) if isinstance(doc.get(NOTES), list) else []:
@@ -157,19 +166,20 @@ def _facts_of(doc: dict) -> Counter:
             found[NOTES, _squeezed(note), None, None] = 1
     for group, n in doc.get(GROUPS).items() if isinstance(doc.get(GROUPS), dict) else []:
         if _number_in(group):
-            found[GROUPS, _number_in(group), None, None] += _count(n)
+            add((GROUPS, _number_in(group), None, None), _count(n))
     for entry in _entries_of(doc):
         category = str(entry.get(CATEGORY, "")).strip() if entry.get(CATEGORY) is not None else ""
-        for name, value in entry.items():
-            if not category or name == CATEGORY or not name.strip():
+        for name, value in entry.items() if category else ():
+            attribute = name.strip()
+            if name == CATEGORY or not attribute:
                 continue
             pairs = value.items() if isinstance(value, dict) else ((v, 1) for v in (value if isinstance(value, list) else [value]))
             for shown, n in pairs:
-                shown, attribute = str(shown).strip(), name.strip()
+                shown = str(shown).strip()
                 shown = _squeezed(shown) if attribute in FREE_TEXT else _number_in(shown) if attribute in DIGITS else shown
                 if shown:
-                    found[STATS, category, attribute, shown] += _count(n)
-    return +found
+                    add((STATS, category, attribute, shown), _count(n))
+    return found
 
 
 def _entries_of(doc: dict) -> list[dict]:
@@ -191,53 +201,66 @@ def _arrow(values, kind: T.DataType) -> pa.Array:
     return pa.array(values, {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}[kind.simpleString()])
 
 
-def _parts_of(t, canonical: bool) -> tuple:
-    twice = False
+def _parser():
+    """A function from a text to its PARTS as a tuple."""
+    twice = []
 
     def seen(items):
-        nonlocal twice
         found = dict(items)
-        twice = twice or len(found) < len(items)
+        if len(found) < len(items):
+            twice.append(True)
         return found
 
-    nothing = (None,) * 7
-    try:
-        doc = json.loads(t, object_pairs_hook=seen)
-    except (TypeError, ValueError, RecursionError):
-        return (False, False, twice, *nothing)
-    if not isinstance(doc, dict):
-        return (True, False, twice, *nothing)
-    entries, named = [], {}
-    for e in _entries_of(doc):
-        if isinstance(e.get(CATEGORY), str) and e[CATEGORY].strip():
-            attributes = [(k.strip(), isinstance(v, dict), [str(x).strip() for x in v] if isinstance(v, dict) else []) for k, v in e.items() if k != CATEGORY and k.strip()]
-            entries.append((e[CATEGORY].strip(), attributes))
-            named.setdefault(entries[-1][0], {}).update(dict.fromkeys(a[0] for a in attributes))
-    notes, groups = doc.get(NOTES), doc.get(GROUPS)
-    return (
-        True,
-        True,
-        twice,
-        list(doc),
-        entries,
-        [(c, list(names)) for c, names in named.items()],
-        [(*fact, n) for fact, n in _facts_of(doc).items()],
-        [str(x) for x in notes if x is not None] if isinstance(notes, list) else [],
-        [k for k in groups if k.strip()] if isinstance(groups, dict) else [],
-        _canonical(doc) if canonical else None,
-    )
-
-
-@F.arrow_udf(PARTS)
-def summary_parts(text: pa.Array) -> pa.Array:
-    """What a summary's JSON holds, see PARTS; null texts are not valid."""
-    return _arrow([_parts_of(t, False) for t in text.to_pylist()], PARTS)
+    read, nothing = json.JSONDecoder(object_pairs_hook=seen).decode, (None,) * 6
 
-
-@F.arrow_udf(PARTS)
-def summary_parts_canonical(text: pa.Array) -> pa.Array:
-    """``summary_parts`` with the canonical text, see ``canonical_json``."""
-    return _arrow([_parts_of(t, True) for t in text.to_pylist()], PARTS)
+    def parts(t) -> tuple:
+        twice.clear()
+        try:
+            doc = read(t)
+        except (TypeError, ValueError, RecursionError):
+            return (False, False, bool(twice), *nothing)
+        if not isinstance(doc, dict):
+            return (True, False, bool(twice), *nothing)
+        entries, named = [], {}
+        for e in _entries_of(doc):
+            if isinstance(e.get(CATEGORY), str) and e[CATEGORY].strip():
+                attributes = [(k.strip(), isinstance(v, dict), [str(x).strip() for x in v] if isinstance(v, dict) else []) for k, v in e.items() if k != CATEGORY and k.strip()]
+                entries.append((e[CATEGORY].strip(), attributes))
+                named.setdefault(entries[-1][0], {}).update(dict.fromkeys(a[0] for a in attributes))
+        notes, groups = doc.get(NOTES), doc.get(GROUPS)
+        return (
+            True,
+            True,
+            bool(twice),
+            list(doc),
+            entries,
+            [(c, list(names)) for c, names in named.items()],
+            [(*fact, n) for fact, n in _facts_of(doc).items()],
+            [str(x) for x in notes if x is not None] if isinstance(notes, list) else [],
+            [k for k in groups if k.strip()] if isinstance(groups, dict) else [],
+        )
+
+    return parts
+
+
+def _same(mine: str, theirs: str, my: tuple, their: tuple) -> bool:
+    """As by ``canonical_json``, of two objects; what differs in keys or facts need not be written out."""
+    objects, keys, facts = (PARTS.names.index(n) for n in ("object", "keys", "facts"))
+    if not (my[objects] and their[objects]) or mine == theirs:
+        return my[objects] and their[objects]
+    if sorted(my[keys]) != sorted(their[keys]) or set(my[facts]) != set(their[facts]):
+        return False
+    text = _canonical(json.loads(mine))
+    return text is not None and text == _canonical(json.loads(theirs))
+
+
+@F.arrow_udf(PAIR)
+def summary_pair(mine: pa.Array, theirs: pa.Array) -> pa.Array:
+    """What two summaries' JSON texts hold, see PARTS, and whether they are the same; null texts are not valid."""
+    parts = _parser()
+    texts = list(zip(mine.to_pylist(), theirs.to_pylist()))
+    found = [(parts(a), parts(b)) for a, b in texts]
+    return _arrow([(*both, _same(*pair, *both)) for pair, both in zip(texts, found)], PAIR)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))

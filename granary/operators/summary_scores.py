@@ -18,7 +18,7 @@ BBU, RRU = "BBU", "RRU"
 
 
 class Sample:
-    """Columns that ``prepare`` adds: text, lines, domain, irrelevant, expected, first, line, second, pred, ref."""
+    """Columns that ``prepare`` adds: text, lines, domain, irrelevant, expected, first, line, second, same, pred, ref."""
 
     def __getattr__(self, part: str) -> Column:
         return F.col(f"_{part}")
@@ -33,9 +33,8 @@ def _stripped(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANK))
 
 
-def prepare(rows: DataFrame, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain", irrelevant: str | None = None, canonical: bool = True) -> DataFrame:
-    """The rows with a Sample's columns. ``irrelevant`` names a boolean column; such rows have no domain. ``content_eq`` needs the canonical texts."""
-    parts = jsonx.summary_parts_canonical if canonical else jsonx.summary_parts
+def prepare(rows: DataFrame, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain", irrelevant: str | None = None) -> DataFrame:
+    """The rows with a Sample's columns. ``irrelevant`` names a boolean column; such rows have no domain."""
     s = Sample()
     none = F.lit(None).cast("string")
     rows = rows.withColumns({"_irrelevant": F.coalesce(F.col(irrelevant), F.lit(False)) if irrelevant else F.lit(False), "_text": _stripped(text.strip_special(F.coalesce(F.col(pred), F.lit(""))))})
@@ -47,7 +46,8 @@ def prepare(rows: DataFrame, pred: str = "completion", ref: str = "summary_ref",
         }
     )
     rows = rows.withColumns({"_expected": F.concat(F.lit("<DOMAIN="), s.domain, F.lit(">, <TASK=SUMMARY>")), "_first": _stripped(F.get(s.lines, F.lit(0))), "_line": _stripped(F.get(s.lines, F.lit(1)))})
-    rows = rows.withColumns({"_second": parts(s.line), "_known": parts(F.when(s.reference != jsonx.IRRELEVANT, s.reference))})
+    rows = rows.withColumn("_pair", jsonx.summary_pair(s.line, F.when(s.reference != jsonx.IRRELEVANT, s.reference)))
+    rows = rows.withColumns({"_second": s.pair["mine"], "_known": s.pair["theirs"], "_same": s.pair["same"]})
     strict = (F.size(s.lines) == 2) & (s.first == s.expected)
     return rows.withColumns({"_strict": F.coalesce(strict, F.lit(False)), "_pred": F.when(F.coalesce(strict, F.lit(False)), s.second), "_ref": F.when(s.known["object"], s.known)})
 
@@ -149,7 +149,7 @@ def no_duplicate_keys(s: Sample) -> Column:
 
 
 def content_equal(s: Sample) -> Column:
-    return _compared(s, _flag(s.pred["canonical"] == s.ref["canonical"]))
+    return _compared(s, _flag(s.same))
 
 
 def category_recall(s: Sample) -> Column:
@@ -373,13 +373,10 @@ SCORES = {
     "notes_presence": notes_presence,
     "group_stats_presence": groups_presence,
 }
-#: Scores that do without the canonical texts.
-PLAIN = set(SCORES) - {"content_eq"}
 
 
 def score(rows: DataFrame, names=None, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain", irrelevant: str | None = None) -> DataFrame:
     """The rows with a column per score."""
     columns = rows.columns
-    names = list(names or SCORES)
-    ready = prepare(rows, pred, ref, domain, irrelevant, canonical=any(n not in PLAIN for n in names))
-    return ready.select(*columns, *[SCORES[n](Sample()).alias(n) for n in names])
+    ready = prepare(rows, pred, ref, domain, irrelevant)
+    return ready.select(*columns, *[SCORES[n](Sample()).alias(n) for n in names or SCORES])

@@ -129,7 +129,8 @@ def smart_resize(spark, sf_dir):
 
 def _summaries(spark, sf_dir):
     """A generated and a reference summary per order, from its odd and even lines; the order's number tells what is wrong with it."""
-    lines = table(spark, sf_dir, "lineitem")
+    # Dealt by order once, for all of the groupings below.
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey").repartition("l_orderkey")
     flag, status, kind = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_orderkey") % 12
     category = F.when(flag == "A", "光纤").when(flag == "N", "标签").otherwise("电线")
     facts = lines.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("half"), category.alias("c"), F.when(status == "O", "捆扎").otherwise("文本").alias("a"), F.concat(F.lit("v "), (F.col("l_partkey") % 5).cast("string")).alias("m")).agg(F.count(F.lit(1)).alias("n"))

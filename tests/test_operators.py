@@ -131,6 +131,13 @@ def test_summaries_are_parsed_once_for_all_scores(spark):
     assert got == [round(43 / 83, 6), 1, 0, 1, round(2 / (85 + 83), 6)]
 
 
+def test_summaries_of_orders_are_dealt_once(spark, sf_dir):
+    from granary.plans import text_queries
+
+    plan = text_queries._summaries(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_summary_domains(spark):
     noted, grouped = summary(entry("A"), 备注=["x"]), summary(entry("A"), 分组统计={"1": 2})
     names = ("category_recall", "content_f1", "notes", "notes_presence", "group_stats_presence")
