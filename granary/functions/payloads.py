@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions.text import let
+
 DIFFERENCES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "left", "right")]))
 
 
@@ -72,41 +74,62 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, F.lit("$"), kind)
+
+
 def lenient_text(value: Column) -> Column:
     """A variant as text: '' for null, false, zero and empty ones; lists and objects as JSON."""
-    text = F.btrim(F.coalesce(F.try_variant_get(value, F.lit("$"), "string"), F.to_json(value)))
-    zero = F.try_variant_get(value, F.lit("$"), "double") == 0
-    void = _kind(value).isin("VOID") | text.isin("", "false", "[]", "{}") | (F.coalesce(zero, F.lit(False)) & (_kind(value) != "STRING"))
-    return F.when(void, "").otherwise(text)
+
+    def of(x: Column) -> Column:
+        zero = F.coalesce(_as(x["v"], "double") == 0, F.lit(False)) & (_kind(x["v"]) != "STRING")
+        return F.when(x["t"].isNull() | x["t"].isin("", "false", "[]", "{}"), "").when(_kind(x["v"]).isin("VOID") | zero, "").otherwise(x["t"])
+
+    text = lambda v: F.struct(v.alias("v"), F.btrim(F.coalesce(_as(v, "string"), F.to_json(v))).alias("t"))
+    return F.when(value.isNull(), "").otherwise(let(let(value, text), of))
 
 
 def lenient_int(value: Column) -> Column:
     """A variant as a whole number: numbers are cut to one, booleans are 0 or 1, texts count if they are whole numbers; else null."""
-    kind, text = _kind(value), F.btrim(F.try_variant_get(value, F.lit("$"), "string"))
-    number = F.coalesce(F.try_variant_get(value, F.lit("$"), "bigint"), F.try_variant_get(value, F.lit("$"), "double").try_cast("bigint"))
-    whole = F.when(F.rlike(text, F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint"))
-    return F.when(kind == "STRING", whole).when(kind == "BOOLEAN", F.try_variant_get(value, F.lit("$"), "boolean").cast("bigint")).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), number)
+
+    def of(x: Column) -> Column:
+        kind, v = x["k"], x["v"]
+        whole = let(F.btrim(_as(v, "string")), lambda t: F.when(F.rlike(t, F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")), F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint")))
+        number = F.coalesce(_as(v, "bigint"), _as(v, "double").try_cast("bigint"))
+        return F.when(kind == "STRING", whole).when(kind == "BOOLEAN", _as(v, "boolean").cast("bigint")).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), number)
+
+    return let(let(value, lambda v: F.struct(v.alias("v"), _kind(v).alias("k"))), of)
+
+
+#: The fields of a stored hypothesis.
+FIELDS = ("signature", "text", "falsifier", "dimension", "status", "support_cycles", "support_cycle_ids", "support_ticket_keys", "first_seen", "last_seen", "promoted_at", "rejected_at")
 
 
 def hypothesis(payload: Column) -> Column:
-    """A stored hypothesis with lenient types, as a struct; null if the payload is no JSON object."""
-    doc = F.try_parse_json(payload)
-    at = lambda name: F.try_variant_get(doc, F.lit(f"$.{name}"), "variant")
-    items = lambda name: F.coalesce(F.try_variant_get(doc, F.lit(f"$.{name}"), "array<variant>"), F.array().cast("array<variant>"))
-    given = lambda name: F.when(_kind(at(name)) != "VOID", lenient_text(at(name)))
-    status = lenient_text(at("status"))
-    fields = {
-        "signature": lenient_text(at("signature")),
-        "text": lenient_text(at("text")),
-        "falsifier": given("falsifier"),
-        "dimension": given("dimension"),
-        "status": F.when(status == "", "candidate").otherwise(status),
-        "support_cycles": F.coalesce(lenient_int(at("support_cycles")), F.lit(0)),
-        "support_cycle_ids": F.filter(F.transform(items("support_cycle_ids"), lenient_int), lambda x: x.isNotNull()),
-        "support_ticket_keys": F.filter(F.transform(items("support_ticket_keys"), lambda x: F.coalesce(F.try_variant_get(x, F.lit("$"), "string"), F.to_json(x))), lambda x: F.btrim(x) != ""),
-        "first_seen": lenient_text(at("first_seen")),
-        "last_seen": lenient_text(at("last_seen")),
-        "promoted_at": given("promoted_at"),
-        "rejected_at": given("rejected_at"),
-    }
-    return F.when(F.startswith(_kind(doc), F.lit("OBJECT")), F.struct(*[v.alias(k) for k, v in fields.items()]))
+    """A stored hypothesis with lenient types, as a struct; null if the payload is no JSON object.
+
+    A payload is parsed once: all fields leave it in one cast to a struct of
+    variants, which is null for what is no object.
+    """
+    items = lambda x: F.coalesce(_as(x, "array<variant>"), F.array().cast("array<variant>"))
+    given = lambda x: F.when(x.isNotNull() & (_kind(x) != "VOID"), lenient_text(x))
+    key = lambda x: F.coalesce(_as(x, "string"), F.to_json(x))
+
+    def typed(x: Column) -> Column:
+        fields = {
+            "signature": lenient_text(x["signature"]),
+            "text": lenient_text(x["text"]),
+            "falsifier": given(x["falsifier"]),
+            "dimension": given(x["dimension"]),
+            "status": let(lenient_text(x["status"]), lambda t: F.when(t == "", "candidate").otherwise(t)),
+            "support_cycles": F.coalesce(lenient_int(x["support_cycles"]), F.lit(0)),
+            "support_cycle_ids": F.filter(F.transform(items(x["support_cycle_ids"]), lenient_int), lambda n: n.isNotNull()),
+            "support_ticket_keys": F.filter(F.transform(items(x["support_ticket_keys"]), key), lambda t: F.btrim(t) != ""),
+            "first_seen": lenient_text(x["first_seen"]),
+            "last_seen": lenient_text(x["last_seen"]),
+            "promoted_at": given(x["promoted_at"]),
+            "rejected_at": given(x["rejected_at"]),
+        }
+        return F.when(x.isNotNull(), F.struct(*[fields[n].alias(n) for n in FIELDS]))
+
+    return let(_as(F.try_parse_json(payload), "struct<" + ",".join(f"{n}:variant" for n in FIELDS) + ">"), typed)

@@ -231,6 +231,15 @@ def test_lenient_hypotheses(spark):
     assert got[4]["text"] == "[1]" and got[4]["support_ticket_keys"] == []
 
 
+def test_a_hypothesis_is_parsed_once(spark):
+    rows = spark.range(3).select(F.format_string('{"status": %d, "text": {"a": [%d]}, "support_ticket_keys": [{"k": 1}, null, " "]}', "id", "id").alias("p"))
+    found = rows.select(payloads.hypothesis(F.col("p")).alias("h"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1, plan
+    got = [(r["h"]["status"], r["h"]["text"], r["h"]["support_ticket_keys"]) for r in found.collect()]
+    assert got == [("candidate", '{"a":[0]}', ['{"k":1}', "null"]), ("1", '{"a":[1]}', ['{"k":1}', "null"]), ("2", '{"a":[2]}', ['{"k":1}', "null"])]
+
+
 # --- table functions ---
 
 
