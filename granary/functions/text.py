@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Blank characters as Unicode counts them, for regular expressions.
 BLANKS = r"(?U)[\s\x{3000}]+"
+#: The same, one by one.
+BLANK = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the description format.
 CATEGORY, REMARK, VISIBILITY, TEXT, DISTANCE, READABLE = "类别", "备注", "可见性", "文本", "站点距离", "可读性"
 KNOWN_NOTES = ("这里已经帮助修改,请注意参考学习", "这里已经帮助修改，请注意参考学习")
@@ -22,6 +24,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def strip_blanks(text: Column) -> Column:
+    """Without blanks at both ends; only the ends are read."""
+    return F.btrim(text, F.lit(BLANK))
+
+
 def strip_all_blanks(text: Column) -> Column:
     return F.regexp_replace(text, BLANKS, "")
 

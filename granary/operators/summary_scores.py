@@ -24,13 +24,7 @@ class Sample:
         return F.col(f"_{part}")
 
 
-#: The characters of text.BLANKS.
-BLANK = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def _stripped(x: Column) -> Column:
-    """Without blanks at both ends; only the ends are read."""
-    return F.btrim(x, F.lit(BLANK))
+_stripped = text.strip_blanks
 
 
 def prepare(rows: DataFrame, pred: str = "completion", ref: str = "summary_ref", domain: str = "domain", irrelevant: str | None = None) -> DataFrame:

@@ -69,9 +69,9 @@ def ticket_ingest(spark, sf_dir):
     path = shared_path(spark, "tickets")
     rows = table(spark, sf_dir, "orders").withColumn("row", row)
     rows.select(F.when(kind == 5, F.expr("left(row, 20)")).otherwise(F.col("row")).alias("value")).write.text(path)
-    good, rejected = jsonl.read_tickets(spark, [path, f"{path}-of-yesterday"], require=True)
-    shown = good.select("ticket", "mission", F.size("images").alias("n_images"), F.array_join("texts", "/").alias("texts"), F.date_format("labelled_at", "yyyy-MM-dd").alias("day"), F.lit(None).cast("string").alias("reason"))
-    return shown.unionByName(rejected.select("reason"), allowMissingColumns=True)
+    found = jsonl.judged_tickets(spark, [path, f"{path}-of-yesterday"], require=True)
+    n_images = F.when(F.col("reason").isNull(), F.size("images"))
+    return found.select("ticket", "mission", n_images.alias("n_images"), F.array_join("texts", "/").alias("texts"), F.date_format("labelled_at", "yyyy-MM-dd").alias("day"), "reason")
 
 
 @query(

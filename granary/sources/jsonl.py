@@ -29,8 +29,9 @@ def lines(spark: SparkSession, paths) -> DataFrame:
 def _fault(value: Column, parsed: Column) -> Column:
     """What is wrong with a line: 'malformed', or 'kind' for JSON that is no object; blank lines are fine."""
     from granary.functions.jsonx import is_object
+    from granary.functions.text import strip_blanks
 
-    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    text = strip_blanks(value)
     listed = F.rlike(text, F.lit(r'^(?s)(\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$')) & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
     good = F.startswith(text, F.lit("{")) & is_object(text) & parsed[CORRUPT].isNull()
     return F.when((text == "") | F.coalesce(good, F.lit(False)), None).when(F.coalesce(listed, F.lit(False)), "kind").otherwise("malformed")
@@ -95,14 +96,14 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def read_tickets(spark: SparkSession, paths: list[str], require: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(tickets, rejected): rows with a known label, images and texts; the others with a reason.
+TICKET = ("ticket", "group_id", "mission", "label", "images", "texts", "labelled_at", "gt_fail_reason_text")
 
-    Missing files are left out with a warning. Ticket keys are group_id::label;
-    image texts are numbered anew in order of the numbers in their keys, and
-    lose what they say about the station distance unless the mission begins with
-    RRU; timestamps that do not parse are null. With ``require``, it is an error
-    if there is no ticket at all.
+
+def judged_tickets(spark: SparkSession, paths: list[str], require: bool = False) -> DataFrame:
+    """Every row of the files with its ``reason``, null for a ticket: raw, the row as it was read, and a ticket's columns.
+
+    One pass over the files, for those who want tickets and rejected rows alike;
+    see ``read_tickets``. What is not a ticket has its columns null.
     """
     from granary.functions.records import strip_station_distance
     from granary.functions.text import normal_label
@@ -119,24 +120,42 @@ def read_tickets(spark: SparkSession, paths: list[str], require: bool = False) -
     label = normal_label(F.col("label"))
     reason = (
         F.when(F.col(CORRUPT).isNotNull(), "malformed")
-        .when(label.isNull(), "label")
+        .when(F.col("_label").isNull(), "label")
         .when(F.coalesce(F.size("images"), F.lit(0)) < 1, "images")
         .when(F.coalesce(F.size(F.map_keys("per_image")), F.lit(0)) < 1, "texts")
     )
-    judged = raw.select("*", reason.alias("reason"))
-    good = judged.where("reason is null").select(
-        F.concat_ws("::", "group_id", label).alias("ticket"),
-        "group_id",
-        "mission",
-        label.alias("label"),
-        "images",
-        F.when(F.startswith(F.trim(F.coalesce("mission", F.lit(""))), F.lit("RRU")), texts).otherwise(strip_station_distance(texts)).alias("texts"),
-        F.try_to_timestamp("label_timestamp").alias("labelled_at"),
-        "gt_fail_reason_text",
-    )
-    if require and good.isEmpty():
+    judged = raw.withColumn("_label", label).select(F.struct(*raw.columns).alias("raw"), *raw.columns, "_label", reason.alias("reason"))
+    judged = judged.withColumn("_texts", F.when(F.col("reason").isNull(), texts))
+    kept = F.startswith(F.trim(F.coalesce("mission", F.lit(""))), F.lit("RRU"))
+    # Only texts that may lose something go to Python.
+    judged = judged.withColumns({"_kept": kept, "_bare": strip_station_distance(F.when(~kept, F.col("_texts")))})
+    ticket = {
+        "ticket": F.concat_ws("::", "group_id", "_label"),
+        "group_id": F.col("group_id"),
+        "mission": F.col("mission"),
+        "label": F.col("_label"),
+        "images": F.col("images"),
+        "texts": F.when(F.col("_kept"), F.col("_texts")).otherwise(F.col("_bare")),
+        "labelled_at": F.try_to_timestamp("label_timestamp"),
+        "gt_fail_reason_text": F.col("gt_fail_reason_text"),
+    }
+    found = judged.select("raw", "reason", *[F.when(F.col("reason").isNull(), ticket[n]).alias(n) for n in TICKET])
+    if require and found.where("reason is null").select("reason").isEmpty():
         raise ValueError("no tickets: no row of the files is one")
-    return good, judged.where("reason is not null")
+    return found
+
+
+def read_tickets(spark: SparkSession, paths: list[str], require: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(tickets, rejected): rows with a known label, images and texts; the others with a reason.
+
+    Missing files are left out with a warning. Ticket keys are group_id::label;
+    image texts are numbered anew in order of the numbers in their keys, and
+    lose what they say about the station distance unless the mission begins with
+    RRU; timestamps that do not parse are null. With ``require``, it is an error
+    if there is no ticket at all.
+    """
+    judged = judged_tickets(spark, paths, require)
+    return judged.where("reason is null").select(*TICKET), judged.where("reason is not null").select("raw.*", "reason")
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:

@@ -31,6 +31,20 @@ def test_tickets(spark, tmp_path):
     assert sorted(r["reason"] for r in rejected.cache().collect()) == ["images", "label"]
 
 
+def test_tickets_and_rejected_rows_come_from_one_pass(spark, tmp_path):
+    row = {"group_id": "g", "mission": "RRU", "label": "fail", "images": ["a"], "per_image": {"image_10": " ten ", "image_2": "无关图片 x"}, "label_timestamp": "2024-01-02"}
+    rows = [json.dumps(row | more) for more in ({}, {"mission": "BBU"}, {"label": "?"}, {"per_image": {}}, {"mission": None})] + ["\u2003[1]\u3000", "{", "\u2003\x85"]
+    (tmp_path / "t.jsonl").write_text("\n".join(rows), encoding="utf-8")
+    found = jsonl.judged_tickets(spark, [str(tmp_path / "t.jsonl")], require=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    got = sorted((r["reason"] or "", r["mission"] or "", r["texts"]) for r in found.collect())
+    assert got == [("", "", ["无关图片", "ten"]), ("", "BBU", ["无关图片", "ten"]), ("", "RRU", ["无关图片 x", " ten "]), ("label", "", None), ("malformed", "", None), ("malformed", "", None), ("texts", "", None)]
+    good, rejected = jsonl.read_tickets(spark, [str(tmp_path / "t.jsonl")])
+    assert good.columns == list(jsonl.TICKET) and rejected.columns[-2:] == [jsonl.CORRUPT, "reason"]
+    assert (good.count(), sorted(r["reason"] for r in rejected.collect())) == (3, ["label", "malformed", "malformed", "texts"])
+
+
 def test_coco_keys_and_tree(spark, tmp_path):
     doc = {"images": [{"id": 1, "coco_url": "http://h/train/7.jpg", "width": 4, "height": 5}], "annotations": [{"id": 2, "image_id": 1, "category_id": 3, "bbox": [0.0, 0.0, 1.0, 1.0]}], "categories": [{"id": 3, "name": "cat"}]}
     (tmp_path / "c.json").write_text(json.dumps(doc))
