@@ -253,3 +253,56 @@ def test_boxes_are_not_drawn(spark):
     df = spark.createDataFrame([(1, 0, [0.0, 0.0, 2.0, 2.0])], "image int, idx int, points array<double>").selectExpr("*", "'bbox' AS kind", "'x' AS label")
     pairs = matching.candidates(df, df)
     assert pairs.first()["iou"] == 1.0 and "ArrowEvalPython" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pictures_are_matched_where_they_lie(spark, monkeypatch):
+    rng = random.Random(11)
+
+    def turned(rng):
+        o = random_object(rng)
+        if o["type"] == "poly" and rng.random() < 0.5:
+            o["points"] = o["points"][:6]
+        return o
+
+    some = lambda k: [turned(rng) for _ in range(rng.randrange(0, k))]
+    rows = [(i, json.dumps(some(9), ensure_ascii=False), json.dumps(some(9), ensure_ascii=False)) for i in range(60)] + [(99, None, "[1, {}, null]"), (98, "{", ""), (97, "[]", "[]")]
+    dump = spark.createDataFrame(rows, "image int, gt string, pred string")
+    truth, pred = evaluation.objects(dump, "image", "gt").cache(), evaluation.objects(dump, "image", "pred").cache()
+    pairs = evaluation.overlaps(truth, pred).cache()
+    read = evaluation.pictures(dump).cache()
+    assert sorted(map(str, evaluation.objects_of(read, "gt").collect())) == sorted(map(str, truth.collect()))
+    want = {(m, r["image"], r["gt_idx"], r["pr_idx"], r["iou"]) for m in evaluation.MODES for r in evaluation.matches(pairs, m, 0.2).collect()}
+    found = evaluation.picture_matches(read, tuple(evaluation.MODES), 0.2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    named = lambda rows: {(r["mode"], r["image"], r["gt_idx"], r["pr_idx"], r["iou"]) for r in rows.collect()}
+    assert len(want) > 30 and named(found) == want
+    # Rows of a picture may come in several batches, and a picture with many pairs is dealt to cells.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert named(found) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(matching, "PAIRS_AT_ONCE", 20)
+    assert named(evaluation.picture_matches(read, tuple(evaluation.MODES), 0.2)) == want
+    monkeypatch.undo()
+    old = evaluation.scores(truth, pred, pairs, thresholds=(0.2, 0.5))
+    assert sorted(map(str, evaluation.scores(truth, pred, None, thresholds=(0.2, 0.5), found=found).collect())) == sorted(map(str, old.collect()))
+    own = evaluation.matches(pairs, "localization", 0.2)
+    placed = found.where("mode = 'localization'")
+    assert sorted(map(str, evaluation.attributes(truth, pred, own, whole=True).collect())) == sorted(map(str, evaluation.attributes(None, None, placed, whole=True).collect()))
+
+
+def test_vectors_match_as_a_loop_does():
+    rng = np.random.default_rng(3)
+    cases = [(rng.integers(0, 5, 400), rng.integers(0, 9, 400), rng.integers(0, 9, 400), rng.integers(1, 4, 400) / 4) for _ in range(5)]
+    chain = np.arange(101)
+    cases.append((np.zeros(101, int), chain // 2, (chain + 1) // 2, 1 - chain / 200))  # each pair waits for the one before
+    cases.append(tuple(np.zeros(0, t) for t in (int, int, int, float)))
+    for image, gt, pr, iou in cases:
+        want, used = [], set()
+        for k in np.lexsort((pr, gt, -iou, image)):
+            keys = {(image[k], "g", gt[k]), (image[k], "p", pr[k])}
+            if not keys & used:
+                used |= keys
+                want.append(k)
+        assert matching.greedy_rows(image, gt, pr, iou).tolist() == want
